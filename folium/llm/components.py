@@ -1,0 +1,31 @@
+"""Connected components of links between documents, by large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folium.llm.store import saved
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first())
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """(id, root) for every id in links (a, b): root is the smallest id that can be reached, itself included.
+
+    Each step hangs neighbours onto the smallest one seen, so a chain of n links takes about log(n) steps. A much-linked
+    id is one side of an equi-join, whose large partitions Spark splits; only counts come to the driver.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges, before = saved(edges, name), None
+    while (now := _state(edges)) != before and now[0]:
+        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = saved(small.where("u <> v").distinct(), name)
+    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
