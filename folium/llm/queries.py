@@ -44,14 +44,26 @@ def _lower_ascii(x: str) -> str:
 OP2_SQL = OP2_SQL.replace("lower_ascii(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))", _lower_ascii("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")).replace("len_points(", "length(")
 
 
+def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_duplicates": op1_near_duplicates, "op2_line_dedup": op2_line_dedup, "op8_quality": op8_quality}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op6_contaminated, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
