@@ -210,7 +210,8 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands:
     hubs = members.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("c", -F.col("id"))).alias("hub"))
     stars = saved(members.join(hubs, "bucket").select("hub", "id").distinct().where("hub <> id"), "stars")
     wanted = stars.select("id").union(stars.select("hub")).distinct()
-    needed = saved(documents.join(wanted, documents["doc_id"] == wanted["id"]).select("id", "text"), "candidate-texts")
+    # The same join at every size: texts are shuffled once, whether or not the candidates' ids would fit a broadcast.
+    needed = saved(documents.join(wanted.hint("merge"), documents["doc_id"] == wanted["id"]).select("id", "text"), "candidate-texts")
 
     n = stars.groupBy("hub").agg(_blocks(F.count("*")).alias("blocks"))
     zero = F.lit(0)
