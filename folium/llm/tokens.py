@@ -18,14 +18,15 @@ import pyarrow as pa
 import regex
 
 END = 1
-CACHE_PARTS = 500_000
+CACHE_PARTS = 800_000
 
 #: The patterns by which the two vocabularies split text.
 PATTERNS = {
     "byte_bpe_50k.json": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "word_bpe_49k.json": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-_LATIN = re.compile(r"[\xc0-\xd6\xd8-\xf6\xf8-įı-ɏA-Za-z]+").fullmatch  # without the letter that lower case makes two of
+# Latin letters, without the one that lower case makes two of, and then ASCII marks.
+_WORD = re.compile(r"([\xc0-\xd6\xd8-\xf6\xf8-įı-ɏA-Za-z]+)([!-/:-@\[-`{-~]*)").fullmatch
 _PLAIN = re.compile(r"[\n\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ɏ]*").fullmatch
 
 
@@ -57,6 +58,7 @@ class Encoder:
         self.table = {b: c for b, c in _byte_letters().items() if chr(b) != c}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def plainly(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -73,23 +75,39 @@ class Encoder:
         return b"".join([self.model(p) for p in self.split(lead + (part.lower() if self.lower else part))])
 
     def word(self, part: str) -> bytes:
-        """Ids of a part after a space, most often a word and perhaps a mark."""
-        bare = part.rstrip(".,") if part[-1] in ".," else part
-        if not (bare.isascii() and bare.isalpha()):
-            if not _LATIN(bare):
-                return self.part(part, self.lead)
-            shown = (bare.lower() if self.lower else bare).encode().decode("latin-1").translate(self.table)
-        else:
-            shown = bare.lower() if self.lower else bare
-        if len(bare) == len(part):
-            return array("I", [t.id for t in self.whole.model.tokenize(self.shown_lead + shown)]).tobytes()
-        ids = self.new.get(bare) or self.old.get(bare)
+        """Ids of a part after a space: most often a word and perhaps marks, or two of these and a line break."""
+        if found := _WORD(part):
+            bare, marks = found.groups()
+            ids = (self.new.get(bare) or self.old.get(bare)) if marks else None
+            if ids is None:
+                shown = bare.lower() if self.lower else bare
+                if not bare.isascii():
+                    shown = shown.encode().decode("latin-1").translate(self.table)
+                ids = array("I", [t.id for t in self.whole.model.tokenize(self.shown_lead + shown)]).tobytes()
+            if marks and "<|" not in marks:
+                self.new[bare] = ids
+                return ids + self.marks(marks)
+            if not marks:
+                return ids
+        elif "\n" in part:
+            first, *rest = part.split("\n")
+            if all(rest) and not any(p[0].isspace() or p[-1].isspace() for p in (first, *rest)):
+                return b"".join([self.word(first), *(self.after_break(p) for p in rest)])
+        return self.part(part, self.lead)
+
+    def after_break(self, part: str) -> bytes:
+        """Ids of a line break and the part after it."""
+        if self.lower:
+            return self.word(part)
+        ids = self.heads.get(part)
         if ids is None:
-            ids = array("I", [t.id for t in self.whole.model.tokenize(self.shown_lead + shown)]).tobytes()
-            self.new[bare] = ids
-        return ids + self.marks(part[len(bare) :])
+            ids = self.marks("\n") + self.part(part, "")
+            if len(self.heads) >= CACHE_PARTS // 4:
+                self.heads = {}
+            self.heads[part] = ids
+        return ids
 
-    @lru_cache(1000)  # noqa: B019  an encoder lives as long as its process
+    @lru_cache(10_000)  # noqa: B019  an encoder lives as long as its process
     def marks(self, marks: str) -> bytes:
         return b"".join([self.model(p) for p in self.split(marks)])
 
