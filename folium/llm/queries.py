@@ -44,6 +44,12 @@ def _lower_ascii(x: str) -> str:
 OP2_SQL = OP2_SQL.replace("lower_ascii(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))", _lower_ascii("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")).replace("len_points(", "length(")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.decontaminate import contaminated
 
@@ -63,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op6_contaminated, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op6_contaminated, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
