@@ -50,6 +50,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.store import scratch
+    from folium.llm.tokenstore import digests, write_tokens
+
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path)
+    return digests(spark, path)
+
+
 def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.decontaminate import contaminated
 
@@ -69,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op6_contaminated, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op6_contaminated, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
