@@ -71,6 +71,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.wordpieces import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.packing import pack
 
@@ -78,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op6_contaminated, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op6_contaminated, op8_quality, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
