@@ -65,6 +65,12 @@ def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.quality import quality
 
@@ -84,7 +90,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op6_contaminated, op8_quality, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
