@@ -59,6 +59,52 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark, path)
 
 
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as captures, fetched one day after another through two years."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2023-01-01', cast(page_id % 730 as int))").alias("fetched_on"))
+
+
+def _url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dated list drawn from the pages: hosts, parent domains and path prefixes that come and go."""
+    pages = table(spark, sf_dir, "pages").where("page_id % 3 = 0")
+    host = F.regexp_extract("url", "^https?://([^/:?#]+)", 1)
+    part = F.regexp_extract("url", "^https?://([^/:?#]+/[^/?#]+)", 1)
+    pattern = F.when(F.col("page_id") % 2 == 0, host).when(part != "", part).otherwise(host)
+    on = F.expr("date_add(date'2023-01-01', cast((page_id * 37) % 700 as int))")
+    off = F.expr("date_add(date'2023-01-01', cast((page_id * 37) % 700 + 40 + page_id % 90 as int))")
+    added = pages.select(pattern.alias("pattern"), F.lit("add").alias("action"), on.alias("listed_on"))
+    removed = pages.where("page_id % 5 <> 0").select(pattern.alias("pattern"), F.lit("remove").alias("action"), off.alias("listed_on"))
+    return added.unionByName(removed)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.urlfilter import blocked
+
+    return blocked(_captures(spark, sf_dir), _url_list(spark, sf_dir))
+
+
+OP5_SQL = r"""
+WITH c AS (SELECT page_id, url, CAST(DATE '2023-01-01' + CAST(page_id % 730 AS INT) AS DATE) AS fetched_on FROM pages),
+p AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS h, regexp_extract(url, '^https?://([^/:?#]+/[^/?#]+)', 1) AS hp FROM pages WHERE page_id % 3 = 0),
+l AS (SELECT page_id, CASE WHEN page_id % 2 = 0 OR hp = '' THEN h ELSE hp END AS key FROM p),
+e AS (
+  SELECT key, 'add' AS action, CAST(DATE '2023-01-01' + CAST((page_id * 37) % 700 AS INT) AS DATE) AS since FROM l UNION ALL
+  SELECT key, 'remove', CAST(DATE '2023-01-01' + CAST((page_id * 37) % 700 + 40 + page_id % 90 AS INT) AS DATE) FROM l WHERE page_id % 5 <> 0),
+d AS (SELECT lower(split_part(key, '/', 1)) || substr(key, length(split_part(key, '/', 1)) + 1) AS key, since, max(action) AS action FROM e WHERE key <> '' GROUP BY ALL),
+i AS (SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM d),
+u AS (SELECT DISTINCT url, fetched_on, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM c),
+k AS (
+  SELECT DISTINCT url, fetched_on, array_to_string(list_slice(string_split(h, '.'), n, len(string_split(h, '.'))), '.') AS key
+  FROM u, LATERAL (SELECT unnest(generate_series(1, greatest(len(string_split(h, '.')) - 1, 1))) AS n) UNION
+  SELECT DISTINCT url, fetched_on, h || '/' || array_to_string(list_slice(s, 1, n), '/')
+  FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM u) v, LATERAL (SELECT unnest(generate_series(1, len(s))) AS n)),
+b AS (
+  SELECT k.url, k.fetched_on, i.key AS rule, i.since AS listed_on, row_number() OVER (PARTITION BY k.url, k.fetched_on ORDER BY length(i.key) DESC, i.key DESC) AS r
+  FROM k JOIN i ON k.key = i.key AND i.action = 'add' AND k.fetched_on >= i.since AND (i.until IS NULL OR k.fetched_on < i.until))
+SELECT c.page_id, c.url, c.fetched_on, b.rule IS NOT NULL AS blocked, b.rule, b.listed_on FROM c LEFT JOIN b ON b.url = c.url AND b.fetched_on = c.fetched_on AND b.r = 1
+"""
+
+
 def op6_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.decontaminate import contaminated
 
@@ -90,8 +136,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": op1_near_duplicates, "op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL}
