@@ -16,8 +16,6 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 _LOW = [chr(i) for i in range(128, 0x1E943) if not 0xD800 <= i < 0xE000 and chr(i).lower() == chr(i) != chr(i).casefold()]
-_ONE = {c: c.casefold() for c in _LOW if len(c.casefold()) == 1}
-_MANY = {c: c.casefold() for c in _LOW if len(c.casefold()) > 1}
 
 
 def _class(letters) -> str:
@@ -31,13 +29,11 @@ def _col(c) -> Column:
 def casefold(c) -> Column:
     """Full case folding; texts without unusual letters cost one lower() and one scan."""
     low = F.lower(_col(c))
-    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
-    many = one
-    for letter, folded in _MANY.items():
-        many = F.replace(many, F.lit(letter), F.lit(folded))
+    table = F.create_map(*(F.lit(x) for c in _LOW for x in (c, c.casefold())))
+    rare = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     common = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     rest = _class(x for x in _LOW if x not in "ßς")
-    return F.when(low.rlike(rest), many).otherwise(common)
+    return F.when(low.rlike(rest), rare).otherwise(common)
 
 
 @arrow_udf(StringType())
