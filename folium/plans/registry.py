@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.plans.fixtures import with_views
 
-PARTS = ("fusion", "search")
+PARTS = ("fusion", "search", "state")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
