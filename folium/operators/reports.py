@@ -85,7 +85,7 @@ def call_cost(calls: DataFrame) -> DataFrame:
     name = F.lower(F.trim("model"))
     for alias, model in ALIASES.items():
         name = F.when(F.lower(F.trim("model")) == alias, model).otherwise(name)
-    price = lambda i: F.element_at(F.create_map(*(F.lit(x) for m, p in PRICES.items() for x in (m, p[i]))), F.col("_model"))
+    price = lambda i: F.element_at(F.create_map(*(F.lit(x) for m, p in PRICES.items() for x in (m, round(1000 * p[i])))), F.col("_model"))
     clamp = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
     hit = F.least(clamp("prompt_tokens"), clamp("cache_hit_tokens"))
     miss = clamp("prompt_tokens") - hit
@@ -94,8 +94,9 @@ def call_cost(calls: DataFrame) -> DataFrame:
     rows = calls.withColumns({"_model": name, "_local": F.from_utc_timestamp(F.col("occurred_at_utc").cast("timestamp"), "Asia/Shanghai")})
     known = F.col("_model").isin(*PRICES)
     rows = rows.withColumn("peak", known & peak)
-    cost = (hit * price(0) + miss * price(1) + clamp("completion_tokens") * price(2)) / 1e6 * F.when(F.col("peak"), 2.0).otherwise(1.0)
-    return rows.withColumn("cost", F.when(known, F.round(cost, 8)).otherwise(F.lit(0.0))).drop("_model", "_local")
+    units = (hit * price(0) + miss * price(1) + clamp("completion_tokens") * price(2)) * F.when(F.col("peak"), 2).otherwise(1)  # of 1e-9, exactly
+    cost = F.floor((units + 5) / 10) / 1e8
+    return rows.withColumn("cost", F.when(known, cost).otherwise(F.lit(0.0))).drop("_model", "_local")
 
 
 def run_usage(costs: DataFrame, requests: DataFrame) -> DataFrame:

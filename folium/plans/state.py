@@ -57,7 +57,7 @@ _CALLS = "SELECT call_id, run_id, occurred_at_utc, model, prompt_tokens, complet
 _COST = """cs AS (SELECT call_id, run_id, prompt_tokens, completion_tokens, least(greatest(prompt_tokens, 0), greatest(cache_hit_tokens, 0)) AS h, greatest(prompt_tokens, 0) AS pt, greatest(completion_tokens, 0) AS ct,
     CASE model WHEN 'deepseek-chat' THEN 'deepseek-v4-flash' ELSE model END AS m, (extract(hour FROM occurred_at_utc + INTERVAL 8 HOUR) * 60 + extract(minute FROM occurred_at_utc + INTERVAL 8 HOUR)) AS mi FROM fx_usage),
   ck AS (SELECT *, m <> 'unknown' AND ((mi >= 540 AND mi < 720) OR (mi >= 840 AND mi < 1080)) AS peak FROM cs),
-  cc AS (SELECT *, CASE m WHEN 'deepseek-v4-flash' THEN round((h * 0.02::DOUBLE + (pt - h) * 1.0::DOUBLE + ct * 2.0::DOUBLE) / 1e6 * CASE WHEN peak THEN 2 ELSE 1 END, 8) WHEN 'deepseek-v4-pro' THEN round((h * 0.025::DOUBLE + (pt - h) * 3.0::DOUBLE + ct * 6.0::DOUBLE) / 1e6 * CASE WHEN peak THEN 2 ELSE 1 END, 8) ELSE 0 END AS cost FROM ck)"""
+  cc AS (SELECT *, CASE m WHEN 'deepseek-v4-flash' THEN ((h * 2 + (pt - h) * 100 + ct * 200) * CASE WHEN peak THEN 2 ELSE 1 END) / 1e8 WHEN 'deepseek-v4-pro' THEN (((h * 25 + (pt - h) * 3000 + ct * 6000) * CASE WHEN peak THEN 2 ELSE 1 END + 5) // 10) / 1e8 ELSE 0 END AS cost FROM ck)"""
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
