@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.plans.fixtures import with_views
 
-PARTS = ("fusion", "search", "state", "graph", "ingest")
+PARTS = ("fusion", "search", "state", "graph", "ingest", "streams")
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:
