@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.store import saved, scratch
+from folium.sources.store import saved, scratch
 
 MIN_POINTS = 10
 BATCHES = 4
@@ -30,6 +30,10 @@ def split_lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def line_key(line):
     """The line without ASCII white space at its ends, its ASCII letters in lower case."""
     bare = F.btrim(line, F.lit(_SPACE))
@@ -71,7 +75,7 @@ class LineRuns:
         return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """The rows of lines (h1, h2, doc_id, pos) whose key an earlier batch or a smaller doc_id of this one holds."""
+        """The rows of lines (h1, h2, doc_id, ...) whose key an earlier batch or a smaller doc_id of this one holds."""
         own = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
         for run in self.runs():
             own = own.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
@@ -89,10 +93,10 @@ class LineRuns:
 
 
 def hashed_lines(documents: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
-    """(doc_id, pos, h1, h2) of every line whose key is long enough; h1 and h2 make a 128-bit hash."""
-    lines = documents.where("doc_id is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_points)
-    return keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("folium"), "key").alias("h2"))
+    """(doc_id, t, pos, h1, h2) of every line whose key is long enough; t tells texts of one doc_id apart, h1 and h2 make a 128-bit hash."""
+    lines = documents.where("doc_id is not null").select("doc_id", text_hash(F.col("text")).alias("t"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    keyed = lines.select("doc_id", "t", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_points)
+    return keyed.select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("folium"), "key").alias("h2"))
 
 
 def bounds(documents: DataFrame, batches: int) -> list[int]:
@@ -102,16 +106,16 @@ def bounds(documents: DataFrame, batches: int) -> list[int]:
 
 
 def repeated_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, min_points: int = MIN_POINTS) -> DataFrame:
-    """(doc_id, pos) of every line to drop."""
+    """(doc_id, t, pos) of every line to drop; t is text_hash() of its text."""
     spark = documents.sparkSession
     cuts = bounds(documents, batches) if batches > 1 else []
     batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     path = scratch(spark, "lines")
     hashed_lines(documents, min_points).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    hashed = spark.read.schema("doc_id long, pos int, h1 long, h2 long, batch int").parquet(path)
+    hashed = spark.read.schema("doc_id long, t long, pos int, h1 long, h2 long, batch int").parquet(path)
     runs, out = LineRuns(spark, fanout), []
     for b in range(len(cuts) + 1):
-        out.append(saved(runs.add(hashed.where(F.col("batch") == b).drop("batch")).select("doc_id", "pos"), "dropped-lines"))
+        out.append(saved(runs.add(hashed.where(F.col("batch") == b).drop("batch")).select("doc_id", "t", "pos"), "dropped-lines"))
         runs._compact(0)
     runs.close()
     dropped = out[0]
@@ -127,15 +131,15 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     lines its document has. The only shuffle of texts is the last join, by doc_id.
     """
     dropped = repeated_lines(documents, batches, fanout, min_points)
-    words = dropped.distinct().groupBy("doc_id", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.count("*").alias("n"))
-    sets = words.groupBy(F.col("doc_id").alias("_drop_id")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("_words"), F.sum("n").alias("_n"))
+    words = dropped.distinct().groupBy("doc_id", "t", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"), F.count("*").alias("n"))
+    sets = words.groupBy(F.col("doc_id").alias("_drop_id"), F.col("t").alias("_drop_t")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("_words"), F.sum("n").alias("_n"))
     dense = F.when(F.size("_words") == F.element_at("_words", -1)["word"] + 1, F.transform("_words", lambda w: w["bits"])).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("_words", -1)["word"]), lambda i: F.coalesce(F.try_element_at(F.map_from_entries("_words"), i), F.lit(0).cast("long")))
     )
-    sets = sets.select("_drop_id", "_n", dense.alias("_bits"))
-    lines = split_lines(F.col("text"))
-    kept = F.filter(lines, lambda line, i: F.coalesce(F.getbit(F.get("_bits", (i / 64).cast("int")), i % 64), F.lit(0).cast("byte")) == 0)
-    joined = documents.join(sets, documents["doc_id"] == sets["_drop_id"], "left")
-    text = F.when(F.col("_n").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    made = {"text": text, "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("_n", F.lit(0)).cast("long")}
+    sets = sets.select("_drop_id", "_drop_t", "_n", dense.alias("_bits"))
+    own, n, bits = split_lines(documents["text"]), sets["_n"], sets["_bits"]  # by frame, so that no name can clash
+    kept = F.filter(own, lambda line, i: F.coalesce(F.getbit(F.get(bits, (i / 64).cast("int")), i % 64), F.lit(0).cast("byte")) == 0)
+    text = F.when(n.isNull(), F.coalesce(documents["text"], F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    made = {"text": text, "n_lines": F.size(own).cast("long"), "n_dropped": F.coalesce(n, F.lit(0)).cast("long")}
+    joined = documents.join(sets, (documents["doc_id"] == sets["_drop_id"]) & (text_hash(documents["text"]) == sets["_drop_t"]), "left")
     return joined.select(*(made[c].alias(c) if c in made else documents[c] for c in [*documents.columns, *(c for c in made if c not in documents.columns)]))

@@ -25,8 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.components import components
-from folium.llm.store import saved
+from folium.operators.components import components
+from folium.sources.store import saved
 from folium.llm.text import mix, shingled
 
 SIMILARITY = 0.8
@@ -219,7 +219,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands:
     left = n.select("hub", zero.alias("yb"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("xb"), F.col("hub").alias("id"), F.lit(True).alias("is_left"))
     links = saved(verified(left.unionByName(right), needed, idf, similarity), "star-links").unionByName(aliases)
 
-    label = components(links)
+    label = components(links, [])
     named = stars.join(label, "id", "left").select("hub", "id", F.coalesce("root", "id").alias("root"))
     hub_label = label.select(F.col("id").alias("hub"), F.col("root").alias("hub_root"))
     named = named.join(hub_label, "hub", "left").select("hub", "id", (F.col("root") != F.coalesce("hub_root", "hub")).alias("outside"))
@@ -230,7 +230,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands:
     ys = rest.where("outside").select("hub", _block_of(F.col("id"), F.col("by")).alias("yb"), F.explode(F.sequence(zero, F.col("bx") - 1)).alias("xb"), "id", F.lit(True).alias("is_left"))
     more = saved(verified(xs.unionByName(ys), needed, idf, similarity), "open-links")
 
-    label = components(links.unionByName(more))
+    label = components(links.unionByName(more), [])
     classes = texts.join(label, "id", "left").select("t1", "t2", F.coalesce("root", "id").alias("class_id"))
     found = signed.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"]).select("doc_id", "class_id")
     lost = documents.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))

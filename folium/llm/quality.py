@@ -105,7 +105,7 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 2.0, least: float = 4.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 0.5) -> Trees:
     """Logistic boosting on histograms of gradients; every split maximises the gain over quantile bins."""
     inner, leaves = 2**depth - 1, 2**depth
     share = float(np.mean(y)) if len(y) else 0.5

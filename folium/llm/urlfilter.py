@@ -65,6 +65,7 @@ def blocked(captures: DataFrame, entries: DataFrame) -> DataFrame:
     span = captures.agg(_months(F.min(day)).alias("first"), _months(F.max(day)).alias("last")).first()
     spans = intervals(entries)
     distinct = captures.select(F.col("url").alias("_url"), day.alias("_day")).where("_url is not null and _day is not null").distinct()
+    # Only distinct captures are joined, with columns of our own.
     probes = distinct.select("_url", "_day", F.explode(keys(F.col("_url"))).alias("key"), _months(F.col("_day")).alias("month"))
     first = F.greatest(_months(F.col("since")), F.lit(span["first"] or 0))
     last = F.least(F.coalesce(_months(F.col("until")), F.lit(span["last"] or 0)), F.lit(span["last"] or 0))
@@ -72,4 +73,4 @@ def blocked(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hits = probes.join(laid, ["key", "month"]).where("_day >= since and (until is null or _day < until)")
     best = hits.groupBy("_url", "_day").agg(F.max_by(F.struct("rule", "since"), F.struct(F.length("rule"), "rule")).alias("_hit"))
     out = captures.join(best, (captures["url"] == best["_url"]) & (captures["fetched_on"].cast("date") == best["_day"]), "left")
-    return out.select(*(captures[c] for c in kept), F.col("_hit").isNotNull().alias("blocked"), F.col("_hit.rule").alias("rule"), F.col("_hit.since").alias("listed_on"))
+    return out.select(*(captures[c] for c in kept), best["_hit"].isNotNull().alias("blocked"), best["_hit"]["rule"].alias("rule"), best["_hit"]["since"].alias("listed_on"))
