@@ -19,7 +19,14 @@ _LOW = [chr(i) for i in range(128, 0x1E943) if not 0xD800 <= i < 0xE000 and chr(
 
 
 def _class(letters) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in letters) + "]"
+    """A character class of the letters, by their ranges."""
+    codes, spans = sorted(map(ord, letters)), []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
 
 
 def _col(c) -> Column:
@@ -32,8 +39,9 @@ def casefold(c) -> Column:
     table = F.create_map(*(F.lit(x) for c in _LOW for x in (c, c.casefold())))
     rare = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     common = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
-    rest = _class(x for x in _LOW if x not in "ßς")
-    return F.when(low.rlike(rest), rare).otherwise(common)
+    rest = [x for x in _LOW if x not in "ßς"]
+    maybe = low.rlike(f"[\\x{{{min(map(ord, rest)):x}}}-\\x{{10ffff}}]")  # a cheap test that spares most texts the exact one
+    return F.when(maybe & low.rlike(_class(rest)), rare).otherwise(common)
 
 
 @arrow_udf(StringType())

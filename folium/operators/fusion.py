@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folium.functions.norm import arxiv_from_doi, norm_arxiv, norm_doi, norm_pmid, norm_strong
 from folium.operators.components import components, greedy_keep
+from folium.sources.store import saved
 
 RRF_K = 60
 
@@ -36,7 +37,7 @@ def identity_groups(hits: DataFrame) -> DataFrame:
     A record's keys are hung onto the smallest record of each key, so a key held by n records makes n - 1 edges, and keys
     held once make none.
     """
-    keys = identity_keys(hits)
+    keys = saved(identity_keys(hits), "identity-keys")
     first = keys.groupBy("run_id", "key").agg(F.min("seq").alias("first"), F.count("*").alias("n")).where("n > 1")
     edges = keys.join(first, ["run_id", "key"]).select("run_id", F.col("seq").alias("a"), F.col("first").alias("b"))
     found = components(edges, ["run_id"], "identity")

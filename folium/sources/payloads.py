@@ -64,10 +64,10 @@ def _papers(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     return rows.select(*_RUN, F.lit(source).alias("source"), "raw_rank", *((given[n].cast(kinds[n]) if n in kinds else given[n]) .alias(n) if n in given else F.lit(None).cast(kinds.get(n, "string")).alias(n) for n in names))
 
 
-def restore_abstract(v: Column, path: str = "$.abstract_inverted_index") -> Column:
-    """The words of an inverted index in the order of their positions; of two words at one, the first in the map stays."""
-    index = F.coalesce(F.try_variant_get(v, path, "map<string,array<bigint>>"), F.create_map().cast("map<string,array<bigint>>"))
-    places = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
+def restore_abstract(index: Column) -> Column:
+    """The words of an inverted index, a map, in the order of their positions; of two words at one, the first in the map stays."""
+    given = F.coalesce(index, F.create_map().cast("map<string,array<bigint>>"))
+    places = F.flatten(F.transform(F.map_entries(given), lambda e, i: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<bigint>")), lambda p: p >= 0), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
     ordered = F.array_sort(places)
     first = F.filter(ordered, lambda x, i: (i == 0) | (x["p"] != F.get(ordered, F.greatest(i - 1, F.lit(0)))["p"]))
     return F.array_join(F.transform(first, lambda x: x["w"]), " ")
@@ -75,11 +75,15 @@ def restore_abstract(v: Column, path: str = "$.abstract_inverted_index") -> Colu
 
 def ingest_openalex(raw: DataFrame) -> DataFrame:
     """Works under results; a DOI may stand under ids; only the first institution of an author is kept."""
-    rows = _each(raw.withColumn("v", F.try_parse_json("payload")), items(F.col("v"), "$.results"))
+    # A variant sorts its keys, so the index, in which their order counts, is read beside it as a map.
+    index = F.from_json("payload", "results ARRAY<STRUCT<abstract_inverted_index: MAP<STRING, ARRAY<BIGINT>>>>")["results"]
+    both = raw.withColumns({"v": F.try_parse_json("payload"), "index": index}).withColumn("works", items(F.col("v"), "$.results"))
+    rows = _each(both, F.arrays_zip("works", "index"))
+    rows = rows.select(*(c for c in rows.columns if c != "x"), F.col("x.works").alias("x"), F.col("x.index.abstract_inverted_index").alias("words"))
     x = F.col("x")
     authors = F.transform(items(x, "$.authorships"), lambda a: _author(text(a, "$.author.display_name"), text(a, "$.author.orcid"), text(a, "$.institutions[0].display_name"), text(a, "$.author.id")))
     return _papers(
-        rows, "openalex", paper_id=text(x, "$.id"), title=text(x, "$.title"), abstract=restore_abstract(x), authors=_named(authors), year=whole(x, "$.publication_year"), venue=text(x, "$.primary_location.source.display_name"),
+        rows, "openalex", paper_id=text(x, "$.id"), title=text(x, "$.title"), abstract=restore_abstract(F.col("words")), authors=_named(authors), year=whole(x, "$.publication_year"), venue=text(x, "$.primary_location.source.display_name"),
         doi=F.coalesce(text(x, "$.doi"), text(x, "$.ids.doi")), arxiv_id=text(x, "$.ids.arxiv"), pmid=text(x, "$.ids.pmid"), citation_count=F.greatest(F.coalesce(whole(x, "$.cited_by_count"), F.lit(0)), F.lit(0)), references=texts(x, "$.referenced_works"), openalex_id=text(x, "$.id"),
     )
 
