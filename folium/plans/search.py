@@ -96,9 +96,9 @@ def c6(spark: SparkSession, d: str) -> DataFrame:
 _C6 = """WITH h AS (SELECT *, CASE WHEN trim(doi) <> '' THEN concat('doi:', lower(trim(doi))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) ELSE concat('id:', lower(trim(paper_id))) END AS ident FROM fx_results),
   o AS (SELECT *, min(round) OVER (PARTITION BY run_id, ident) AS first_round, row_number() OVER (PARTITION BY run_id, ident ORDER BY round DESC, seq DESC) AS z FROM h),
   rd AS (SELECT i.*, r.round FROM fx_intents i, (SELECT CAST(unnest([1, 2, 3]) AS INT) AS round) r),
-  s AS (SELECT rd.run_id, rd.round, o.first_round, o.year, o.status = 'satisfied' AS high, o.status = 'uncertain' AS partial, replace(lower(concat_ws(chr(10), o.title, o.abstract, o.venue, o.paper_type)), 'ß', 'ss') AS txt FROM o JOIN rd ON rd.run_id = o.run_id AND o.first_round <= rd.round WHERE o.z = 1),
-  n AS (SELECT rd.run_id, rd.round, any_value(rd.target_count) AS t, any_value(rd.must_term) AS m, count_if(high) AS n_high, count_if(partial) AS n_partial, count_if(high AND first_round = s.round) AS n_new, count(s.run_id) AS seen,
-      count_if(high AND contains(txt, rd.must_term)) AS n_must, count_if(high AND contains(txt, 'zzq')) AS n_data, count_if(high AND year BETWEEN rd.year_start AND rd.year_end) AS n_year
+  s AS (SELECT rd.run_id, rd.round, o.first_round, o.year, coalesce(o.status = 'satisfied', false) AS high, coalesce(o.status = 'uncertain', false) AS partial, replace(lower(concat_ws(chr(10), o.title, o.abstract, o.venue, o.paper_type)), 'ß', 'ss') AS txt FROM o JOIN rd ON rd.run_id = o.run_id AND o.first_round <= rd.round WHERE o.z = 1),
+  n AS (SELECT rd.run_id, rd.round, any_value(rd.target_count) AS t, any_value(rd.must_term) AS m, count(*) FILTER (WHERE high) AS n_high, count(*) FILTER (WHERE partial) AS n_partial, count(*) FILTER (WHERE high AND first_round = s.round) AS n_new, count(s.run_id) AS seen,
+      count(*) FILTER (WHERE high AND contains(txt, rd.must_term)) AS n_must, count(*) FILTER (WHERE high AND contains(txt, 'zzq')) AS n_data, count(*) FILTER (WHERE high AND year BETWEEN rd.year_start AND rd.year_end) AS n_year
     FROM rd LEFT JOIN s ON s.run_id = rd.run_id AND s.round = rd.round GROUP BY rd.run_id, rd.round),
   z AS (SELECT rd.run_id, rd.round, count(*) AS n_zero FROM rd JOIN (SELECT DISTINCT run_id, source FROM h) q ON q.run_id = rd.run_id WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.run_id = rd.run_id AND h.round = rd.round AND h.source = q.source) GROUP BY ALL),
   g AS (SELECT n.*, CASE WHEN seen = 0 THEN 0 ELSE CAST(m IS NOT NULL AND n_must = 0 AS INT) + CAST(coalesce(m = 'er', false) AND n_data = 0 AS INT) + CAST(n_year = 0 AS INT) END AS cg, coalesce(z.n_zero, 0) AS nz FROM n LEFT JOIN z ON z.run_id = n.run_id AND z.round = n.round),
