@@ -4,7 +4,11 @@ A mask reads some of the words of a window and ignores the others, so a passage
 windows whose changed words fall on ignored places. Hashes of masked test windows and of masked training windows are
 joined; around each hit the whole test item is laid over the document, without gaps, and the words that agree are
 counted. An item is found where at least SHARE of its words agree, and at least LEAST_WORDS of them (all, in a shorter
-item).
+item), or where LOCAL_WORDS of some LOCAL_SPAN words in a row agree: a passage that is cut off, quoted in part or parted
+by a dropped line is found by what is left of it, at the place of each part. matched_words counts the whole overlay.
+
+The masks find every such run: of any two words of LOCAL_SPAN, some window leaves both unread. Items of 11 words may
+differ in three words and have masks of their own for that; those of up to LEAST_WORDS must agree in all.
 
 Test windows of up to SMALL_WORDS words go to every task, which joins locally; a larger benchmark is joined by a
 shuffle on the hash. Both ways find the same.
@@ -26,12 +30,17 @@ from pyspark.sql import functions as F
 from folium.llm.text import pieces, word_hashes, word_spans
 
 #: The masks, 1 for a word that is read. No mask is longer than the shortest usual item.
-MASKS = ("1101100011", "11001010011", "101101001001", "1111011")
+MASKS = ("1101100011", "11001010011", "101101001001", "1111011", "11001111", "110101011", "1010110101")
+#: For items of 11 words alone: with three changed words, some window leaves all three unread.
+ELEVEN = ("101111", "110001011", "11010011", "1110101", "110001101")
 ITEM_WORDS = 5
 LEAST_WORDS = 8
 SHARE = 0.5
+#: Chance runs of agreeing words reach 5 to 7.
+LOCAL_WORDS, LOCAL_SPAN = 8, 10
 SMALL_WORDS = 500_000
 _SHORT = min(map(len, MASKS))
+_ALL = MASKS + ELEVEN
 _HITS = "doc_id long, item_id long, start_word int, matched_words int, item_words int"
 _COEFFICIENTS = np.multiply.accumulate(np.full(64, 0xD1342543DE82EF95, np.uint64))
 
@@ -39,12 +48,16 @@ _COEFFICIENTS = np.multiply.accumulate(np.full(64, 0xD1342543DE82EF95, np.uint64
 def _masks(n: int) -> list[tuple[int, np.ndarray]]:
     """(number, places) of the masks for an item of n words; one too short for any mask is read whole."""
     if n < _SHORT:
-        return [(len(MASKS) + n, np.arange(n))]
-    return [(i, np.flatnonzero([c == "1" for c in m])) for i, m in enumerate(MASKS) if len(m) <= n]
+        return [(len(_ALL) + n, np.arange(n))]
+    return [(i, _places(i)) for i, m in enumerate(_ALL if n == 11 else MASKS) if len(m) <= n]
 
 
 def _span(number: int) -> int:
-    return len(MASKS[number]) if number < len(MASKS) else number - len(MASKS)
+    return len(_ALL[number]) if number < len(_ALL) else number - len(_ALL)
+
+
+def _places(number: int) -> np.ndarray:
+    return np.flatnonzero([c == "1" for c in _ALL[number]]) if number < len(_ALL) else np.arange(_span(number))
 
 
 def _windows(words: np.ndarray, places: np.ndarray, span: int, number: int) -> np.ndarray:
@@ -108,11 +121,17 @@ class _Items:
             hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             found.append(np.stack([np.repeat(doc, n), self.item[hit], np.repeat(at, n) - self.at[hit]]))
         doc, item, start = np.unique(np.concatenate(found, 1), axis=1)
-        matched = np.zeros(len(doc), np.int64)
+        matched, near, most = (np.zeros(len(doc), np.int64) for _ in range(3))
+        last = np.zeros((LOCAL_SPAN, len(doc)), bool)
         for k in range(int(self.size[item].max()) if len(item) else 0):
             on = (k < self.size[item]) & (start + k >= first[doc]) & (start + k < first[doc + 1])
-            matched[on] += words[start[on] + k] == self.words[self.first[item[on]] + k]
-        kept = matched >= _needed(self.size[item], share)
+            same = np.zeros(len(doc), bool)
+            same[on] = words[start[on] + k] == self.words[self.first[item[on]] + k]
+            matched += same
+            near += same.astype(np.int64) - last[k % LOCAL_SPAN]
+            last[k % LOCAL_SPAN] = same
+            np.maximum(most, near, out=most)
+        kept = (matched >= _needed(self.size[item], share)) | (most >= LOCAL_WORDS)
         return doc[kept], item[kept], start[kept] - first[doc[kept]], matched[kept]
 
 
@@ -143,7 +162,7 @@ def _hashed(rows: DataFrame, only: list[int] | None) -> DataFrame:
             ids = batch["id"].to_numpy(zero_copy_only=False)
             for row in range(batch.num_rows):
                 words, _ = _words(batch["text"].slice(row, 1))
-                masks = (_masks(len(words)) if len(words) >= ITEM_WORDS else []) if only is None else [(i, np.arange(_span(i)) if i >= len(MASKS) else dict(_masks(64))[i]) for i in only]
+                masks = (_masks(len(words)) if len(words) >= ITEM_WORDS else []) if only is None else [(i, _places(i)) for i in only]
                 for number, places in masks:
                     h = _windows(words, places, _span(number), number)
                     yield pa.record_batch([pa.array(np.full(len(h), ids[row], np.int64)), pa.array(np.arange(len(h)), pa.int32()), pa.array(h.view(np.int64))], ["id", "at", "hash"])
@@ -154,7 +173,7 @@ def _hashed(rows: DataFrame, only: list[int] | None) -> DataFrame:
 def _large(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
     """The same by a join on the hash; items: (item_id, item_text)."""
     tests = _hashed(items.select(F.col("item_id").alias("id"), F.col("item_text").alias("text")), None)
-    every = list(range(len(MASKS))) + [len(MASKS) + n for n in range(ITEM_WORDS, _SHORT)]
+    every = list(range(len(_ALL))) + [len(_ALL) + n for n in range(ITEM_WORDS, _SHORT)]
     train = _hashed(documents.select(F.col("doc_id").alias("id"), "text"), every)
     pairs = train.alias("a").join(tests.alias("b"), "hash").groupBy(F.col("a.id").alias("doc_id"), F.col("b.id").alias("item_id")).agg(F.collect_set(F.col("a.at") - F.col("b.at")).alias("starts"))
     rows = pairs.join(documents, "doc_id").join(items, "item_id")
@@ -165,8 +184,11 @@ def _large(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
                 (words, _), (item, _) = _words(pa.array([row["text"]])), _words(pa.array([row["item_text"]]))
                 for start in row["starts"]:
                     lo, hi = max(0, -start), min(len(item), len(words) - start)
-                    matched = int((words[start + lo : start + hi] == item[lo:hi]).sum()) if hi > lo else 0
-                    if matched >= _needed(np.array([len(item)]), share)[0]:
+                    same = np.zeros(len(item), np.int64)
+                    if hi > lo:
+                        same[lo:hi] = words[start + lo : start + hi] == item[lo:hi]
+                    matched = int(same.sum())
+                    if matched >= _needed(np.array([len(item)]), share)[0] or np.convolve(same, np.ones(LOCAL_SPAN, np.int64)).max() >= LOCAL_WORDS:
                         yield pa.record_batch([pa.array([x], t) for x, t in ((row["doc_id"], pa.int64()), (row["item_id"], pa.int64()), (start, pa.int32()), (matched, pa.int32()), (len(item), pa.int32()))], ["doc_id", "item_id", "start_word", "matched_words", "item_words"])
 
     return rows.select("doc_id", "item_id", "starts", "text", "item_text").mapInArrow(verify, _HITS)

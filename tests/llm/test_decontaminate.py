@@ -1,5 +1,6 @@
 """Spaced seeds against laying every item over every place."""
 
+import itertools
 import re
 
 import numpy as np
@@ -67,3 +68,24 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert found(none, bench) == set()
     assert found(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), bench) == set()
+
+
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_parts_of_items(spark, small):
+    item = [f"w{k}" for k in range(59)]
+    changed = ["x" if k in (22, 25) else w for k, w in enumerate(item)]
+    texts = {1: item[30:], 2: item[:20] + item[45:], 3: item[20:29], 4: changed[20:30], 5: item[20:27], 6: item[20:24] + ["x"] * 6 + item[30:37]}
+    documents = [(i, " ".join(["before"] * 3 + text + ["after"] * 3)) for i, text in texts.items()]
+    got = found(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), small_words=small)
+    assert got == {(1, 7, -27, 29, 59), (2, 7, 3, 20, 59), (2, 7, -22, 14, 59), (3, 7, -17, 9, 59), (4, 7, -17, 8, 59)}
+
+
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_every_allowed_change_of_short_items(spark, small):
+    items, documents = [(n, " ".join(f"t{n}w{k}" for k in range(n))) for n in range(7, 12)], []
+    for n, text in items:
+        for gone in itertools.combinations(range(n), max(n - d.LEAST_WORDS, 0)):
+            documents.append((1000 * n + len(documents), " ".join("x" if k in gone else w for k, w in enumerate(text.split()))))
+    got = found(spark.createDataFrame(documents, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"), small_words=small)
+    assert {g[:2] for g in got} == {(i, i // 1000) for i, _ in documents}
+    assert got == brute(documents, items)
