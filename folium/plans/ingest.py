@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.plans.fixtures import query, view
 from folium.sources import payloads as p
 
+#: Records of a response, as sources give 20 to 100; and how many values of seq are ranked together.
+PAGE_RECORDS, BLOCK = 100, 1000
+
 
 def _responses(rows: DataFrame, record, wrap) -> DataFrame:
-    """(run_id, round, payload, fetched_at): the records of a run and round in the order of seq."""
-    grouped = rows.select("run_id", "round", "seq", record.alias("r")).groupBy("run_id", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "r"))), lambda x: x["r"]).alias("rs"))
-    return grouped.select("run_id", "round", wrap(F.col("rs")).alias("payload"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    """(run_id, round, first_rank, payload, fetched_at): the records of a run and round in the order of seq, a page in each payload."""
+    key = ("run_id", "round", "block")
+    block = F.floor(F.col("seq") / BLOCK).alias("block")
+    before = Window.partitionBy("run_id", "round").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.select("run_id", "round", block).groupBy(*key).agg(F.count("*").alias("n")).select(*(F.col(k).alias(f"_{k}") for k in key), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    placed = rows.select("run_id", "round", "seq", block, record.alias("r")).withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("seq", "r")) - 1)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    placed = placed.join(earlier, same).withColumn("at", F.col("at") + F.col("earlier"))
+    grouped = placed.groupBy("run_id", "round", F.floor(F.col("at") / PAGE_RECORDS).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("rs"))
+    return grouped.select("run_id", "round", (F.col("page") * PAGE_RECORDS + 1).alias("first_rank"), wrap(F.col("rs")).alias("payload"), F.lit(None).cast("timestamp").alias("fetched_at"))
 
 
 def _json(**fields):

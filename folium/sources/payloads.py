@@ -1,6 +1,7 @@
 """Tables of raw source responses mapped to paper records, discoveries, assessments and intents.
 
-Raw rows are (run_id, round, payload, fetched_at), one for each response. JSON goes through VARIANT, so a field of the
+Raw rows are (run_id, round, payload, fetched_at), one for each response; a page of a longer answer also has first_rank,
+the rank of its first record. JSON goes through VARIANT, so a field of the
 wrong type is null rather than an error; XML through from_xml. A record keeps its place in the response as raw_rank even
 where records before it are bad.
 """
@@ -54,7 +55,8 @@ def _named(authors: Column) -> Column:
 
 def _each(raw: DataFrame, array: Column) -> DataFrame:
     """A row for each record of a response, x, with its rank."""
-    return raw.select(*_RUN, F.posexplode(array).alias("pos", "x")).withColumn("raw_rank", (F.col("pos") + 1).cast("int")).drop("pos")
+    first = F.col("first_rank") if "first_rank" in raw.columns else F.lit(1)
+    return raw.select(*_RUN, first.alias("first"), F.posexplode(array).alias("pos", "x")).withColumn("raw_rank", (F.col("pos") + F.col("first")).cast("int")).drop("pos", "first")
 
 
 def _papers(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
@@ -202,6 +204,11 @@ def ingest_discoveries(raw: DataFrame) -> DataFrame:
     return out.where(F.col("title").isNotNull() & F.col("url").rlike("^https?://"))
 
 
+def unparsed(raw: DataFrame) -> DataFrame:
+    """Responses whose payload isn't JSON, which give no records."""
+    return raw.where(F.col("payload").isNull() | F.try_parse_json("payload").isNull())
+
+
 def split_bad(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with id and title, and the others; ranks are those of the response, so bad records keep their places."""
     good = F.col("paper_id").isNotNull() & F.col("title").isNotNull()

@@ -144,6 +144,19 @@ def test_payloads(spark):
     assert (r["title"], r["authors"][0]["name"], r["year"], r["paper_type"]) == ("A x & B", "Ada", 2020, "conference")
 
 
+def test_response_pages(spark):
+    from folium.plans import ingest
+    from folium.sources.payloads import ingest_s2, unparsed
+
+    rows = spark.range(250).selectExpr("if(id < 249, 'r', null) AS run_id", "1 AS round", "id * 37 AS seq", "id")
+    raw = ingest._responses(rows.repartition(5), F.to_json(F.struct(F.col("id").cast("string").alias("paperId"))), ingest._list('{"data":[', "]}"))
+    assert sorted((r["run_id"] or "", r["first_rank"], r["payload"].count("paperId")) for r in raw.collect()) == [("", 1, 1), ("r", 1, 100), ("r", 101, 100), ("r", 201, 49)]
+    got = {(r["run_id"], r["paper_id"]): r["raw_rank"] for r in ingest_s2(raw).collect()}
+    assert got == {("r", str(i)): i + 1 for i in range(249)} | {(None, "249"): 1}
+    assert unparsed(raw).count() == 0
+    assert [r["payload"] for r in unparsed(spark.createDataFrame([("[1]",), ("{",)], "payload string")).collect()] == ["{"]
+
+
 def test_repair():
     import json
 
