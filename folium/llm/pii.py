@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
-The patterns give the base spans of four kinds. The field reads every line that holds a digit or an @ (all four kinds
-do), token by token between white space, by features of its own and its neighbours' word shapes; it is trained on a
-small labelled table by forward-backward gradients and decoded by Viterbi for many lines at once in numpy. A decoded
-span is added unless it touches a base span; base spans always stay.
+The patterns give the base spans of four kinds. The field reads every stretch of tokens (runs without white space) that
+all hold a digit or an @, as every part of the four kinds does, by features of the word shapes of each token and of two
+on each side; it is trained on a small labelled table by forward-backward gradients and decoded by Viterbi for many
+stretches at once in numpy. A decoded span is added unless it touches a base span; base spans always stay. All work is
+linear in a text's length but for a sort of its spans.
 
 Cases: a null text counts as empty and has no spans; repeated rows and rows without doc_id each give a row; other
 columns are ignored; positions are code points, ends exclusive.
@@ -11,7 +12,9 @@ columns are ignored; positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,6 +35,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LIKELY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+LONG = 64
 
 #: The labelled table. In braces a kind and a value in which 9 stands for any digit and a for any letter.
 LABELLED = (
@@ -45,8 +49,25 @@ LABELLED = (
     "tel {phone:999-999-9999}, room 9",
     "call {phone:999.999.9999} now",
     "fax {phone:+9 999 999 9999}.",
-    "aaaa +9 {phone:(999) 999-9999} aa aaa",
+    "aaaa {phone:+9 (999) 999-9999} aa aaa",
+    "{phone:(999) 999-9999} aaaa aaa",
+    "aaa {phone:999-999-9999} aa aaaa",
+    "{phone:999-999-9999}, aaa",
+    "aaaa aaa: {phone:999.999.9999}. Aaaa",
+    "aa ({phone:999-999-9999}) aaaa",
+    "aaaa {phone:+99 999 999 999}, aaa",
+    "aaa {phone:+9 999 999 9999} aaaa",
+    "{phone:+99 99 9999 9999}, aaa {phone:+99 99 9999 9999}",
+    "aa {phone:(999) 999-9999}; aaa {phone:(999) 999-9999}.",
+    "aaa ({email:a.aaaa@aaa.aa}) aaaa",
+    "{email:aaaa99@aaaaaaa} aaa aa",
+    "aaaa: {email:aaa@aaaaa-aaa.aaa}. Aaa",
+    "aa {email:aaaa-aa@aaaaaa}, aaa {email:aaa@aaa9.aa}",
     "server {ip:99.999.99.9} went down",
+    "aaaa ({ip:9.9.99.99}) aa",
+    "{ip:999.99.9.99} aaa aaaa",
+    "aaa {ip:99.99.99.999} {ip:9.99.999.9}",
+    "aaaa aaa {ip:999.999.9.9}.",
     "from {ip:999.99.999.999}: aaaa",
     "aaa {ip:9.99.99.99}, aaaa aa",
     "ping {ip:99.9.9.999}%%% aaaa&&&",
@@ -55,6 +76,21 @@ LABELLED = (
     "aaaa {card:9999-9999-9999-9999} aaa",
     "{card:9999999999999999} {card:9999999999999999} aaaa aa",
     "aa {card:999999999999999}, aaaa",
+    "{card:9999 9999 9999 9999} aaaa aa",
+    "aaaa: {card:9999-9999-9999-9999}.",
+    "aaa ({card:9999999999999999}) aaaa",
+    "aaa {card:9999 9999 9999 9999}, aaaa 99/99",
+    "{card:9999-9999-9999-9999} aaa {card:9999999999999999}",
+    "aaa 9.9 aaaa 9.9.9 aa",
+    "(9999) aaaa (99), aaa",
+    "aaaa 99-99-9999 aaa 9999-9999",
+    "aa 9 999 aaaa, 99 999 999 aa",
+    "#9999 $99.99 99,999 aaaa 9st",
+    "99:99:99 aaaa 9999/99/99",
+    "aaa A9 aaaa9 a99a AA-99 aaa",
+    "aaaa 9.99, aa 99.99%",
+    "aaa 9-9 aaaa 99-999 aa",
+    "aa 99999 aaaa 999999, aaa 9999999",
     "aaaa aaa aa aaaaa aaa 9999, aaaa aa",
     "Apache License, Version 9.9.",
     "Licensed under CC BY-NC 9.9.",
@@ -78,12 +114,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the patterns' spans, sorted."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:
-        run = text[end:at]
-        start = end + len(run.rstrip(_LOCAL))
-        if start < at and (m := _DOMAIN.match(text, at + 1)):
+        start = end + len(text[end:at].rstrip(_LOCAL))
+        end = at + 1  # no later local part reaches over this sign
+        if start < at and (m := _DOMAIN.match(text, end)):
             out.append((start, 0, m.end()))
             end = m.end()
-        at = text.find("@", max(at + 1, end))
+        at = text.find("@", end)
     out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in _CARD.finditer(text):
         digits = [int(c) for c in m[0] if c.isdigit()]
@@ -109,12 +145,19 @@ def shapes(token: str) -> tuple[str, str, str, int, bool]:
     return _shapes(token)
 
 
-@lru_cache(100_000)
 def _shapes(token: str) -> tuple[str, str, str, int, bool]:
-    short = token[:120]  # the shape of a long token says no more than that of its start
-    flat = re.sub(r"[^\W\d_]+", "a", short.strip("\"'<>[]{}.,;:!?%*&#$"))
-    counted = re.sub(r"[0-9]+", lambda m: f"{min(len(m[0]), 20)}d", flat)
-    return counted, re.sub(r"[0-9]+", "9", flat), token[-1] if token[-1] in ".,:;" else "", min(sum(x.isdigit() for x in short), 20), "@" in token
+    return _cached_shapes(token) if len(token) <= LONG else _shapes_of(token)
+
+
+def _shapes_of(token: str) -> tuple[str, str, str, int, bool]:
+    flat = re.sub(r"[^\W\d_]+", "a", token.strip("\"'<>[]{}.,;:!?%*&#$"))
+    counted, flat = re.sub(r"[0-9]+", lambda m: f"{len(m[0])}d", flat), re.sub(r"[0-9]+", "9", flat)
+    if len(token) > LONG:  # a long shape goes by its hash, so that no cache holds it
+        counted, flat = (f"long{zlib.crc32(x.encode())}" for x in (counted, flat))
+    return counted, flat, token[-1] if token[-1] in ".,:;" else "", min(sum(map(token.count, "0123456789")), 20), "@" in token
+
+
+_cached_shapes = lru_cache(100_000)(_shapes_of)
 
 
 @lru_cache(100_000)
@@ -124,12 +167,26 @@ def _hashed(ll: str, lc: str, l: str, own: tuple[str, str, str, int, bool], rc:
     return tuple(zlib.crc32(n.encode()) & (Field.SIZE - 1) for n in names)
 
 
-def features(tokens: list[str]) -> list[tuple[int, ...]]:
-    """Hashed features of each token, by the shapes of it and of two tokens on each side."""
-    own = [("^", "^", "", 0, False)] * 2 + [shapes(t) for t in tokens] + [("$", "$", "", 0, False)] * 2
+def features(tokens: list[str], first: int = 0, end: int | None = None) -> list[tuple[int, ...]]:
+    """Hashed features of tokens[first:end], by the shapes of each and of two tokens on each side of it."""
+    end = len(tokens) if end is None else end
+    own = [("^", "^", "", 0, False)] * max(2 - first, 0) + [shapes(t) for t in tokens[max(first - 2, 0) : end + 2]] + [("$", "$", "", 0, False)] * max(end + 2 - len(tokens), 0)
     return [_hashed(a[1], b[0], b[1], c, d[0], d[1], e[1]) for a, b, c, d, e in zip(own, own[1:], own[2:], own[3:], own[4:], strict=False)]
 
 
+def stretches(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """First and end of each maximal run of tokens that hold a digit or an @."""
+    first = None
+    for i, token in enumerate(tokens):
+        if _LIKELY.search(token):
+            first = i if first is None else first
+        elif first is not None:
+            yield first, i
+            first = None
+    if first is not None:
+        yield first, len(tokens)
+
+
 class Field:
     """Weights of a linear-chain conditional random field over TAGS."""
 
@@ -239,18 +296,24 @@ def _filled(pattern: str, rng: np.random.Generator, letters: np.ndarray, words:
 
 def train(table: list[tuple[str, list[tuple[int, str, int]]]] | None = None) -> Field:
     """A field from labelled texts: a token that a span begins in has its B tag, later ones its I tag."""
-    sequences = []
+    sequences: list[tuple[list[tuple[int, ...]], list[int]]] = []
     for text, spans in table if table is not None else labelled():
         tokens, tags = list(_TOKEN.finditer(text)), []
         for m in tokens:
             hit = next((s for s in spans if s[0] < m.end() and m.start() < s[2]), None)
             tags.append(0 if hit is None else TAGS.index(("B-" if m.start() <= hit[0] else "I-") + hit[1]))
-        if tokens:
-            sequences.append((features([m[0] for m in tokens]), tags))
+        words = [m[0] for m in tokens]
+        sequences += [(features(words, a, b), tags[a:b]) for a, b in stretches(words)]
     return Field().fit(sequences)
 
 
-_EDGE = re.compile(r"[^\w+(]*(.*?)[^\w)]*\Z", re.S)
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without marks at its ends; a + or ( may begin it and a ) end it."""
+    while start < end and not (text[start].isalnum() or text[start] in "_+("):
+        start += 1
+    while start < end and not (text[end - 1].isalnum() or text[end - 1] in "_)"):
+        end -= 1
+    return start, end
 
 
 def _likely_lines(text: str) -> Iterator[tuple[int, int]]:
@@ -265,24 +328,27 @@ def _likely_lines(text: str) -> Iterator[tuple[int, int]]:
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
     """For each text the field's spans that touch no base span."""
-    lines, sequences = [], []
+    runs, sequences = [], []
     for i, text in enumerate(texts):
         for start, end in _likely_lines(text):
-            tokens = [(m.start(), m[0]) for m in _TOKEN.finditer(text, start, end)]
-            lines.append((i, tokens))
-            sequences.append(features([t for _, t in tokens]))
+            found = list(_TOKEN.finditer(text, start, end))
+            words = [m[0] for m in found]
+            for a, b in stretches(words):
+                runs.append((i, [m.span() for m in found[a:b]]))
+                sequences.append(features(words, a, b))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (i, tokens), tags in zip(lines, field.decode(sequences), strict=True):
-        spans, names = [], [TAGS[t] for t in tags]
-        for (start, token), tag in zip(tokens, names, strict=True):
-            if tag[0] == "B":
-                spans.append([start, KINDS.index(tag[2:]), start + len(token)])
-            elif tag[0] == "I" and spans:
-                spans[-1][2] = start + len(token)
+    ends = [list(itertools.accumulate((e for _, _, e in b), max)) for b in base]  # the furthest end so far
+    for (i, tokens), tags in zip(runs, field.decode(sequences), strict=True):
+        spans = []
+        for (start, end), tag in zip(tokens, tags.tolist(), strict=True):
+            if TAGS[tag][0] == "B":
+                spans.append([start, KINDS.index(TAGS[tag][2:]), end])
+            elif TAGS[tag][0] == "I" and spans:
+                spans[-1][2] = end
         for start, kind, end in spans:
-            m = _EDGE.match(texts[i][start:end])
-            start, end = start + m.start(1), start + m.end(1)
-            if end > start and _LIKELY.search(texts[i][start:end]) and not any(s < end and start < e for s, _, e in base[i]):
+            start, end = _trimmed(texts[i], start, end)
+            before = bisect.bisect_left(base[i], (end,))  # base spans that start before the end
+            if end > start and _LIKELY.search(texts[i], start, end) and not (before and ends[i][before - 1] > start):
                 out[i].append((start, kind, end))
     return out
 
