@@ -3,7 +3,8 @@
 Greedy word pieces of a word: the longest piece that starts it, then the longest that continues it, and so on. The trie
 holds every piece; each node v has a failure link to the node of what remains once the longest pieces at v's start are
 cut off, and the number of pieces so cut. One walk over a word's bytes then adds up those numbers: a byte either goes to
-a child or pops pieces by the link, and no piece is ever built. The walk goes over all distinct words of a batch at once.
+a child or pops pieces by the link, and no piece is ever built. The walk goes over all distinct words of a batch at once
+as long as TOGETHER of them are left, then one by one, so the work is linear in the bytes however long a word is.
 
 A byte-level vocabulary has a piece for every byte, so every word can be cut: a word is a run of bytes other than ASCII
 white space, spelt with a space before it, as the vocabulary's word starts are.
@@ -26,6 +27,7 @@ from folium.llm.text import pieces, word_hashes
 from folium.llm.tokens import _byte_letters, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
+TOGETHER = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -73,6 +75,7 @@ class Automaton:
                     popped += pops[at]
                     at = link[at]
                 link[v], pops[v] = found[at << 8 | letter[v]], popped
+        self.found, self.steps = found, list(zip(link, pops, strict=True))
         keys = np.array(list(found), np.int64)
         order = np.argsort(keys)
         self.keys, self.nodes = keys[order], np.array(list(found.values()), np.int64)[order]
@@ -86,13 +89,25 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.nodes[at], -1)
 
+    def walk(self, state: int, word: bytes) -> tuple[int, int]:
+        """The state after one word's bytes, and the pieces popped."""
+        found, steps, total = self.found, self.steps, 0
+        for byte in word:
+            while (to := found.get(state << 8 | byte)) is None:
+                state, n = steps[state]
+                total += n
+            state = to
+        return state, total
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of pieces of " " + data[start:end] for each span."""
         order = np.argsort(starts - ends, kind="stable")  # longest first: those still walking are a prefix
         starts, size = starts[order], (ends - starts)[order]
         state, total = np.full(len(starts), self.roots[32]), np.zeros(len(starts), np.int64)
-        for i in range(int(size[0]) if len(size) else 0):
-            active = int(np.searchsorted(-size, -i, "left"))
+        together = int(size[TOGETHER - 1]) if len(size) >= TOGETHER else 0  # bytes that so many words have
+        walking = len(size) - np.cumsum(np.bincount(np.minimum(size, together), minlength=together + 1))
+        for i in range(together):
+            active = int(walking[i])
             todo, byte = np.arange(active), data[starts[:active] + i].astype(np.int64)
             while len(todo):
                 at = state[todo]
@@ -101,6 +116,10 @@ class Automaton:
                 todo, at = todo[to < 0], at[to < 0]
                 total[todo] += self.pops[at]
                 state[todo] = self.link[at]
+        for j in range(min(TOGETHER, len(size))):
+            if size[j] > together:
+                state[j], more = self.walk(int(state[j]), data[starts[j] + together : starts[j] + size[j]].tobytes())
+                total[j] += more
         left = np.flatnonzero(state)
         while len(left):
             total[left] += self.pops[state[left]]

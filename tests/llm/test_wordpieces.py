@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -10,11 +11,12 @@ from folium.llm import wordpieces as w
 
 
 def greedy(text, vocabulary):
+    longest = max(map(len, vocabulary))
     total, words = 0, re.findall(rb"[^ \t-\r]+", (text or "").encode())
     for word in words:
         word = b" " + word
         while word:
-            n = next(n for n in range(len(word), 0, -1) if word[:n] in vocabulary)
+            n = next(n for n in range(min(longest, len(word)), 0, -1) if word[:n] in vocabulary)
             word, total = word[n:], total + 1
     return len(words), total
 
@@ -44,6 +46,20 @@ def test_odd_rows(spark):
     assert w.token_counts(df.where("false")).count() == 0
 
 
+def test_long_words_among_many():
+    """Work is linear: one word of 5 MB among 100,000 others, and hundreds of long ones, in seconds."""
+    machine, rng = w.automaton(), random.Random(4)
+    letters = rng.choices("etaoinshrdlu", k=1_000_000)
+    blob = "".join(letters) * 5
+    texts = [" ".join(f"w{i}" for i in range(100_000)) + " " + blob, " ".join(blob[i * 5000 : (i + 1) * 5000 - i] for i in range(300)), blob[:20_000]]
+    began = time.process_time()
+    words, total = w.piece_counts(pa.array(texts), machine)
+    assert time.process_time() - began < 30
+    assert words.tolist() == [100_001, 300, 1]
+    pieces = set(w.spelt())
+    assert greedy(texts[2], pieces)[1] == total[2] and greedy(texts[1][:40_000], pieces)[1] == w.piece_counts(pa.array([texts[1][:40_000]]), machine)[1][0]
+
+
 def test_needs_all_bytes():
     with pytest.raises(ValueError):
         w.Automaton([b"a"])
