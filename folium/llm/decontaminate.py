@@ -8,18 +8,22 @@ item), or where LOCAL_WORDS of some LOCAL_SPAN words in a row agree: a passage t
 by a dropped line is found by what is left of it, at the place of each part. matched_words counts the whole overlay.
 
 The masks find every such run: of any two words of LOCAL_SPAN, some window leaves both unread. Items of 11 words may
-differ in three words and have masks of their own for that; those of up to LEAST_WORDS must agree in all.
+differ in three words and have masks of their own for that; those of up to LEAST_WORDS must agree in all. Items of fewer
+than LINE_WORDS words say too little to be looked for inside a line; they are found where they are all words of a line.
 
-Test windows of up to SMALL_WORDS words go to every task, which joins locally; a larger benchmark is joined by a
-shuffle on the hash. Both ways find the same.
+Test windows go to every task, in blocks of items of about BLOCK_WORDS words, and are joined there: a block meets each
+document once, whatever the size of the benchmark, and no document moves.
 
-Cases: null texts count as empty; items of fewer than ITEM_WORDS words, or without item_id, find nothing; documents
-shorter than an item by up to 1 - SHARE of its words can still hold it at their start or end; rows without doc_id are
-never reported and never removed; repeated rows are reported once; other columns are ignored, whatever their names.
+Cases: null texts count as empty; items without words, or without item_id, find nothing; documents shorter than an item
+by up to 1 - SHARE of its words can still hold it at their start or end; rows without doc_id are never reported and never
+removed; repeated rows are reported once, and several texts of one doc_id or item_id each on their own; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +37,13 @@ from folium.llm.text import pieces, word_hashes, word_spans
 MASKS = ("1101100011", "11001010011", "101101001001", "1111011", "11001111", "110101011", "1010110101")
 #: For items of 11 words alone: with three changed words, some window leaves all three unread.
 ELEVEN = ("101111", "110001011", "11010011", "1110101", "110001101")
-ITEM_WORDS = 5
+LINE_WORDS = 5
 LEAST_WORDS = 8
 SHARE = 0.5
 #: Chance runs of agreeing words reach 5 to 7.
 LOCAL_WORDS, LOCAL_SPAN = 8, 10
-SMALL_WORDS = 500_000
+BLOCK_WORDS = 500_000
+HITS = 4_000_000  # pairs of windows that are looked at together
 _SHORT = min(map(len, MASKS))
 _ALL = MASKS + ELEVEN
 _HITS = "doc_id long, item_id long, start_word int, matched_words int, item_words int"
@@ -95,7 +100,7 @@ class _Items:
         self.size, self.ids = np.diff(self.first), np.array(ids, np.int64)
         keys, item, at, self.numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], {}
         for i, n in enumerate(self.size):
-            for number, places in _masks(int(n)) if n >= ITEM_WORDS else ():
+            for number, places in _masks(int(n)) if n else ():
                 self.numbers[number] = places
                 h = _windows(self.words[self.first[i] : self.first[i + 1]], places, _span(number), number)
                 keys.append(h)
@@ -103,23 +108,29 @@ class _Items:
                 at.append(np.arange(len(h)))
         order = np.argsort(np.concatenate(keys), kind="stable")
         self.keys, self.item, self.at = (np.concatenate(x)[order] for x in (keys, item, at))
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.keys >> np.uint64(44)] = True
+        bits = min(26, max(20, len(self.keys).bit_length() + 3))
+        self.seen, self.shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+        self.seen[self.keys >> self.shift] = True
 
-    def find(self, words: np.ndarray, first: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, ...]]:
-        """(document, item, start, matched) of each item found at each place."""
+    def find(self, words: np.ndarray, first: np.ndarray, lines: np.ndarray, share: float) -> tuple[np.ndarray, ...]:
+        """(document, item, start, matched) of each item found at each place; lines are words that begin one, and the end."""
         found = [np.zeros((3, 0), np.int64)]
         for number, places in self.numbers.items():
             span = _span(number)
             h = _windows(words, places, span, number)
-            at = np.flatnonzero(self.seen[h >> np.uint64(44)])
+            at = np.flatnonzero(self.seen[h >> self.shift])
             lo, hi = np.searchsorted(self.keys, h[at]), np.searchsorted(self.keys, h[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + span <= first[doc + 1]
+            if number >= len(_ALL) and span < LINE_WORDS:
+                inside &= np.isin(at, lines) & np.isin(at + span, lines)
             at, lo, n, doc = at[inside], lo[inside], n[inside], doc[inside]
-            hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([np.repeat(doc, n), self.item[hit], np.repeat(at, n) - self.at[hit]]))
+            part = np.cumsum(n) // HITS
+            for cut in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+                m = n[cut]
+                hit = np.repeat(lo[cut] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                found.append(np.unique(np.stack([np.repeat(doc[cut], m), self.item[hit], np.repeat(at[cut], m) - self.at[hit]]), axis=1))
         doc, item, start = np.unique(np.concatenate(found, 1), axis=1)
         matched, near, most = (np.zeros(len(doc), np.int64) for _ in range(3))
         last = np.zeros((LOCAL_SPAN, len(doc)), bool)
@@ -135,7 +146,7 @@ class _Items:
         return doc[kept], item[kept], start[kept] - first[doc[kept]], matched[kept]
 
 
-def _small(documents: DataFrame, items: _Items, share: float) -> DataFrame:
+def _searched(documents: DataFrame, items: _Items, share: float) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +155,8 @@ def _small(documents: DataFrame, items: _Items, share: float) -> DataFrame:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for row, data, offsets in pieces(batch["text"], lower=True):
                 starts, ends, first = word_spans(data, offsets)
-                doc, item, start, matched = own.find(word_hashes(data, starts, ends), first, share)
+                lines = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
+                doc, item, start, matched = own.find(word_hashes(data, starts, ends), first, lines, share)
                 if len(doc):
                     yield pa.record_batch(
                         [pa.array(ids[row + doc], pa.int64()), pa.array(own.ids[item]), pa.array(start, pa.int32()), pa.array(matched, pa.int32()), pa.array(own.size[item], pa.int32())],
@@ -154,57 +166,18 @@ def _small(documents: DataFrame, items: _Items, share: float) -> DataFrame:
     return documents.mapInArrow(search, _HITS)
 
 
-def _hashed(rows: DataFrame, only: list[int] | None) -> DataFrame:
-    """(id, at, hash) of masked windows; of an item by its own masks (only is None), of a document by all in use."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["id"].to_numpy(zero_copy_only=False)
-            for row in range(batch.num_rows):
-                words, _ = _words(batch["text"].slice(row, 1))
-                masks = (_masks(len(words)) if len(words) >= ITEM_WORDS else []) if only is None else [(i, _places(i)) for i in only]
-                for number, places in masks:
-                    h = _windows(words, places, _span(number), number)
-                    yield pa.record_batch([pa.array(np.full(len(h), ids[row], np.int64)), pa.array(np.arange(len(h)), pa.int32()), pa.array(h.view(np.int64))], ["id", "at", "hash"])
-
-    return rows.mapInArrow(run, "id long, at int, hash long")
-
-
-def _large(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """The same by a join on the hash; items: (item_id, item_text)."""
-    tests = _hashed(items.select(F.col("item_id").alias("id"), F.col("item_text").alias("text")), None)
-    every = list(range(len(_ALL))) + [len(_ALL) + n for n in range(ITEM_WORDS, _SHORT)]
-    train = _hashed(documents.select(F.col("doc_id").alias("id"), "text"), every)
-    pairs = train.alias("a").join(tests.alias("b"), "hash").groupBy(F.col("a.id").alias("doc_id"), F.col("b.id").alias("item_id")).agg(F.collect_set(F.col("a.at") - F.col("b.at")).alias("starts"))
-    rows = pairs.join(documents, "doc_id").join(items, "item_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (words, _), (item, _) = _words(pa.array([row["text"]])), _words(pa.array([row["item_text"]]))
-                for start in row["starts"]:
-                    lo, hi = max(0, -start), min(len(item), len(words) - start)
-                    same = np.zeros(len(item), np.int64)
-                    if hi > lo:
-                        same[lo:hi] = words[start + lo : start + hi] == item[lo:hi]
-                    matched = int(same.sum())
-                    if matched >= _needed(np.array([len(item)]), share)[0] or np.convolve(same, np.ones(LOCAL_SPAN, np.int64)).max() >= LOCAL_WORDS:
-                        yield pa.record_batch([pa.array([x], t) for x, t in ((row["doc_id"], pa.int64()), (row["item_id"], pa.int64()), (start, pa.int32()), (matched, pa.int32()), (len(item), pa.int32()))], ["doc_id", "item_id", "start_word", "matched_words", "item_words"])
-
-    return rows.select("doc_id", "item_id", "starts", "text", "item_text").mapInArrow(verify, _HITS)
-
-
-def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, small_words: int = SMALL_WORDS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, start_word, matched_words, item_words, overlap) of each item found at each place."""
     documents = documents.select("doc_id", "text").where("doc_id is not null")
-    items = benchmark.select("item_id", F.col("text").alias("item_text")).where("item_id is not null").distinct()
-    characters = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    if characters <= 2 * small_words:  # a word takes two bytes at least, with what parts it from the next
-        rows = items.orderBy("item_id", "item_text").toArrow()
-        hits = _small(documents, _Items(rows["item_id"].to_pylist(), rows["item_text"]), share)
-    else:
-        hits = _large(documents, items, share)
-    return hits.distinct().withColumn("overlap", F.col("matched_words") / F.col("item_words"))
+    items = benchmark.select("item_id", F.col("text").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / (2 * block_words)))  # a word takes two bytes at least, with what parts it from the next
+    block = F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks))
+    found = []
+    for b in range(blocks):
+        rows = items.where(block == b).orderBy("item_id", "item_text").toArrow()
+        found.append(_searched(documents, _Items(rows["item_id"].to_pylist(), rows["item_text"]), share))
+    return functools.reduce(DataFrame.unionByName, found).distinct().withColumn("overlap", F.col("matched_words") / F.col("item_words"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -1,9 +1,11 @@
 """Spaced seeds against laying every item over every place."""
 
+import collections
 import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folium.llm import decontaminate as d
@@ -13,16 +15,32 @@ def words(text):
     return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
 
 
+def overlays(own, item):
+    """(start, agreeing words, most of them in LOCAL_SPAN words) wherever the item laid over a document agrees in 8 words or all."""
+    where = collections.defaultdict(list)
+    for i, w in enumerate(own):
+        where[w].append(i)
+    agreeing = collections.Counter(i - k for k, w in enumerate(item) for i in where.get(w, ()))
+    for start, n in agreeing.items():
+        if n >= min(len(item), d.LEAST_WORDS):
+            same = [0 <= start + k < len(own) and own[start + k] == w for k, w in enumerate(item)]
+            yield start, n, max(sum(same[i : i + d.LOCAL_SPAN]) for i in range(len(item)))
+
+
 def brute(documents, items, share=d.SHARE):
     out = set()
     for doc_id, text in documents:
-        own = words(text)
+        own, lines, at = words(text), set(), 0
+        for line in (text or "").split("\n"):
+            lines.add((at, at := at + len(words(line))))
         for item_id, item in items:
             item = words(item)
             need = max(int(np.ceil(len(item) * share - 1e-9)), min(len(item), d.LEAST_WORDS))
-            for start in range(-len(item), len(own)) if len(item) >= d.ITEM_WORDS else ():
-                matched = sum(1 for k, w in enumerate(item) if 0 <= start + k < len(own) and own[start + k] == w)
-                if matched >= need:
+            if 0 < len(item) < d.LINE_WORDS:
+                out |= {(doc_id, item_id, a, len(item), len(item)) for a, b in lines if own[a:b] == item}
+                continue
+            for start, matched, near in overlays(own, item) if item and {*own} & {*item} else ():
+                if matched >= need or near >= d.LOCAL_WORDS:
                     out.add((doc_id, item_id, start, matched, len(item)))
     return out
 
@@ -31,19 +49,22 @@ def found(documents, items, **options):
     return {tuple(r)[:5] for r in d.contaminated(documents, items, **options).collect()}
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_table(spark, sf, small):
+BLOCKS = pytest.mark.parametrize("block", [500_000, 60])
+
+
+@BLOCKS
+def test_table(spark, sf, block):
+    """All documents of the table and all items."""
     documents, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()][:80]
-    documents = documents.where(documents["doc_id"].isin([r[0] for r in rows]))
-    want = brute(rows, [(r["item_id"], r["text"]) for r in items.collect()])
-    assert found(documents, items, small_words=small) == want and want
+    rows, tests = [(r["doc_id"], r["text"]) for r in documents.collect()], [(r["item_id"], r["text"]) for r in items.collect()]
+    want = brute(rows, tests)
+    assert found(documents, items, block_words=block) == want and want
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_substitutions_and_odd_rows(spark, small):
+@BLOCKS
+def test_substitutions_and_odd_rows(spark, block):
     rng = np.random.default_rng(2)
-    items = [(i, " ".join(f"t{i}w{k}" for k in range(n))) for i, n in enumerate([15, 20, 40, 60, 6, 4, 9])] + [(90, None), (91, ""), (None, "a b c d e f g h i j")]
+    items = [(i, " ".join(f"t{i}w{k}" for k in range(n))) for i, n in enumerate([15, 20, 40, 60, 6, 4, 9])] + [(90, None), (91, ""), (None, "a b c d e f g h i j"), (92, "?!")]
     documents = [(1000, None), (1001, ""), (1002, "Clean words only, " * 30), (None, items[0][1]), (1003, items[1][1]), (1003, items[1][1])]
     for n in range(120):
         i = int(rng.integers(0, 7))
@@ -52,17 +73,43 @@ def test_substitutions_and_odd_rows(spark, small):
             if rng.random() < 0.12:
                 text[k] = "changed"
         documents.append((n, " ".join([*["before"] * int(rng.integers(0, 9)), *text[int(rng.integers(0, 3)) :], *["after."] * int(rng.integers(0, 9))])))
-    df = spark.createDataFrame(documents, "doc_id long, text string").withColumnRenamed("x", "y").selectExpr("*", "1 as item_id", "2 as id").repartition(3)
+    df = spark.createDataFrame(documents, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as id").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got, want = found(df, bench, small_words=small), brute([x for x in documents if x[0] is not None], [x for x in items if x[0] is not None])
+    got, want = found(df, bench, block_words=block), brute([x for x in documents if x[0] is not None], [x for x in items if x[0] is not None])
     assert got <= want
     assert len({g[0] for g in got}) >= 0.97 * len({w[0] for w in want})
     assert not {1000, 1001, 1002} & {g[0] for g in got}
-    left = d.decontaminate(df, bench, small_words=small)
+    left = d.decontaminate(df, bench, block_words=block)
     assert left.columns == df.columns
     assert {r["doc_id"] for r in left.collect()} == {x[0] for x in documents} - {g[0] for g in got}
 
 
+@BLOCKS
+def test_several_texts_of_one_id(spark, block):
+    whole = [f"w{k}" for k in range(20)]
+    changed = [w if k % 2 else "x" for k, w in enumerate(whole)]
+    documents = [(1, " ".join(whole)), (1, " ".join(changed)), (2, "other " * 30), (1, " ".join(whole))]
+    items = [(7, " ".join(whole)), (7, " ".join(reversed(whole))), (7, " ".join(whole))]
+    got = found(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
+    assert got <= brute(documents, items) and (1, 7, 0, 20, 20) in got
+
+
+def test_short_items_are_whole_lines(spark):
+    documents = [(1, "Two and two\nis four"), (2, "they say two and two is four"), (3, "x\nTWO, and two!"), (4, "two and"), (5, "two and two"), (6, "four\n\n")]
+    items = [(1, "two and two"), (2, "four"), (3, "is four")]
+    got = found(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == {(1, 1, 0, 3, 3), (1, 3, 3, 2, 2), (3, 1, 1, 3, 3), (5, 1, 0, 3, 3), (6, 2, 0, 1, 1)} == brute(documents, items)
+
+
+def test_one_window_of_many(spark, monkeypatch):
+    """A passage that many items and documents share is looked at in parts."""
+    monkeypatch.setattr(d, "HITS", 50)
+    items = d._Items(list(range(40)), pa.array([" ".join(f"w{k}" for k in range(12)) + f" own{i}" for i in range(40)]))
+    words, first = d._words(pa.array([" ".join(f"w{k}" for k in range(12))] * 9))
+    doc, item, start, matched = items.find(words, first, first, 0.5)
+    assert sorted(zip(doc.tolist(), item.tolist())) == list(itertools.product(range(9), range(40))) and set(matched.tolist()) == {12}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -70,22 +117,22 @@ def test_empty(spark):
     assert found(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), bench) == set()
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_parts_of_items(spark, small):
+@BLOCKS
+def test_parts_of_items(spark, block):
     item = [f"w{k}" for k in range(59)]
     changed = ["x" if k in (22, 25) else w for k, w in enumerate(item)]
     texts = {1: item[30:], 2: item[:20] + item[45:], 3: item[20:29], 4: changed[20:30], 5: item[20:27], 6: item[20:24] + ["x"] * 6 + item[30:37]}
     documents = [(i, " ".join(["before"] * 3 + text + ["after"] * 3)) for i, text in texts.items()]
-    got = found(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), small_words=small)
+    got = found(spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), block_words=block)
     assert got == {(1, 7, -27, 29, 59), (2, 7, 3, 20, 59), (2, 7, -22, 14, 59), (3, 7, -17, 9, 59), (4, 7, -17, 8, 59)}
 
 
-@pytest.mark.parametrize("small", [500_000, 0])
-def test_every_allowed_change_of_short_items(spark, small):
+@BLOCKS
+def test_every_allowed_change_of_short_items(spark, block):
     items, documents = [(n, " ".join(f"t{n}w{k}" for k in range(n))) for n in range(7, 12)], []
     for n, text in items:
         for gone in itertools.combinations(range(n), max(n - d.LEAST_WORDS, 0)):
             documents.append((1000 * n + len(documents), " ".join("x" if k in gone else w for k, w in enumerate(text.split()))))
-    got = found(spark.createDataFrame(documents, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"), small_words=small)
+    got = found(spark.createDataFrame(documents, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
     assert {g[:2] for g in got} == {(i, i // 1000) for i, _ in documents}
     assert got == brute(documents, items)
