@@ -3,8 +3,9 @@
 A document's terms are its lower-cased words, weighted by how often they occur. For each of SAMPLES samples and each
 term, a hash of both draws r and c from Gamma(2, 1), by a table of quantiles, and b from U(0, 1); a term of weight w has
 t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1), and the term with the least a gives the sample, 16 bits of a
-hash of (term, t). Two documents agree in a sample with a probability equal to the
-generalised Jaccard similarity of their weights; likeness() is the share of samples that agree.
+hash of (term, t). Two documents agree in a sample with a probability that is the generalised Jaccard similarity of
+their weights but for the steps of the table; likeness() is the share of samples that agree. The least a of a long text
+comes from the least c and the greatest r, so that one of the table's QUANTILES parts is itself parted into as many.
 
 neighbours() brings each document and its successor by doc_id together with one shuffle of the texts: ranges of doc_id
 are dealt out as blocks, and each block also gets a copy of the next block's first document.
@@ -16,6 +17,8 @@ by text and each gets a row; the only document's next one is itself; other colum
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +26,19 @@ from pyspark.sql import functions as F
 SAMPLES = 64
 TOGETHER = 8  # samples that one pass over a term computes
 QUANTILES = 1024
+BLOCK_TEXT_BYTES = 512 << 20  # of text in a block at most, so that the number of blocks grows with the input
 
 
-def _gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """The middle of each of n equal parts of Gamma(2, 1), by bisection of 1 - (1 + x) exp(-x)."""
-    p, low, high = (np.arange(n) + 0.5) / n, np.zeros(n), np.full(n, 60.0)
-    for _ in range(60):
+def _gamma_quantiles(first: bool, n: int = QUANTILES) -> np.ndarray:
+    """The middle of each of n equal parts of Gamma(2, 1), by bisection of 1 - (1 + x) exp(-x), then those of n equal parts
+    of the first part, or of the last."""
+    part = (np.arange(n) + 0.5) / n
+    over = np.concatenate([1 - part, 1 - part / n if first else part / n])
+    low, high = np.zeros(2 * n), np.full(2 * n, 80.0)
+    for _ in range(80):
         x = (low + high) / 2
-        under = 1 - (1 + x) * np.exp(-x) < p
-        low, high = np.where(under, x, low), np.where(under, high, x)
+        below = (1 + x) * np.exp(-x) > over
+        low, high = np.where(below, x, low), np.where(below, high, x)
     return (low + high) / 2
 
 
@@ -48,25 +55,27 @@ def weighted_terms(text: str) -> list[tuple[str, Column]]:
     return [("hashes", F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))), ("runs", F.when(F.size("hashes") > 0, runs).otherwise(F.array().cast("array<int>"))), ("terms", counted)]
 
 
-def _sample(j: int, r: Column, inverse: Column, lnc: Column) -> Column:
+def _sample(j: int, r: Column, lnc: Column) -> Column:
     """A long whose order is that of ln a and whose low 16 bits are the sample's value."""
-    h = F.xxhash64("term", "part", F.lit(j))
+    h = F.xxhash64(F.col("hash").bitwiseXOR(F.lit(j)))
     low = lambda shift: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
-    b = (low(12) + F.lit(0.5)) / F.lit(float(QUANTILES))
-    t = F.floor(F.col("ln") * F.get(inverse, low(0)) + b)
-    a = F.get(lnc, low(24)) - F.get(r, low(0)) * (t - b + F.lit(1.0))
+    at = lambda shift, parted: F.when(low(shift) == parted, low(shift + 10) + QUANTILES).otherwise(low(shift))
+    b = (low(40) + F.lit(0.5)) / F.lit(float(QUANTILES))
+    own_r = F.get(r, at(0, QUANTILES - 1))
+    t = F.when(F.col("ln") == 0, F.lit(0).cast("long")).otherwise(F.floor(F.col("ln") / own_r + b))  # most terms occur once
+    a = F.get(lnc, at(20, 0)) - own_r * (t - b + F.lit(1.0))
     value = F.shiftrightunsigned(h, 48).bitwiseXOR((t * F.lit(40503)).bitwiseAND(F.lit(0xFFFF)))
     return F.shiftleft(((a + F.lit(1024.0)) * F.lit(float(1 << 32))).cast("long"), 16).bitwiseOR(value)
 
 
 def samples(rows: DataFrame, keys: list[str], n: int = SAMPLES) -> DataFrame:
     """keys and samples (an array of n values) of rows (keys, text). Rows of one key must be rows of one document."""
-    g = _gamma_quantiles()
-    tables = _table(g), _table(1 / g), _table(np.log(g))
+    tables = _table(_gamma_quantiles(first=False)), _table(np.log(_gamma_quantiles(first=True)))
     for name, column in weighted_terms("text"):
         rows = rows.withColumn(name, column)
     each = rows.select(*keys, F.explode_outer("terms").alias("x")).select(*keys, "x.term", "x.ln")
     parts = each.select(*keys, "term", "ln", F.explode(F.sequence(F.lit(0), F.lit(n // TOGETHER - 1))).alias("part"))
+    parts = parts.select(*keys, "term", "ln", "part", F.xxhash64("term", "part").alias("hash"))
     least = parts.groupBy(*keys, "part").agg(*(F.min(F.when(F.col("term").isNotNull(), _sample(j, *tables))).alias(f"s{j}") for j in range(TOGETHER)))
     values = F.array(*(F.coalesce(F.col(f"s{j}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF)).cast("int") for j in range(TOGETHER)))
     joined = least.select(*keys, F.struct("part", values.alias("values")).alias("x")).groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("x"))
@@ -106,7 +115,8 @@ def neighbours(documents: DataFrame) -> DataFrame:
     extra marks a copy that only stands after its block's last document.
     """
     rows = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    blocks = 8 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(8 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BLOCK_TEXT_BYTES))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
     rows = rows.withColumn("block", _block(F.col("doc_id"), sorted(set(cuts or []))))
     heads = sorted(tuple(r) for r in rows.groupBy("block").agg(F.min("doc_id")).collect())  # one row for each block

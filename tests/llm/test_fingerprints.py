@@ -61,3 +61,32 @@ def test_weights(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     near = [r["near_next"] for r in f.fingerprints(df).collect() if r["doc_id"] % 2 == 0]
     assert abs(np.mean(near) - 4 / 14) < 0.03
+
+
+def test_long_texts(spark):
+    """20,000 words with the second half drawn anew: the mean likeness is the generalised Jaccard similarity."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(8):
+        words = [f"w{x}" for x in rng.zipf(1.15, 30_000) % 40_000]
+        rows += [(2 * i, " ".join(words[:20_000])), (2 * i + 1, " ".join(words[:10_000] + words[20_000:]))]
+    got = {r["id"]: np.array(r["samples"]) for r in f.samples(spark.createDataFrame(rows, "id long, text string"), ["id"], 512).collect()}
+    off = [np.mean(got[2 * i] == got[2 * i + 1]) - jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(8)]
+    assert abs(np.mean(off)) < 0.02, off
+
+
+def test_draws():
+    """Both tables against the distribution of Gamma(2, 1), tails included."""
+    below = lambda x: 1 - (1 + x) * np.exp(-x)
+    n = f.QUANTILES
+    part = (np.arange(n) + 0.5) / n
+    r, c = f._gamma_quantiles(first=False), f._gamma_quantiles(first=True)
+    assert np.allclose(below(r[:n]), part, atol=1e-9) and np.allclose(below(c[:n]), part, atol=1e-9)
+    assert np.allclose(1 - below(r[n:]), (1 - part) / n, rtol=1e-6) or np.allclose(1 - below(r[n:]), part / n, rtol=1e-6)
+    assert np.allclose(below(c[n:]), part / n, rtol=1e-4)
+
+
+def test_blocks_follow_the_text(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    before = f.neighbours(df).select("block").distinct().count()
+    monkeypatch.setattr(f, "BLOCK_TEXT_BYTES", 5_000)
+    assert f.neighbours(df).select("block").distinct().count() > before
