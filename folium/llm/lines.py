@@ -1,9 +1,10 @@
 """Line dedup on levelled sorted runs of line hashes, with DataFrame operations only.
 
-A run is a table of (h1, h2, doc_id): the hash of each line key and the smallest document that holds it, bucketed and
-sorted by hash, so that joining it reads it in place. Batches of documents come in ascending ranges of doc_id. Each
-batch anti-joins its own smallest holders to all runs, adds what is left as a run of level 0, and marks every line
-whose (key, document) isn't among those holders. When a level has FANOUT runs they are merged into one of the next.
+A run is a managed table of (h1, h2, doc_id): the hash of each line key and the smallest document that holds it, bucketed
+and sorted by hash with one file a bucket, so that a merge join reads it in place, without a shuffle or a sort. Batches
+of documents come in ascending ranges of doc_id. Each batch anti-joins its own smallest holders to all runs, adds what is
+left as a run of level 0, and marks every line whose (key, document) isn't among those holders. When a level has FANOUT
+runs and another batch follows, they are merged into one of the next. Runs are dropped at the end, failed or not.
 
 Cases: a null or empty text is one empty line; keys under MIN_POINTS code points always stay; several rows of one
 doc_id are one document for the purpose of dropping (a line of theirs is a repeat only if a smaller doc_id holds it);
@@ -40,26 +41,52 @@ def line_key(line):
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
+#: The session option by which scans of one sorted file a bucket report their order.
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """The levels of runs; add() takes the next batch of hashed lines and returns those to drop."""
+    """The levels of runs; add() takes the next batch of hashed lines and returns those to drop.
+
+    A context: on leaving it, the runs and what it set in the session are gone.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, []
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def __enter__(self) -> LineRuns:
+        self.before = self.spark.conf.get(_ORDERED, None)
+        self.spark.conf.set(_ORDERED, "true")
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(_ORDERED)
+        else:
+            self.spark.conf.set(_ORDERED, self.before)
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (
-            keys.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-            .option("path", scratch(self.spark, "line-run")).format("parquet").saveAsTable(name)
-        )
+        try:
+            keys.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+        except Exception:
+            self._drop([name])
+            raise
         return name
 
-    def _compact(self, level: int) -> None:
-        """Merges the runs of a full level, whose keys are disjoint, into one of the next level."""
-        runs = self.levels[level]
-        if len(runs) < self.fanout:
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def compact(self, level: int = 0) -> None:
+        """Merges the runs of a full level, whose keys are disjoint, into one of the next level, and so on."""
+        if level >= len(self.levels) or len(self.levels[level]) < self.fanout:
             return
+        runs = self.levels[level]
         merged = self.spark.table(runs[0])
         for name in runs[1:]:
             merged = merged.unionByName(self.spark.table(name))
@@ -67,18 +94,22 @@ class LineRuns:
             self.levels.append([])
         self.levels[level + 1].append(self._write(merged))
         self.levels[level] = []
-        for name in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self._compact(level + 1)
+        self._drop(runs)
+        self.compact(level + 1)
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """The rows of lines (h1, h2, doc_id, ...) whose key an earlier batch or a smaller doc_id of this one holds."""
+    def holders(self, lines: DataFrame) -> DataFrame:
+        """(h1, h2, doc_id) of keys that no run holds, with the smallest document of lines that holds each."""
         own = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
         for run in self.runs():
-            own = own.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+            own = own.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return own
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """The rows of lines (h1, h2, doc_id, ...) whose key an earlier batch or a smaller doc_id of this one holds."""
+        own = self.holders(lines)
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(self._write(own))
@@ -86,11 +117,6 @@ class LineRuns:
         dropped = lines.join(held, ["h1", "h2", "doc_id"], "left_anti")
         return dropped
 
-    def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
 
 def hashed_lines(documents: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
     """(doc_id, t, pos, h1, h2) of every line whose key is long enough; t tells texts of one doc_id apart, h1 and h2 make a 128-bit hash."""
@@ -113,11 +139,11 @@ def repeated_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = F
     path = scratch(spark, "lines")
     hashed_lines(documents, min_points).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     hashed = spark.read.schema("doc_id long, t long, pos int, h1 long, h2 long, batch int").parquet(path)
-    runs, out = LineRuns(spark, fanout), []
-    for b in range(len(cuts) + 1):
-        out.append(saved(runs.add(hashed.where(F.col("batch") == b).drop("batch")).select("doc_id", "t", "pos"), "dropped-lines"))
-        runs._compact(0)
-    runs.close()
+    out = []
+    with LineRuns(spark, fanout) as runs:
+        for b in range(len(cuts) + 1):
+            runs.compact()
+            out.append(saved(runs.add(hashed.where(F.col("batch") == b).drop("batch")).select("doc_id", "t", "pos"), "dropped-lines"))
     dropped = out[0]
     for more in out[1:]:
         dropped = dropped.unionByName(more)

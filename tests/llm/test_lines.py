@@ -36,3 +36,22 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_dropped"], r["pos"]) for r in out.collect()), key=repr)
     assert got == sorted([(1, "", 1, 0, 7), (2, "", 1, 0, 7), (3, long, 700, 0, 7), (4, "the only new line", 701, 700, 7), (4, "the only new line", 1, 0, 7), (0, "the only new line", 1, 0, 7), (5, "ÀÉ the Line ß", 1, 0, 7), (6, " àé the line ß", 1, 0, 7), (7, "", 1, 1, 7)], key=repr)
     assert lines.dedup_lines(df.where("false")).count() == 0
+
+
+def test_runs_are_read_in_order_and_dropped(spark):
+    """No shuffle or sort above a run in the merge-anti-join; a failed batch leaves no table and no setting behind."""
+    tables, option = spark.catalog.listTables(), spark.conf.get(lines._ORDERED, None)
+    hashed = lines.hashed_lines(spark.createDataFrame([(i, f"a line of document {i}\na line of all of them") for i in range(50)], "doc_id long, text string"))
+    with pytest.raises(RuntimeError), lines.LineRuns(spark) as runs:
+        assert runs.add(hashed.where("doc_id < 20")).count() == 19
+        runs.compact()
+        assert runs.add(hashed.where("doc_id >= 20 and doc_id < 40")).count() == 20
+        left = runs.holders(hashed)
+        plan = left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2
+        assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1, plan
+        assert left.count() == 10
+        runs.compact()
+        assert len(runs.runs()) == 1 and runs.holders(hashed).count() == 10
+        raise RuntimeError
+    assert spark.catalog.listTables() == tables and spark.conf.get(lines._ORDERED, None) == option
