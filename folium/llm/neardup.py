@@ -7,7 +7,8 @@
 3. In each band's bucket only the most central text, the hub, is compared with the others, by exact weighted Jaccard.
 4. Where a bucket still holds several components, the texts that the hub's component lacks are compared with all others
    of the bucket's group, in blocks; a block sends on the links of a spanning forest only. So every pair that shares a
-   bucket is either compared or already known to be connected, and no group's pairs are emitted.
+   bucket is either compared or already known to be connected, and no group's pairs are emitted. What is sent to the
+   blocks is a text's sorted 32-bit shingle hashes, made once for each candidate, and blocks are bounded in rows and bytes.
 5. Classes are the connected components of the links; class_id is the smallest doc_id.
 
 Cases: a null text counts as empty; texts without any word are in one class with equal texts only; equal texts always
@@ -32,7 +33,7 @@ from folium.llm.text import mix, shingled
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 FEATURES = 1 << 18
-BLOCK = 256  # texts of one side that a verifying group holds
+BLOCK, BLOCK_BYTES = 256, 8 << 20  # texts of one side that a verifying group holds, and their shingles' bytes, on average
 _PIECES = 64
 _POOL = 1 << 16
 
@@ -149,17 +150,39 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def verified(groups: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+def shingle_lists(texts: DataFrame) -> DataFrame:
+    """(id, shingles, size) of texts (id, text): the low 32 bits of each shingle as often as it occurs, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, sizes = [], np.zeros(batch.num_rows, np.int64)
+            for row, n, doc, shingle, times in shingled(batch["text"]):
+                keys = np.repeat(doc.astype(np.uint64) << np.uint64(32) | shingle & np.uint64(0xFFFFFFFF), times)
+                keys.sort()
+                sizes[row : row + n] = 4 * np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n)
+                lists.append(keys.astype("<u4"))
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            data = np.concatenate(lists) if lists else np.zeros(0, "<u4")
+            found = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.record_batch([batch["id"], found, pa.array(sizes, pa.int64())], ["id", "shingles", "size"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary, size long")
+
+
+def verified(groups: DataFrame, lists: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
     """Links (a, b) of weighted Jaccard similarity from each group's left rows to its right ones.
 
-    groups: (hub, yb, xb, id, is_left), BLOCK rows a side at most; a group's links are thinned to a spanning forest.
+    groups: (hub, yb, xb, id, is_left), a block of each side; a group's links are thinned to a spanning forest.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, left = table["id"].to_numpy(), table["is_left"].to_numpy()
-        found = [(row + doc, shingle, times) for row, _, doc, shingle, times in shingled(table["text"])]
-        doc, shingle, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        own = [np.frombuffer(x.as_buffer(), "<u4") for x in table["shingles"]]
+        doc = np.repeat(np.arange(len(ids)), [len(x) for x in own])
+        keys = doc.astype(np.uint64) << np.uint64(32) | np.concatenate(own)
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        doc, shingle, times = doc[new], keys[new] & np.uint64(0xFFFFFFFF), np.diff(np.append(new, len(keys)))
         weight = times * idf.value[_feature(shingle)].astype(np.float64)
         total = np.bincount(doc, weight, len(ids))
         bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -168,8 +191,8 @@ def verified(groups: DataFrame, texts: DataFrame, idf: Broadcast, similarity: fl
         there, holder, theirs = shingle[right][order], doc[right][order], weight[right][order]
         pairs = []
         for y in np.flatnonzero(left):
-            own, w = shingle[bounds[y] : bounds[y + 1]], weight[bounds[y] : bounds[y + 1]]
-            lo, hi = np.searchsorted(there, own), np.searchsorted(there, own, "right")
+            mine, w = shingle[bounds[y] : bounds[y + 1]], weight[bounds[y] : bounds[y + 1]]
+            lo, hi = np.searchsorted(there, mine), np.searchsorted(there, mine, "right")
             n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             common = np.bincount(holder[at], np.minimum(np.repeat(w, n), theirs[at]), len(ids))
@@ -180,12 +203,12 @@ def verified(groups: DataFrame, texts: DataFrame, idf: Broadcast, similarity: fl
         kept = _forest(a, b)
         return pa.table({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
 
-    rows = groups.join(texts, "id")
+    rows = groups.join(lists.select("id", "shingles"), "id")
     return rows.groupBy("hub", "yb", "xb").applyInArrow(compare, "a long, b long")
 
 
-def _blocks(n) -> F.Column:
-    return F.ceil(n / F.lit(BLOCK)).cast("int")
+def _blocks(n, size) -> F.Column:
+    return F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
 
 
 def _block_of(id_, blocks) -> F.Column:
@@ -211,20 +234,23 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, bands:
     stars = saved(members.join(hubs, "bucket").select("hub", "id").distinct().where("hub <> id"), "stars")
     wanted = stars.select("id").union(stars.select("hub")).distinct()
     # The same join at every size: texts are shuffled once, whether or not the candidates' ids would fit a broadcast.
-    needed = saved(documents.join(wanted.hint("merge"), documents["doc_id"] == wanted["id"]).select("id", "text"), "candidate-texts")
+    texts_of = documents.join(wanted.hint("merge"), documents["doc_id"] == wanted["id"]).select("id", "text")
+    needed = saved(shingle_lists(texts_of), "candidate-shingles")
+    stars = saved(stars.join(needed.select("id", "size"), "id"), "sized-stars")
 
-    n = stars.groupBy("hub").agg(_blocks(F.count("*")).alias("blocks"))
+    n = stars.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
     zero = F.lit(0)
     right = stars.join(n, "hub").select("hub", zero.alias("yb"), _block_of(F.col("id"), F.col("blocks")).alias("xb"), "id", F.lit(False).alias("is_left"))
     left = n.select("hub", zero.alias("yb"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("xb"), F.col("hub").alias("id"), F.lit(True).alias("is_left"))
     links = saved(verified(left.unionByName(right), needed, idf, similarity), "star-links").unionByName(aliases)
 
     label = components(links, [])
-    named = stars.join(label, "id", "left").select("hub", "id", F.coalesce("root", "id").alias("root"))
+    named = stars.join(label, "id", "left").select("hub", "id", "size", F.coalesce("root", "id").alias("root"))
     hub_label = label.select(F.col("id").alias("hub"), F.col("root").alias("hub_root"))
-    named = named.join(hub_label, "hub", "left").select("hub", "id", (F.col("root") != F.coalesce("hub_root", "hub")).alias("outside"))
-    open_ = named.groupBy("hub").agg(F.count("*").alias("nx"), F.count_if("outside").alias("ny")).where("ny > 0 and nx > 1")
-    open_ = open_.select("hub", _blocks(F.col("nx")).alias("bx"), _blocks(F.col("ny")).alias("by"))
+    named = named.join(hub_label, "hub", "left").select("hub", "id", "size", (F.col("root") != F.coalesce("hub_root", "hub")).alias("outside"))
+    outside = F.when(F.col("outside"), F.col("size"))
+    open_ = named.groupBy("hub").agg(F.count("*").alias("nx"), F.count_if("outside").alias("ny"), F.sum("size").alias("sx"), F.sum(outside).alias("sy")).where("ny > 0 and nx > 1")
+    open_ = open_.select("hub", _blocks(F.col("nx"), F.col("sx")).alias("bx"), _blocks(F.col("ny"), F.col("sy")).alias("by"))
     rest = saved(named.join(open_, "hub"), "open-groups")
     xs = rest.select("hub", F.explode(F.sequence(zero, F.col("by") - 1)).alias("yb"), _block_of(F.col("id"), F.col("bx")).alias("xb"), "id", F.lit(False).alias("is_left"))
     ys = rest.where("outside").select("hub", _block_of(F.col("id"), F.col("by")).alias("yb"), F.explode(F.sequence(zero, F.col("bx") - 1)).alias("xb"), "id", F.lit(True).alias("is_left"))

@@ -88,6 +88,45 @@ def test_group_of_edits(spark):
     assert len(differ) <= 1
 
 
+def test_small_blocks(spark, monkeypatch):
+    """Groups parted into many blocks, in rows and in bytes, give the same classes."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(90):
+        words = [f"v{k}" for k in range(120)]
+        for at in rng.choice(120, rng.integers(0, 8), replace=False):
+            words[at] = f"y{rng.integers(0, 4)}"
+        rows.append((i, " ".join(words * (3 if i % 30 == 7 else 1))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for block, size in ((7, 1 << 20), (256, 3_000)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
+        got = classes(df)
+        assert sum(got[i] != want[i] for i in want) <= 1
+
+
+def test_recall_of_substitutions(spark):
+    """Copies with some words changed: every one of similarity 0.8 or more is caught, and none below it.
+
+    A changed word changes five shingles, so a share of 1 % leaves about 0.9 and one of 2 % about 0.81; the threshold of
+    0.8 therefore takes all copies with 1 %, about half of those with 2 % and hardly any with 5 %.
+    """
+    rng, rows, recall = np.random.default_rng(3), [], {}
+    for r, rate in enumerate((0.01, 0.02, 0.03, 0.05)):
+        for i in range(80):
+            words = [f"r{r}d{i}w{k}" for k in range(300)]
+            at = 10_000 * r + 2 * i
+            rows.append((at, " ".join(words)))
+            rows.append((at + 1, " ".join(f"new{k}" if rng.random() < rate else w for k, w in enumerate(words))))
+    got, want = classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), brute(rows)
+    assert sum(got[i] != want[i] for i in want) <= 1
+    for r, rate in enumerate((0.01, 0.02, 0.03, 0.05)):
+        recall[rate] = np.mean([got[10_000 * r + 2 * i + 1] == got[10_000 * r + 2 * i] for i in range(80)])
+    print("share of copies caught by share of words changed", recall)
+    assert recall[0.01] >= 0.95 and recall[0.02] > recall[0.03] >= recall[0.05]
+
+
 def test_odd_rows(spark):
     rows = [(5, None, 1), (3, "", 2), (4, "!!! ...", 3), (8, "!!! ...", 3), (9, "???", 3), (1, "One two", 4), (2, "one, TWO", 4), (None, "one two", 4), (7, "x " * 30000, 4), (7, "y z", 4), (6, "y z!", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, bands int")
