@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from folium.llm.text import pieces, word_hashes, word_spans
 
-#: Labelled rows that a fit uses at most, those of the smallest hash of doc_id.
+#: Labelled rows that a fit uses at most, those of the smallest hash.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
 
@@ -150,15 +150,16 @@ def held_out(doc_id: str = "doc_id"):
 def _arrow_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = statistics(batch["text"])
-        yield pa.record_batch([batch["label"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.record_batch([batch["key"], batch["label"], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))], ["key", "label", "x"])
 
 
 def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
-    """Trees from at most fit_rows labelled documents that aren't held out."""
+    """Trees from at most fit_rows labelled documents that aren't held out, those of the smallest hash of doc_id and text."""
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and _id is not null").where(~held_out("_id"))
     sample = usable.orderBy(F.xxhash64("_id"), "_id", "label").limit(fit_rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # fit_rows bounds the broadcast
-    rows = texts.select("label", "text").mapInArrow(_arrow_statistics, "label int, x array<double>").toPandas()
+    rows = texts.select(F.xxhash64("_id", "text").alias("key"), "label", "text").mapInArrow(_arrow_statistics, "key long, label int, x array<double>")
+    rows = rows.orderBy("key", "label").limit(fit_rows).toPandas()  # several documents may share a labelled id
     if not len(rows):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x, y = np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float)

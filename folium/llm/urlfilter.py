@@ -2,9 +2,10 @@
 
 List entries (pattern, action, listed_on) say from which date on a pattern is on the list ('add') or off it ('remove');
 a pattern is a host, matching it and its subdomains, or a host and a path prefix of whole segments. Entries of a pattern
-become validity intervals [date, next date): of several entries on one date 'remove' holds. A capture (url, fetched_on)
-has as its keys its host, the host's parents, and each of its path prefixes, and is blocked if an interval of one of
-them holds its date.
+become validity intervals [date, next date): of several entries on one date 'remove' holds, so a key's history has one row
+a day at most, however often it is listed. A capture (url, fetched_on) has as its keys its host, the host's parents, and
+each of its path prefixes of no more segments than the deepest pattern has, and is blocked if an interval of one of them
+holds its date.
 
 The as-of join is an equi-join on (key, month): an interval is laid over the months it touches, up to the last month in
 the captures, so a key with many entries meets only its month's ones; a hot host makes one large partition of captures,
@@ -29,12 +30,12 @@ def host(url: Column) -> Column:
     return F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("."))
 
 
-def keys(url: Column) -> Column:
-    """The host and its parents of two labels at least, and the host with each prefix of its path."""
+def keys(url: Column, deepest: int) -> Column:
+    """The host and its parents of two labels at least, and the host with each prefix of its path of up to deepest segments."""
     name, path = host(url), F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
     labels = F.split(name, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(F.size(path) > 0, F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
+    prefixes = F.when((F.size(path) > 0) & F.lit(deepest > 0), F.transform(F.sequence(F.lit(1), F.least(F.size(path), F.lit(max(deepest, 1)))), lambda i: F.concat(name, F.lit("/"), F.array_join(F.slice(path, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(name != "", F.array_distinct(F.concat(parents, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
@@ -64,9 +65,10 @@ def blocked(captures: DataFrame, entries: DataFrame) -> DataFrame:
     day = F.col("fetched_on").cast("date")
     span = captures.agg(_months(F.min(day)).alias("first"), _months(F.max(day)).alias("last")).first()
     spans = intervals(entries)
+    deepest = spans.agg(F.max(F.char_length("key") - F.char_length(F.replace("key", F.lit("/"), F.lit(""))))).first()[0] or 0  # one number
     distinct = captures.select(F.col("url").alias("_url"), day.alias("_day")).where("_url is not null and _day is not null").distinct()
     # Only distinct captures are joined, with columns of our own.
-    probes = distinct.select("_url", "_day", F.explode(keys(F.col("_url"))).alias("key"), _months(F.col("_day")).alias("month"))
+    probes = distinct.select("_url", "_day", F.explode(keys(F.col("_url"), deepest)).alias("key"), _months(F.col("_day")).alias("month"))
     first = F.greatest(_months(F.col("since")), F.lit(span["first"] or 0))
     last = F.least(F.coalesce(_months(F.col("until")), F.lit(span["last"] or 0)), F.lit(span["last"] or 0))
     laid = spans.where(first <= last).withColumn("month", F.explode(F.sequence(first, last)))
