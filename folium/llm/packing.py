@@ -4,7 +4,8 @@ A document longer than a sequence fills whole sequences first; what remains of e
 A window is filled by the multiset of remaining lengths whose sum comes closest to the capacity: a subset-sum over
 lengths is kept as bit sets (bit s of row i: sum s can be made of the first i lengths and their counts), and the counts
 are read back from the rows. As long as no sum is exact, the window's last piece is cut to fill it, so that only the
-end of a task's rows leaves a window open; it is cut at powers of two, which need no padding.
+end of a task's rows leaves a window open; it is cut at powers of two, which need no padding: up to 11 short sequences
+for each task, against some 15,000 whole ones in a task of 128 MB.
 
 Each task packs the rows that it reads, WINDOW_TOKENS at a time, without any shuffle. sequence_id is the task's number
 times 2**33 plus a counter.
@@ -139,10 +140,12 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
                 yield from packer.add(document, len(ids[document]) // 4)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 new = []
-                for name, own in zip(part["doc_id"].to_pylist(), encoded(part["text"], vocabulary, end), strict=True):
+                all_, bounds = encoded(part["text"], vocabulary, end)
+                for i, name in enumerate(part["doc_id"].to_pylist()):
+                    own = all_[bounds[i] : bounds[i + 1]].tobytes()
                     ids[n], names[n], left[n] = own, name, len(own) // 4
                     waiting += len(own) // 4
                     new.append(n)

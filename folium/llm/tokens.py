@@ -1,10 +1,15 @@
-"""Token ids of whole texts by the public vocabularies, with a cache of what lies between spaces.
+"""Token ids of whole texts by the public vocabularies.
 
-The library's own call spends most of its time on repeated words. A text is therefore cut before each single space that
-stands between two other characters, where neither vocabulary's pattern can match across; each distinct part goes
-through the library once for as long as it stays in the worker's cache. Parts of Latin letters and ASCII are split by
-the vocabulary's pattern and encoded by the library's model; all others, and texts with runs of white space around a
-space, go through the library's whole encode(). Ids equal those of encode() on the whole text.
+Most texts hold only ASCII and Latin letters. Those of a batch are split by the vocabulary's pattern at once: classes of
+bytes give the bounds of its pieces, each piece is known by a 64-bit hash, and a table in the worker holds the ids of
+pieces met before, so the library's model sees a piece only when the table lacks it. The table is direct-mapped: a new
+piece takes the place of an old one of the same slot, so it stays of one size.
+
+Any other text is cut before each single space that stands between two other characters, where neither vocabulary's
+pattern can match across; each distinct part goes through the library once for as long as it stays in the worker's
+cache. Parts of Latin letters and ASCII are split by the vocabulary's pattern and encoded by the library's model; all
+others, and texts with runs of white space around a space, go through the library's whole encode(). Ids equal those of
+encode() on the whole text.
 """
 
 from __future__ import annotations
@@ -14,11 +19,16 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 
+from folium.llm.text import pieces, word_hashes
+
 END = 1
-CACHE_PARTS = 800_000
+CACHE_PARTS = 200_000
+SLOT_BITS = 21  # of the table of pieces
+STORE_IDS = 4 << 20  # ids that it holds before it starts anew
 
 #: The patterns by which the two vocabularies split text.
 PATTERNS = {
@@ -59,6 +69,7 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.table_ = PieceTable(self)
 
     def plainly(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -68,6 +79,12 @@ class Encoder:
         shown = piece.encode().decode("latin-1").translate(self.table)
         return array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
 
+    def piece(self, raw: bytes) -> list[int]:
+        """Ids of one piece of a plain text."""
+        if self.lower:
+            raw = raw.lower() if raw.isascii() else raw.decode().lower().encode()
+        return [t.id for t in self.whole.model.tokenize(raw.decode("latin-1").translate(self.table))]
+
     def part(self, part: str, lead: str) -> bytes:
         """Ids of a part and the space, if any, before it."""
         if not _PLAIN(part) or "<|" in part:
@@ -138,13 +155,136 @@ class Encoder:
         return self.part(head, "") + b"".join(out)
 
 
+_MARK, _WHITE, _LETTER, _DIGIT = range(4)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[10, 32]] = _WHITE
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Bytes that only other texts hold: control bytes, and leads of characters beyond the Latin letters.
+_OTHER = np.zeros(256, bool)
+_OTHER[[*range(10), *range(11, 32), 127, 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = True
+
+
+def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts hold only line breaks, printable ASCII and Latin letters, and nothing like a special token."""
+    bad = _OTHER[data]
+    a, b = data[:-1], data[1:]
+    bad[:-1] |= (a == 60) & (b == 124)  # <|
+    for lead, marks in ((0xC3, (0x97, 0xB7)), (0xC4, (0xB0,)), (0xC8, (0xBA, 0xBE))):  # two signs, and letters whose lower case is longer
+        at = np.flatnonzero(a == lead)
+        bad[at[np.isin(b[at], marks)]] = True
+    at = np.flatnonzero(a == 0xC9)
+    bad[at[b[at] > 0x8F]] = True
+    before = np.concatenate([[0], np.cumsum(bad)])
+    return before[offsets[1:]] == before[offsets[:-1]]
+
+
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each piece of plain texts by their vocabulary's pattern; `lower` is that of lower-case words.
+
+    A piece is a run of one kind, with the space before it unless lower; of a run of white space the last character is a
+    piece of its own or, a space, part of the next. With lower, digits are pieces and white space is none.
+    """
+    n, kind = len(data), _KIND[data]
+    new = np.empty(n + 1, bool)
+    new[1:n] = kind[1:] != kind[:-1]
+    new[offsets] = True
+    if lower:
+        new[:n] |= kind == _DIGIT
+    at = np.flatnonzero((data == 39) & new[:n])  # shortened words after a lone mark
+    if not lower:
+        at = at[(at == 0) | (data[at - 1] != 32) | np.isin(at, offsets)]
+    end = offsets[np.searchsorted(offsets, at, "right")]
+    fold = np.uint8(32 if lower else 0)
+    one, two = (np.where(at + k < end, data[np.minimum(at + k, n - 1)] | fold, 0) for k in (1, 2))
+    long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+    short = np.isin(one, (115, 116, 109, 100))
+    new[at[long | short] + 1] = False
+    new[at[short] + 2] = True
+    new[at[long] + 3] = True
+    starts = np.flatnonzero(new[:n])
+    ends = np.append(starts[1:], n)
+    white = kind[starts] == _WHITE
+    if lower:
+        return starts[~white], ends[~white]
+    inner = white & ~np.isin(ends, offsets)
+    last = ends[inner] - 1
+    new[last] = True
+    spaces = last[data[last] == 32] + 1
+    new[spaces] = False
+    starts = np.flatnonzero(new[:n])
+    return starts, np.append(starts[1:], n)
+
+
+class PieceTable:
+    """Ids of the pieces met last, by hash."""
+
+    def __init__(self, encoder: Encoder, bits: int = SLOT_BITS, store: int = STORE_IDS):
+        self.encoder, self.shift, self.limit = encoder, np.uint64(64 - bits), store
+        self.keys, self.first, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, found: array) -> None:
+        if self.used + len(found) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(found)), np.uint32)])
+        self.ids[self.used : self.used + len(found)] = np.frombuffer(found, np.uint32)
+        self.used += len(found)
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and how many each has."""
+        if self.used > self.limit:
+            self.keys[:], self.used = 0, 0
+        hashes = word_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
+        hashes |= np.uint64(1)  # 0 is an empty slot
+        slot = (hashes >> self.shift).astype(np.int64)
+        first, size = self.first[slot], self.size[slot]
+        missed = np.flatnonzero(self.keys[slot] != hashes)
+        if len(missed):
+            _, one, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            one = missed[one]
+            raw, found, counts, piece = data.tobytes(), array("I"), [], self.encoder.piece
+            for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True):
+                before = len(found)
+                found.extend(piece(raw[a:b]))
+                counts.append(len(found) - before)
+            n = np.array(counts, np.int32)
+            at = (np.cumsum(n) - n + self.used).astype(np.int32)
+            self._add(found)
+            first[missed], size[missed] = at[which], n[which]
+            self.keys[slot[one]], self.first[slot[one]], self.size[slot[one]] = hashes[one], at, n
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(first - before, size) + np.arange(int(size.sum()))], size
+
+
 @lru_cache(4)
 def encoder(name: str) -> Encoder:
     """The vocabulary's encoder of this process."""
     return Encoder(name)
 
 
-def encoded(texts: pa.Array, name: str, end: int = END) -> list[bytes]:
-    """Ids of each text (null: empty) and the end id, as little-endian unsigned 32-bit integers."""
-    tail, encode = end.to_bytes(4, "little"), encoder(name).encode
-    return [encode(t or "") + tail for t in texts.to_pylist()]
+def encoded(texts: pa.Array, name: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds): ids of all texts (null: empty), each with the end id; text i has ids[bounds[i]:bounds[i + 1]]."""
+    own, all_, sizes = encoder(name), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for row, data, offsets in pieces(texts, most=1 << 19):
+        plain = _plain(data, offsets) if len(data) else np.ones(len(offsets) - 1, bool)
+        starts, ends = split(data, offsets, own.lower) if len(data) else (offsets[:0], offsets[:0])
+        if not plain.all():
+            kept = plain[np.searchsorted(offsets, starts, "right") - 1]
+            starts, ends = starts[kept], ends[kept]
+        ids, count = own.table_.lookup(data, starts, ends)
+        before = np.concatenate([[0], np.cumsum(count)])
+        n = np.diff(before[np.searchsorted(starts, offsets)]) + 1
+        other = {int(i): own.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode()) for i in np.flatnonzero(~plain)}
+        for i, found in other.items():
+            n[i] += len(found) // 4
+        bound = np.concatenate([[0], np.cumsum(n)])
+        out, free = np.empty(bound[-1], np.uint32), np.ones(bound[-1], bool)
+        free[bound[1:] - 1] = False
+        for i, found in other.items():
+            out[bound[i] : bound[i + 1] - 1] = np.frombuffer(found, "<u4")
+            free[bound[i] : bound[i + 1]] = False
+        out[bound[1:] - 1] = end
+        out[free] = ids
+        all_.append(out)
+        sizes.append(n)
+    return np.concatenate(all_), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])

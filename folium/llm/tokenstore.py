@@ -12,9 +12,12 @@ first; other columns are ignored; an empty table writes a table without rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from folium.llm.tokens import END, encoded
 
 VOCABULARY = "word_bpe_49k.json"
 DICTIONARY_IDS = 65_536
+FILE_TEXT_BYTES = 512 << 20  # of text in a file at most, so that the number of files grows with the input
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -36,16 +40,17 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = encoded(part["text"], vocabulary, end)
-                sizes = pa.array([len(x) // 4 for x in ids], pa.int32())
-                offsets = pa.array([0, *_sums(sizes.to_pylist())], pa.int32())
-                tokens = pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(sizes.to_pylist()), [None, pa.py_buffer(b"".join(ids))]))
-                yield pa.record_batch([part["part"], pa.array(range(done, done + len(ids)), pa.int64()), part["doc_id"], sizes, tokens], SCHEMA_NAMES)
-                done += len(ids)
-
-    files = files or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, bounds = encoded(part["text"], vocabulary, end)
+                tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+                rows = pa.array(np.arange(done, done + part.num_rows))
+                yield pa.record_batch([part["part"], rows, part["doc_id"], pa.array(np.diff(bounds), pa.int32()), tokens], SCHEMA_NAMES)
+                done += part.num_rows
+
+    if files is None:
+        size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / FILE_TEXT_BYTES))
     ordered = documents.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(encode, SCHEMA)
     options = {
@@ -55,13 +60,6 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
     rows.write.options(**options).parquet(path)
 
 
-def _sums(sizes: list[int]) -> Iterator[int]:
-    total = 0
-    for n in sizes:
-        total += n
-        yield total
-
-
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
@@ -75,10 +73,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch["tokens"]
-            offsets, values = tokens.offsets.to_pylist(), memoryview(tokens.values.to_numpy().astype("<u4").tobytes())
-            sums = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            sizes = [b - a for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.record_batch([batch["part"], batch["doc_id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["part", "doc_id", "row", "n_tokens", "ids_crc32"])
+            bounds, values = tokens.offsets.to_numpy(), memoryview(tokens.values.to_numpy().astype("<u4", copy=False).view(np.uint8))
+            sums = [zlib.crc32(values[a:b]) for a, b in itertools.pairwise((4 * bounds).tolist())]
+            yield pa.record_batch([batch["part"], batch["doc_id"], batch["row"], pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())], ["part", "doc_id", "row", "n_tokens", "ids_crc32"])
 
     stored = read_tokens(spark, path)
     parts = sorted((r["part"], r["n"]) for r in stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row a file

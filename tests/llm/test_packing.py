@@ -54,6 +54,19 @@ def test_odd_rows(spark):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Rows of one doc_id are packed each on its own: pieces are whole for every text."""
+    texts = ["same " * 50, "same " * 50, "other words " * 1500]
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(df, capacity=512).collect()
+    encode = tokens.encoder(packing.VOCABULARY).whole.encode
+    sizes = sorted(len(encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+    by_size = defaultdict(int)
+    for r in rows:
+        by_size[r["doc_tokens"]] += r["length"]
+    assert dict(by_size) == {sizes[0]: 2 * sizes[0], sizes[2]: sizes[2]}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_fill_is_best(seed):
     rng = random.Random(seed)
