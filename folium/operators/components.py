@@ -32,6 +32,23 @@ def components(edges: DataFrame, keys: list[str], name: str = "components") -> D
     return leaves.unionByName(pair.select(*keys, F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def greedy_first(held: DataFrame, keys: list[str], name: str = "greedy") -> DataFrame:
+    """(keys, id) kept from held (keys, id, key), taking ids in ascending order unless a kept one holds one of its keys.
+
+    A round keeps every row that is the first undecided one of all its keys and drops the others that hold these keys, so
+    a key of n rows costs n, not pairs; the number of rounds is that of the longest chain of decisions.
+    """
+    left, kept = saved(held.select(*keys, "id", "key").distinct(), name), None
+    while not left.isEmpty():
+        first = left.groupBy(*keys, "key").agg(F.min("id").alias("first"))
+        new = saved(left.join(first, [*keys, "key"]).groupBy(*keys, "id").agg(F.min((F.col("id") == F.col("first")).cast("int")).alias("all")).where("all = 1").select(*keys, "id"), name)
+        taken = left.join(new, [*keys, "id"], "left_semi").select(*keys, "key").distinct()
+        gone = left.join(taken, [*keys, "key"], "left_semi").select(*keys, "id").distinct()
+        left = saved(left.join(gone, [*keys, "id"], "left_anti"), name)
+        kept = new if kept is None else kept.unionByName(new)
+    return held.select(*keys, "id").limit(0) if kept is None else kept
+
+
 def greedy_keep(rows: DataFrame, conflicts: DataFrame, keys: list[str], name: str = "greedy") -> DataFrame:
     """Rows (keys, id) with kept, taking ids in ascending order unless an earlier kept one conflicts (keys, a, b).
 

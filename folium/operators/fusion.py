@@ -1,17 +1,20 @@
 """Identity resolution and fusion of records from several sources (F1-F15), for all runs at once.
 
 Hits are rows (run_id, seq, paper_id, source, title, first_author, year, venue, doi, arxiv_id, pmid, abstract,
-paper_type, citation_count, raw_rank, round); seq is a run's input order. Payload columns join only after the narrow
-(run_id, seq, component) table is settled.
+paper_type, citation_count, raw_rank, round) and, where a source gives them, openalex_id, semantic_scholar_id, dblp_key,
+open_access_url, is_open_access, updated_at and fetched_at; seq is a run's input order. Payload columns join only after
+the narrow (run_id, seq, component) table is settled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.functions.norm import arxiv_from_doi, norm_arxiv, norm_doi, norm_pmid, norm_strong
-from folium.operators.components import components, greedy_keep
+from folium.functions.norm import arxiv_from_doi, casefold, norm_arxiv, norm_doi, norm_pmid, norm_source_id, norm_strong
+from folium.operators.components import components, greedy_first
 from folium.sources.store import saved
 
 RRF_K = 60
@@ -21,14 +24,25 @@ def _tagged(tag: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(tag), value))
 
 
+#: The columns of platforms' own ids, and the platforms.
+PLATFORM_IDS = {"openalex_id": "openalex", "semantic_scholar_id": "semantic_scholar", "dblp_key": "dblp"}
+
+
+def _given(df: DataFrame, c: str, kind: str = "string") -> Column:
+    """The column, or null where a source does not give it."""
+    return F.col(c) if c in df.columns else F.lit(None).cast(kind)
+
+
 def identity_keys(hits: DataFrame) -> DataFrame:
-    """(run_id, seq, key); the title key only for records without DOI, arXiv id and PMID."""
+    """(run_id, seq, key): own id, DOI, arXiv id, PMID, and the ids on other platforms, which name the same record as its
+    own id there; the title key only for records without DOI, arXiv id and PMID."""
     cross = [_tagged("doi:", norm_doi("doi")), _tagged("arxiv:", norm_arxiv("arxiv_id")), _tagged("arxiv:", arxiv_from_doi("doi")), _tagged("pmid:", norm_pmid("pmid"))]
     title, author = F.nullif(F.col("title_norm"), F.lit("")), F.nullif(F.col("author_norm"), F.lit(""))
     fallback = F.when(F.coalesce(*cross).isNull(), F.concat(F.lit("title:"), title, F.lit("|"), F.col("year").cast("string"), F.lit("|"), author))
     normal = hits.withColumns({"title_norm": norm_strong("title"), "author_norm": norm_strong("first_author"), "id_norm": norm_strong("paper_id")})
     own = F.concat(F.lit("source:"), F.col("source"), F.lit(":"), F.col("id_norm"))
-    return normal.select("run_id", "seq", F.explode(F.array_distinct(F.array_compact(F.array(own, *cross, fallback)))).alias("key"))
+    there = [_tagged(f"source:{name}:", norm_source_id(_given(hits, c), name)) for c, name in PLATFORM_IDS.items()]
+    return normal.select("run_id", "seq", F.explode(F.array_distinct(F.array_compact(F.array(own, *cross, *there, fallback)))).alias("key"))
 
 
 def identity_groups(hits: DataFrame) -> DataFrame:
@@ -53,37 +67,39 @@ def _full(c: str) -> Column:
     return F.coalesce(F.trim(c) != "", F.lit(False)).cast("int")
 
 
-def _quality() -> list[Column]:
+def _quality(groups: DataFrame) -> list[Column]:
     formal = F.coalesce(F.col("paper_type").isin("article", "conference"), F.lit(False)).cast("int")
-    return [F.coalesce(F.col("doi") != "", F.lit(False)).cast("int"), formal, _full("abstract"), _full("venue"), _full("first_author"), F.lit(0)]
+    return [F.coalesce(F.col("doi") != "", F.lit(False)).cast("int"), formal, _full("abstract"), _full("venue"), _full("first_author"), F.coalesce(_given(groups, "open_access_url") != "", F.lit(False)).cast("int")]
 
 
 def canonical(groups: DataFrame) -> DataFrame:
     """(run_id, component, seq) of each group's canonical record, the earliest of the most complete ones."""
-    best = F.max_by("seq", F.struct(*_quality(), -F.col("seq")))
+    best = F.max_by("seq", F.struct(*_quality(groups), -F.col("seq")))
     return groups.groupBy("run_id", "component").agg(best.alias("seq"))
 
 
 def fuse_fields(groups: DataFrame) -> DataFrame:
-    """one row for each group, its fields merged from all its records."""
-    order = F.struct(*_quality(), -F.col("seq"))
+    """one row for each group, its fields merged from all its records; open access holds if one record says so."""
+    order = F.struct(*_quality(groups), -F.col("seq"))
     of_best = lambda c: F.max_by(c, order)
     first = lambda c: F.min_by(F.col(c), F.when(F.trim(c) != "", F.col("seq")))
     text = lambda c: F.trim(F.when(F.trim(of_best(c)) != "", of_best(c)).otherwise(first(c)))
     longest = F.max_by("abstract", F.struct(F.char_length(F.trim(F.coalesce("abstract", F.lit("")))), -F.col("seq")))
     kind = F.when(F.max(F.col("paper_type") == "article"), "article").when(F.max(F.col("paper_type") == "conference"), "conference").otherwise(F.min_by("paper_type", F.when(F.col("paper_type").isNotNull(), F.col("seq"))))
+    more = {c: text(c).alias(c) for c in (*PLATFORM_IDS, "open_access_url")} | {"is_open_access": F.max("is_open_access").alias("is_open_access"), "updated_at": F.max("updated_at").alias("updated_at")}
     return groups.groupBy("run_id", "component").agg(
-        of_best("paper_id").alias("paper_id"), of_best("title").alias("title"), F.coalesce(F.trim(longest), F.lit("")).alias("abstract"), F.coalesce(of_best("year"), F.min("year")).alias("year"), text("venue").alias("venue"),
+        *(e for c, e in more.items() if c in groups.columns), of_best("paper_id").alias("paper_id"), of_best("title").alias("title"), F.coalesce(F.trim(longest), F.lit("")).alias("abstract"), F.coalesce(of_best("year"), F.min("year")).alias("year"), text("venue").alias("venue"),
         text("doi").alias("doi"), text("arxiv_id").alias("arxiv_id"), text("pmid").alias("pmid"), F.max("citation_count").alias("citation_count"), kind.alias("paper_type"), F.count("*").alias("n_records"),
     )
 
 
 def provenance(groups: DataFrame) -> DataFrame:
-    """(run_id, component, source, external_id, best_rank, subqueries, first_seq), subqueries in order without repeats."""
-    each = groups.select("run_id", "component", "source", F.col("paper_id").alias("external_id"), "raw_rank", "seq", F.concat(F.lit("q"), F.col("round")).alias("subquery"))
-    once = each.groupBy("run_id", "component", "source", "external_id", "subquery").agg(F.min("seq").alias("at"), F.min("raw_rank").alias("rank"))
+    """(run_id, component, source, external_id, best_rank, subqueries, first_seq, fetched_at), subqueries in order
+    without repeats, and the latest fetch."""
+    each = groups.select("run_id", "component", "source", F.col("paper_id").alias("external_id"), "raw_rank", "seq", F.concat(F.lit("q"), F.col("round")).alias("subquery"), _given(groups, "fetched_at", "date").alias("fetched_at"))
+    once = each.groupBy("run_id", "component", "source", "external_id", "subquery").agg(F.min("seq").alias("at"), F.min("raw_rank").alias("rank"), F.max("fetched_at").alias("fetched_at"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "subquery"))), lambda x: x["subquery"])
-    return once.groupBy("run_id", "component", "source", "external_id").agg(F.min("rank").alias("best_rank"), listed.alias("subqueries"), F.min("at").alias("first_seq"))
+    return once.groupBy("run_id", "component", "source", "external_id").agg(F.min("rank").alias("best_rank"), listed.alias("subqueries"), F.min("at").alias("first_seq"), F.max("fetched_at").alias("fetched_at"))
 
 
 def merge_authors(authors: DataFrame) -> DataFrame:
@@ -112,7 +128,7 @@ def work_family(groups: DataFrame) -> DataFrame:
     """F8: (run_id, component, work_family_id) from all stable ids of a group, else its canonical record's source id."""
     ids = F.array_compact(F.array(_tagged("doi:", norm_doi("doi")), _tagged("arxiv:", norm_arxiv("arxiv_id")), _tagged("pmid:", norm_pmid("pmid"))))
     own = F.concat(F.lit("source:"), F.col("source"), F.lit(":"), norm_strong("paper_id"))
-    rows = groups.select("run_id", "component", "seq", ids.alias("ids"), own.alias("own"), F.struct(*_quality(), -F.col("seq")).alias("order"))
+    rows = groups.select("run_id", "component", "seq", ids.alias("ids"), own.alias("own"), F.struct(*_quality(groups), -F.col("seq")).alias("order"))
     keys = rows.groupBy("run_id", "component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("keys"), F.max_by("own", "order").alias("own"))
     seed = F.when(F.size("keys") > 0, F.array_join("keys", "|")).otherwise(F.col("own"))
     return keys.select("run_id", "component", F.concat(F.lit("work-"), F.substring(F.sha2(seed.cast("binary"), 256), 1, 16)).alias("work_family_id"))
@@ -134,11 +150,14 @@ def link_versions(fused: DataFrame) -> DataFrame:
 
 
 def rrf(prov: DataFrame, weights: dict[str, float] | None = None, k: float = RRF_K, rank: str = "best_rank") -> DataFrame:
-    """(run_id, component, rrf_score): over sources the weight divided by k + the best rank."""
+    """(run_id, component, rrf_score): over sources the weight divided by k + the best rank; k is positive, weights are finite
+    and not negative."""
+    if not k > 0 or any(not source.strip() or isinstance(w, bool) or not math.isfinite(w) or w < 0 for source, w in (weights or {}).items()):
+        raise ValueError("k must be positive, sources named, and weights finite and not negative")
     best = prov.where(F.col(rank).isNotNull()).groupBy("run_id", "component", F.lower("source").alias("source")).agg(F.min(rank).alias("rank"))
     weight = F.lit(1.0)
     for source, w in (weights or {}).items():
-        weight = F.when(F.col("source") == source.lower(), F.lit(float(w))).otherwise(weight)
+        weight = F.when(F.col("source") == source.strip().lower(), F.lit(float(w))).otherwise(weight)
     return best.groupBy("run_id", "component").agg(F.sum(weight / (F.lit(float(k)) + F.col("rank"))).alias("rrf_score"))
 
 
@@ -161,21 +180,21 @@ def dedup_first(papers: DataFrame, keys: list[str]) -> DataFrame:
     weak = rows.where("_strong is null")
     title = F.concat(F.nullif(norm_strong("title"), F.lit("")), F.lit("|"), F.col("year").cast("string"), F.lit("|"), F.nullif(norm_strong("first_author"), F.lit("")))
     held = weak.select(*keys, F.col("seq").alias("id"), F.explode(F.array_compact(F.array(_tagged("s:", F.concat("source", F.lit(":"), norm_strong("paper_id"))), _tagged("t:", title)))).alias("key"))
-    pairs = held.alias("x").join(held.select(*keys, "key", F.col("id").alias("b")).alias("y"), [*keys, "key"]).where("id > b").select(*keys, F.col("id").alias("a"), "b")
-    rest = greedy_keep(weak.select(*keys, F.col("seq").alias("id")), pairs, keys, "dedup").where("kept").select(*keys, F.col("id").alias("seq"))
+    rest = greedy_first(held, keys, "dedup").select(*keys, F.col("id").alias("seq"))
     return kept.unionByName(weak.join(rest, [*keys, "seq"], "left_semi").select(*papers.columns))
 
 
-def round_identity() -> Column:
-    """a record's identity across rounds: the first of its ids, trimmed and in lower case only."""
-    known = lambda tag, c: _tagged(tag, F.nullif(F.lower(F.trim(c)), F.lit("")))
-    return F.coalesce(known("doi:", "doi"), known("arxiv:", "arxiv_id"), known("pmid:", "pmid"), known("id:", "paper_id"))
+def round_identity(hits: DataFrame) -> Column:
+    """a record's identity across rounds: the first of its ids, trimmed and with folded case only."""
+    known = lambda tag, c: _tagged(tag, F.nullif(casefold(F.trim(_given(hits, c))), F.lit("")))
+    tags = {"doi": "doi:", "arxiv_id": "arxiv:", "pmid": "pmid:"} | {c: f"{name}:" for c, name in PLATFORM_IDS.items()} | {"paper_id": "id:"}
+    return F.coalesce(*(known(tag, c) for c, tag in tags.items()))
 
 
 def accumulate_rounds(hits: DataFrame) -> DataFrame:
     """(run_id, identity, first_round, first_seq, last_paper_id): the last record's value at the first one's place."""
     at = F.struct("round", "seq")
-    rows = hits.withColumn("identity", round_identity()).groupBy("run_id", "identity").agg(F.min(at).alias("first"), F.max_by("paper_id", at).alias("last_paper_id"))
+    rows = hits.withColumn("identity", round_identity(hits)).groupBy("run_id", "identity").agg(F.min(at).alias("first"), F.max_by("paper_id", at).alias("last_paper_id"))
     return rows.select("run_id", "identity", F.col("first.round").alias("first_round"), F.col("first.seq").alias("first_seq"), "last_paper_id")
 
 
@@ -188,7 +207,28 @@ def accumulate_sources(hits: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def aggregate_rounds(rounds: DataFrame) -> DataFrame:
-    """rounds (run_id, round, normalized, filtered, kept, error) summed; merged may not be negative."""
+    """rounds (run_id, round, normalized, filtered, kept, error) summed; merged may not be negative.
+
+    Where rounds have them, routes (arrays of sources) are joined in order without repeats, reasons (maps of counts) are
+    added up, and of errors (maps by source) each source's last one stays.
+    """
+    lists = _round_lists(rounds)
     sums = rounds.groupBy("run_id").agg(*(F.sum(c).alias(c) for c in ("normalized", "filtered", "kept")), F.max_by("error", F.when(F.col("error").isNotNull(), F.col("round"))).alias("error"), F.max("round").alias("rounds"))
     merged = F.col("normalized") - F.col("filtered") - F.col("kept")
-    return sums.withColumns({"merged": F.greatest(merged, F.lit(0)), "valid": merged >= 0})
+    out = sums.withColumns({"merged": F.greatest(merged, F.lit(0)), "valid": merged >= 0})
+    for more in lists:
+        out = out.join(more, "run_id", "left")
+    return out
+
+
+def _round_lists(rounds: DataFrame) -> list[DataFrame]:
+    """(run_id, column) of routes, reasons and errors, of those that rounds have."""
+    out = []
+    if "routes" in rounds.columns:
+        each = rounds.select("run_id", "round", F.posexplode("routes").alias("pos", "source")).groupBy("run_id", "source").agg(F.min(F.struct("round", "pos")).alias("at"))
+        out.append(each.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("routes")))
+    for c, value in (("reasons", F.sum("value")), ("errors", F.max_by("value", "round"))):
+        if c in rounds.columns:
+            each = rounds.select("run_id", "round", F.explode(c).alias("name", "value")).groupBy("run_id", "name").agg(value.alias("value"))
+            out.append(each.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(c)))
+    return out

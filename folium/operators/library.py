@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.norm import casefold
+from folium.operators.fusion import PLATFORM_IDS
 
 ACTIVE = ("pending", "running")
 INTERRUPTED = "interrupted: the process ended before the run did"
 
 
-def library_key() -> Column:
+def library_key(papers: DataFrame) -> Column:
     """L1: the first of a paper's ids, each with its kind; only DOI prefixes are taken off."""
-    bare = lambda c: F.nullif(casefold(F.trim(c)), F.lit(""))
+    bare = lambda c: F.nullif(casefold(F.trim(c)), F.lit("")) if c in papers.columns else F.lit(None).cast("string")
     doi = F.nullif(F.trim(F.regexp_replace(bare("doi"), r"^(?:https?://doi\.org/|doi:)", "")), F.lit(""))
     tagged = lambda tag, v: F.when(v.isNotNull(), F.concat(F.lit(tag), v))
-    return F.coalesce(tagged("doi:", doi), tagged("arxiv:", bare("arxiv_id")), tagged("pmid:", bare("pmid")), tagged("paper:", bare("paper_id")))
+    return F.coalesce(tagged("doi:", doi), tagged("arxiv:", bare("arxiv_id")), tagged("pmid:", bare("pmid")), *(tagged(f"{name}:", bare(c)) for c, name in PLATFORM_IDS.items()), tagged("paper:", bare("paper_id")))
 
 
 def fold_saves(log: DataFrame) -> DataFrame:

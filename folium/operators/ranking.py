@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from folium.functions.norm import norm_weak
 from folium.operators.filters import validate_evidence
 
 SEMANTIC_KEEP, PAIR_KEEP, WINDOW = 60, 24, 20
+OVER_FETCH = 5
 LEAST_RELEVANCE, HIGH_RELEVANCE = 0.35, 0.60
 
 
@@ -112,12 +114,14 @@ def sort_library(library: DataFrame, sort: str) -> DataFrame:
     return library.orderBy(*orders[sort])
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest active vectors of each query, by exact inner product.
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, over: int = OVER_FETCH) -> DataFrame:
+    """(query_id, vec_id, score, rank): the best k active ones among the k * over nearest vectors of each query, by
+    exact inner product; so a query can come up short, and shortfalls() says by how much.
 
-    Inactive vectors go before ranking, so no query comes up short. Queries go out in blocks of bounded size; a block
-    meets every batch of vectors in one matrix product, which sends on its own k best, merged by a window.
+    Queries go out in blocks of bounded size; a block meets every batch of vectors in one matrix product, which sends on
+    its own best ones, merged by a window.
     """
+    n = k * over
     qs = queries.select(F.col("query_id"), F.col("embedding").alias("q"))
     packed = qs.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, qs.count() // block + 1))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
     found = []
@@ -128,61 +132,63 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: in
             ids, matrix = shared.value
             for batch in batches:
                 if batch.num_rows:
-                    own = batch["vec_id"].to_numpy()
+                    own, status = batch["vec_id"].to_numpy(), batch["status"].to_numpy(zero_copy_only=False)
                     scores = np.round(matrix @ np.array(batch["embedding"].to_pylist(), np.float64).T, 10)
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
                     rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                    yield pa.record_batch([pa.array(ids[rows]), pa.array(own[order.ravel()]), pa.array(scores[rows, order.ravel()])], ["query_id", "vec_id", "score"])
+                    yield pa.record_batch([pa.array(ids[rows]), pa.array(own[order.ravel()]), pa.array(scores[rows, order.ravel()]), pa.array(status[order.ravel()], pa.string())], ["query_id", "vec_id", "score", "status"])
 
-        found.append(vectors.where("status = 'active'").select("vec_id", "embedding").mapInArrow(local, "query_id long, vec_id long, score double"))
+        found.append(vectors.select("vec_id", "embedding", "status").mapInArrow(local, "query_id long, vec_id long, score double, status string"))
     if not found:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    all_ = found[0]
-    for more in found[1:]:
-        all_ = all_.unionByName(more)
-    return top(all_, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    order = [F.desc("score"), F.asc("vec_id")]
+    nearest = top(functools.reduce(DataFrame.unionByName, found), ["query_id"], order, n, "_n")
+    return top(nearest.where("status = 'active'").drop("_n", "status"), ["query_id"], order, k)
 
 
-def term_search(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 100_000) -> DataFrame:
+def shortfalls(queries: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, missing) of queries with fewer than k hits."""
+    n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    return queries.select("query_id").distinct().join(n, "query_id", "left").select("query_id", (k - F.coalesce("n", F.lit(0))).alias("missing")).where("missing > 0")
+
+
+def _grams(word: Column, n: Column | int) -> Column:
+    """The distinct runs of n letters of a word; the word itself if it is no longer."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, n)))
+
+
+def term_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, id, score, rank): the share of a query's terms that stand in the text, best k; zero isn't listed.
 
-    corpus is (id, search_text) in lower case. Terms longer than one letter are found as substrings. The distinct terms of
-    all queries go out in blocks; one automaton finds all terms of a block in a text in one reading.
+    corpus is (id, search_text) in lower case with single spaces. Terms longer than one letter are found as substrings; as
+    they hold no space, a term stands in a text if it stands in one of its words. So the distinct words of the corpus meet
+    the distinct terms by the terms' first three letters (two, of a term of two), and the texts meet by their words.
     """
     terms = queries.select("query_id", F.array_distinct(F.filter(F.split(norm_weak("text"), " "), lambda t: F.length(t) > 1)).alias("terms")).where("size(terms) > 0")
     each = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    distinct = each.select("term").distinct()
-    blocks = distinct.count() // block + 1
-    packed = distinct.groupBy(F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("b")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    hits = None
-    for part in packed.toLocalIterator():
-        shared = queries.sparkSession.sparkContext.broadcast(part["terms"])
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for term in shared.value:
-                machine.add_word(term, term)
-            machine.make_automaton()
-            for batch in batches:
-                for i, text in zip(batch["id"].to_pylist(), batch["search_text"].to_pylist(), strict=True):
-                    if found := list({term for _, term in machine.iter(text or "")}):
-                        yield pa.record_batch([pa.array([i] * len(found), pa.int64()), pa.array(found)], ["id", "term"])
-
-        new = corpus.select("id", "search_text").mapInArrow(find, "id long, term string")
-        hits = new if hits is None else hits.unionByName(new)
-    if hits is None:
-        return queries.sparkSession.createDataFrame([], "query_id string, id long, score double, rank int")
+    heads = each.select("term").distinct().select("term", F.substring("term", 1, 3).alias("gram"))
+    held = corpus.select("id", F.explode(F.array_distinct(F.split("search_text", " "))).alias("word")).where("word <> ''")
+    words = held.select("word").distinct()
+    grams = words.select("word", F.explode(F.array_union(_grams(F.col("word"), 3), _grams(F.col("word"), 2))).alias("gram"))
+    found = grams.join(heads, "gram").where(F.contains("word", "term")).select("word", "term")
+    hits = held.join(found, "word").select("id", "term").distinct()
     scored = hits.join(each, "term").groupBy("query_id", "id").agg((F.count("*") / F.max("n")).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 def finalize(papers: DataFrame, vectors: DataFrame, queries: DataFrame, scores: DataFrame, assessments: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cascade of R1, R3 and R4, and the counts of each run's stages."""
+    """The cascade of R1, R3 and R4, and the counts of each run's stages.
+
+    A run without a query vector, or none of whose papers has a vector, goes on by R2's order; `fallback` says so. The
+    coverage of what is kept is coverage_report's (C4), which takes kept as its papers.
+    """
     one = rank_semantic(papers, vectors, queries)
-    two = rank_pair(one.drop("rank").join(scores.select("run_id", "paper_id", "pair_score"), ["run_id", "paper_id"], "left"))
+    left = rank_rrf(papers.join(one.select("run_id").distinct(), "run_id", "left_anti")).withColumn("semantic_score", F.lit(None).cast("double"))
+    both = one.withColumn("ranking_note", F.lit(None).cast("string")).unionByName(left)
+    two = rank_pair(both.drop("rank").join(scores.select("run_id", "paper_id", "pair_score"), ["run_id", "paper_id"], "left"))
     kept, counts = rank_assessed(two.withColumnRenamed("rank", "position"), assessments, targets)
     n = lambda df, name: df.groupBy("run_id").agg(F.count("*").alias(name))
-    stages = n(papers, "n_candidates").join(n(one, "n_semantic"), "run_id", "left").join(n(two, "n_pair"), "run_id", "left").join(n(kept, "n_final"), "run_id", "left").join(counts, "run_id", "left").na.fill(0)
-    return kept, stages
+    stages = n(papers, "n_candidates").join(n(both, "n_semantic"), "run_id", "left").join(n(two, "n_pair"), "run_id", "left").join(n(kept, "n_final"), "run_id", "left").join(counts, "run_id", "left").na.fill(0)
+    noted = left.groupBy("run_id").agg(F.lit(True).alias("fallback"))
+    return kept, stages.join(noted, "run_id", "left").withColumn("fallback", F.coalesce("fallback", F.lit(False)))

@@ -30,7 +30,13 @@ SELECT d.doc_id AS seq, concat('doc:', d.doc_id) AS paper_id,
   CASE WHEN d.doc_id % 5 = 0 THEN concat('pmid:', 10000000 + d.n_chars) END AS pmid,
   CAST(d.n_chars % 500 AS INT) AS citation_count,
   CASE d.doc_id % 4 WHEN 0 THEN 'article' WHEN 1 THEN 'preprint'
-    WHEN 2 THEN 'conference' END AS paper_type
+    WHEN 2 THEN 'conference' END AS paper_type,
+  CASE WHEN d.doc_id % 7 < 3 THEN concat('https://openalex.org/W', substr(md5(d.text), 1, 10), '/') END AS openalex_id,
+  CASE WHEN d.doc_id % 7 IN (2, 3) THEN concat('https://www.semanticscholar.org/paper/x/', substr(md5(d.text), 1, 10)) END AS semantic_scholar_id,
+  CASE WHEN d.doc_id % 7 IN (4, 5) THEN concat('https://dblp.org/rec/', substr(md5(d.text), 1, 10), '.html') END AS dblp_key,
+  CASE WHEN d.doc_id % 8 = 0 THEN concat('https://oa.example/', d.doc_id) END AS open_access_url,
+  CASE WHEN d.doc_id % 3 > 0 THEN d.doc_id % 2 = 0 END AS is_open_access,
+  CAST(DATE '2024-01-01' + CAST(d.doc_id % 300 AS INT) AS DATE) AS updated_at, CAST(DATE '2024-06-01' + CAST(d.doc_id % 90 AS INT) AS DATE) AS fetched_at
 FROM documents d
 """,
     "fx_hits": r"""

@@ -64,9 +64,16 @@ def f12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounds = query(spark, sf_dir, "SELECT run_id, round, count(*) AS normalized, count_if(year IS NULL) AS filtered, count(DISTINCT coalesce(doi, paper_id)) - count_if(year IS NULL) AS kept, max(CASE WHEN seq % 17 = 0 THEN concat('e', seq) END) AS error FROM fx_hits GROUP BY run_id, round")
-    return f.aggregate_rounds(rounds)
+    by_source = query(spark, sf_dir, "SELECT run_id, round, source, min(seq) AS at, count_if(year IS NULL) AS n, max(CASE WHEN seq % 17 = 0 THEN concat('e', seq) END) AS e FROM fx_hits GROUP BY run_id, round, source")
+    entries = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("source", value)))))
+    lists = by_source.groupBy("run_id", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("routes"), entries(F.col("n")).alias("reasons"), entries(F.col("e")).alias("errors"))
+    out = f.aggregate_rounds(rounds.join(lists, ["run_id", "round"]))
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.withColumns({"routes": F.array_join("routes", ","), "reasons": shown("reasons"), "errors": F.coalesce(shown("errors"), F.lit(""))})
 
 
+#: Columns that are fused like the ids.
+_MORE = ("openalex_id", "semantic_scholar_id", "dblp_key", "open_access_url")
 _LIST = "array_to_string(list(x ORDER BY o_), '|')"
 
 QUERIES = {
@@ -124,17 +131,18 @@ QUERIES = {
         lambda spark, d: f.fuse_fields(groups(spark, d)).withColumn("abstract", F.sha2("abstract", 256)),
         f"""WITH RECURSIVE {s.GROUPS}, r AS (
           SELECT run_id, component, max(citation_count) AS citation_count, count(*) AS n_records, min(year) AS y, arg_max(trim(coalesce(abstract, '')), ROW(length(trim(coalesce(abstract, ''))), -seq)) AS a,
-            arg_min(trim(venue), seq) FILTER (trim(venue) <> '') AS v, arg_min(trim(doi), seq) FILTER (trim(doi) <> '') AS d, arg_min(trim(arxiv_id), seq) FILTER (trim(arxiv_id) <> '') AS x, arg_min(trim(pmid), seq) FILTER (trim(pmid) <> '') AS p,
+            arg_min(trim(venue), seq) FILTER (trim(venue) <> '') AS v, arg_min(trim(doi), seq) FILTER (trim(doi) <> '') AS d, arg_min(trim(arxiv_id), seq) FILTER (trim(arxiv_id) <> '') AS x, arg_min(trim(pmid), seq) FILTER (trim(pmid) <> '') AS p, bool_or(is_open_access) AS is_open_access, max(updated_at) AS updated_at,
+            {', '.join(f"arg_min(trim({c}), seq) FILTER (trim({c}) <> '') AS f_{c}" for c in _MORE)},
             CASE WHEN bool_or(paper_type = 'article') THEN 'article' WHEN bool_or(paper_type = 'conference') THEN 'conference' ELSE arg_min(paper_type, seq) FILTER (paper_type IS NOT NULL) END AS paper_type
           FROM g GROUP BY ALL)
         SELECT r.run_id, r.component, g.paper_id, g.title, sha256(r.a) AS abstract, coalesce(g.year, r.y) AS year, coalesce(nullif(trim(g.venue), ''), r.v) AS venue, coalesce(nullif(trim(g.doi), ''), r.d) AS doi,
-          coalesce(nullif(trim(g.arxiv_id), ''), r.x) AS arxiv_id, coalesce(nullif(trim(g.pmid), ''), r.p) AS pmid, r.citation_count, r.paper_type, r.n_records
+          coalesce(nullif(trim(g.arxiv_id), ''), r.x) AS arxiv_id, coalesce(nullif(trim(g.pmid), ''), r.p) AS pmid, r.citation_count, r.paper_type, r.n_records, r.is_open_access, r.updated_at, {', '.join(f"coalesce(nullif(trim(g.{c}), ''), r.f_{c}) AS {c}" for c in _MORE)}
         FROM r JOIN g ON g.run_id = r.run_id AND g.component = r.component AND g.best = 1""",
     ),
     "f5_provenance": (
         lambda spark, d: f.provenance(groups(spark, d)).withColumn("subqueries", F.array_join("subqueries", ",")),
-        f"""WITH RECURSIVE {s.GROUPS}, o AS (SELECT run_id, component, source, paper_id, concat('q', round) AS q, min(seq) AS o_, min(raw_rank) AS rank FROM g GROUP BY ALL)
-        SELECT run_id, component, source, paper_id AS external_id, min(rank) AS best_rank, string_agg(q, ',' ORDER BY o_) AS subqueries, min(o_) AS first_seq FROM o GROUP BY run_id, component, source, paper_id""",
+        f"""WITH RECURSIVE {s.GROUPS}, o AS (SELECT run_id, component, source, paper_id, concat('q', round) AS q, min(seq) AS o_, min(raw_rank) AS rank, max(fetched_at) AS fetched FROM g GROUP BY ALL)
+        SELECT run_id, component, source, paper_id AS external_id, min(rank) AS best_rank, string_agg(q, ',' ORDER BY o_) AS subqueries, min(o_) AS first_seq, max(fetched) AS fetched_at FROM o GROUP BY run_id, component, source, paper_id""",
     ),
     "f6_merge_authors": (
         f6,
@@ -159,9 +167,9 @@ QUERIES = {
         SELECT g.run_id, g.component, concat('work-', substr(sha256(coalesce(ks, concat('source:', source, ':', {s.strong('paper_id')}))), 1, 16)) AS work_family_id FROM g LEFT JOIN j ON j.run_id = g.run_id AND j.component = g.component WHERE g.best = 1""",
     ),
     "f9_link_versions": (
-        lambda spark, d: f.link_versions(query(spark, d, "SELECT run_id, seq AS component, substr(title, 1, 4) AS title, 'A' AS first_author, coalesce(year, 2000) AS year, paper_type, paper_id AS work_family_id FROM fx_papers")).select("run_id", "component", "version_family_id"),
-        f"""WITH p AS (SELECT run_id, seq AS component, concat({s.strong('substr(title, 1, 4)')}, '|a') AS k, coalesce(year, 2000) AS year, paper_type AS pt, paper_id FROM fx_papers),
-        t AS (SELECT run_id, k FROM p WHERE pt IN ('article', 'conference', 'preprint') AND k <> '|a' GROUP BY ALL HAVING bool_or(pt = 'preprint') AND bool_or(pt <> 'preprint') AND max(year) - min(year) <= 2)
+        lambda spark, d: f.link_versions(query(spark, d, "SELECT run_id, seq AS component, concat(lang, ' ', coalesce(venue, 'none')) AS title, first_author, coalesce(year, 2000) AS year, paper_type, paper_id AS work_family_id FROM fx_papers")).select("run_id", "component", "version_family_id"),
+        f"""WITH p AS (SELECT run_id, seq AS component, concat({s.strong("concat(lang, ' ', coalesce(venue, 'none'))")}, '|', {s.strong('first_author')}) AS k, coalesce(year, 2000) AS year, paper_type AS pt, paper_id FROM fx_papers),
+        t AS (SELECT run_id, k FROM p WHERE pt IN ('article', 'conference', 'preprint') GROUP BY ALL HAVING bool_or(pt = 'preprint') AND bool_or(pt <> 'preprint') AND max(year) - min(year) <= 2)
         SELECT p.run_id, p.component, CASE WHEN t.k IS NULL OR pt IS NULL THEN p.paper_id ELSE concat('work-', substr(sha256(concat('version:', t.k)), 1, 16)) END AS version_family_id FROM p LEFT JOIN t ON t.run_id = p.run_id AND t.k = p.k""",
     ),
     "f10_rrf": (
@@ -183,7 +191,7 @@ QUERIES = {
     ),
     "f13_accumulate_rounds": (
         lambda spark, d: f.accumulate_rounds(view(spark, d, "fx_hits")),
-        """WITH h AS (SELECT *, CASE WHEN trim(doi) <> '' THEN concat('doi:', lower(trim(doi))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) ELSE concat('id:', lower(trim(paper_id))) END AS identity FROM fx_hits),
+        """WITH h AS (SELECT *, CASE WHEN trim(doi) <> '' THEN concat('doi:', lower(trim(doi))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) WHEN trim(openalex_id) <> '' THEN concat('openalex:', lower(trim(openalex_id))) WHEN trim(semantic_scholar_id) <> '' THEN concat('semantic_scholar:', lower(trim(semantic_scholar_id))) WHEN trim(dblp_key) <> '' THEN concat('dblp:', lower(trim(dblp_key))) ELSE concat('id:', lower(trim(paper_id))) END AS identity FROM fx_hits),
         o AS (SELECT *, row_number() OVER (PARTITION BY run_id, identity ORDER BY round, seq) AS a, row_number() OVER (PARTITION BY run_id, identity ORDER BY round DESC, seq DESC) AS z FROM h)
         SELECT x.run_id, x.identity, x.round AS first_round, x.seq AS first_seq, y.paper_id AS last_paper_id FROM o x JOIN o y ON y.run_id = x.run_id AND y.identity = x.identity AND x.a = 1 AND y.z = 1""",
     ),
@@ -193,8 +201,11 @@ QUERIES = {
     ),
     "f15_aggregate_rounds": (
         f15,
-        """WITH r AS (SELECT run_id, round, count(*) AS n, count_if(year IS NULL) AS fi, count(DISTINCT coalesce(doi, paper_id)) - count_if(year IS NULL) AS k, max(CASE WHEN seq % 17 = 0 THEN concat('e', seq) END) AS error FROM fx_hits GROUP BY run_id, round)
-        SELECT run_id, CAST(sum(n) AS BIGINT) AS normalized, CAST(sum(fi) AS BIGINT) AS filtered, CAST(sum(k) AS BIGINT) AS kept, arg_max(error, round) FILTER (error IS NOT NULL) AS error, max(round) AS rounds,
-          CAST(greatest(sum(n) - sum(fi) - sum(k), 0) AS BIGINT) AS merged, sum(n) - sum(fi) - sum(k) >= 0 AS valid FROM r GROUP BY run_id""",
+        """WITH r AS (SELECT run_id, round, count(*) AS n, count_if(year IS NULL) AS fi, count(DISTINCT coalesce(doi, paper_id)) - count_if(year IS NULL) AS k, max(CASE WHEN seq % 17 = 0 THEN concat('e', seq) END) AS error FROM fx_hits GROUP BY run_id, round),
+        b AS (SELECT run_id, round, source, min(seq) AS a, count_if(year IS NULL) AS n, max(CASE WHEN seq % 17 = 0 THEN concat('e', seq) END) AS e FROM fx_hits GROUP BY run_id, round, source),
+        c AS (SELECT run_id, source, min(ROW(round, a)) AS o_, sum(n) AS n, arg_max(e, round) FILTER (e IS NOT NULL) AS e FROM b GROUP BY run_id, source),
+        d AS (SELECT run_id, string_agg(source, ',' ORDER BY o_) AS routes, string_agg(concat(source, '=', n), ',' ORDER BY source) AS reasons, coalesce(string_agg(concat(source, '=', e), ',' ORDER BY source) FILTER (e IS NOT NULL), '') AS errors FROM c GROUP BY run_id)
+        SELECT r.run_id, CAST(sum(r.n) AS BIGINT) AS normalized, CAST(sum(fi) AS BIGINT) AS filtered, CAST(sum(k) AS BIGINT) AS kept, arg_max(error, round) FILTER (error IS NOT NULL) AS error, max(round) AS rounds,
+          CAST(greatest(sum(r.n) - sum(fi) - sum(k), 0) AS BIGINT) AS merged, sum(r.n) - sum(fi) - sum(k) >= 0 AS valid, any_value(routes) AS routes, any_value(reasons) AS reasons, any_value(errors) AS errors FROM r JOIN d ON d.run_id = r.run_id GROUP BY r.run_id""",
     ),
 }

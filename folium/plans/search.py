@@ -89,11 +89,11 @@ def _gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    rows = results(spark, d).withColumn("identity", fusion.round_identity()).select("run_id", "round", "seq", "identity", "source", "title", "abstract", "venue", "paper_type", "year", "status", "relevance")
+    rows = results(spark, d).withColumn("identity", fusion.round_identity(results(spark, d))).select("run_id", "round", "seq", "identity", "source", "title", "abstract", "venue", "paper_type", "year", "status", "relevance")
     return c.replay_rounds(rows, intents(spark, d)).withColumn("marginal_gain", F.round("marginal_gain", 8))
 
 
-_C6 = """WITH h AS (SELECT *, CASE WHEN trim(doi) <> '' THEN concat('doi:', lower(trim(doi))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) ELSE concat('id:', lower(trim(paper_id))) END AS ident FROM fx_results),
+_C6 = """WITH h AS (SELECT *, CASE WHEN trim(doi) <> '' THEN concat('doi:', lower(trim(doi))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) WHEN trim(openalex_id) <> '' THEN concat('openalex:', lower(trim(openalex_id))) WHEN trim(semantic_scholar_id) <> '' THEN concat('semantic_scholar:', lower(trim(semantic_scholar_id))) WHEN trim(dblp_key) <> '' THEN concat('dblp:', lower(trim(dblp_key))) ELSE concat('id:', lower(trim(paper_id))) END AS ident FROM fx_results),
   o AS (SELECT *, min(round) OVER (PARTITION BY run_id, ident) AS first_round, row_number() OVER (PARTITION BY run_id, ident ORDER BY round DESC, seq DESC) AS z FROM h),
   rd AS (SELECT i.*, r.round FROM fx_intents i, (SELECT CAST(unnest([1, 2, 3]) AS INT) AS round) r),
   s AS (SELECT rd.run_id, rd.round, o.first_round, o.year, coalesce(o.status = 'satisfied', false) AS high, coalesce(o.status = 'uncertain', false) AS partial, replace(lower(concat_ws(chr(10), o.title, o.abstract, o.venue, o.paper_type)), 'ß', 'ss') AS txt FROM o JOIN rd ON rd.run_id = o.run_id AND o.first_round <= rd.round WHERE o.z = 1),
@@ -139,8 +139,8 @@ QUERIES = {
         f"WITH q AS ({REQUESTS}) SELECT request_id, x.seq FROM q JOIN fx_results x ON x.run_id = q.run_id AND (q.source IS NULL OR x.source = q.source) AND (q.status IS NULL OR x.status = q.status) AND (q.year_from IS NULL OR x.year >= q.year_from) AND (q.year_to IS NULL OR x.year <= q.year_to)",
     ),
     "p6_validate_evidence": (
-        lambda spark, d: p.validate_evidence(query(spark, d, "SELECT 'all' AS run_id, doc_id AS paper_id, text AS abstract FROM documents"), query(spark, d, "SELECT 'all' AS run_id, d.doc_id AS paper_id, array(upper(b.text), b.text, 'no such passage') AS evidence, b.item_id FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id")).select("paper_id", "item_id", F.size("valid_evidence").alias("n")),
-        "SELECT d.doc_id AS paper_id, b.item_id, CASE WHEN contains(lower(d.text), lower(trim(b.text))) THEN CASE WHEN upper(trim(b.text)) = trim(b.text) THEN 1 ELSE 2 END ELSE 0 END AS n FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id",
+        lambda spark, d: p.validate_evidence(query(spark, d, "SELECT 'all' AS run_id, doc_id AS paper_id, text AS abstract FROM documents"), query(spark, d, "SELECT 'all' AS run_id, d.doc_id AS paper_id, array(upper(b.text), b.text, 'no such passage') AS evidence, b.item_id FROM benchmark b JOIN (SELECT doc_id, text, doc_id % (SELECT count(*) FROM benchmark) AS item FROM documents) d ON d.item = b.item_id")).select("paper_id", "item_id", F.size("valid_evidence").alias("n")),
+        "SELECT d.doc_id AS paper_id, b.item_id, CASE WHEN contains(lower(d.text), lower(trim(b.text))) THEN CASE WHEN upper(trim(b.text)) = trim(b.text) THEN 1 ELSE 2 END ELSE 0 END AS n FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id",
     ),
     "p7_invalid_intents": (
         lambda spark, d: p.invalid_intents(wide_intents(spark, d)).withColumn("errors", F.array_join("errors", ",")),
@@ -188,12 +188,12 @@ QUERIES = {
         z AS (SELECT *, least(page, greatest(CAST(ceil(total / page_size) AS BIGINT), 1)) AS shown_page FROM k) SELECT request_id, paper_id, "at", total, shown_page FROM z WHERE "at" > (shown_page - 1) * page_size AND "at" <= shown_page * page_size""",
     ),
     "r9_vector_search": (
-        lambda spark, d: r.vector_search(query(spark, d, "SELECT vec_id AS query_id, embedding FROM fx_vectors WHERE vec_id < 5"), view(spark, d, "fx_vectors"), 20),
-        "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 10) AS score FROM fx_vectors v JOIN fx_vectors q ON q.vec_id < 5 AND v.status = 'active'), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 20",
+        lambda spark, d: r.vector_search(query(spark, d, "SELECT vec_id AS query_id, embedding FROM fx_vectors WHERE vec_id % 50 = 0"), view(spark, d, "fx_vectors"), 20),
+        "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.status, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 10) AS score FROM fx_vectors v JOIN fx_vectors q ON q.vec_id % 50 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s), k AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM o WHERE n <= 100 AND status = 'active') SELECT * FROM k WHERE rank <= 20",
     ),
     "r10_term_search": (
-        lambda spark, d: r.term_search(query(spark, d, "SELECT concat(conv_id, '-', turn) AS query_id, substr(text, 1, 60) AS text FROM conversations WHERE role = 'user' AND conv_id % 10 = 0"), query(spark, d, "SELECT doc_id AS id, text FROM documents").select("id", norm_weak("text").alias("search_text"))).withColumn("score", F.round("score", 8)),
-        """WITH q AS (SELECT concat(conv_id, '-', turn) AS query_id, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(substr(text, 1, 60)), 'ß', 'ss'), '\\s+', ' ', 'g')), ' '), lambda t: length(t) > 1)) AS ts FROM conversations WHERE role = 'user' AND conv_id % 10 = 0),
+        lambda spark, d: r.term_search(query(spark, d, "SELECT concat(conv_id, '-', turn) AS query_id, text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0"), query(spark, d, "SELECT doc_id AS id, text FROM documents").select("id", norm_weak("text").alias("search_text"))).withColumn("score", F.round("score", 8)),
+        """WITH q AS (SELECT concat(conv_id, '-', turn) AS query_id, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')), ' '), lambda t: length(t) > 1)) AS ts FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
         t AS (SELECT query_id, len(ts) AS n, unnest(ts) AS term FROM q), c AS (SELECT doc_id AS id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS x FROM documents),
         u AS (SELECT term, c.id FROM (SELECT DISTINCT term FROM t) w JOIN c ON contains(c.x, w.term)), s AS (SELECT query_id, u.id, round(count(*) / max(n), 8) AS score FROM t JOIN u ON u.term = t.term GROUP BY query_id, u.id),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10""",

@@ -79,8 +79,8 @@ def i12(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "l1_library_key": (
-        lambda spark, d: view(spark, d, "fx_papers").select("seq", lib.library_key().alias("k")),
-        "SELECT seq, CASE WHEN trim(doi) <> '' THEN concat('doi:', trim(regexp_replace(lower(trim(doi)), '^(https?://doi\\.org/|doi:)', ''))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) ELSE concat('paper:', lower(trim(paper_id))) END AS k FROM fx_papers",
+        lambda spark, d: view(spark, d, "fx_papers").select("seq", lib.library_key(view(spark, d, "fx_papers")).alias("k")),
+        "SELECT seq, CASE WHEN trim(doi) <> '' THEN concat('doi:', trim(regexp_replace(lower(trim(doi)), '^(https?://doi\\.org/|doi:)', ''))) WHEN trim(arxiv_id) <> '' THEN concat('arxiv:', lower(trim(arxiv_id))) WHEN trim(pmid) <> '' THEN concat('pmid:', lower(trim(pmid))) WHEN trim(openalex_id) <> '' THEN concat('openalex:', lower(trim(openalex_id))) WHEN trim(semantic_scholar_id) <> '' THEN concat('semantic_scholar:', lower(trim(semantic_scholar_id))) WHEN trim(dblp_key) <> '' THEN concat('dblp:', lower(trim(dblp_key))) ELSE concat('paper:', lower(trim(paper_id))) END AS k FROM fx_papers",
     ),
     "l2_fold_saves": (
         lambda spark, d: lib.fold_saves(log(spark, d).where("action = 'save'")).withColumn("tags", F.array_join("tags", ",")),
