@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folium.functions.norm import casefold, collapse
 from folium.operators.components import greedy_keep
+from folium.sources.store import saved
 
-#: The domains that add sources to a route.
+#: The domains that add sources to a route; sets, whose order has no meaning.
 COMPUTING = ("ai", "artificial intelligence", "computer science", "computer vision", "cs", "data mining", "machine learning", "natural language processing", "nlp", "software engineering")
 BIOMEDICAL = ("biology", "biomedical", "biomedicine", "clinical medicine", "drug discovery", "epidemiology", "genetics", "health", "life science", "life sciences", "medical", "medicine", "neuroscience", "pharmacology", "public health")
 QUERYABLE = ("must_include", "dataset", "method")
@@ -175,20 +176,44 @@ def accept_queries(candidates: DataFrame, known: DataFrame, per_gap: int | None
     """Candidates (run_id, gap, pos, query) with accepted, in the order of pos within a run.
 
     One goes if it has no token, or is too similar to a known query (run_id, query) or to an accepted one before it. With
-    per_gap, gaps take their first per_gap ones, gap by gap, so that what one accepts binds the next.
+    per_gap, gaps take their first per_gap ones, gap by gap in the order of their first pos, so that only what was really
+    accepted binds later gaps; there is a round for each gap of a run, not for each query.
     """
     all_ = known.select("run_id", (-F.row_number().over(Window.partitionBy("run_id").orderBy("query"))).cast("long").alias("pos"), "query").unionByName(candidates.select("run_id", F.col("pos").cast("long").alias("pos"), "query"))
-    pairs = similar_queries(all_, t)
+    pairs = saved(similar_queries(all_, t), "similar-queries")
     against = pairs.where("a > 0 and b < 0").select("run_id", F.col("a").alias("pos")).distinct()
-    empty = F.size(query_tokens("query")) == 0
-    live = candidates.where(~empty).join(against, ["run_id", "pos"], "left_anti")
-    among = pairs.where("a > 0 and b > 0").join(live.select("run_id", F.col("pos").alias("a")), ["run_id", "a"], "left_semi").join(live.select("run_id", F.col("pos").alias("b")), ["run_id", "b"], "left_semi")
-    kept = greedy_keep(live.select("run_id", F.col("pos").cast("long").alias("id")), among, ["run_id"], "queries").where("kept").select("run_id", F.col("id").alias("pos"), F.lit(True).alias("_kept"))
-    out = candidates.withColumn("pos", F.col("pos").cast("long")).join(kept, ["run_id", "pos"], "left").withColumn("accepted", F.coalesce("_kept", F.lit(False))).drop("_kept")
+    live = candidates.where(F.size(query_tokens("query")) > 0).select("run_id", "gap", F.col("pos").cast("long").alias("pos")).join(against, ["run_id", "pos"], "left_anti")
+    among = pairs.where("a > 0 and b > 0").select("run_id", "a", "b")
+    side = lambda df, c: df.select("run_id", F.col("pos").alias(c))
+    greedy = lambda rows: greedy_keep(rows.select("run_id", F.col("pos").alias("id")), among.join(side(rows, "a"), ["run_id", "a"], "left_semi").join(side(rows, "b"), ["run_id", "b"], "left_semi"), ["run_id"], "queries").where("kept").select("run_id", F.col("id").alias("pos"))
     if per_gap is None:
-        return out
-    order = Window.partitionBy("run_id", "gap", "accepted").orderBy("pos")
-    return out.withColumn("accepted", F.col("accepted") & (F.row_number().over(order) <= per_gap))
+        kept = greedy(live)
+    else:
+        first = candidates.groupBy("run_id", "gap").agg(F.min("pos").alias("at")).withColumn("turn", F.row_number().over(Window.partitionBy("run_id").orderBy("at")))
+        live = saved(live.join(first.select("run_id", "gap", "turn"), ["run_id", "gap"]), "live-queries")
+        kept = None
+        for turn in range(1, (live.agg(F.max("turn")).first()[0] or 0) + 1):
+            rows = live.where(F.col("turn") == turn)
+            if kept is not None:
+                bound = among.join(side(kept, "b"), ["run_id", "b"], "left_semi").select("run_id", F.col("a").alias("pos"))
+                rows = rows.join(bound, ["run_id", "pos"], "left_anti")
+            new = greedy(rows).withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))).where(F.col("_r") <= per_gap).drop("_r")
+            kept = saved(new if kept is None else kept.unionByName(new), "accepted-queries")
+        kept = side(live, "pos").limit(0) if kept is None else kept
+    kept = kept.withColumn("_kept", F.lit(True))
+    return candidates.withColumn("pos", F.col("pos").cast("long")).join(kept, ["run_id", "pos"], "left").withColumn("accepted", F.coalesce("_kept", F.lit(False))).drop("_kept")
+
+
+def evolution_report(gaps: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(run_id, n_generated, n_skipped, warnings) of gaps (run_id, gap, gap_type, constraint) and accept_queries's rows.
+
+    A gap that no query can close is left to the controller; one without an accepted query has nothing new to ask.
+    """
+    n = accepted.where("accepted").groupBy("run_id", "gap").agg(F.count("*").alias("n"))
+    rows = gaps.join(n, ["run_id", "gap"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    warning = F.when(~F.col("gap_type").isin(*QUERYABLE), F.concat(F.col("constraint"), F.lit(": left to the controller"))).when(F.col("n") == 0, F.concat(F.col("constraint"), F.lit(": no new query")))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("gap", "w")))), lambda x: x["w"])
+    return rows.withColumn("w", warning).groupBy("run_id").agg(F.sum("n").alias("n_generated"), F.count("w").alias("n_skipped"), listed.alias("warnings"))
 
 
 def gate_proposals(proposals: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:

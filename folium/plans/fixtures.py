@@ -94,9 +94,9 @@ FROM events
 """,
     "fx_graph_edges": r"""
 SELECT run_id, src, dst FROM (
-  SELECT CAST(floor(l_orderkey / 50.0) AS BIGINT) % 8 AS run_id, l_partkey AS src,
+  SELECT CAST(floor(l_orderkey / 200.0) AS BIGINT) AS run_id, l_partkey AS src,
     lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS dst
-  FROM lineitem WHERE l_orderkey % 50 = 0) e
+  FROM lineitem) e
 WHERE dst IS NOT NULL
 """,
     "fx_graph_nodes": r"""

@@ -227,8 +227,12 @@ QUERIES = {
     ),
     "j8_similar_queries": (lambda spark, d: c.similar_queries(_turns(spark, d)).withColumn("similarity", F.round("similarity", 8)), f"WITH {_SIM} SELECT run_id, a, b, round(similarity, 8) AS similarity FROM sim"),
     "c10_accept_queries": (
-        lambda spark, d: c.accept_queries(_turns(spark, d).withColumn("gap", F.lit(1)), _turns(spark, d).where("run_id % 4 = 0 and pos = 1").select("run_id", "query")).select("run_id", "pos", "accepted"),
-        None,
+        lambda spark, d: c.accept_queries(_turns(spark, d).withColumn("gap", F.floor(F.col("pos") / 5)), _turns(spark, d).where("run_id % 4 = 0 and pos = 1").select("run_id", "query"), 1).select("run_id", "gap", "pos", "accepted"),
+        f"""WITH RECURSIVE {_SIM}, c AS (SELECT k.run_id, k.pos, CAST(floor(k.pos / 5) AS BIGINT) AS gap, row_number() OVER (PARTITION BY k.run_id ORDER BY k.pos) AS rn, len(k.w) = 0 OR (k.run_id % 4 = 0 AND (k.pos = 1 OR EXISTS (SELECT 1 FROM sim WHERE sim.run_id = k.run_id AND sim.a = k.pos AND sim.b = 1))) AS bad,
+          (SELECT coalesce(list(sim.b), []) FROM sim WHERE sim.run_id = k.run_id AND sim.a = k.pos) AS bs FROM k),
+        g(run_id, rn, gap, pos, n, acc, accepted) AS (SELECT run_id, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[], false FROM (SELECT DISTINCT run_id FROM c) q UNION ALL
+          SELECT s.run_id, s.rn, s.gap, s.pos, s.n + s.ok::BIGINT, CASE WHEN s.ok THEN list_append(s.acc, s.pos) ELSE s.acc END, s.ok FROM (SELECT c.run_id, c.rn, c.gap, c.pos, CASE WHEN c.gap = g.gap THEN g.n ELSE 0 END AS n, g.acc, NOT c.bad AND NOT list_has_any(g.acc, c.bs) AND (c.gap <> g.gap OR g.n < 1) AS ok FROM g JOIN c ON c.run_id = g.run_id AND c.rn = g.rn + 1) s)
+        SELECT run_id, gap, pos, accepted FROM g WHERE rn > 0""",
     ),
     "c11_gate_proposals": (
         lambda spark, d: c.gate_proposals(_turns(spark, d).select("run_id", ((F.col("pos") + 1) / 2).cast("int").alias("pos"), "query", F.when(F.col("run_id") % 3 == 0, "de").otherwise("en").alias("language")), _turns(spark, d), _turns(spark, d).where("pos = 1 and run_id % 2 = 0").select("run_id", "query")),

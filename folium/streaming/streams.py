@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -94,8 +95,11 @@ def cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     every step doubles the distance that known misses reach, so steps grow with the logarithm of misses a key.
     """
     times = requests.select("key", "t").distinct()
-    later = F.min("t").over(Window.partitionBy("key").orderBy("t").rangeBetween(ttl, Window.unboundedFollowing))
-    jump = saved(times.withColumn("to", later).where("to is not null"), "jumps")
+    # Each time t asks for the first one at t + ttl or later: times and questions in one descending order, read once.
+    asked = times.select("key", "t", F.col("t").alias("x"), F.lit(1).alias("real")).unionByName(times.select("key", "t", (F.col("t") + ttl).alias("x"), F.lit(0).alias("real")))
+    before_it = Window.partitionBy("key").orderBy(F.desc("x"), F.desc("real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = F.last(F.when(F.col("real") == 1, F.col("t")), ignorenulls=True).over(before_it)
+    jump = saved(asked.withColumn("to", later).where("real = 0 and to is not null").select("key", "t", "to"), "jumps")
     misses = saved(times.groupBy("key").agg(F.min("t").alias("t")), "misses")
     before = -1
     while (now := misses.count()) != before:
@@ -112,18 +116,23 @@ class FusionState:
     """Identity groups kept up to date batch by batch, in append-only logs of labels and keys below path.
 
     A batch joins the keys it shares with earlier ones; only components that it touches are labelled anew, with the
-    smallest seq of all that they now hold, so the state after any order of batches is that of one batch.
+    smallest seq of all that they now hold, so the state after any order of batches is that of one batch. A new object on
+    a path goes on from the logs there. A batch that failed between its two appends is run again with the same version:
+    its rows are then appended once more, with the same values.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.labels_schema, self.keys_schema = "run_id string, seq long, component long, version long", "run_id string, key string, component long, version long"
-        self.empty = True
 
     def _log(self, name: str, schema: str, keys: list[str]) -> DataFrame:
-        if self.empty:
+        try:
+            log = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return latest(self.spark.read.schema(schema).parquet(f"{self.path}/{name}"), keys, ["version"])
+        return latest(log, keys, ["version"])
 
     def labels(self) -> DataFrame:
         return self._log("labels", self.labels_schema, ["run_id", "seq"]).select("run_id", "seq", "component")
@@ -144,7 +153,6 @@ class FusionState:
         labels, fresh = saved(old.unionByName(new).withColumn("version", F.lit(version).cast("long")), "new-labels"), saved(old_keys.unionByName(new_keys).distinct().withColumn("version", F.lit(version).cast("long")), "new-keys")
         append(labels, f"{self.path}/labels")
         append(fresh, f"{self.path}/keys")
-        self.empty = False
 
 
 def fuse_stream(hits: DataFrame, state: FusionState, checkpoint: str):
