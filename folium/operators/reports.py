@@ -67,13 +67,17 @@ def synthesis(results: DataFrame, coverage: DataFrame) -> DataFrame:
     return rows.select("run_id", "n_papers", "n_high", "n_partial", "first_year", "last_year", "n_sources", F.slice(findings, 1, 5).alias("findings"), suggestions.alias("suggestions"))
 
 
-def keyword_routes(terms: DataFrame) -> DataFrame:
-    """A5: (run_id, route, name, n, papers, representatives, rank) of terms (run_id, seq, pos, paper_id, term)."""
+def keyword_routes(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A5: (run_id, route, name, n, representatives, rank) and (run_id, route, position, paper_id) of terms (run_id, seq, pos,
+    paper_id, term): the routes, and the papers of each as rows, so that a route of any size is never one row."""
     each = terms.select("run_id", "paper_id", F.struct("seq", "pos").alias("at"), F.trim("term").alias("term")).where("term <> ''").withColumn("route", casefold("term"))
     paper = each.groupBy("run_id", "route", "paper_id").agg(F.min(F.struct("at", "term")).alias("first"))
-    rows = paper.groupBy("run_id", "route").agg(F.min("first")["term"].alias("name"), F.transform(F.array_sort(F.collect_list(F.struct("first", "paper_id"))), lambda x: x["paper_id"]).alias("papers"))
-    order = Window.partitionBy("run_id").orderBy(F.desc(F.size("papers")), "route")
-    return rows.select("run_id", "route", "name", F.size("papers").alias("n"), "papers", F.slice("papers", 1, REPRESENTATIVES).alias("representatives"), F.row_number().over(order).alias("rank"))
+    n = paper.groupBy("run_id", "route").agg(F.min("first")["term"].alias("name"), F.count("*").alias("n"))
+    placed = paper.withColumn("position", F.row_number().over(Window.partitionBy("run_id", "route").orderBy("first", "paper_id")))
+    few = placed.where(F.col("position") <= REPRESENTATIVES).groupBy("run_id", "route").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "paper_id"))), lambda x: x["paper_id"]).alias("representatives"))
+    order = Window.partitionBy("run_id").orderBy(F.desc("n"), "route")
+    routes = n.join(few, ["run_id", "route"]).select("run_id", "route", "name", "n", "representatives", F.row_number().over(order).alias("rank"))
+    return routes, placed.select("run_id", "route", "position", "paper_id")
 
 
 def call_cost(calls: DataFrame) -> DataFrame:
@@ -106,12 +110,16 @@ def run_usage(costs: DataFrame, requests: DataFrame) -> DataFrame:
     return calls.join(other, "run_id", "left").na.fill(0, ["api_calls", "cache_hits", "latency_ms"])
 
 
-def funnel(groups: DataFrame, report: DataFrame, errors: DataFrame) -> DataFrame:
-    """Each run's counts from recall to what is kept, with its sources' counts and number of errors."""
+def funnel(groups: DataFrame, report: DataFrame, errors: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Each run's counts from recall to what is kept, its sources' counts and numbers of errors (run_id, source), and,
+    of requests (run_id, hit), how many a cache met."""
     n = groups.groupBy("run_id").agg(F.count("*").alias("normalized"), F.count_distinct("component").alias("deduplicated"))
-    by_source = groups.groupBy("run_id", "source").count().groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "count")))).alias("sources"))
-    rows = n.join(by_source, "run_id").join(report.select("run_id", F.col("n_removed").alias("filtered"), F.col("n_kept").alias("kept"), F.col("n_families").alias("families")), "run_id", "left")
-    return rows.join(errors.groupBy("run_id").agg(F.count("*").alias("errors")), "run_id", "left").na.fill(0).withColumn("merged", F.col("normalized") - F.col("deduplicated"))
+    by_source = lambda df, name: df.groupBy("run_id", "source").count().groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "count")))).alias(name))
+    rows = n.join(by_source(groups, "sources"), "run_id").join(report.select("run_id", F.col("n_removed").alias("filtered"), F.col("n_kept").alias("kept"), F.col("n_families").alias("families")), "run_id", "left")
+    rows = rows.join(errors.groupBy("run_id").agg(F.count("*").alias("errors")), "run_id", "left").join(by_source(errors, "source_errors"), "run_id", "left")
+    if requests is not None:
+        rows = rows.join(requests.groupBy("run_id").agg(F.count_if("hit").alias("cache_hits")), "run_id", "left")
+    return rows.na.fill(0).withColumn("merged", F.col("normalized") - F.col("deduplicated"))
 
 
 def simple_counts(recalled: DataFrame, kept: DataFrame, filtered: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:

@@ -48,7 +48,7 @@ def index_metadata(records: DataFrame) -> DataFrame:
 
 
 def _halving(fn: Callable, items: list, size: int) -> list:
-    """fn over batches; a batch that runs out of memory is tried once more in halves."""
+    """fn over batches; a batch that runs out of memory is tried once more in halves; one of another length is left null."""
     out: list = []
     for at in range(0, len(items), size):
         batch = items[at : at + size]
@@ -57,20 +57,21 @@ def _halving(fn: Callable, items: list, size: int) -> list:
         except MemoryError:
             half = max(1, len(batch) // 2)
             found = [x for part in (batch[:half], batch[half:]) if part for x in fn(part)]
-        if len(found) != len(batch):
-            raise ValueError("an encoder must return a row for each row")
-        out += found
+        out += found if len(found) == len(batch) else [None] * len(batch)
     return out
 
 
 def encode(df: DataFrame, load: Callable[[], Callable], column: str = "text", out: str = "embedding", size: int = 4) -> DataFrame:
-    """V6: df with vectors of a text column; load() runs once for each task and returns the encoder of a list of texts."""
+    """V6: df with vectors of a text column; load() runs once for each task and returns the encoder of a list of texts.
+
+    A batch for which it returns another number of vectors has none, so that ranking falls back to R2 for them.
+    """
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"{out} array<double>"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = load()
         for frame in frames:
-            frame[out] = [list(map(float, v)) for v in _halving(fn, frame[column].fillna("").tolist(), size)]
+            frame[out] = [None if v is None else list(map(float, v)) for v in _halving(fn, frame[column].fillna("").tolist(), size)]
             yield frame
 
     return df.mapInPandas(run, schema)
@@ -83,7 +84,7 @@ def score_pairs(df: DataFrame, load: Callable[[], Callable], left: str, right: s
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = load()
         for frame in frames:
-            frame[out] = [float(x) for x in _halving(fn, list(zip(frame[left].fillna(""), frame[right].fillna(""))), size)]
+            frame[out] = [None if x is None else float(x) for x in _halving(fn, list(zip(frame[left].fillna(""), frame[right].fillna(""))), size)]
             yield frame
 
     return df.mapInPandas(run, schema)

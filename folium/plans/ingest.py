@@ -12,7 +12,7 @@ from folium.sources import payloads as p
 PAGE_RECORDS, BLOCK = 100, 1000
 
 
-def _responses(rows: DataFrame, record, wrap) -> DataFrame:
+def _responses(rows: DataFrame, record, wrap, page: int = PAGE_RECORDS) -> DataFrame:
     """(run_id, round, first_rank, payload, fetched_at): the records of a run and round in the order of seq, a page in each payload."""
     key = ("run_id", "round", "block")
     block = F.floor(F.col("seq") / BLOCK).alias("block")
@@ -21,8 +21,8 @@ def _responses(rows: DataFrame, record, wrap) -> DataFrame:
     placed = rows.select("run_id", "round", "seq", block, record.alias("r")).withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("seq", "r")) - 1)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
     placed = placed.join(earlier, same).withColumn("at", F.col("at") + F.col("earlier"))
-    grouped = placed.groupBy("run_id", "round", F.floor(F.col("at") / PAGE_RECORDS).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("rs"))
-    return grouped.select("run_id", "round", (F.col("page") * PAGE_RECORDS + 1).alias("first_rank"), wrap(F.col("rs")).alias("payload"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    grouped = placed.groupBy("run_id", "round", F.floor(F.col("at") / page).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("rs"))
+    return grouped.select("run_id", "round", (F.col("page") * page + 1).alias("first_rank"), wrap(F.col("rs")).alias("payload"), F.lit(None).cast("timestamp").alias("fetched_at"))
 
 
 def _json(**fields):
@@ -38,17 +38,19 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def openalex(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split(F.trim(F.regexp_replace(F.substring("abstract", 1, 200), r"\s+", " ")), " ")
-    distinct = F.array_distinct(words)
-    index = F.map_from_arrays(distinct, F.transform(distinct, lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i).otherwise(-1)), lambda i: i >= 0)))
+    base = papers(spark, d)
+    # An index of the whole abstract by grouping its words, so that its cost is that of its length.
+    each = base.select("seq", F.posexplode(F.split(F.trim(F.regexp_replace("abstract", r"\s+", " ")), " ")).alias("i", "w"))
+    held = each.groupBy("seq", "w").agg(F.sort_array(F.collect_list("i")).alias("at")).groupBy("seq").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", "at")))).alias("index"))
+    rows, index = base.join(held, "seq", "left"), F.col("index")
     author = F.struct(F.struct(F.concat(F.lit("A"), "seq").alias("id"), F.col("first_author").alias("display_name"), F.lit(None).cast("string").alias("orcid")).alias("author"), F.array(F.struct(F.lit("Inst").alias("display_name")), F.struct(F.lit("Other").alias("display_name"))).alias("institutions"))
     record = _json(id=F.col("paper_id"), title=F.col("title"), doi=F.expr("CASE WHEN seq % 4 = 0 THEN doi END"), ids=F.struct("doi", F.col("arxiv_id").alias("arxiv"), "pmid"), publication_year=F.col("year"), cited_by_count=F.col("citation_count") - 100, abstract_inverted_index=index, authorships=F.array(author), primary_location=F.struct(F.struct(F.col("venue").alias("display_name")).alias("source")), referenced_works=F.array("paper_id", F.lit("")))
-    return _responses(papers(spark, d), record, _list('{"results":[', "]}"))
+    return _responses(rows, record, _list('{"results":[', "]}"))
 
 
 def s2(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.expr("CASE seq % 4 WHEN 0 THEN array('JournalArticle', 'Review') WHEN 1 THEN array('Conference') WHEN 2 THEN array('JournalArticle') END")
-    record = _json(paperId=F.col("paper_id"), title=F.col("title"), abstract=F.substring("abstract", 1, 50), year=F.col("year"), venue=F.col("venue"), citationCount=F.col("citation_count"), externalIds=F.struct(F.col("doi").alias("DOI"), F.col("arxiv_id").alias("ArXiv"), F.col("pmid").alias("PubMed")), authors=F.array(F.struct(F.col("first_author").alias("name"), F.col("seq").cast("string").alias("authorId")), F.struct(F.lit(" ").alias("name"), F.lit("x").alias("authorId"))), references=F.array(F.struct(F.col("paper_id").alias("paperId"))), publicationTypes=kinds, isOpenAccess=F.col("seq") % 2 == 0)
+    record = _json(paperId=F.col("paper_id"), title=F.col("title"), abstract=F.col("abstract"), year=F.col("year"), venue=F.col("venue"), citationCount=F.col("citation_count"), externalIds=F.struct(F.col("doi").alias("DOI"), F.col("arxiv_id").alias("ArXiv"), F.col("pmid").alias("PubMed")), authors=F.array(F.struct(F.col("first_author").alias("name"), F.col("seq").cast("string").alias("authorId")), F.struct(F.lit(" ").alias("name"), F.lit("x").alias("authorId"))), references=F.array(F.struct(F.col("paper_id").alias("paperId"))), publicationTypes=kinds, isOpenAccess=F.col("seq") % 2 == 0)
     return _responses(papers(spark, d), record, _list('{"data":[', "]}"))
 
 
@@ -56,9 +58,9 @@ def dblp(spark: SparkSession, d: str) -> DataFrame:
     title = F.concat(F.lit("<i>A</i> &amp; "), "title")
     author = F.expr("CASE WHEN seq % 2 = 0 THEN first_author END")
     record = _json(info=F.struct(F.concat(F.lit("k/"), "seq").alias("key"), title.alias("title"), F.struct(author.alias("author")).alias("authors"), F.col("venue").alias("journal"), F.col("year").cast("string").alias("year"), F.expr("CASE WHEN seq % 2 = 0 THEN 'Journal Articles' ELSE 'Conference and Workshop Papers' END").alias("type"), F.col("doi")))
-    rows = papers(spark, d).where("round < 3")
-    many = _responses(rows.where("round = 1"), record, _list('{"result":{"hits":{"hit":[', "]}}}"))
-    one = _responses(rows.where("round = 2").groupBy("run_id").agg(F.min_by(F.struct(*rows.columns), "seq").alias("x")).select("x.*"), record, _list('{"result":{"hits":{"hit":', "}}}"))
+    rows = papers(spark, d)
+    many = _responses(rows.where("round < 3"), record, _list('{"result":{"hits":{"hit":[', "]}}}"))
+    one = _responses(rows.where("round = 3"), record, _list('{"result":{"hits":{"hit":', "}}}"), 1)  # an object where there is one record
     return many.unionByName(one)
 
 
@@ -68,12 +70,12 @@ def _xml(c):
 
 
 def arxiv(spark: SparkSession, d: str) -> DataFrame:
-    record = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), F.lpad("seq", 5, "0"), F.lit("v2</id><published>"), F.coalesce(F.col("year").cast("string"), F.lit("none")), F.lit("-01-02T00:00:00Z</published><title>"), _xml(F.col("title")), F.lit("</title><summary> a  b </summary><author><name>"), _xml(F.col("first_author")), F.lit("</name></author><author><name>Second</name></author><link href=\"http://arxiv.org/abs/x\" type=\"text/html\"/><link href=\"http://arxiv.org/pdf/x\" type=\"application/pdf\"/><category term=\"cs.CL\"/><category term=\"cs.AI\"/><category term=\"cs.CL\"/></entry>"))
-    return _responses(papers(spark, d).where("round < 3"), record, lambda rs: F.concat(F.lit("<feed>"), F.array_join(rs, ""), F.lit("</feed>")))
+    record = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), F.lpad("seq", 5, "0"), F.lit("v2</id><published>"), F.coalesce(F.col("year").cast("string"), F.lit("none")), F.lit("-01-02T00:00:00Z</published><title>"), _xml(F.col("title")), F.lit("</title><summary>"), _xml(F.col("abstract")), F.lit("</summary><author><name>"), _xml(F.col("first_author")), F.lit("</name></author><author><name>Second</name></author><link href=\"http://arxiv.org/abs/x\" type=\"text/html\"/><link href=\"http://arxiv.org/pdf/x\" type=\"application/pdf\"/><category term=\"cs.CL\"/><category term=\"cs.AI\"/><category term=\"cs.CL\"/></entry>"))
+    return _responses(papers(spark, d), record, lambda rs: F.concat(F.lit("<feed>"), F.array_join(rs, ""), F.lit("</feed>")))
 
 
 def pubmed(spark: SparkSession, d: str) -> DataFrame:
-    record = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("seq").cast("string"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate>"), F.expr("CASE WHEN seq % 2 = 0 THEN concat('<Year>', coalesce(year, 0), '</Year>') ELSE '<MedlineDate>Winter 1999-2000</MedlineDate>' END"), F.lit("</PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>"), _xml(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label=\"AIM\">one</AbstractText><AbstractText Label=\"END\">two</AbstractText></Abstract><AuthorList><Author><LastName>Li</LastName><Initials>W</Initials></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>"), F.expr("CASE WHEN seq % 3 = 0 THEN 'Systematic Review' ELSE 'Other' END"), F.lit("</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType=\"pubmed\">1</ArticleId><ArticleId IdType=\"doi\">"), _xml(F.col("doi")), F.lit("</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"))
+    record = F.concat(F.lit("<PubmedArticle><MedlineCitation><PMID>"), F.col("seq").cast("string"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate>"), F.expr("CASE WHEN seq % 2 = 0 THEN concat('<Year>', coalesce(year, 0), '</Year>') ELSE '<MedlineDate>Winter 1999-2000</MedlineDate>' END"), F.lit("</PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>"), _xml(F.col("title")), F.lit("</ArticleTitle><Abstract><AbstractText Label=\"AIM\">"), _xml(F.col("abstract")), F.lit("</AbstractText><AbstractText Label=\"END\">two</AbstractText></Abstract><AuthorList><Author><LastName>Li</LastName><Initials>W</Initials></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>"), F.expr("CASE WHEN seq % 3 = 0 THEN 'Systematic Review' ELSE 'Other' END"), F.lit("</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType=\"pubmed\">1</ArticleId><ArticleId IdType=\"doi\">"), _xml(F.col("doi")), F.lit("</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"))
     return _responses(papers(spark, d), record, lambda rs: F.concat(F.lit("<PubmedArticleSet>"), F.array_join(rs, ""), F.lit("</PubmedArticleSet>")))
 
 
@@ -107,7 +109,7 @@ def i11(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BASE = "b AS (SELECT *, CASE WHEN seq % 13 = 0 OR trim(title) = '' THEN NULL ELSE trim(title) END AS tt, row_number() OVER (PARTITION BY run_id, round ORDER BY seq) AS rank FROM fx_papers)"
-_W = "trim(regexp_replace(substr(abstract, 1, 200), '\\s+', ' ', 'g'))"
+_W = "trim(regexp_replace(abstract, '\\s+', ' ', 'g'))"
 names = lambda c: F.array_join(F.transform(c, lambda a: a["name"]), ",")
 
 QUERIES = {
@@ -115,27 +117,27 @@ QUERIES = {
         lambda spark, d: p.ingest_openalex(openalex(spark, d)).select("run_id", "paper_id", "title", "raw_rank", "year", "venue", "doi", "arxiv_id", "pmid", "citation_count", F.size("references").alias("n_refs"), names("authors").alias("authors"), F.get("authors", 0)["institution"].alias("inst")),
         f"WITH {_BASE} SELECT run_id, paper_id, tt AS title, CAST(rank AS INT) AS raw_rank, year, venue, doi, arxiv_id, pmid, greatest(citation_count - 100, 0) AS citation_count, 1 AS n_refs, first_author AS authors, 'Inst' AS inst FROM b",
     ),
-    "i2_restore_abstract": (lambda spark, d: p.ingest_openalex(openalex(spark, d)).select("paper_id", "abstract"), f"SELECT paper_id, {_W} AS abstract FROM fx_papers"),
+    "i2_restore_abstract": (lambda spark, d: p.ingest_openalex(openalex(spark, d)).select("paper_id", F.sha2("abstract", 256).alias("abstract")), f"SELECT paper_id, sha256({_W}) AS abstract FROM fx_papers"),
     "i3_arxiv": (
-        lambda spark, d: p.ingest_arxiv(arxiv(spark, d)).select("run_id", "round", "paper_id", F.coalesce("title", F.lit("")).alias("title"), "raw_rank", "year", "abstract", names("authors").alias("authors"), F.array_join("keywords", ",").alias("keywords"), "open_access_url"),
-        f"WITH {_BASE} SELECT run_id, round, concat('arxiv:2401.', lpad(CAST(seq AS VARCHAR), 5, '0')) AS paper_id, coalesce(trim(regexp_replace(tt, '\\s+', ' ', 'g')), '') AS title, CAST(rank AS INT) AS raw_rank, year, 'a b' AS abstract, concat(first_author, ',Second') AS authors, 'cs.CL,cs.AI' AS keywords, 'http://arxiv.org/pdf/x' AS open_access_url FROM b WHERE round < 3",
+        lambda spark, d: p.ingest_arxiv(arxiv(spark, d)).select("run_id", "round", "paper_id", F.coalesce("title", F.lit("")).alias("title"), "raw_rank", "year", F.sha2("abstract", 256).alias("abstract"), names("authors").alias("authors"), F.array_join("keywords", ",").alias("keywords"), "open_access_url"),
+        f"WITH {_BASE} SELECT run_id, round, concat('arxiv:2401.', lpad(CAST(seq AS VARCHAR), 5, '0')) AS paper_id, coalesce(trim(regexp_replace(tt, '\\s+', ' ', 'g')), '') AS title, CAST(rank AS INT) AS raw_rank, year, sha256({_W}) AS abstract, concat(first_author, ',Second') AS authors, 'cs.CL,cs.AI' AS keywords, 'http://arxiv.org/pdf/x' AS open_access_url FROM b",
     ),
     "i4_dblp": (
         lambda spark, d: p.ingest_dblp(dblp(spark, d), view(spark, d, "fx_intents")).select("run_id", "round", "dblp_key", "title", "raw_rank", "year", "venue", "paper_type", names("authors").alias("authors")),
-        f"""WITH {_BASE}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, round ORDER BY seq) AS n FROM b WHERE round < 3) SELECT o.run_id, o.round, concat('k/', seq) AS dblp_key, CASE WHEN tt IS NOT NULL THEN trim(regexp_replace(concat('A & ', title), '\\s+', ' ', 'g')) END AS title, CAST(n AS INT) AS raw_rank, year, venue, CASE WHEN seq % 2 = 0 THEN 'article' ELSE 'conference' END AS paper_type, CASE WHEN seq % 2 = 0 THEN first_author ELSE '' END AS authors
-        FROM o JOIN fx_intents i ON i.run_id = o.run_id WHERE (round = 1 OR n = 1) AND year BETWEEN year_start AND year_end""",
+        f"""WITH {_BASE}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id, round ORDER BY seq) AS n FROM b) SELECT o.run_id, o.round, concat('k/', seq) AS dblp_key, CASE WHEN tt IS NOT NULL THEN trim(regexp_replace(concat('A & ', title), '\\s+', ' ', 'g')) END AS title, CAST(n AS INT) AS raw_rank, year, venue, CASE WHEN seq % 2 = 0 THEN 'article' ELSE 'conference' END AS paper_type, CASE WHEN seq % 2 = 0 THEN first_author ELSE '' END AS authors
+        FROM o JOIN fx_intents i ON i.run_id = o.run_id WHERE year BETWEEN year_start AND year_end""",
     ),
     "i5_pubmed": (
-        lambda spark, d: p.ingest_pubmed(pubmed(spark, d)).select("run_id", "pmid", F.coalesce("title", F.lit("")).alias("title"), "year", "venue", F.coalesce("doi", F.lit("")).alias("doi"), "abstract", "paper_type", names("authors").alias("authors")),
-        f"WITH {_BASE} SELECT run_id, CAST(seq AS VARCHAR) AS pmid, coalesce(trim(regexp_replace(tt, '\\s+', ' ', 'g')), '') AS title, CAST(CASE WHEN seq % 2 = 0 THEN year ELSE 1999 END AS INT) AS year, 'J' AS venue, coalesce(doi, '') AS doi, concat('AIM: one', chr(10), 'END: two') AS abstract, CASE WHEN seq % 3 = 0 THEN 'review' ELSE 'article' END AS paper_type, 'Li,Group' AS authors FROM b",
+        lambda spark, d: p.ingest_pubmed(pubmed(spark, d)).select("run_id", "pmid", F.coalesce("title", F.lit("")).alias("title"), "year", "venue", F.coalesce("doi", F.lit("")).alias("doi"), F.sha2("abstract", 256).alias("abstract"), "paper_type", names("authors").alias("authors")),
+        f"WITH {_BASE} SELECT run_id, CAST(seq AS VARCHAR) AS pmid, coalesce(trim(regexp_replace(tt, '\\s+', ' ', 'g')), '') AS title, CAST(CASE WHEN seq % 2 = 0 THEN year ELSE 1999 END AS INT) AS year, 'J' AS venue, coalesce(doi, '') AS doi, sha256(concat('AIM: ', {_W}, chr(10), 'END: two')) AS abstract, CASE WHEN seq % 3 = 0 THEN 'review' ELSE 'article' END AS paper_type, 'Li,Group' AS authors FROM b",
     ),
     "i6_rank_by_idlist": (
         lambda spark, d: p.rank_by_idlist(query(spark, d, "SELECT run_id, round, transform(array_sort(collect_list(struct(-seq AS o, concat(' ', seq % 50, ' ') AS i))), x -> x.i) AS idlist FROM fx_hits GROUP BY run_id, round"), query(spark, d, "SELECT run_id, round, CAST(seq % 60 AS STRING) AS pmid, seq FROM fx_hits")),
         "WITH f AS (SELECT run_id, round, CAST(seq % 50 AS VARCHAR) AS pmid, min(-seq) AS o FROM fx_hits GROUP BY ALL), r AS (SELECT run_id, round, pmid, CAST(row_number() OVER (PARTITION BY run_id, round ORDER BY o) AS INT) AS raw_rank FROM f) SELECT h.run_id, h.round, CAST(h.seq % 60 AS VARCHAR) AS pmid, h.seq, r.raw_rank FROM fx_hits h LEFT JOIN r ON r.run_id = h.run_id AND r.round = h.round AND r.pmid = CAST(h.seq % 60 AS VARCHAR)",
     ),
     "i7_semantic_scholar": (
-        lambda spark, d: p.ingest_s2(s2(spark, d)).select("run_id", "paper_id", "title", "raw_rank", "year", "venue", "doi", "arxiv_id", "pmid", "citation_count", "paper_type", "is_open_access", names("authors").alias("authors")),
-        f"WITH {_BASE} SELECT run_id, paper_id, tt AS title, CAST(rank AS INT) AS raw_rank, year, venue, doi, arxiv_id, pmid, citation_count, CASE seq % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'conference' WHEN 2 THEN 'article' END AS paper_type, seq % 2 = 0 AS is_open_access, first_author AS authors FROM b",
+        lambda spark, d: p.ingest_s2(s2(spark, d)).select("run_id", "paper_id", "title", "raw_rank", "year", "venue", "doi", "arxiv_id", "pmid", "citation_count", "paper_type", "is_open_access", names("authors").alias("authors"), F.sha2("abstract", 256).alias("abstract")),
+        f"WITH {_BASE} SELECT run_id, paper_id, tt AS title, CAST(rank AS INT) AS raw_rank, year, venue, doi, arxiv_id, pmid, citation_count, CASE seq % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'conference' WHEN 2 THEN 'article' END AS paper_type, seq % 2 = 0 AS is_open_access, first_author AS authors, sha256(abstract) AS abstract FROM b",
     ),
     "i8_discoveries": (
         lambda spark, d: p.ingest_discoveries(discoveries(spark, d)).select("run_id", "raw_rank", "title", "url", F.round("score", 4).alias("score")),

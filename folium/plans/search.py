@@ -175,6 +175,10 @@ QUERIES = {
         lambda spark, d: r.rank_assessed(_positions(spark, d), _assessments(spark, d), intents(spark, d))[1],
         _R4 + " SELECT g.run_id, count_if(gone) AS n_rejected, greatest(count_if(NOT gone) - max(target), 0) + (SELECT greatest(count(*) - 20, 0) FROM p WHERE p.run_id = g.run_id) AS n_truncated FROM g GROUP BY g.run_id",
     ),
+    "j5_join_assessments": (
+        lambda spark, d: r.join_assessments(results(spark, d).select("run_id", "paper_id"), _assessments(spark, d).unionByName(_assessments(spark, d).withColumns({"batch": F.lit(2), "relevance": F.lit(0.0)}))).select("run_id", "paper_id", "relevance", "reason"),
+        "SELECT x.run_id, x.paper_id, CAST(a.relevance AS DOUBLE) AS relevance, CASE WHEN a.paper_id IS NOT NULL THEN concat('because of ', a.evidence) END AS reason FROM fx_results x LEFT JOIN fx_assessments a ON a.run_id = x.run_id AND a.paper_id = x.paper_id",
+    ),
     "r5_batch_status": (
         lambda spark, d: r.batch_status(_positions(spark, d), query(spark, d, "SELECT run_id, CAST(round AS INT) AS batch, max(seq) % 2 = 0 AS ok FROM fx_hits GROUP BY run_id, round")).select("run_id", "paper_id", "batch", "failed", "fallback"),
         f"WITH p AS ({_POSITIONS}), c AS (SELECT run_id, round AS batch, max(seq) % 2 = 0 AS ok FROM fx_hits GROUP BY run_id, round), j AS (SELECT p.run_id, paper_id, CAST(floor((position - 1) / 10) AS INT) + 1 AS batch FROM p), k AS (SELECT j.*, NOT coalesce(ok, false) AS failed FROM j LEFT JOIN c ON c.run_id = j.run_id AND c.batch = j.batch) SELECT *, bool_and(failed) OVER (PARTITION BY run_id) AS fallback FROM k",
@@ -191,6 +195,10 @@ QUERIES = {
         lambda spark, d: r.vector_search(query(spark, d, "SELECT vec_id AS query_id, embedding FROM fx_vectors WHERE vec_id % 50 = 0"), view(spark, d, "fx_vectors"), 20),
         "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.status, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 10) AS score FROM fx_vectors v JOIN fx_vectors q ON q.vec_id % 50 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s), k AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM o WHERE n <= 100 AND status = 'active') SELECT * FROM k WHERE rank <= 20",
     ),
+    "r9_shortfalls": (
+        lambda spark, d: (lambda q: r.shortfalls(q, r.vector_search(q, view(spark, d, "fx_vectors"), 20, over=1), 20))(query(spark, d, "SELECT vec_id AS query_id, embedding FROM fx_vectors WHERE vec_id % 50 = 0")),
+        "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, v.status, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 10) AS score FROM fx_vectors v JOIN fx_vectors q ON q.vec_id % 50 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) SELECT query_id, 20 - count_if(status = 'active') AS missing FROM o WHERE n <= 20 GROUP BY query_id HAVING count_if(status = 'active') < 20",
+    ),
     "r10_term_search": (
         lambda spark, d: r.term_search(query(spark, d, "SELECT concat(conv_id, '-', turn) AS query_id, text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0"), query(spark, d, "SELECT doc_id AS id, text FROM documents").select("id", norm_weak("text").alias("search_text"))).withColumn("score", F.round("score", 8)),
         """WITH q AS (SELECT concat(conv_id, '-', turn) AS query_id, list_distinct(list_filter(string_split(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')), ' '), lambda t: length(t) > 1)) AS ts FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
@@ -234,6 +242,11 @@ QUERIES = {
           SELECT s.run_id, s.rn, s.gap, s.pos, s.n + s.ok::BIGINT, CASE WHEN s.ok THEN list_append(s.acc, s.pos) ELSE s.acc END, s.ok FROM (SELECT c.run_id, c.rn, c.gap, c.pos, CASE WHEN c.gap = g.gap THEN g.n ELSE 0 END AS n, g.acc, NOT c.bad AND NOT list_has_any(g.acc, c.bs) AND (c.gap <> g.gap OR g.n < 1) AS ok FROM g JOIN c ON c.run_id = g.run_id AND c.rn = g.rn + 1) s)
         SELECT run_id, gap, pos, accepted FROM g WHERE rn > 0""",
     ),
+    "c10_evolution_report": (
+        lambda spark, d: (lambda t: c.evolution_report(_gap_rows(spark, d), c.accept_queries(t.select("run_id", "gap", "pos", "query"), query(spark, d, "SELECT o_orderkey AS run_id, concat('t', o_orderkey % 9) AS query FROM orders"))))(query(spark, d, "SELECT o_orderkey AS run_id, o_custkey AS gap, CAST(1 AS BIGINT) AS pos, CASE WHEN o_custkey % 3 = 0 THEN concat('T', o_orderkey % 9) ELSE concat('own words ', o_custkey) END AS query FROM orders WHERE o_orderkey % 4 <> 2")).withColumn("warnings", F.array_join("warnings", "|")),
+        """WITH g AS (SELECT o_orderkey AS run_id, o_orderkey % 4 = 2 AS other, o_orderkey % 4 <> 2 AND o_custkey % 3 <> 0 AS asked, concat('focus ', o_custkey % 50) AS f FROM orders)
+        SELECT run_id, CAST(asked AS BIGINT) AS n_generated, CAST(NOT asked AS BIGINT) AS n_skipped, CASE WHEN other THEN concat(f, ': left to the controller') WHEN NOT asked THEN concat(f, ': no new query') ELSE '' END AS warnings FROM g""",
+    ),
     "c11_gate_proposals": (
         lambda spark, d: c.gate_proposals(_turns(spark, d).select("run_id", ((F.col("pos") + 1) / 2).cast("int").alias("pos"), "query", F.when(F.col("run_id") % 3 == 0, "de").otherwise("en").alias("language")), _turns(spark, d), _turns(spark, d).where("pos = 1 and run_id % 2 = 0").select("run_id", "query")),
         None,

@@ -77,6 +77,8 @@ def i12(spark: SparkSession, d: str) -> DataFrame:
     return latest(spark.read.schema(runs.schema).parquet(path), ["run_id"], ["updated_at", "seq"])
 
 
+_ROUTES = """e AS (SELECT run_id, paper_id, seq * 10 + pos AS o, trim(keyword) AS t, replace(lower(trim(keyword)), 'ß', 'ss') AS route FROM fx_keywords WHERE trim(keyword) <> ''), p AS (SELECT run_id, route, paper_id, min(o) AS o, arg_min(t, o) AS t FROM e GROUP BY ALL)"""
+
 QUERIES = {
     "l1_library_key": (
         lambda spark, d: view(spark, d, "fx_papers").select("seq", lib.library_key(view(spark, d, "fx_papers")).alias("k")),
@@ -132,9 +134,12 @@ QUERIES = {
           CASE WHEN run_id = 'r2' THEN 'search more for a|search more for b|search more for c' WHEN has AND run_id <> 'r3' THEN 'stopped: budget' ELSE '' END AS suggestions FROM j""",
     ),
     "a5_keyword_routes": (
-        lambda spark, d: reports.keyword_routes(_terms(spark, d)).withColumns({"papers": F.array_join("papers", ","), "representatives": F.array_join("representatives", ",")}),
-        """WITH e AS (SELECT run_id, paper_id, seq * 10 + pos AS o, trim(keyword) AS t, replace(lower(trim(keyword)), 'ß', 'ss') AS route FROM fx_keywords WHERE trim(keyword) <> ''), p AS (SELECT run_id, route, paper_id, min(o) AS o, arg_min(t, o) AS t FROM e GROUP BY ALL),
-        g AS (SELECT run_id, route, arg_min(t, o) AS name, count(*) AS n, list(paper_id ORDER BY o) AS ps FROM p GROUP BY ALL) SELECT run_id, route, name, CAST(n AS INT) AS n, array_to_string(ps, ',') AS papers, array_to_string(ps[1:3], ',') AS representatives, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, route) AS rank FROM g""",
+        lambda spark, d: reports.keyword_routes(_terms(spark, d))[0].withColumn("representatives", F.array_join("representatives", ",")),
+        f"WITH {_ROUTES} SELECT run_id, route, arg_min(t, o) AS name, count(*) AS n, array_to_string((list(paper_id ORDER BY o, paper_id))[1:3], ',') AS representatives, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, route) AS rank FROM p GROUP BY run_id, route",
+    ),
+    "a5_route_papers": (
+        lambda spark, d: reports.keyword_routes(_terms(spark, d))[1],
+        f"WITH {_ROUTES} SELECT run_id, route, row_number() OVER (PARTITION BY run_id, route ORDER BY o, paper_id) AS position, paper_id FROM p",
     ),
     "a6_call_cost": (lambda spark, d: reports.call_cost(query(spark, d, _CALLS)).select("call_id", "cost", "peak"), f"WITH {_COST} SELECT call_id, CAST(cost AS DOUBLE) AS cost, peak FROM cc"),
     "a7_run_usage": (
@@ -143,12 +148,12 @@ QUERIES = {
         SELECT cc.run_id, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum(cost), 8) AS cost, bool_or(peak) AS peak, CAST(coalesce(any_value(api_calls), 0) AS BIGINT) AS api_calls, CAST(coalesce(any_value(cache_hits), 0) AS BIGINT) AS cache_hits, CAST(coalesce(any_value(latency_ms), 0) AS BIGINT) AS latency_ms FROM cc LEFT JOIN o ON o.run_id = cc.run_id GROUP BY cc.run_id""",
     ),
     "a8_funnel": (
-        lambda spark, d: reports.funnel(pf.groups(spark, d), filters.filter_report(filters.filter_reason(view(spark, d, "fx_hits"), ps.intents(spark, d))), query(spark, d, "SELECT run_id FROM fx_hits WHERE seq % 97 = 0")).withColumn("sources", F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")),
+        lambda spark, d: reports.funnel(pf.groups(spark, d), filters.filter_report(filters.filter_reason(view(spark, d, "fx_hits"), ps.intents(spark, d))), query(spark, d, "SELECT run_id, source FROM fx_hits WHERE seq % 97 = 0"), query(spark, d, "SELECT run_id, seq % 3 = 0 AS hit FROM fx_hits")).withColumn("source_errors", F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("source_errors")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","), F.lit(""))).withColumn("sources", F.array_join(F.transform(F.array_sort(F.map_entries("sources")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")),
         f"""WITH RECURSIVE {s.GROUPS}, {ps._MATCH.format(hits='fx_hits').removeprefix('WITH ')}, f AS (SELECT run_id, paper_id, {ps._REASON} AS fr FROM t),
         r AS (SELECT run_id, count_if(fr IS NOT NULL) AS filtered, count_if(fr IS NULL) AS kept, count(DISTINCT CASE WHEN fr IS NULL THEN paper_id END) AS families FROM f GROUP BY run_id),
         b AS (SELECT run_id, string_agg(concat(source, '=', n), ',' ORDER BY source) AS sources FROM (SELECT run_id, source, count(*) AS n FROM fx_hits GROUP BY ALL) GROUP BY run_id),
-        n2 AS (SELECT run_id, count(*) AS normalized, count(DISTINCT component) AS deduplicated, count_if(seq % 97 = 0) AS errors FROM g GROUP BY run_id)
-        SELECT n2.run_id, normalized, deduplicated, normalized - deduplicated AS merged, sources, filtered, kept, families, errors FROM n2 JOIN r ON r.run_id = n2.run_id JOIN b ON b.run_id = n2.run_id""",
+        n2 AS (SELECT run_id, count(*) AS normalized, count(DISTINCT component) AS deduplicated, count_if(seq % 97 = 0) AS errors, count_if(seq % 3 = 0) AS cache_hits, coalesce((SELECT string_agg(concat(source, '=', n), ',' ORDER BY source) FROM (SELECT x.run_id, source, count(*) AS n FROM fx_hits x WHERE seq % 97 = 0 GROUP BY ALL) y WHERE y.run_id = g.run_id), '') AS source_errors FROM g GROUP BY run_id)
+        SELECT n2.run_id, normalized, deduplicated, normalized - deduplicated AS merged, sources, filtered, kept, families, errors, cache_hits, source_errors FROM n2 JOIN r ON r.run_id = n2.run_id JOIN b ON b.run_id = n2.run_id""",
     ),
     "a9_simple_counts": (
         lambda spark, d: reports.simple_counts(view(spark, d, "fx_papers"), query(spark, d, "SELECT DISTINCT run_id, coalesce(doi, paper_id) AS k FROM fx_papers"), query(spark, d, "SELECT run_id FROM fx_papers WHERE year > 2000")),

@@ -9,6 +9,7 @@ where records before it are bad.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -223,6 +224,10 @@ def _repaired(contents: pd.Series) -> pd.Series:
     return contents.map(lambda c: None if c is None else repair(c))
 
 
+#: The first character after white space, and the first after a comma and more of it.
+_AFTER = re.compile(r"[ \t\r\n]*+(,|.|)(?:(?<=,)[ \t\r\n]*+(.|))?", re.S)
+
+
 def repair(content: str) -> str:
     """Text of an object in which quotes inside strings, bare control characters and bad escapes are put right.
 
@@ -241,9 +246,8 @@ def repair(content: str) -> str:
             out.append(c + nxt if fine else "\\\\" + nxt)
             at += 1
         elif c == '"':
-            rest = content[at + 1 :].lstrip(" \t\r\n")
-            after = rest[1:].lstrip(" \t\r\n")
-            ends = not rest or rest[0] in ":}]" or rest[0] == "," and (not after or after[0] in '"}]')
+            follows = _AFTER.match(content, at + 1)
+            ends = follows[1] in ("", ":", "}", "]") or follows[1] == "," and follows[2] in ("", '"', "}", "]")
             inside = not ends
             out.append(c if ends else '\\"')
         else:

@@ -63,3 +63,17 @@ def test_incremental_groups(spark, sf, tmp_path):
     stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     st.fuse_stream(stream, state, f"{tmp_path}/c").awaitTermination()
     assert as_set(state.labels(), "run_id", "seq", "component") == as_set(f.identity_groups(hits), "run_id", "seq", "component")
+
+
+def test_intake_goes_on_after_a_restart(spark, sf, tmp_path):
+    hits = view(spark, sf, "fx_hits")
+    for i in range(2):
+        st.FusionState(spark, f"{tmp_path}/state").update(hits.where(F.col("seq") % 2 == i), i)
+    state = st.FusionState(spark, f"{tmp_path}/state")
+    assert as_set(state.labels(), "run_id", "seq", "component") == as_set(f.identity_groups(hits), "run_id", "seq", "component")
+
+
+def test_cache_of_one_hot_key(spark):
+    rows = spark.range(60_000).selectExpr("'k' AS key", "id * 7 AS t", "id")
+    hits = st.cache_hits(rows, 100).where("not hit")
+    assert [r["t"] for r in hits.orderBy("t").limit(4).collect()] == [0, 105, 210, 315] and hits.count() == 4000

@@ -133,6 +133,60 @@ def test_queries(spark):
     assert {r["pos"]: r["accepted"] for r in got.collect()} == {1: False, 2: True, 3: False, 4: False, 5: True}
 
 
+def test_cap_of_a_gap_binds_only_what_it_accepts(spark):
+    rows = [("r", 1, 1, "alpha"), ("r", 1, 2, "beta gamma"), ("r", 2, 3, "gamma beta"), ("r", 2, 4, "delta"), ("q", 5, 1, "alpha"), ("q", 6, 2, "ALPHA!"), ("q", 6, 3, "other")]
+    df = spark.createDataFrame(rows, "run_id string, gap int, pos int, query string")
+    known = spark.createDataFrame([("z", "none")], "run_id string, query string")
+    got = rounds.accept_queries(df, known, 1)
+    assert {(r["run_id"], r["pos"]) for r in got.where("accepted").collect()} == {("r", 1), ("r", 3), ("q", 1), ("q", 3)}
+    gaps = spark.createDataFrame([("r", 1, "method", "a"), ("r", 2, "dataset", "b"), ("r", 3, "source", "c"), ("r", 4, "method", "d")], "run_id string, gap int, gap_type string, constraint string")
+    report = rounds.evolution_report(gaps, got.where("run_id = 'r'")).collect()[0]
+    assert (report["n_generated"], report["n_skipped"], report["warnings"]) == (2, 2, ["c: left to the controller", "d: no new query"])
+
+
+def test_gate(spark):
+    """Two English, short and new ones of a model; a run where none holds takes the rules' queries."""
+    proposals = [("a", 1, "graph nets", "en"), ("a", 2, "nets graph", "en"), ("a", 3, "third one", "en"), ("b", 1, "auf deutsch", "de"), ("b", 2, " ", "en"), ("c", 1, "known query", "en"), ("c", 2, "x" * 301, "en")]
+    rules = [(run, 1, f"rule {run}") for run in "abcd"]
+    known = spark.createDataFrame([("c", "query known")], "run_id string, query string")
+    got = rounds.gate_proposals(spark.createDataFrame(proposals, "run_id string, pos int, query string, language string"), spark.createDataFrame(rules, "run_id string, pos int, query string"), known)
+    assert {(r["run_id"], r["query"], r["origin"]) for r in got.collect()} == {("a", "graph nets", "model"), ("b", "rule b", "rules"), ("c", "rule c", "rules"), ("d", "rule d", "rules")}
+
+
+def test_cascade_without_vectors(spark):
+    papers = spark.createDataFrame([(run, f"{run}{i}", "t", "", 2020, None, "article", 1.0 / i) for run in "ab" for i in (1, 2, 3)], "run_id string, paper_id string, title string, abstract string, year int, venue string, paper_type string, rrf_score double")
+    vecs = spark.createDataFrame([(f"a{i}", [float(i), 0.0]) for i in (1, 2, 3)], "paper_id string, embedding array<double>")
+    queries = spark.createDataFrame([("a", [1.0, 0.0])], "run_id string, embedding array<double>")
+    scores = spark.createDataFrame([], "run_id string, paper_id string, pair_score double")
+    assessed = spark.createDataFrame([], "run_id string, paper_id string, batch int, item int, relevance double, status string, evidence array<string>, reason string")
+    kept, counts = ranking.finalize(papers, vecs, queries, scores, assessed, spark.createDataFrame([("a", 2), ("b", 2)], "run_id string, target_count int"))
+    assert [r["paper_id"] for r in kept.orderBy("run_id", "rank").collect()] == ["a3", "a2", "b1", "b2"]
+    assert {r["run_id"]: (r["n_candidates"], r["n_semantic"], r["n_final"], r["n_truncated"], r["fallback"]) for r in counts.collect()} == {"a": (3, 3, 2, 1, False), "b": (3, 3, 2, 1, True)}
+
+
+def test_rrf_checks(spark):
+    prov = spark.createDataFrame([("r", 1, "a", 2)], "run_id string, component long, source string, best_rank int")
+    for bad in (dict(k=0), dict(weights={"a": -1.0}), dict(weights={"a": float("nan")}), dict(weights={" ": 1.0}), dict(weights={"a": True})):
+        with pytest.raises(ValueError):
+            fusion.rrf(prov, **bad)
+
+
+def test_platform_ids_join_records(spark):
+    rows = [(*hit(1), "https://openalex.org/W5", None, None), (*hit(2, "dblp", title="x"), "w5", None, "conf/x"), (*hit(3, "arxiv", title="y"), None, "https://www.semanticscholar.org/paper/Name/ABC", "https://dblp.org/rec/conf/x.html"), (*hit(4, title="z"), "W6", None, None)]
+    df = spark.createDataFrame(rows, HITS + ", openalex_id string, semantic_scholar_id string, dblp_key string")
+    assert component(fusion.identity_groups(df)) == {1: 1, 2: 1, 3: 1, 4: 4}
+    keys = {r["seq"]: r["k"] for r in df.select("seq", library.library_key(df).alias("k")).collect()}
+    assert keys[3] == "semantic_scholar:https://www.semanticscholar.org/paper/name/abc" and keys[4] == "openalex:w6"
+
+
+def test_repair_is_linear():
+    import time
+
+    began = time.process_time()
+    repair('{"a": "' + 'x "y" ' * 200_000 + '"}')
+    assert time.process_time() - began < 10
+
+
 def test_payloads(spark):
     payload = '{"results":[{"id":"W1","title":"T","publication_year":true,"cited_by_count":-3,"abstract_inverted_index":{"b":[1],"a":[0,1]}},{"id":"W2"},{"id":"W3","title":"U","publication_year":2001,"doi":5,"ids":{"doi":"10.1/x"}}]}'
     raw = spark.createDataFrame([("r", 1, payload, None), ("r", 2, "not json", None)], "run_id string, round int, payload string, fetched_at timestamp")
@@ -174,14 +228,21 @@ def test_encoder_halves(spark):
         return [[1.0]] * len(batch)
 
     assert vectors._halving(fn, list("abcd"), 4) == [[1.0]] * 4 and seen == [2, 2]
-    with pytest.raises(ValueError):
-        vectors._halving(lambda b: [], ["a"], 4)
+    assert vectors._halving(lambda b: [[2.0]] * (len(b) - (len(b) == 4)), list("abcdefg"), 4) == [None] * 4 + [[2.0]] * 3
+
+
+def test_encoder_of_another_length_gives_none(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b b"), (3, None)], "id long, text string").coalesce(1)
+    whole = vectors.encode(df, vectors.hashing_encoder(4)).collect()
+    assert [sum(r["embedding"]) for r in sorted(whole)] == [1.0, 2.0, 0.0]
+    assert [r["embedding"] for r in vectors.encode(df, lambda: lambda texts: [[1.0]]).collect()] == [None] * 3
+    assert [r["s"] for r in vectors.score_pairs(df, lambda: lambda pairs: [0.5] * len(pairs), "text", "text", "s").collect()] == [0.5] * 3
 
 
 def test_no_cross_product_and_no_lone_window(spark, sf):
     from folium.plans import registry
 
-    for name in ("p2_filter_reason", "f10_rrf", "r3_rank_pair", "c3_coverage_gaps", "j8_similar_queries", "j9_in_cooldown", "g4_filter_graph", "a1_facets", "l3_fold_log"):
+    for name in ("p2_filter_reason", "f10_rrf", "r3_rank_pair", "c3_coverage_gaps", "j8_similar_queries", "j9_in_cooldown", "g4_filter_graph", "a1_facets", "p5_filter_library", "r10_term_search", "f12_dedup_first", "l3_fold_log"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan, name
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
         assert "Exchange SinglePartition" not in plan, name
