@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.sources.store import saved
+from folium.sources.store import Steps, saved
 
 
 def components(edges: DataFrame, keys: list[str], name: str = "components") -> DataFrame:
     """(keys, id, root) for every id in edges (keys, a, b); root is the smallest id reached within the same keys.
 
     Large-star and small-star steps: each hangs neighbours onto the smallest one seen, so long chains shrink by steps
-    that grow with the logarithm of their length. A step's tables are written, and only a count comes to the driver.
+    that grow with the logarithm of their length. A step's table is written in place of the last one, and only a count comes to the driver.
     """
     pair = edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pair, before = saved(pair, name), None
+    steps = Steps(edges.sparkSession, name)
+    pair, before = steps.put(pair), None
     while True:
         now = tuple(pair.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "u", "v"))).first())
         if now == before or not now[0]:
@@ -27,7 +28,7 @@ def components(edges: DataFrame, keys: list[str], name: str = "components") -> D
         large = both.join(least, [*keys, "u"]).where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(*keys, "u", F.col("m").alias("v")))
-        pair = saved(small.where("u <> v").distinct(), name)
+        pair = steps.put(small.where("u <> v").distinct())
     leaves = pair.groupBy(*keys, F.col("u").alias("id")).agg(F.min("v").alias("root"))
     return leaves.unionByName(pair.select(*keys, F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
@@ -38,13 +39,14 @@ def greedy_first(held: DataFrame, keys: list[str], name: str = "greedy") -> Data
     A round keeps every row that is the first undecided one of all its keys and drops the others that hold these keys, so
     a key of n rows costs n, not pairs; the number of rounds is that of the longest chain of decisions.
     """
-    left, kept = saved(held.select(*keys, "id", "key").distinct(), name), None
+    steps = Steps(held.sparkSession, name)
+    left, kept = steps.put(held.select(*keys, "id", "key").distinct()), None
     while not left.isEmpty():
         first = left.groupBy(*keys, "key").agg(F.min("id").alias("first"))
         new = saved(left.join(first, [*keys, "key"]).groupBy(*keys, "id").agg(F.min((F.col("id") == F.col("first")).cast("int")).alias("all")).where("all = 1").select(*keys, "id"), name)
         taken = left.join(new, [*keys, "id"], "left_semi").select(*keys, "key").distinct()
         gone = left.join(taken, [*keys, "key"], "left_semi").select(*keys, "id").distinct()
-        left = saved(left.join(gone, [*keys, "id"], "left_anti"), name)
+        left = steps.put(left.join(gone, [*keys, "id"], "left_anti"))
         kept = new if kept is None else kept.unionByName(new)
     return held.select(*keys, "id").limit(0) if kept is None else kept
 
@@ -56,10 +58,11 @@ def greedy_keep(rows: DataFrame, conflicts: DataFrame, keys: list[str], name: st
     the number of rounds is that of the longest chain of decisions, not of rows.
     """
     back = saved(conflicts.select(*keys, F.greatest("a", "b").alias("id"), F.least("a", "b").alias("early")).where("id <> early").distinct(), name)
-    state = saved(rows.select(*keys, "id", F.lit(None).cast("boolean").alias("kept")), name)
+    steps = Steps(rows.sparkSession, name)
+    state = steps.put(rows.select(*keys, "id", F.lit(None).cast("boolean").alias("kept")))
     while not state.where("kept is null").isEmpty():
         early = state.select(*keys, F.col("id").alias("early"), F.col("kept").alias("early_kept"))
         seen = back.join(early, [*keys, "early"]).groupBy(*keys, "id").agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(F.col("early_kept").isNull()).alias("waits"))
         decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = saved(state.join(seen, [*keys, "id"], "left").select(*keys, "id", decided.alias("kept")), name)
+        state = steps.put(state.join(seen, [*keys, "id"], "left").select(*keys, "id", decided.alias("kept")))
     return state

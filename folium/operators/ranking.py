@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folium.functions.norm import norm_weak
 from folium.operators.filters import validate_evidence
+from folium.sources.store import scratch
 
 SEMANTIC_KEEP, PAIR_KEEP, WINDOW = 60, 24, 20
 OVER_FETCH = 5
@@ -84,25 +85,28 @@ def batch_status(papers: DataFrame, calls: DataFrame, size: int = 10) -> DataFra
     return joined.withColumn("fallback", F.min("failed").over(Window.partitionBy("run_id")))
 
 
-def page_results(results: DataFrame, requests: DataFrame) -> DataFrame:
+def page_results(results: DataFrame, requests: DataFrame, by: str = "request_id") -> DataFrame:
     """Rows (request_id, ...) of one page of each request (request_id, sort, page, page_size); a page past the end is the last.
 
+    by is the column that ties rows to requests: request_id where each request has rows of its own, run_id where requests
+    show a run's. The rows of a key are ranked once for each order asked for, and a page fetches its positions.
     The directions of year_desc and citation_desc hold for the whole key, ties of ids included.
     """
-    by = Window.partitionBy("request_id")
-    rows = results.join(requests.select("request_id", "sort", "page", "page_size"), "request_id")
     keys = {
         "relevance": [F.desc_nulls_last("relevance"), F.desc_nulls_last("pair_score"), F.desc_nulls_last("semantic_score"), F.desc_nulls_last("rrf_score"), F.asc(F.when(F.col("status") == "satisfied", 0).otherwise(1)), F.asc("paper_id")],
         "year_desc": [F.desc_nulls_last("year"), F.desc("paper_id")],
         "citation_desc": [F.desc("citation_count"), F.desc(F.coalesce("year", F.lit(0))), F.desc("paper_id")],
     }
-    at = F.lit(None)
-    for sort, order in keys.items():
-        at = F.when(F.col("sort") == sort, F.row_number().over(by.orderBy(*order))).otherwise(at)
-    rows = rows.withColumns({"at": at, "total": F.count("*").over(by)})
+    ranked = [
+        results.join(requests.where(F.col("sort") == sort).select(by), by, "left_semi").withColumns({"sort": F.lit(sort), "at": F.row_number().over(Window.partitionBy(by).orderBy(*order))})
+        for sort, order in keys.items()
+    ]
+    totals = results.groupBy(by).agg(F.count("*").alias("total"))
     last = F.greatest(F.ceil(F.col("total") / F.col("page_size")), F.lit(1))
-    rows = rows.withColumn("shown_page", F.least("page", last))
-    return rows.where((F.col("at") > (F.col("shown_page") - 1) * F.col("page_size")) & (F.col("at") <= F.col("shown_page") * F.col("page_size")))
+    asked = requests.select(*dict.fromkeys(["request_id", by]), "sort", "page", "page_size").join(totals, by).withColumn("shown_page", F.least("page", last))
+    first = (F.col("shown_page") - 1) * F.col("page_size") + 1
+    places = asked.withColumn("at", F.explode(F.sequence(first.cast("int"), (first + F.col("page_size") - 1).cast("int"))))
+    return places.join(functools.reduce(DataFrame.unionByName, ranked), [by, "sort", "at"])
 
 
 def sort_library(library: DataFrame, sort: str) -> DataFrame:
@@ -118,14 +122,15 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: in
     """(query_id, vec_id, score, rank): the best k active ones among the k * over nearest vectors of each query, by
     exact inner product; so a query can come up short, and shortfalls() says by how much.
 
-    Queries go out in blocks of bounded size; a block meets every batch of vectors in one matrix product, which sends on
-    its own best ones, merged by a window.
+    Queries go out in blocks of bounded size, one at a time; a block meets every batch of vectors in one matrix product,
+    whose best ones are written before the next block goes out, and merged by a window.
     """
-    n = k * over
+    n, schema = k * over, "query_id long, vec_id long, score double, status string"
     qs = queries.select(F.col("query_id"), F.col("embedding").alias("q"))
     packed = qs.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, qs.count() // block + 1))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    found = []
+    path = None
     for part in packed.toLocalIterator():
+        path = path or scratch(queries.sparkSession, "nearest")
         shared = queries.sparkSession.sparkContext.broadcast((np.array([x["query_id"] for x in part["qs"]]), np.array([x["q"] for x in part["qs"]], np.float64)))
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -138,11 +143,12 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: in
                     rows = np.repeat(np.arange(len(ids)), order.shape[1])
                     yield pa.record_batch([pa.array(ids[rows]), pa.array(own[order.ravel()]), pa.array(scores[rows, order.ravel()]), pa.array(status[order.ravel()], pa.string())], ["query_id", "vec_id", "score", "status"])
 
-        found.append(vectors.select("vec_id", "embedding", "status").mapInArrow(local, "query_id long, vec_id long, score double, status string"))
-    if not found:
+        vectors.select("vec_id", "embedding", "status").mapInArrow(local, schema).write.mode("append").parquet(path)
+        shared.destroy()
+    if path is None:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     order = [F.desc("score"), F.asc("vec_id")]
-    nearest = top(functools.reduce(DataFrame.unionByName, found), ["query_id"], order, n, "_n")
+    nearest = top(queries.sparkSession.read.schema(schema).parquet(path), ["query_id"], order, n, "_n")
     return top(nearest.where("status = 'active'").drop("_n", "status"), ["query_id"], order, k)
 
 

@@ -19,7 +19,7 @@ SELECT d.doc_id AS seq, concat('doc:', d.doc_id) AS paper_id,
   concat('r', d.n_chars % 10) AS run_id, CAST(d.doc_id % 3 + 1 AS INT) AS round,
   CASE d.doc_id % 5 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar'
     WHEN 2 THEN 'arxiv' WHEN 3 THEN 'dblp' ELSE 'pubmed' END AS source,
-  substr(split_part(d.text, chr(10), 1), 1, 120) AS title, d.text AS abstract, d.lang,
+  split_part(d.text, chr(10), 1) AS title, d.text AS abstract, d.lang,
   CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE CAST(1990 + d.doc_id % 35 AS INT) END AS year,
   CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE d.source END AS venue,
   concat('Author ', d.n_chars % 97) AS first_author,
@@ -106,7 +106,7 @@ FROM (SELECT run_id, src AS id FROM fx_graph_edges UNION SELECT run_id, dst FROM
 JOIN part p ON p.p_partkey = n.id
 """,
     "fx_discoveries": r"""
-SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substr(html, 1, 200) AS snippet,
+SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html AS snippet,
   CAST(page_id % 100 AS DOUBLE) / 100 AS score
 FROM pages
 """,

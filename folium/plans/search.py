@@ -184,7 +184,7 @@ QUERIES = {
         f"WITH p AS ({_POSITIONS}), c AS (SELECT run_id, round AS batch, max(seq) % 2 = 0 AS ok FROM fx_hits GROUP BY run_id, round), j AS (SELECT p.run_id, paper_id, CAST(floor((position - 1) / 10) AS INT) + 1 AS batch FROM p), k AS (SELECT j.*, NOT coalesce(ok, false) AS failed FROM j LEFT JOIN c ON c.run_id = j.run_id AND c.batch = j.batch) SELECT *, bool_and(failed) OVER (PARTITION BY run_id) AS fallback FROM k",
     ),
     "r7_page_results": (
-        lambda spark, d: r.page_results(results(spark, d).withColumn("rrf_score", 1.0 / (60 + F.col("raw_rank"))).drop("source").join(query(spark, d, REQUESTS).select("request_id", "run_id"), "run_id"), query(spark, d, REQUESTS)).select("request_id", "paper_id", "at", "total", "shown_page"),
+        lambda spark, d: r.page_results(results(spark, d).withColumn("rrf_score", 1.0 / (60 + F.col("raw_rank"))), query(spark, d, REQUESTS), "run_id").select("request_id", "paper_id", "at", "total", "shown_page"),
         f"""WITH q AS ({REQUESTS}), x AS (SELECT q.request_id, q.sort, q.page, q.page_size, h.*, 1.0 / (60 + raw_rank) AS rrf FROM q JOIN fx_results h ON h.run_id = q.run_id),
         k AS (SELECT request_id, paper_id, page, page_size, count(*) OVER (PARTITION BY request_id) AS total, CASE sort
           WHEN 'relevance' THEN row_number() OVER (PARTITION BY request_id ORDER BY relevance DESC NULLS LAST, pair_score DESC NULLS LAST, semantic_score DESC NULLS LAST, rrf DESC NULLS LAST, CASE WHEN status = 'satisfied' THEN 0 ELSE 1 END, paper_id)

@@ -38,7 +38,7 @@ _FOLD = f"""lg AS ({_LOG}), ep AS (SELECT *, count(*) FILTER (action = 'delete')
   lb AS (SELECT items.*, p.paper_id, p.title, p.year, p.venue, p.source, p.lang FROM items JOIN fx_papers p ON p.seq = items.item_key)"""
 
 _REQ = """SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN 'reading' WHEN 1 THEN 'read' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 2000 END AS year_from, CASE WHEN o_orderkey % 5 = 0 THEN 2018 END AS year_to,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'SRC1' END AS venue, CASE WHEN o_orderkey % 2 = 0 THEN concat('KW', o_custkey % 13) END AS keyword FROM orders WHERE o_orderkey % 100 = 0"""
+  CASE WHEN o_orderkey % 7 = 0 THEN 'SRC1' END AS venue, CASE WHEN o_orderkey % 2 = 0 THEN concat('KW', o_custkey % 13) END AS keyword FROM orders WHERE o_orderkey % 50 = 0"""
 _FOUND = "(q.status IS NULL OR lb.reading_status = q.status) AND (q.year_from IS NULL OR lb.year >= q.year_from) AND (q.year_to IS NULL OR lb.year <= q.year_to) AND (q.venue IS NULL OR contains(lower(lb.venue), lower(q.venue)))"
 
 

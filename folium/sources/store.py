@@ -27,6 +27,22 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """The tables of a loop: each step is written like saved(), and the step before it, which nothing reads any more, goes."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base, self.n = spark, scratch(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, last = f"{self.base}/{self.n}", f"{self.base}/{self.n - 1}"
+        df.write.parquet(path)
+        if self.n:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Adds rows to a log table."""
     writer = df.write.mode("append")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from folium.functions.norm import casefold
 from folium.operators.components import components
 from folium.operators.fusion import identity_keys
-from folium.sources.store import append, latest, saved
+from folium.sources.store import Steps, append, latest, saved
 
 FEED, TTL_SECONDS = 100, 14_400
 TERMINAL = ("completed", "failed")
@@ -99,14 +99,15 @@ def cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     asked = times.select("key", "t", F.col("t").alias("x"), F.lit(1).alias("real")).unionByName(times.select("key", "t", (F.col("t") + ttl).alias("x"), F.lit(0).alias("real")))
     before_it = Window.partitionBy("key").orderBy(F.desc("x"), F.desc("real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = F.last(F.when(F.col("real") == 1, F.col("t")), ignorenulls=True).over(before_it)
-    jump = saved(asked.withColumn("to", later).where("real = 0 and to is not null").select("key", "t", "to"), "jumps")
-    misses = saved(times.groupBy("key").agg(F.min("t").alias("t")), "misses")
+    jumps, missed = Steps(requests.sparkSession, "jumps"), Steps(requests.sparkSession, "misses")
+    jump = jumps.put(asked.withColumn("to", later).where("real = 0 and to is not null").select("key", "t", "to"))
+    misses = missed.put(times.groupBy("key").agg(F.min("t").alias("t")))
     before = -1
     while (now := misses.count()) != before:
         before = now
         reached = misses.join(jump, ["key", "t"]).select("key", F.col("to").alias("t"))
-        misses = saved(misses.union(reached).distinct(), "misses")
-        jump = saved(jump.alias("x").join(jump.select("key", F.col("t").alias("m"), F.col("to").alias("z")).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.to") == F.col("y.m"))).select("x.key", "x.t", F.col("y.z").alias("to")), "jumps")
+        misses = missed.put(misses.union(reached).distinct())
+        jump = jumps.put(jump.alias("x").join(jump.select("key", F.col("t").alias("m"), F.col("to").alias("z")).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.to") == F.col("y.m"))).select("x.key", "x.t", F.col("y.z").alias("to")))
     marked = requests.join(misses.withColumn("_miss", F.lit(True)), ["key", "t"], "left")
     order = Window.partitionBy("key", "t").orderBy(*[c for c in requests.columns if c not in ("key", "t")] or ["key"])
     return marked.withColumn("hit", F.col("_miss").isNull() | (F.row_number().over(order) > 1)).drop("_miss")
