@@ -98,7 +98,7 @@ def norm_pmid(c) -> Column:
 def norm_source_id(c, scheme: str) -> Column:
     """A platform's own id; schemes openalex, semantic_scholar, dblp, internal."""
     if scheme == "openalex":
-        return F.btrim(_stripped(c, r"https?://openalex\.org/"), F.lit("/"))
+        return F.nullif(F.btrim(_stripped(c, r"https?://openalex\.org/"), F.lit("/")), F.lit(""))
     if scheme == "semantic_scholar":
         bare = F.btrim(_stripped(c, r"https://www\.semanticscholar\.org/paper/|https://api\.semanticscholar\.org/graph/v1/paper/"), F.lit("/"))
         return F.nullif(F.substring_index(bare, "/", -1), F.lit(""))

@@ -86,17 +86,19 @@ QUERIES = {
         f"SELECT seq, {s.doi('doi')} AS doi, {s.arxiv('arxiv_id')} AS arxiv, {s.arxiv_of_doi('doi')} AS alias, {s.pmid('pmid')} AS pmid, nullif(trim(lower(paper_id)), '') AS own FROM fx_papers",
     ),
     "n5_identifier_sets": (
-        lambda spark, d: norm.identifier_sets(view(spark, d, "fx_papers")).select("seq", *(F.array_join(F.col("ids")[k], ",").alias(k) for k in ("doi", "arxiv_id", "pmid"))),
-        f"SELECT seq, coalesce({s.doi('doi')}, '') AS doi, coalesce({s.arxiv('arxiv_id')}, '') AS arxiv_id, coalesce({s.pmid('pmid')}, '') AS pmid FROM fx_papers",
+        lambda spark, d: norm.identifier_sets(view(spark, d, "fx_papers")).select("seq", *(F.array_join(F.col("ids")[k], ",").alias(k) for k in norm.SCHEMES)),
+        f"SELECT seq, coalesce({s.openalex('openalex_id')}, '') AS openalex_id, coalesce({s.scholar('semantic_scholar_id')}, '') AS semantic_scholar_id, coalesce({s.dblp('dblp_key')}, '') AS dblp_key, coalesce({s.doi('doi')}, '') AS doi, coalesce({s.arxiv('arxiv_id')}, '') AS arxiv_id, coalesce({s.pmid('pmid')}, '') AS pmid FROM fx_papers",
     ),
     "n6_compare_ids": (
         lambda spark, d: (lambda p: norm.compare_ids(p.select(F.col("seq").alias("l"), (F.col("seq") + 1).alias("seq"), F.col("ids").alias("left_ids"), F.col("doi").alias("left_doi")).join(p.select("seq", F.col("ids").alias("right_ids"), F.col("doi").alias("right_doi")), "seq")).select("l", F.col("seq").alias("r"), "same", "evidence"))(
             norm.identifier_sets(view(spark, d, "fx_papers").withColumn("doi", F.expr("CASE WHEN seq % 6 = 0 THEN concat('10.48550/arXiv.2401.', lpad(CAST(seq AS STRING), 5, '0')) ELSE doi END")).withColumn("seq", F.col("seq")))),
-        f"""WITH p AS (SELECT seq, CASE WHEN seq % 6 = 0 THEN concat('10.48550/arXiv.2401.', lpad(CAST(seq AS VARCHAR), 5, '0')) ELSE doi END AS doi, arxiv_id, pmid FROM fx_papers),
-        i AS (SELECT seq, {s.doi('doi')} AS d, list_filter([{s.arxiv('arxiv_id')}, {s.arxiv_of_doi('doi')}], lambda x: x IS NOT NULL) AS a, {s.arxiv_of_doi('doi')} AS al, {s.pmid('pmid')} AS p FROM p)
+        f"""WITH p AS (SELECT seq, CASE WHEN seq % 6 = 0 THEN concat('10.48550/arXiv.2401.', lpad(CAST(seq AS VARCHAR), 5, '0')) ELSE doi END AS doi, arxiv_id, pmid, openalex_id, semantic_scholar_id, dblp_key FROM fx_papers),
+        i AS (SELECT seq, {s.openalex('openalex_id')} AS o, {s.scholar('semantic_scholar_id')} AS s2, {s.dblp('dblp_key')} AS b, {s.doi('doi')} AS d, list_filter([{s.arxiv('arxiv_id')}, {s.arxiv_of_doi('doi')}], lambda x: x IS NOT NULL) AS a, {s.arxiv_of_doi('doi')} AS al, {s.pmid('pmid')} AS p FROM p)
         SELECT x.seq AS l, y.seq AS r,
-          CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN x.d = y.d WHEN len(x.a) > 0 AND len(y.a) > 0 THEN list_has_any(x.a, y.a) WHEN x.p IS NOT NULL AND y.p IS NOT NULL THEN x.p = y.p END AS same,
-          CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN 'doi' WHEN len(x.a) > 0 AND len(y.a) > 0 THEN CASE WHEN list_has_any(x.a, y.a) AND coalesce(x.al, y.al) IS NOT NULL THEN 'arxiv_doi_alias' ELSE 'arxiv_id' END WHEN x.p IS NOT NULL AND y.p IS NOT NULL THEN 'pmid' END AS evidence
+          CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN x.d = y.d WHEN len(x.a) > 0 AND len(y.a) > 0 THEN list_has_any(x.a, y.a) WHEN x.p IS NOT NULL AND y.p IS NOT NULL THEN x.p = y.p
+            WHEN x.o IS NOT NULL AND y.o IS NOT NULL THEN x.o = y.o WHEN x.s2 IS NOT NULL AND y.s2 IS NOT NULL THEN x.s2 = y.s2 WHEN x.b IS NOT NULL AND y.b IS NOT NULL THEN x.b = y.b END AS same,
+          CASE WHEN x.d IS NOT NULL AND y.d IS NOT NULL THEN 'doi' WHEN len(x.a) > 0 AND len(y.a) > 0 THEN CASE WHEN list_has_any(x.a, y.a) AND coalesce(x.al, y.al) IS NOT NULL THEN 'arxiv_doi_alias' ELSE 'arxiv_id' END WHEN x.p IS NOT NULL AND y.p IS NOT NULL THEN 'pmid'
+            WHEN x.o IS NOT NULL AND y.o IS NOT NULL THEN 'openalex_id' WHEN x.s2 IS NOT NULL AND y.s2 IS NOT NULL THEN 'semantic_scholar_id' WHEN x.b IS NOT NULL AND y.b IS NOT NULL THEN 'dblp_key' END AS evidence
         FROM i x JOIN i y ON y.seq = x.seq + 1""",
     ),
     "n7_build_texts": (
