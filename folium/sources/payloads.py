@@ -71,9 +71,9 @@ def restore_abstract(index: Column) -> Column:
     """The words of an inverted index, a map, in the order of their positions; of two words at one, the first in the map stays."""
     given = F.coalesce(index, F.create_map().cast("map<string,array<bigint>>"))
     places = F.flatten(F.transform(F.map_entries(given), lambda e, i: F.transform(F.filter(F.coalesce(e["value"], F.array().cast("array<bigint>")), lambda p: p >= 0), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(places)
-    first = F.filter(ordered, lambda x, i: (i == 0) | (x["p"] != F.get(ordered, F.greatest(i - 1, F.lit(0)))["p"]))
-    return F.array_join(F.transform(first, lambda x: x["w"]), " ")
+    # A lambda's variable is computed once; an expression named in a lambda would be sorted again for each word.
+    first = lambda o: F.filter(o, lambda x, i: (i == 0) | (x["p"] != F.get(o, F.greatest(i - 1, F.lit(0)))["p"]))
+    return F.transform(F.array(F.array_sort(places)), lambda o: F.array_join(F.transform(first(o), lambda x: x["w"]), " "))[0]
 
 
 def ingest_openalex(raw: DataFrame) -> DataFrame:
