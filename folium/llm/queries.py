@@ -134,10 +134,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return pack(table(spark, sf_dir, "documents"))
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.codes import codes, learn, with_group_error
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = learn(vectors)
+    out = with_group_error(codes(vectors, books).drop("embedding"))
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return out.select("vec_id", code.alias("code"), "error", F.col("group_error").alias("label_error"), F.sha2(F.lit(books.listed()).cast("binary"), 256).alias("codebooks_sha256"))
+
+
+def _op13_sql(rounds: int = 4) -> str:
+    near = "SELECT vec_id, part, c, min(CAST(xx + bb - 2 * list_dot_product(c, b) AS BIGINT) * 256 + e) AS m FROM p JOIN b{r} USING (part) GROUP BY ALL"
+    refit = """SELECT part, e, list(s ORDER BY pos) AS b, list_dot_product(list(s ORDER BY pos), list(s ORDER BY pos)) AS bb FROM (
+    SELECT part, m % 256 AS e, pos, floor(sum(c[pos]) / count(*)) AS s FROM a{r}, LATERAL (SELECT unnest(generate_series(1, len(c))) AS pos) GROUP BY ALL) GROUP BY ALL
+    UNION ALL SELECT part, e, b, bb FROM b{r} WHERE (part, e) NOT IN (SELECT (part, m % 256) FROM a{r})"""
+    steps = "".join(f"a{r} AS MATERIALIZED ({near.format(r=r)}),\nb{r + 1} AS MATERIALIZED ({refit.format(r=r)}),\n" for r in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT *, list_dot_product(c, c) AS xx FROM (SELECT vec_id, part, list_slice(v, part * (len(v) // 4) + 1, (part + 1) * (len(v) // 4)) AS c FROM k, (SELECT unnest([0, 1, 2, 3]) AS part) t)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, c AS b, xx AS bb FROM p QUALIFY e < 256),
+{steps}z AS MATERIALIZED ({near.format(r=rounds)}),
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, pos)) AS codebooks_sha256 FROM (SELECT part, e, unnest(b) AS x, generate_subscripts(b, 1) AS pos FROM b{rounds})),
+c AS (SELECT vec_id, string_agg(lower(printf('%02x', m % 256)), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM z GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op13_vector_codes": _op13_sql()}
