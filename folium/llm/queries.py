@@ -133,6 +133,53 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+def _repeated(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the documents, by crc32 of the id, repeat a stretch of theirs from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    rows = documents.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, split).alias("w"))
+    n = F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    i = F.sequence(F.lit(0), n - 1)
+    again = F.transform(i, lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.periodic import collapse
+
+    out = collapse(_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda x, y: F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x)  # of equal ones the first
+    best = F.when(F.size("runs") > 0, F.reduce("runs", F.get("runs", F.lit(0)), longer))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), sha(listed).alias("runs_sha256"), sha(F.col("text")).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+OP11_SQL = r"""
+WITH c AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(length(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i + 1]) AS BIGINT))),
+      lambda v, x: list_reduce(list_concat([xor(v, x)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) AS h
+  FROM documents),
+g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+e AS MATERIALIZED (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) END]) END AS w FROM g),
+t AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i, len(w) AS n FROM e),
+q AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM q),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM l GROUP BY ALL),
+m AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+b AS (SELECT x.* FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.doc_id = x.doc_id AND (y.length * x.period > x.length * y.period OR y.length * x.period = x.length * y.period AND (y.start < x.start OR y.start = x.start AND y.period < x.period)))),
+x AS (SELECT DISTINCT t.doc_id, t.i FROM t JOIN r ON t.doc_id = r.doc_id AND t.i >= r.start + r.period AND t.i < r.start + r.length),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.i) AS kept FROM t ANTI JOIN x ON t.doc_id = x.doc_id AND t.i = x.i GROUP BY t.doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period, CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN m ON m.doc_id = e.doc_id LEFT JOIN b ON b.doc_id = e.doc_id LEFT JOIN k ON k.doc_id = e.doc_id
+"""
+
+
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.codes import codes, learn, with_group_error
@@ -162,8 +209,8 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing, op11_periodic_runs, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op13_vector_codes": _op13_sql()}
+    return {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op11_periodic_runs": OP11_SQL, "op13_vector_codes": _op13_sql()}
