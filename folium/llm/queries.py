@@ -181,6 +181,13 @@ FROM e LEFT JOIN m ON m.doc_id = e.doc_id LEFT JOIN b ON b.doc_id = e.doc_id LEF
 
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folium.llm.language import languages, learn
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return languages(documents, learn(documents)).drop("stretches")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.llm.codes import codes, learn, with_group_error
 
@@ -209,7 +216,7 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing, op11_periodic_runs, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_line_dedup, op3_fingerprints, op4_token_store, op5_url_filter, op6_contaminated, op7_personal_data, op8_quality, op9_token_counts, op10_packing, op11_periodic_runs, op12_language, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
