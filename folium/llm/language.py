@@ -8,7 +8,7 @@ of probabilities over its words of letters, and its score is that sum's share.
 
 The field is learnt from the languages of a bounded sample of documents: FIT_DOCUMENTS of each language in expectation,
 drawn by hash, and never more than twice as many in all. Half of them give the lexicon (words of at least two of them),
-the other half stretches of words from all over their texts, of which several, of equal or different languages, are put
+the other half (of a language with fewer documents than that, all give both) stretches of words from all over their texts, of which several, of equal or different languages, are put
 together to one training sequence: so transitions learn that languages stay, and that they change.
 
 Long texts are cut in segments whose transfer matrices are multiplied for all segments at once; what enters and leaves each
@@ -197,10 +197,11 @@ def fit(names: list[str], label: np.ndarray, features: list[list[np.ndarray]], b
     w2, v2, t2, s2 = (np.full_like(x, 1e-6) for x in (model.weights, model.evidence, model.moves, model.start))
     n = len(label)
     for _ in range(epochs if n and kinds > 1 else 0):
-        # A sequence is a stretch, then another of its language or of any.
-        order = rng.permutation(n)
-        same = {k: np.flatnonzero(label == k) for k in range(kinds)}
-        chains = [(i, int(rng.choice(same[label[i]])) if rng.random() < 0.5 else int(rng.integers(n)), int(rng.integers(n))) for i in order.tolist()]
+        # A sequence is a stretch, then another of its language or of any, then one of any; languages are equally likely.
+        present = np.unique(label)
+        of = {k: np.flatnonzero(label == k) for k in present.tolist()}
+        other = lambda: int(rng.choice(of[int(rng.choice(present))]))
+        chains = [(i, int(rng.choice(of[int(label[i])])) if rng.random() < 0.5 else other(), other()) for i in rng.permutation(n).tolist()]
         for lo in range(0, n, 64):
             batch = [[(label[i], f, b) for i in chain for f, b in zip(features[i], bucket[i].tolist(), strict=True)] for chain in chains[lo : lo + 64]]
             size = max(map(len, batch))
@@ -234,7 +235,7 @@ def fit(names: list[str], label: np.ndarray, features: list[list[np.ndarray]], b
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document (key, lang, text) its distinct words' buckets, or stretches of words with their features."""
+    """Of each document (key, lang, text) its distinct words' buckets, and stretches of words with their features."""
     for batch in batches:
         for row, data, offsets in pieces(batch["text"], lower=True):
             starts, ends, first = word_spans(data, offsets)
@@ -243,9 +244,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(offsets) - 1):
                 a, b = int(first[i]), int(first[i + 1])
                 one = {"key": batch["key"][row + i].as_py(), "lang": batch["lang"][row + i].as_py()}
-                if one["key"] % 2:
-                    rows.append({**one, "at": 0, "buckets": np.unique(_bucket(hashes[a:b])), "features": [], "sizes": []})
-                    continue
+                rows.append({**one, "at": -1, "buckets": np.unique(_bucket(hashes[a:b])), "features": [], "sizes": []})
                 for at, x in enumerate(np.unique(np.linspace(a, max(a, b - STRETCH), STRETCHES).astype(int)).tolist()):
                     y = min(x + STRETCH, b)
                     if y > x:
@@ -272,9 +271,10 @@ def learn(documents: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Languages
         rows = rows.sort_by([("key", "ascending"), ("lang", "ascending"), ("at", "ascending")]).to_pandas()
         for r in rows.itertuples():
             k = names.index(r.lang)
-            if r.key % 2:
+            few = counts[r.lang] < fit_documents
+            if r.at < 0 and (few or r.key % 2):
                 lexicon[np.asarray(r.buckets, np.int64), k] += 1
-            else:
+            elif r.at >= 0 and (few or not r.key % 2):
                 label.append(k)
                 features.append(np.split(np.asarray(r.features), np.cumsum(r.sizes)[:-1]))
                 bucket.append(np.asarray(r.buckets, np.int64))
