@@ -21,9 +21,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return query(spark, d, EVENTS)
 
 
+#: Requests with null parameters, values that differ by white space or case only, and some without a source.
+_REQUESTS = """SELECT event_id AS id, CASE WHEN event_id % 13 > 0 THEN event_type END AS operation, CASE WHEN user_id % 7 > 0 THEN CAST(user_id % 10 AS STRING) END AS query,
+  CASE user_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'DE' WHEN 2 THEN 'de ' END AS lang, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP))) AS BIGINT) AS t FROM events"""
+
+
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    rows = query(spark, d, "SELECT event_id AS id, CAST(user_id % 20 AS STRING) AS user, event_type, CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP))) AS BIGINT) AS t FROM events")
-    return st.cache_hits(rows.select(st.cache_key("user", "event_type").alias("key"), "t", "id")).select("id", "hit")
+    rows = query(spark, d, _REQUESTS)
+    return st.cache_hits(rows.select(st.cache_key(F.lit("openalex"), "operation", {"query": F.col("query"), "lang": F.col("lang")}).alias("key"), "t", "id")).select("id", "hit")
 
 
 def s5(spark: SparkSession, d: str) -> DataFrame:
@@ -57,9 +62,10 @@ QUERIES = {
     ),
     "s4_cache_hits": (
         s4,
-        """WITH RECURSIVE e AS (SELECT event_id AS id, concat(user_id % 20, '-', event_type) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), d AS (SELECT DISTINCT key, t FROM e), nx AS (SELECT a.key, a.t, min(b.t) AS nt FROM d a JOIN d b ON b.key = a.key AND b.t >= a.t + 14400 GROUP BY ALL),
+        """WITH RECURSIVE e AS (SELECT event_id AS id, CASE WHEN event_id % 13 > 0 THEN concat(event_type, '|', CASE WHEN user_id % 7 > 0 THEN concat('=', user_id % 10) ELSE '-' END, '|', CASE user_id % 4 WHEN 0 THEN '=de' WHEN 1 THEN '=DE' WHEN 2 THEN '=de ' ELSE '-' END) END AS key, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+        d AS (SELECT DISTINCT key, t FROM e WHERE key IS NOT NULL), nx AS (SELECT a.key, a.t, min(b.t) AS nt FROM d a JOIN d b ON b.key = a.key AND b.t >= a.t + 14400 GROUP BY ALL),
         m(key, t) AS (SELECT key, min(t) FROM d GROUP BY key UNION SELECT nx.key, nx.nt FROM m JOIN nx ON nx.key = m.key AND nx.t = m.t)
-        SELECT id, m.t IS NULL OR row_number() OVER (PARTITION BY e.key, e.t ORDER BY id) > 1 AS hit FROM e LEFT JOIN m ON m.key = e.key AND m.t = e.t""",
+        SELECT id, e.key IS NOT NULL AND (m.t IS NULL OR row_number() OVER (PARTITION BY e.key, e.t ORDER BY id) > 1) AS hit FROM e LEFT JOIN m ON m.key = e.key AND m.t = e.t""",
     ),
     "s5_incremental_groups": (s5, f"WITH RECURSIVE {s.GROUPS} SELECT run_id, seq, component FROM m"),
     "r6_cascade": (

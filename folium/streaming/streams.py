@@ -7,11 +7,12 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from folium.functions.norm import casefold
 from folium.operators.components import components
 from folium.operators.fusion import identity_keys
 from folium.sources.store import Steps, append, latest, saved
@@ -83,18 +84,27 @@ def stalled_runs_stream(events: DataFrame, seconds: int, watermark: str = "10 se
     return rows.groupBy("run_id").applyInPandasWithState(step, "run_id long, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def cache_key(*params, version: str = "1"):
-    """The key of a request: a hash of its parameters, by name, and a version."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(version), *(casefold(F.trim(p)) for p in params)).cast("binary"), 256)
+def cache_key(source, operation, params: dict[str, Column], version: str = "v1") -> Column:
+    """The key of a request: its source, operation and version, and a hash of its parameters by name.
+
+    Names are ordered; values stand as they are, nulls included, so different requests have different keys. A request
+    without source or operation has no key.
+    """
+    named = F.struct(*(params[name].alias(name) for name in sorted(params)))
+    payload = F.to_json(F.struct(F.lit(version).alias("adapter_version"), named.alias("params")), {"ignoreNullFields": "false"})
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.concat(column(source), F.lit(":"), column(operation), F.lit(f":{version}:"), F.sha2(payload.cast("binary"), 256))
 
 
 def cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
     """Requests (key, t, ...) with hit: within ttl seconds of the miss that filled the cache; a hit doesn't extend it.
 
-    A key's misses are its first request and, from each on, the first one ttl later. They are found by pointer doubling:
-    every step doubles the distance that known misses reach, so steps grow with the logarithm of misses a key.
+    A request without key or time is a miss that fills nothing. A key's misses are its first request and, from each on, the
+    first one ttl later. They are found by pointer doubling: every step doubles the distance that known misses reach, so
+    steps grow with the logarithm of misses a key.
     """
-    times = requests.select("key", "t").distinct()
+    keyed = F.col("key").isNotNull() & F.col("t").isNotNull()
+    times = requests.where(keyed).select("key", "t").distinct()
     # Each time t asks for the first one at t + ttl or later: times and questions in one descending order, read once.
     asked = times.select("key", "t", F.col("t").alias("x"), F.lit(1).alias("real")).unionByName(times.select("key", "t", (F.col("t") + ttl).alias("x"), F.lit(0).alias("real")))
     before_it = Window.partitionBy("key").orderBy(F.desc("x"), F.desc("real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -109,8 +119,74 @@ def cache_hits(requests: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
         misses = missed.put(misses.union(reached).distinct())
         jump = jumps.put(jump.alias("x").join(jump.select("key", F.col("t").alias("m"), F.col("to").alias("z")).alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.to") == F.col("y.m"))).select("x.key", "x.t", F.col("y.z").alias("to")))
     marked = requests.join(misses.withColumn("_miss", F.lit(True)), ["key", "t"], "left")
+    # Only the requests of a miss's own second are numbered; a second with many of them is the largest group.
     order = Window.partitionBy("key", "t").orderBy(*[c for c in requests.columns if c not in ("key", "t")] or ["key"])
-    return marked.withColumn("hit", F.col("_miss").isNull() | (F.row_number().over(order) > 1)).drop("_miss")
+    filled = marked.where("_miss").withColumn("hit", F.row_number().over(order) > 1)
+    return filled.unionByName(marked.where("_miss is null").withColumn("hit", keyed)).drop("_miss")
+
+
+class _Cache(StatefulProcessor):
+    """One key's cache: the time that filled it, and the requests that wait for the watermark, so that they are taken by time."""
+
+    def __init__(self, ttl: int) -> None:
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.filled = handle.getValueState("filled", "t long")
+        self.waiting = handle.getListState("waiting", "t long, id long")
+
+    def _wake(self, at: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(at * 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            self.waiting.appendList([(int(t), int(i)) for t, i in zip(frame["t"], frame["id"], strict=True)])
+            first = int(frame["t"].min()) if first is None else min(first, int(frame["t"].min()))
+        if first is not None:
+            due = [timer // 1000 for timer in self.handle.listTimers()]
+            self._wake(min([first + 1, *due]))
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "t": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "hit": pd.Series([], dtype=bool)})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        waiting = sorted((int(t), int(i)) for t, i in self.waiting.get())
+        ready, later = [x for x in waiting if x[0] < now], [x for x in waiting if x[0] >= now]
+        filled = int(self.filled.get()[0]) if self.filled.exists() else None
+        hits = []
+        for t, _ in ready:
+            hit = filled is not None and t < filled + self.ttl
+            filled = filled if hit else t
+            hits.append(hit)
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+        if filled is not None and filled + self.ttl > now:
+            self.filled.update((filled,))
+            self._wake(min([filled + self.ttl, *(t + 1 for t, _ in later)]))
+        else:
+            self.filled.clear()  # expired: a key that isn't asked for holds no state
+            if later:
+                self._wake(later[0][0] + 1)
+        yield pd.DataFrame({"key": [key[0]] * len(ready), "t": [t for t, _ in ready], "id": [i for _, i in ready], "hit": hits})
+
+
+def cache_hits_stream(requests: DataFrame, ttl: int = TTL_SECONDS, watermark: str = "10 seconds") -> DataFrame:
+    """S4 as a stream: requests (key, ts, id) give (key, t, id, hit), each once the watermark has passed its second.
+
+    A key's state is the time that filled the cache and the requests not yet passed by the watermark; a timer drops it when
+    the cache has expired. Requests without key or time pass as misses without state. Requests of one second are taken by
+    id, as in the batch twin. Needs a state store that has timers: spark.sql.streaming.stateStore.providerClass must be
+    the RocksDB one.
+    """
+    rows = requests.withWatermark("ts", watermark).withColumn("t", F.unix_seconds("ts"))
+    held = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    schema = "key string, t long, id long, hit boolean"
+    kept = rows.where(held).groupBy("key").transformWithStateInPandas(_Cache(ttl), schema, "Append", "EventTime")
+    return kept.unionByName(rows.where(~held).select("key", "t", F.col("id").cast("long").alias("id"), F.lit(False).alias("hit")))
 
 
 class FusionState:

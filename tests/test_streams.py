@@ -77,3 +77,42 @@ def test_cache_of_one_hot_key(spark):
     rows = spark.range(60_000).selectExpr("'k' AS key", "id * 7 AS t", "id")
     hits = st.cache_hits(rows, 100).where("not hit")
     assert [r["t"] for r in hits.orderBy("t").limit(4).collect()] == [0, 105, 210, 315] and hits.count() == 4000
+
+
+def test_cache_keys_tell_requests_apart(spark):
+    rows = [("2000", None), (None, "2000"), ("2000 ", None), ("2000", ""), ("a", "B"), ("a", "b"), ("a|b", None), ("a", "b\x1f")]
+    df = spark.createDataFrame(rows, "year string, q string")
+    key = lambda *names, **more: st.cache_key(F.lit("arxiv"), F.lit("search"), {n: F.col(n) for n in names}, **more)
+    assert df.select(key("year", "q").alias("k")).distinct().count() == len(rows)
+    one = df.limit(1).select(key("year", "q").alias("a"), key("q", "year").alias("b"), key("year", "q", version="v2").alias("c"), key("year").alias("d"), st.cache_key("q", F.lit("x"), {}).alias("e")).first()
+    assert one["a"] == one["b"] and len({one["a"], one["c"], one["d"]}) == 3 and one["e"] is None
+    assert one["a"].startswith("arxiv:search:v1:") and len(one["a"]) == len("arxiv:search:v1:") + 64
+
+
+def test_requests_without_key_or_time_never_hit(spark):
+    rows = [(None, 1, 1), (None, 2, 2), ("k", None, 3), ("k", None, 4), ("k", 5, 5), ("k", 5, 6), ("k", 6, 7), ("k", 105, 8), ("k", 106, 9)]
+    got = {r["id"]: r["hit"] for r in st.cache_hits(spark.createDataFrame(rows, "key string, t long, id long"), 100).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True, 7: True, 8: False, 9: True}
+
+
+def test_cache_stream_and_restart(spark, tmp_path):
+    """Requests in some disorder, in files; the stream is stopped after each run and goes on from its checkpoint."""
+    import random
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(5)
+    rows = sorted(((rng.choice([*"abc", None]), 1000 + rng.randrange(900), i) for i in range(240)), key=lambda r: r[1] + rng.randrange(20))
+    rows.append(("end", 5000, 999))  # passes the watermark over all others
+    path, schema = f"{tmp_path}/in", "key string, ts timestamp, id long"
+    frame = lambda part: spark.createDataFrame(part, "key string, t long, id long").select("key", F.timestamp_seconds("t").alias("ts"), "id")
+    for n, part in enumerate((rows[:80], rows[80:170], rows[170:])):
+        for half in (part[: len(part) // 2], part[len(part) // 2 :]):
+            frame(half).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        out = st.cache_hits_stream(stream, 60, "30 seconds")
+        out.writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/out")).start().awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("key", "t", "id", "hit").where("id < 999").collect()]
+    want = st.cache_hits(spark.createDataFrame(rows, "key string, t long, id long"), 60).where("id < 999").select("key", "t", "id", "hit")
+    want = {tuple(r) for r in want.collect()}
+    assert set(got) ^ want == set() and len(got) == 240
