@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.norm import norm_weak
 from folium.operators.filters import validate_evidence
+from folium.operators.vector_index import VectorIndex
 from folium.sources.store import scratch
 
 SEMANTIC_KEEP, PAIR_KEEP, WINDOW = 60, 24, 20
@@ -118,38 +116,15 @@ def sort_library(library: DataFrame, sort: str) -> DataFrame:
     return library.orderBy(*orders[sort])
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, over: int = OVER_FETCH) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, over: int = OVER_FETCH, index: VectorIndex | None = None, exact: bool = True) -> DataFrame:
     """(query_id, vec_id, score, rank): the best k active ones among the k * over nearest vectors of each query, by
-    exact inner product; so a query can come up short, and shortfalls() says by how much.
+    inner product; so a query can come up short, and shortfalls() says by how much.
 
-    Queries go out in blocks of bounded size, one at a time; a block meets every batch of vectors in one matrix product,
-    whose best ones are written before the next block goes out, and merged by a window.
+    index holds the vectors; without one it is built for this search. vectors (vec_id, status) say what is active now.
     """
-    n, schema = k * over, "query_id long, vec_id long, score double, status string"
-    qs = queries.select(F.col("query_id"), F.col("embedding").alias("q"))
-    packed = qs.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, qs.count() // block + 1))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    path = None
-    for part in packed.toLocalIterator():
-        path = path or scratch(queries.sparkSession, "nearest")
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([x["query_id"] for x in part["qs"]]), np.array([x["q"] for x in part["qs"]], np.float64)))
-
-        def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    own, status = batch["vec_id"].to_numpy(), batch["status"].to_numpy(zero_copy_only=False)
-                    scores = np.round(matrix @ np.array(batch["embedding"].to_pylist(), np.float64).T, 10)
-                    order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :n]
-                    rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                    yield pa.record_batch([pa.array(ids[rows]), pa.array(own[order.ravel()]), pa.array(scores[rows, order.ravel()]), pa.array(status[order.ravel()], pa.string())], ["query_id", "vec_id", "score", "status"])
-
-        vectors.select("vec_id", "embedding", "status").mapInArrow(local, schema).write.mode("append").parquet(path)
-        shared.destroy()
-    if path is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    order = [F.desc("score"), F.asc("vec_id")]
-    nearest = top(queries.sparkSession.read.schema(schema).parquet(path), ["query_id"], order, n, "_n")
-    return top(nearest.where("status = 'active'").drop("_n", "status"), ["query_id"], order, k)
+    index = index or VectorIndex.build(vectors, scratch(queries.sparkSession, "vector-index"))
+    active = index.nearest(queries, k * over, exact=exact).drop("n").join(vectors.where("status = 'active'").select("vec_id"), "vec_id", "left_semi")
+    return top(active.select("query_id", "vec_id", "score"), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def shortfalls(queries: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
