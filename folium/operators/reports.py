@@ -1,4 +1,4 @@
-"""Facets, routes, reports and costs."""
+"""Routes, reports and costs (A2-A9, N12; A1 is in facets.py)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.norm import casefold
-from folium.operators.filters import filter_library
 
-FACETS, TOP_KEYWORDS, REPRESENTATIVES = 80, 8, 3
+TOP_KEYWORDS, REPRESENTATIVES = 8, 3
 ACADEMIC = ("openalex", "semantic_scholar", "arxiv", "dblp", "pubmed")
 
 #: Model aliases, and prices of a million tokens (cached input, other input, output).
@@ -17,19 +16,6 @@ PRICES = {"deepseek-v4-flash": (0.02, 1.0, 2.0), "deepseek-v4-pro": (0.025, 3.0,
 PEAK_MINUTES = ((9 * 60, 12 * 60), (14 * 60, 18 * 60))
 
 
-def facets(library: DataFrame, requests: DataFrame, n: int = FACETS) -> DataFrame:
-    """A1: (request_id, keyword, count, rank): terms of the items that a request finds when its keyword is left out.
-
-    A term counts once for an item; it is shown as the item updated last, with the smallest key, spells it last.
-    """
-    rows = filter_library(library, requests, by_keyword=False)
-    each = rows.select("request_id", "item_key", "updated_at", F.posexplode(F.concat("tags", "keywords")).alias("pos", "term")).where("trim(term) <> ''").withColumn("key", casefold(F.trim("term")))
-    item = each.groupBy("request_id", "key", "item_key").agg(F.max_by(F.trim("term"), "pos").alias("shown"), F.max("updated_at").alias("updated_at"))
-    counts = item.groupBy("request_id", "key").agg(F.count("*").alias("count"), F.max_by("shown", F.struct("updated_at", -F.col("item_key"))).alias("keyword"))
-    order = Window.partitionBy("request_id").orderBy(F.desc("count"), "key")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("request_id", "keyword", "count", "rank")
-
-
 def top_keywords(terms: DataFrame, n: int = TOP_KEYWORDS) -> DataFrame:
     """A2: (run_id, keyword, count, rank) of terms (run_id, seq, paper_id, term); each spelling on a paper counts."""
     each = terms.select("run_id", "paper_id", "seq", F.trim("term").alias("term")).where("term <> ''").groupBy("run_id", "paper_id", "term").agg(F.min("seq").alias("seq"))

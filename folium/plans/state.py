@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.operators import filters, lookup, reports, vectors
+from folium.operators import facets, filters, lookup, reports, vectors
 from folium.operators import library as lib
 from folium.plans import fusion as pf
 from folium.plans import search as ps
@@ -110,7 +110,7 @@ QUERIES = {
         f"WITH {_FOLD}, q AS ({_REQ}) SELECT request_id, item_key FROM q JOIN lb ON {_FOUND} AND (q.keyword IS NULL OR list_contains(string_split(lower(concat(lb.tags, ',', lb.source, ',', lb.lang)), ','), lower(q.keyword)))",
     ),
     "a1_facets": (
-        lambda spark, d: reports.facets(library(spark, d), query(spark, d, _REQ)).select("request_id", F.lower("keyword").alias("keyword"), "count", "rank"),
+        lambda spark, d: facets.facets(library(spark, d), query(spark, d, _REQ)).select("request_id", F.lower("keyword").alias("keyword"), "count", "rank"),
         f"""WITH {_FOLD}, q AS ({_REQ}), x AS (SELECT DISTINCT request_id, item_key, unnest(string_split(lower(concat(lb.tags, CASE WHEN lb.tags = '' THEN '' ELSE ',' END, lb.source, ',', lb.lang)), ',')) AS keyword FROM q JOIN lb ON {_FOUND}),
         c AS (SELECT request_id, keyword, count(*) AS "count" FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY "count" DESC, keyword) AS rank FROM c) SELECT * FROM k WHERE rank <= 80""",
     ),
