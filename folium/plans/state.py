@@ -11,6 +11,7 @@ from folium.plans import fusion as pf
 from folium.plans import search as ps
 from folium.plans import sql as s
 from folium.plans.fixtures import query, table, view
+from folium.sources.buckets import Buckets, upsert
 from folium.sources.store import append, latest, scratch
 
 _LOG = "SELECT item_key, seq, ts, action, note, reading_status, keyword, seq % 2 = 0 AS has_note, seq % 3 = 0 AS has_status, seq % 5 = 0 AS has_tags FROM fx_library_log"
@@ -68,6 +69,15 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return query(spark, d, "SELECT vec_id, concat('ix', vec_id % 2) AS index_name, concat('doc:', vec_id % 300) AS paper_id, concat('h', vec_id % 300 % 7) AS text_hash, embedding, status FROM fx_vectors")
 
 
+def i12_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Puts the run log's parts into a table in buckets of runs, which has each run's last row."""
+    runs = query(spark, d, "SELECT run_id % 1000 AS run_id, updated_at, latency_ms, status, run_id AS seq FROM fx_runs")
+    store = Buckets(spark, scratch(spark, "run-states"), {"runs": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema)}, ["run_id"])
+    for version, part in enumerate((1, 0)):
+        upsert(store, version, "runs", runs.where(f"seq % 2 = {part}"), ["run_id"], ["updated_at", "seq"])
+    return store.read("runs")
+
+
 def i12(spark: SparkSession, d: str) -> DataFrame:
     """Appends the run log in two parts and reads its latest view."""
     path = scratch(spark, "run-log")
@@ -214,4 +224,8 @@ QUERIES = {
         i12,
         "WITH r AS (SELECT run_id % 1000 AS run_id, updated_at, latency_ms, status, run_id AS seq FROM fx_runs), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_at DESC, seq DESC) AS n FROM r) SELECT run_id, updated_at, latency_ms, status, seq FROM k WHERE n = 1",
     ),
+    "i12_upsert": (
+        i12_upsert,
+        "WITH r AS (SELECT run_id % 1000 AS run_id, updated_at, latency_ms, status, run_id AS seq FROM fx_runs), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY updated_at DESC, seq DESC) AS n FROM r) SELECT run_id, updated_at, latency_ms, status, seq FROM k WHERE n = 1",
+    ),
 }

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from folium.operators.components import components
 from folium.operators.fusion import identity_keys
-from folium.sources.store import Steps, append, latest, saved
+from folium.sources.buckets import BUCKET_ROWS, BUCKETS, Buckets
+from folium.sources.store import Steps, append, saved
 
 FEED, TTL_SECONDS = 100, 14_400
 TERMINAL = ("completed", "failed")
@@ -190,46 +190,34 @@ def cache_hits_stream(requests: DataFrame, ttl: int = TTL_SECONDS, watermark: st
 
 
 class FusionState:
-    """Identity groups kept up to date batch by batch, in append-only logs of labels and keys below path.
+    """Identity groups kept up to date batch by batch, as labels and keys in buckets of runs below path.
 
     A batch joins the keys it shares with earlier ones; only components that it touches are labelled anew, with the
-    smallest seq of all that they now hold, so the state after any order of batches is that of one batch. A new object on
-    a path goes on from the logs there. A batch that failed between its two appends is run again with the same version:
-    its rows are then appended once more, with the same values.
+    smallest seq of all that they now hold, so the state after any order of batches is that of one batch. A batch reads and
+    writes the buckets of its runs; labels and keys become visible at once, a batch that failed leaves the version before,
+    and one that is run again is done once. A new object on a path goes on from the state there. Versions ascend.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.labels_schema, self.keys_schema = "run_id string, seq long, component long, version long", "run_id string, key string, component long, version long"
-
-    def _log(self, name: str, schema: str, keys: list[str]) -> DataFrame:
-        try:
-            log = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-        return latest(log, keys, ["version"])
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS):
+        schemas = {"labels": "run_id string, seq long, component long", "keys": "run_id string, key string, component long"}
+        self.store = Buckets(spark, path, schemas, ["run_id"], buckets, bucket_rows)
 
     def labels(self) -> DataFrame:
-        return self._log("labels", self.labels_schema, ["run_id", "seq"]).select("run_id", "seq", "component")
+        return self.store.read("labels")
 
     def update(self, hits: DataFrame, version: int) -> None:
         keys = saved(identity_keys(hits).select("run_id", "key", F.col("seq").cast("long").alias("seq")), "batch-keys")
-        known = self._log("keys", self.keys_schema, ["run_id", "key"]).select("run_id", "key", "component")
+        buckets = self.store.touched(keys)
+        labels, known = self.store.read("labels", buckets), self.store.read("keys", buckets)
         touched = known.join(keys.select("run_id", "key").distinct(), ["run_id", "key"], "left_semi").select("run_id", "key", F.col("component").alias("seq"))
         all_ = saved(keys.unionByName(touched), "touched-keys")
         first = all_.groupBy("run_id", "key").agg(F.min("seq").alias("first"))
-        found = components(all_.join(first, ["run_id", "key"]).select("run_id", F.col("seq").alias("a"), F.col("first").alias("b")), ["run_id"], "intake")
-        root = lambda df, c: df.join(found.select("run_id", F.col("id").alias(c), "root"), ["run_id", c], "left").withColumn("root", F.coalesce("root", F.col(c)))
-        moved = found.where("id <> root").select("run_id", F.col("id").alias("component"), "root")
-        old = self.labels().join(moved, ["run_id", "component"]).select("run_id", "seq", F.col("root").alias("component"))
-        new = root(keys.select("run_id", "seq").distinct(), "seq").select("run_id", "seq", F.col("root").alias("component"))
-        old_keys = known.join(moved, ["run_id", "component"]).select("run_id", "key", F.col("root").alias("component"))
-        new_keys = root(keys, "seq").groupBy("run_id", "key").agg(F.min("root").alias("component"))
-        labels, fresh = saved(old.unionByName(new).withColumn("version", F.lit(version).cast("long")), "new-labels"), saved(old_keys.unionByName(new_keys).distinct().withColumn("version", F.lit(version).cast("long")), "new-keys")
-        append(labels, f"{self.path}/labels")
-        append(fresh, f"{self.path}/keys")
+        found = components(all_.join(first, ["run_id", "key"]).select("run_id", F.col("seq").alias("a"), F.col("first").alias("b")), ["run_id"], "intake").select("run_id", F.col("id").alias("component"), "root")
+        # Old and new rows alike: a component that the batch joined to a smaller one takes its label.
+        under = lambda df: df.join(found, ["run_id", "component"], "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+        new_labels = under(labels.unionByName(keys.select("run_id", "seq", F.col("seq").alias("component")).distinct())).groupBy("run_id", "seq").agg(F.min("component").alias("component"))
+        new_keys = under(known.unionByName(keys.select("run_id", "key", F.col("seq").alias("component")))).groupBy("run_id", "key").agg(F.min("component").alias("component"))
+        self.store.commit(version, {"labels": new_labels, "keys": new_keys}, buckets)
 
 
 def fuse_stream(hits: DataFrame, state: FusionState, checkpoint: str):
