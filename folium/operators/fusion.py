@@ -35,14 +35,20 @@ def _given(df: DataFrame, c: str, kind: str = "string") -> Column:
 
 def identity_keys(hits: DataFrame) -> DataFrame:
     """(run_id, seq, key): own id, DOI, arXiv id, PMID, and the ids on other platforms, which name the same record as its
-    own id there; the title key only for records without DOI, arXiv id and PMID."""
+    own id there; the title key only for records without DOI, arXiv id and PMID. A record that was fused before names every
+    record it came from: source_records, an array of (source, external_id), if hits have it."""
     cross = [_tagged("doi:", norm_doi("doi")), _tagged("arxiv:", norm_arxiv("arxiv_id")), _tagged("arxiv:", arxiv_from_doi("doi")), _tagged("pmid:", norm_pmid("pmid"))]
     title, author = F.nullif(F.col("title_norm"), F.lit("")), F.nullif(F.col("author_norm"), F.lit(""))
     fallback = F.when(F.coalesce(*cross).isNull(), F.concat(F.lit("title:"), title, F.lit("|"), F.col("year").cast("string"), F.lit("|"), author))
     normal = hits.withColumns({"title_norm": norm_strong("title"), "author_norm": norm_strong("first_author"), "id_norm": norm_strong("paper_id")})
     own = F.concat(F.lit("source:"), F.col("source"), F.lit(":"), F.col("id_norm"))
     there = [_tagged(f"source:{name}:", norm_source_id(_given(hits, c), name)) for c, name in PLATFORM_IDS.items()]
-    return normal.select("run_id", "seq", F.explode(F.array_distinct(F.array_compact(F.array(own, *cross, *there, fallback)))).alias("key"))
+    keys = normal.select("run_id", "seq", F.explode(F.array_distinct(F.array_compact(F.array(own, *cross, *there, fallback)))).alias("key"))
+    if "source_records" not in hits.columns:
+        return keys
+    each = hits.select("run_id", "seq", F.explode("source_records").alias("r")).where("r.source is not null").select("run_id", "seq", "r.source", norm_strong("r.external_id").alias("external_id"))
+    named = each.where("external_id <> ''").select("run_id", "seq", F.concat(F.lit("source:"), "source", F.lit(":"), "external_id").alias("key"))
+    return keys.unionByName(named).distinct()
 
 
 def identity_groups(hits: DataFrame) -> DataFrame:

@@ -72,6 +72,18 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"routes": F.array_join("routes", ","), "reasons": shown("reasons"), "errors": F.coalesce(shown("errors"), F.lit(""))})
 
 
+def _fused_before(spark: SparkSession, d: str) -> DataFrame:
+    """fx_hits of which every fourth names another record's own id, and one without id, among those it came from."""
+    hits = view(spark, d, "fx_hits")
+    record = lambda source, external: F.struct(source.alias("source"), external.alias("external_id"))
+    other = F.concat(F.lit(" DOC:"), (F.col("seq") + 5).cast("string"))
+    return hits.withColumn("source_records", F.when(F.col("seq") % 4 == 0, F.array(record(F.col("source"), other), record(F.lit("dblp"), F.lit("  ")), record(F.lit(None).cast("string"), F.lit("x")))))
+
+
+_PROVENANCE = s.KEYS.replace("k AS (", "k0 AS (", 1) + """,
+k AS (SELECT * FROM k0 UNION SELECT run_id, seq, concat('source:', source, ':doc:', seq + 5) FROM fx_hits WHERE seq % 4 = 0)"""
+
+
 #: Columns that are fused like the ids.
 _MORE = ("openalex_id", "semantic_scholar_id", "dblp_key", "open_access_url")
 _LIST = "array_to_string(list(x ORDER BY o_), '|')"
@@ -127,6 +139,12 @@ QUERIES = {
         "SELECT page_id, CASE WHEN page_id % 3 = 0 AND regexp_matches(url, '^https?://[^/]+/') THEN concat(split_part(split_part(url, '?', 1), '#', 1), '.PDF?x=1') END AS pdf, concat('https://doi.org/10.', 1000 + page_id, '%2Fa(', page_id, ')') AS link FROM pages",
     ),
     "f1_identity_keys": (lambda spark, d: f.identity_keys(view(spark, d, "fx_hits")), f"WITH {s.KEYS} SELECT * FROM k"),
+    "f1_provenance_keys": (lambda spark, d: f.identity_keys(_fused_before(spark, d)), f"WITH {_PROVENANCE} SELECT * FROM k"),
+    "f2_provenance_groups": (
+        lambda spark, d: f.identity_groups(_fused_before(spark, d)),
+        f"""WITH RECURSIVE {_PROVENANCE}, cc(run_id, seq, label) AS (SELECT run_id, seq, seq FROM fx_hits UNION SELECT b.run_id, b.seq, cc.label FROM cc JOIN k a ON a.run_id = cc.run_id AND a.seq = cc.seq JOIN k b ON b.run_id = a.run_id AND b.key = a.key)
+        SELECT run_id, seq, min(label) AS component FROM cc GROUP BY ALL""",
+    ),
     "f2_identity_groups": (lambda spark, d: f.identity_groups(view(spark, d, "fx_hits")), f"WITH RECURSIVE {s.GROUPS} SELECT run_id, seq, component FROM m"),
     "f3_canonical": (lambda spark, d: f.canonical(groups(spark, d)), f"WITH RECURSIVE {s.GROUPS} SELECT run_id, component, seq FROM g WHERE best = 1"),
     "f4_fuse_fields": (

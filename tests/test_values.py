@@ -246,3 +246,12 @@ def test_no_cross_product_and_no_lone_window(spark, sf):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
         assert "Exchange SinglePartition" not in plan, name
+
+
+def test_records_fused_before_meet_by_provenance(spark):
+    from folium.operators.fusion import identity_groups
+
+    rows = [(1, "openalex", "W1", [("openalex", "W1"), ("arxiv", " AX9 ")]), (2, "arxiv", "ax9", None), (3, "dblp", "ax9", []), (4, "s2", "W1", [("arxiv", ""), (None, "ax9"), ("dblp", None)]), (5, "pubmed", "5", [("openalex", "w1")])]
+    hits = spark.createDataFrame([("r", i, s, p, r) for i, s, p, r in rows], "run_id string, seq long, source string, paper_id string, source_records array<struct<source: string, external_id: string>>")
+    hits = hits.withColumns({c: F.lit(None).cast("string") for c in ("title", "first_author", "doi", "arxiv_id", "pmid")} | {"year": F.lit(2000)})
+    assert {r["seq"]: r["component"] for r in identity_groups(hits).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
