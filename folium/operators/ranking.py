@@ -140,14 +140,9 @@ def _grams(word: Column, n: Column | int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, n)))
 
 
-def _words(corpus: DataFrame) -> DataFrame:
-    """(id, word): the distinct words of each text."""
-    return corpus.select("id", F.explode(F.array_distinct(F.split("search_text", " "))).alias("word")).where("word <> ''")
-
-
-def _candidates(held: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+def _candidates(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id) of texts that hold one of the query's terms."""
-    return held.join(found, "word").select("id", "term").distinct().join(terms.select("query_id", "term"), "term").select("query_id", "id").distinct()
+    return postings.join(terms.select("query_id", "term"), "term").select("query_id", "id").distinct()
 
 
 def term_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
@@ -155,22 +150,24 @@ def term_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
 
     corpus is (id, search_text) in lower case with single spaces. Terms longer than one letter are found as substrings; as
     they hold no space, a term stands in a text if it stands in one of its words. So the distinct words of the corpus meet
-    the distinct terms by the terms' first three letters (two, of a term of two), and the texts meet by their words.
+    the distinct terms by the terms' first three letters (two, of a term of two), and the texts meet by their words: these
+    are the postings (id, term).
 
-    Texts are read in blocks of ascending ids, each SPREAD times the one before and the last one all the rest. Ties go to
-    the smaller id, so once a query has k texts that hold at least m of its n terms, a later text must hold m + 1; it then
-    holds one of the n - m rarest terms, and only the texts that do are paired with the query and counted. A query whose k
-    texts hold all its terms is done.
+    Postings are read in blocks of ascending ids, each SPREAD times the one before and the last one all the rest. Ties go
+    to the smaller id, so once a query has k texts that hold at least m of its n terms, a later text must hold m + 1; it
+    then holds one of the n - m rarest terms, and only the texts that do are paired with the query and counted. A query
+    whose k texts hold all its terms is done.
     """
     spark = queries.sparkSession
     terms = queries.select("query_id", F.array_distinct(F.filter(F.split(norm_weak("text"), " "), lambda t: F.length(t) > 1)).alias("terms")).where("size(terms) > 0")
     each = terms.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     heads = each.select("term").distinct().select("term", F.substring("term", 1, 3).alias("gram"))
-    words = _words(corpus).groupBy("word").agg(F.count("*").alias("df"))
-    grams = words.select("word", "df", F.explode(F.array_union(_grams(F.col("word"), 3), _grams(F.col("word"), 2))).alias("gram"))
-    found = saved(grams.join(heads, "gram").where(F.contains("word", "term")).select("word", "term", "df"), "term-words")
-    # Any order of terms is right; the texts of a term's words bound those of the term.
-    df = found.groupBy("term").agg(F.sum("df").alias("df"))
+    held = corpus.select("id", F.explode(F.array_distinct(F.split("search_text", " "))).alias("word")).where("word <> ''")
+    words = held.select("word").distinct()
+    grams = words.select("word", F.explode(F.array_union(_grams(F.col("word"), 3), _grams(F.col("word"), 2))).alias("gram"))
+    found = grams.join(heads, "gram").where(F.contains("word", "term")).select("word", "term")
+    postings = saved(held.join(found, "word").select("id", "term").distinct(), "postings")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     rare = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
     each = saved(each.join(df, "term", "left").withColumn("rare", rare).drop("df"), "query-terms")
     bounds, size = [None], BLOCK * k
@@ -179,18 +176,19 @@ def term_search(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame
         if last["n"] < size or last["id"] is None:
             break
         bounds, size = [*bounds, last["id"]], size * SPREAD
-    steps, best, held_by = Steps(spark, "term-search"), None, None
+    steps, best, open_ = Steps(spark, "term-search"), None, each
     for i, low in enumerate(bounds):
-        block = corpus if low is None else corpus.where(F.col("id") > F.lit(low))
+        block = postings if low is None else postings.where(F.col("id") > F.lit(low))
         if i + 1 < len(bounds):
-            block = block.where(F.col("id").isNull() | (F.col("id") <= F.lit(bounds[i + 1]))) if low is None else block.where(F.col("id") <= F.lit(bounds[i + 1]))
-        open_ = each if held_by is None else each.join(held_by, "query_id", "left").where(F.col("rare") <= F.col("n") - F.coalesce("m", F.lit(0))).drop("m")
-        pairs = saved(_candidates(_words(block), found, open_), "term-pairs")
-        held = _words(block.join(pairs.select("id").distinct(), "id", "left_semi") if low is not None else block).join(found, "word").select("id", "term").distinct()
-        counted = pairs.join(each, "query_id").join(held, ["id", "term"]).groupBy("query_id", "id").agg((F.count("*") / F.max("n")).alias("score"), F.count("*").alias("m"))
-        best = top(counted if best is None else best.drop("rank").unionByName(counted), ["query_id"], [F.desc("score"), F.asc("id")], k)
-        best = steps.put(best)
-        held_by = best.where(F.col("rank") == k).select("query_id", "m")
+            inside = F.col("id") <= F.lit(bounds[i + 1])
+            block = block.where(inside | F.col("id").isNull() if low is None else inside)
+        pairs = _candidates(block, open_)
+        counted = pairs.join(each, "query_id").join(block, ["id", "term"]).groupBy("query_id", "id").agg((F.count("*") / F.max("n")).alias("score"), F.count("*").alias("m"))
+        best = steps.put(top(counted if best is None else best.drop("rank").unionByName(counted), ["query_id"], [F.desc("score"), F.asc("id")], k))
+        reached = best.where(F.col("rank") == k).select("query_id", "m")
+        open_ = each.join(reached, "query_id", "left").where(F.col("rare") <= F.col("n") - F.coalesce("m", F.lit(0))).drop("m")
+        if i + 1 < len(bounds) and open_.isEmpty():
+            break
     return best.drop("m")
 
 

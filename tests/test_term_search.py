@@ -29,7 +29,7 @@ def test_equals_a_plain_count_and_prunes(spark, monkeypatch):
     q, c = spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(corpus, "id long, search_text string")
     assert rows_of(ranking.term_search(q, c, 5)) == brute(queries, corpus, 5)
     every = sum(any(t in x for t in {t for t in text.split() if len(t) > 1}) for _, text in queries for _, x in corpus)
-    assert len(made) == 3 and sum(made) < every / 3
+    assert len(made) == 3 and sum(made) < every / 3, (made, every)
 
 
 def test_texts_that_hold_every_term_end_the_search(spark, monkeypatch):
