@@ -156,20 +156,44 @@ def query_fingerprint(c) -> Column:
     return F.sha2(F.array_join(query_tokens(c), " ").cast("binary"), 256)
 
 
-def similar_queries(queries: DataFrame, t: float = SIMILAR, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """(keys, a, b, similarity) of a run's queries (keys, pos, query), a after b, whose token sets are alike.
+def similar_classes(queries: DataFrame, t: float = SIMILAR, keys: tuple[str, ...] = ("run_id",)) -> tuple[DataFrame, DataFrame]:
+    """(keys, pos, class) of every query (keys, pos, query), and (keys, a, b, similarity) of classes a after b that are alike.
 
-    Sets of similarity t share one of their first n - ceil(t n) + 1 tokens, rarest first; only those are joined.
+    Queries of one token set are a class, named by its smallest pos; a query without tokens is its own. Only classes are
+    compared: sets of similarity t share one of their first n - ceil(t n) + 1 tokens, rarest first, are of lengths within
+    t, and have enough tokens left after the first that they share.
     """
-    rows = queries.select(*keys, "pos", query_tokens("query").alias("tokens"))
-    each = rows.select(*keys, "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = saved(queries.select(*keys, "pos", query_tokens("query").alias("tokens")), "query-tokens")
+    sets = saved(rows.where(F.size("tokens") > 0).groupBy(*keys, "tokens").agg(F.min("pos").alias("class")), "token-sets")
+    members = rows.join(sets, [*keys, "tokens"], "left").select(*keys, "pos", F.coalesce("class", "pos").alias("class"))
+    each = sets.select(*keys, F.col("class").alias("pos"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = each.groupBy(*keys, "token").agg(F.count("*").alias("df"))
     ranked = each.join(df, [*keys, "token"]).withColumn("r", F.row_number().over(Window.partitionBy(*keys, "pos").orderBy("df", "token")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * t) + 1).select(*keys, "token", "pos")
-    pairs = prefix.alias("x").join(prefix.select(*keys, "token", F.col("pos").alias("b")).alias("y"), [*keys, "token"]).where("pos > b").select(*keys, F.col("pos").alias("a"), "b").distinct()
-    both = pairs.join(rows.select(*keys, F.col("pos").alias("a"), F.col("tokens").alias("ta")), [*keys, "a"]).join(rows.select(*keys, F.col("pos").alias("b"), F.col("tokens").alias("tb")), [*keys, "b"])
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * t) + 1).select(*keys, "token", "pos", "n", "r")
+    other = prefix.select(*keys, "token", F.col("pos").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
+    length = (F.least("n", "nb") >= F.greatest("n", "nb") * t) & ((1 + F.least(F.col("n") - F.col("r"), F.col("nb") - F.col("rb"))) * (1 + t) >= (F.col("n") + F.col("nb")) * t - 1e-9)
+    pairs = prefix.join(other, [*keys, "token"]).where((F.col("pos") > F.col("b")) & length).select(*keys, F.col("pos").alias("a"), "b").distinct()
+    side = lambda name, tokens: sets.select(*keys, F.col("class").alias(name), F.col("tokens").alias(tokens))
+    both = pairs.join(side("a", "ta"), [*keys, "a"]).join(side("b", "tb"), [*keys, "b"])
     similarity = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return both.withColumn("similarity", similarity).where(F.col("similarity") >= t).select(*keys, "a", "b", "similarity")
+    return members, both.withColumn("similarity", similarity).where(F.col("similarity") >= t).select(*keys, "a", "b", "similarity")
+
+
+def class_links(members: DataFrame, links: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Every query with its class and the number of other classes that are like it."""
+    n = links.select(*keys, F.col("a").alias("class")).unionByName(links.select(*keys, F.col("b").alias("class"))).groupBy(*keys, "class").agg(F.count("*").alias("n_links"))
+    return members.join(n, [*keys, "class"], "left").select(*keys, "pos", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def similar_queries(queries: DataFrame, t: float = SIMILAR, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """(keys, a, b, similarity) of a run's queries (keys, pos, query), a after b, whose token sets are alike: the pairs
+    of similar_classes, expanded to their members. n queries of one set make n * (n - 1) / 2 rows."""
+    members, links = similar_classes(queries, t, keys)
+    members = saved(members, "query-classes")
+    pairs = links.unionByName(members.join(queries.select(*keys, "pos", query_tokens("query").alias("_t")), [*keys, "pos"]).where("size(_t) > 0").select(*keys, F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity")).distinct())
+    side = lambda name, pos: members.select(*keys, F.col("class").alias(name), F.col("pos").alias(pos))
+    each = pairs.join(side("a", "x"), [*keys, "a"]).join(side("b", "y"), [*keys, "b"]).where((F.col("a") != F.col("b")) | (F.col("x") > F.col("y")))
+    return each.select(*keys, F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "similarity")
 
 
 def accept_queries(candidates: DataFrame, known: DataFrame, per_gap: int | None = None, t: float = SIMILAR) -> DataFrame:

@@ -234,6 +234,13 @@ QUERIES = {
         f"SELECT conv_id, turn, sha256(array_to_string({_TOKENS.format(x='text')}, ' ')) AS f FROM conversations",
     ),
     "j8_similar_queries": (lambda spark, d: c.similar_queries(_turns(spark, d)).withColumn("similarity", F.round("similarity", 8)), f"WITH {_SIM} SELECT run_id, a, b, round(similarity, 8) AS similarity FROM sim"),
+    "j8_similar_classes": (
+        lambda spark, d: c.class_links(*c.similar_classes(_turns(spark, d))),
+        f"""WITH {_SIM}, cl AS (SELECT run_id, pos, CASE WHEN len(w) = 0 THEN pos ELSE min(pos) OVER (PARTITION BY run_id, list_sort(w)) END AS class FROM k),
+        li AS (SELECT DISTINCT x.run_id, x.class AS a, y.class AS b FROM sim JOIN cl x ON x.run_id = sim.run_id AND x.pos = sim.a JOIN cl y ON y.run_id = sim.run_id AND y.pos = sim.b WHERE x.class <> y.class),
+        bi AS (SELECT run_id, a AS class, b AS other FROM li UNION SELECT run_id, b, a FROM li), cn AS (SELECT run_id, class, count(*) AS n_links FROM bi GROUP BY ALL)
+        SELECT cl.run_id, cl.pos, cl.class, coalesce(n_links, 0) AS n_links FROM cl LEFT JOIN cn ON cn.run_id = cl.run_id AND cn.class = cl.class""",
+    ),
     "c10_accept_queries": (
         lambda spark, d: c.accept_queries(_turns(spark, d).withColumn("gap", F.floor(F.col("pos") / 5)), _turns(spark, d).where("run_id % 4 = 0 and pos = 1").select("run_id", "query"), 1).select("run_id", "gap", "pos", "accepted"),
         f"""WITH RECURSIVE {_SIM}, c AS (SELECT k.run_id, k.pos, CAST(floor(k.pos / 5) AS BIGINT) AS gap, row_number() OVER (PARTITION BY k.run_id ORDER BY k.pos) AS rn, len(k.w) = 0 OR (k.run_id % 4 = 0 AND (k.pos = 1 OR EXISTS (SELECT 1 FROM sim WHERE sim.run_id = k.run_id AND sim.a = k.pos AND sim.b = 1))) AS bad,

@@ -255,3 +255,23 @@ def test_records_fused_before_meet_by_provenance(spark):
     hits = spark.createDataFrame([("r", i, s, p, r) for i, s, p, r in rows], "run_id string, seq long, source string, paper_id string, source_records array<struct<source: string, external_id: string>>")
     hits = hits.withColumns({c: F.lit(None).cast("string") for c in ("title", "first_author", "doi", "arxiv_id", "pmid")} | {"year": F.lit(2000)})
     assert {r["seq"]: r["component"] for r in identity_groups(hits).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+
+
+def test_copies_of_one_query_are_one_class(spark):
+    rows = spark.range(10_000).selectExpr("1L AS run_id", "id AS pos", "'graph neural networks for drug design' AS query").unionByName(spark.createDataFrame([(1, 10_000, "design drug graph neural networks for the"), (1, 10_001, ""), (1, 10_002, "!!"), (2, 1, "graph")], "run_id long, pos long, query string"))
+    members, links = rounds.similar_classes(rows, 0.8)
+    assert members.count() == 10_004 and [tuple(r) for r in links.collect()] == [(1, 10_000, 0, 6 / 7)]
+    got = rounds.class_links(members, links)
+    assert got.where("class = 0 and n_links = 1").count() == 10_000 and {(r["pos"], r["n_links"]) for r in got.where("run_id = 1 and pos > 10000").collect()} == {(10_001, 0), (10_002, 0)}
+
+
+def test_pairs_of_classes_expand_to_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 7))) for _ in range(150)]
+    want = {(a, b) for b, a in itertools.combinations(range(150), 2) if (x := set(texts[a].split())) and (y := set(texts[b].split())) and len(x & y) / len(x | y) >= 0.6}
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "run_id long, pos long, query string")
+    got = [(r["a"], r["b"]) for r in rounds.similar_queries(df, 0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
