@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.sources.store import Steps, saved
 
+BLOCK_IDS = 2000  # consecutive ids that a task settles in order
+
 
 def components(edges: DataFrame, keys: list[str], name: str = "components") -> DataFrame:
     """(keys, id, root) for every id in edges (keys, a, b); root is the smallest id reached within the same keys.
@@ -51,18 +54,33 @@ def greedy_first(held: DataFrame, keys: list[str], name: str = "greedy") -> Data
     return held.select(*keys, "id").limit(0) if kept is None else kept
 
 
-def greedy_keep(rows: DataFrame, conflicts: DataFrame, keys: list[str], name: str = "greedy") -> DataFrame:
+def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of one block of ids, in order: rows (id, hit, waits, near), near being undecided ids of the block."""
+    kept: dict[int, bool | None] = {}
+    frame = frame.sort_values("id")
+    for i, hit, waits, near in zip(frame["id"].tolist(), frame["hit"].tolist(), frame["waits"].tolist(), frame["near"].tolist(), strict=True):
+        before = [kept[x] for x in near]
+        kept[i] = False if hit or True in before else None if waits or None in before else True
+    return frame.drop(columns=["hit", "waits", "near", "block"]).assign(kept=pd.array(list(kept.values()), dtype="boolean"))
+
+
+def greedy_keep(rows: DataFrame, conflicts: DataFrame, keys: list[str], name: str = "greedy", block: int = BLOCK_IDS) -> DataFrame:
     """Rows (keys, id) with kept, taking ids in ascending order unless an earlier kept one conflicts (keys, a, b).
 
-    A round keeps every undecided row without an earlier undecided neighbour and drops the neighbours of kept rows, so
-    the number of rounds is that of the longest chain of decisions, not of rows.
+    A round first lets decided rows drop their later neighbours. Then each block of `block` consecutive ids is gone through
+    in order, which settles every row whose undecided neighbours are all of its block and settled before it. So a chain
+    costs a round for each block that it crosses, and a task never holds more than a block of rows.
     """
-    back = saved(conflicts.select(*keys, F.greatest("a", "b").alias("id"), F.least("a", "b").alias("early")).where("id <> early").distinct(), name)
+    number = lambda c: F.floor(F.col(c) / block)
+    distinct = conflicts.select(*keys, F.greatest("a", "b").alias("id"), F.least("a", "b").alias("early")).where("id <> early").distinct()
+    back = saved(distinct.withColumn("near", number("id") == number("early")), name)
     steps = Steps(rows.sparkSession, name)
     state = steps.put(rows.select(*keys, "id", F.lit(None).cast("boolean").alias("kept")))
     while not state.where("kept is null").isEmpty():
         early = state.select(*keys, F.col("id").alias("early"), F.col("kept").alias("early_kept"))
-        seen = back.join(early, [*keys, "early"]).groupBy(*keys, "id").agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(F.col("early_kept").isNull()).alias("waits"))
-        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = steps.put(state.join(seen, [*keys, "id"], "left").select(*keys, "id", decided.alias("kept")))
+        waits = F.col("early_kept").isNull()
+        seen = back.join(early, [*keys, "early"]).groupBy(*keys, "id").agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(waits & ~F.col("near")).alias("waits"), F.collect_set(F.when(waits & F.col("near"), F.col("early"))).alias("near"))
+        left = state.where("kept is null").join(seen, [*keys, "id"], "left").select(*keys, "id", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("waits", F.lit(False)).alias("waits"), F.coalesce("near", F.array().cast(seen.schema["near"].dataType)).alias("near"), number("id").alias("block"))
+        settled = left.groupBy(*keys, "block").applyInPandas(_settle, state.schema)
+        state = steps.put(state.where("kept is not null").unionByName(settled))
     return state

@@ -275,3 +275,32 @@ def test_pairs_of_classes_expand_to_all_pairs(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "run_id long, pos long, query string")
     got = [(r["a"], r["b"]) for r in rounds.similar_queries(df, 0.6).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_long_chain_is_settled_by_blocks(spark, monkeypatch):
+    from folium.operators import components as c
+
+    n, rounds, real = 5000, [], c.Steps.put
+    monkeypatch.setattr(c.Steps, "put", lambda self, df: rounds.append(1) or real(self, df))
+    rows = spark.range(n).selectExpr("1L AS run_id", "id")
+    chain = spark.range(n - 1).selectExpr("1L AS run_id", "id AS a", "id + 1 AS b")
+    got = greedy_keep(rows, chain, ["run_id"])
+    assert {r["id"] for r in got.where("kept").collect()} == set(range(0, n, 2)) and len(rounds) < 20
+
+
+def test_blocks_follow_the_sequential_rule(spark):
+    import random
+
+    rng = random.Random(6)
+    n = 120
+    pairs = [(rng.randrange(3), *rng.sample(range(n), 2)) for _ in range(500)]
+    want = set()
+    for run in range(3):
+        kept = set()
+        for i in range(n):
+            if not any(r == run and ((a == i and b in kept) or (b == i and a in kept)) for r, a, b in pairs):
+                kept.add(i)
+        want |= {(run, i) for i in kept}
+    rows = spark.createDataFrame([(r, i) for r in range(3) for i in range(n)], "run_id long, id long")
+    got = greedy_keep(rows, spark.createDataFrame(pairs, "run_id long, a long, b long"), ["run_id"], block=16)
+    assert {(r["run_id"], r["id"]) for r in got.where("kept").collect()} == want and got.count() == 3 * n
