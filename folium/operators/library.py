@@ -9,6 +9,8 @@ from folium.functions.norm import casefold
 from folium.operators.fusion import PLATFORM_IDS
 
 ACTIVE = ("pending", "running")
+SEGMENT_ROWS = 100_000
+_TAGS = "array<struct<seq: bigint, pos: int, tag: string, key: string>>"
 INTERRUPTED = "interrupted: the process ended before the run did"
 
 
@@ -44,25 +46,78 @@ def created(log: DataFrame) -> DataFrame:
     return log.withColumn("created", F.row_number().over(Window.partitionBy("item_key").orderBy("seq")) == 1)
 
 
+def log_parts(log: DataFrame, segment: Column | None = None) -> DataFrame:
+    """L2, L3: a summary (item_key, segment, deleted, whole, fresh) of what each segment of a log does to each item.
+
+    A segment is a stretch of the log, and of an item's rows those of a greater segment have the greater seq: a day, or
+    SEGMENT_ROWS numbers where none is given, so that an item with ever so many rows is many groups. After its last delete,
+    if it has one (deleted), a segment sets what `whole` says on an item that is there, and makes of one that isn't what
+    `fresh` says (null without a save). Summaries can be kept: merged_parts() puts them together and folded_items() reads them.
+    """
+    segment = F.floor(F.col("seq") / SEGMENT_ROWS) if segment is None else segment
+    group, seq = ["item_key", "segment"], F.col("seq")
+    by = Window.partitionBy(*group)
+    save, update, paper = F.col("action") == "save", F.col("action") == "update", F.col("paper_id") if "paper_id" in log.columns else F.lit(None).cast("string")
+    rows = log.select("item_key", segment.cast("long").alias("segment"), seq.cast("long").alias("seq"), "ts", "action", paper.alias("paper_id"), "note", "reading_status", "tags", "has_note", "has_status", "has_tags")
+    rows = rows.withColumn("_gone", F.max(F.when(F.col("action") == "delete", seq)).over(by)).where("_gone is null or seq >= _gone")
+    live = F.col("action") != "delete"
+    rows = rows.withColumns({"_from": F.min(F.when(save, seq)).over(by), "_replaced": F.max(F.when(update & F.col("has_tags"), seq)).over(by)})
+    set_note = (save & F.col("note").isNotNull()) | (update & F.col("has_note"))
+    set_status = (save & (F.col("reading_status") != "unread")) | (update & F.col("has_status") & F.col("reading_status").isNotNull())
+    tells, kinds = {"whole": live, "fresh": live & (seq >= F.col("_from"))}, {}
+    for kind, when in tells.items():
+        last = lambda c, of, when=when: F.max_by(F.struct(F.col(c).alias("v")), F.when(when & of, seq))
+        kinds |= {
+            f"{kind}_paper": last("paper_id", save), f"{kind}_note": last("note", set_note), f"{kind}_status": last("reading_status", set_status)["v"],
+            f"{kind}_replaced": F.coalesce(F.max(when & (seq == F.col("_replaced"))), F.lit(False)), f"{kind}_saved": F.min(F.when(when, F.col("ts"))), f"{kind}_updated": F.max(F.when(when, F.col("ts"))), f"{kind}_n": F.count(F.when(when & save, 1)),
+        }
+    main = rows.groupBy(*group).agg((F.max("_gone").isNotNull()).alias("deleted"), F.max("_from").isNotNull().alias("_saved"), *(v.alias(k) for k, v in kinds.items()))
+    tagged = rows.where(live & (save | (update & F.col("has_tags"))) & (F.col("_replaced").isNull() | (seq >= F.col("_replaced"))))
+    each = tagged.select(*group, "seq", "_from", F.posexplode("tags").alias("pos", "tag")).withColumn("key", casefold("tag"))
+    first = F.struct("seq", "pos", "tag", "key")
+    once = each.groupBy(*group, "key").agg(F.min(first).alias("whole"), F.min(F.when(seq >= F.col("_from"), first)).alias("fresh"))
+    tags = once.groupBy(*group).agg(*(F.array_sort(F.collect_list(kind)).alias(f"{kind}_tags") for kind in tells))
+    state = lambda kind: F.struct(*(F.col(f"{kind}_{c}").alias(c) for c in ("paper", "note", "status", "replaced")), F.coalesce(f"{kind}_tags", F.array().cast(_TAGS)).alias("tags"), *(F.col(f"{kind}_{c}").alias(c) for c in ("saved", "updated", "n")))
+    return main.join(tags, group, "left").select(*group, "deleted", state("whole").alias("whole"), F.when(F.col("_saved"), state("fresh")).alias("fresh"))
+
+
+def _then(x: Column, y: Column) -> Column:
+    """What x and after it y set."""
+    known = F.transform(x["tags"], lambda t: t["key"])
+    tags = F.when(y["replaced"], y["tags"]).otherwise(F.concat(x["tags"], F.filter(y["tags"], lambda t: ~F.array_contains(known, t["key"]))))
+    return F.struct(
+        *(F.coalesce(y[c], x[c]).alias(c) for c in ("paper", "note", "status")), (x["replaced"] | y["replaced"]).alias("replaced"), tags.alias("tags"),
+        F.least(x["saved"], y["saved"]).alias("saved"), F.greatest(x["updated"], y["updated"]).alias("updated"), (x["n"] + y["n"]).alias("n"),
+    )
+
+
+def merged_parts(parts: DataFrame, segment: Column | None = None) -> DataFrame:
+    """L2, L3: summaries of wider segments (of the whole log where none is given), in any steps with the same result."""
+    both = lambda a, b: F.struct(
+        b["segment"].alias("segment"), (a["deleted"] | b["deleted"]).alias("deleted"), F.when(b["deleted"], b["whole"]).otherwise(_then(a["whole"], b["whole"])).alias("whole"),
+        F.when(b["deleted"] | a["fresh"].isNull(), b["fresh"]).otherwise(_then(a["fresh"], b["whole"])).alias("fresh"),
+    )
+    wide = parts.select("item_key", (F.lit(0) if segment is None else segment).cast("long").alias("_to"), F.struct("segment", "deleted", "whole", "fresh").alias("part"))
+    lists = wide.groupBy("item_key", "_to").agg(F.array_sort(F.collect_list("part"), lambda a, b: F.when(a["segment"] < b["segment"], -1).when(a["segment"] > b["segment"], 1).otherwise(0)).alias("parts"))
+    one = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0], both)
+    return lists.select("item_key", "_to", one.alias("part")).select("item_key", F.col("_to").alias("segment"), "part.deleted", "part.whole", "part.fresh")
+
+
+def folded_items(parts: DataFrame) -> DataFrame:
+    """L2, L3: the items (item_key, paper_id, note, reading_status, saved_at, updated_at, n_saves, tags) that the whole log leaves."""
+    fresh = F.col("fresh")
+    return merged_parts(parts).where("fresh is not null").select(
+        "item_key", fresh["paper"]["v"].alias("paper_id"), fresh["note"]["v"].alias("note"), F.coalesce(fresh["status"], F.lit("unread")).alias("reading_status"), fresh["saved"].alias("saved_at"), fresh["updated"].alias("updated_at"), fresh["n"].alias("n_saves"), F.transform(fresh["tags"], lambda t: t["tag"]).alias("tags"),
+    )
+
+
 def fold_log(log: DataFrame) -> DataFrame:
     """L3: items after saves, updates and deletes (item_key, seq, ts, action, note, reading_status, tags, has_note, has_status, has_tags).
 
     A delete ends an item and a save starts it afresh; an update before a save does nothing. An update sets what it
     supplies: a null note clears the note, and tags replace all before them.
     """
-    by = Window.partitionBy("item_key").orderBy("seq")
-    epochs = log.withColumn("_epoch", F.count(F.when(F.col("action") == "delete", 1)).over(by)).withColumn("_last", F.max("_epoch").over(Window.partitionBy("item_key")))
-    live = epochs.where("_epoch = _last and action <> 'delete'")
-    in_epoch = Window.partitionBy("item_key")
-    live = live.withColumn("_from", F.min(F.when(F.col("action") == "save", F.col("seq"))).over(in_epoch)).where("seq >= _from")
-    save, update = F.col("action") == "save", F.col("action") == "update"
-    set_note = (save & F.col("note").isNotNull()) | (update & F.col("has_note"))
-    set_status = (save & (F.col("reading_status") != "unread")) | (update & F.col("has_status") & F.col("reading_status").isNotNull())
-    last = lambda c, when: F.max_by(F.struct(F.col(c).alias("v")), F.when(when, F.col("seq")))["v"]
-    live = live.withColumn("_base", F.coalesce(F.max(F.when(update & F.col("has_tags"), F.col("seq"))).over(in_epoch), F.col("_from")))
-    main = live.groupBy("item_key").agg(last("note", set_note).alias("note"), F.coalesce(last("reading_status", set_status), F.lit("unread")).alias("reading_status"), F.min("ts").alias("saved_at"), F.max("ts").alias("updated_at"))
-    tags = _tags(live.where((F.col("seq") >= F.col("_base")) & (save | F.col("has_tags"))), ["item_key"])
-    return main.join(tags, "item_key", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return folded_items(log_parts(log)).drop("paper_id", "n_saves")
 
 
 def latest_states(log: DataFrame, heavy: tuple[str, ...] = ()) -> DataFrame:

@@ -101,6 +101,10 @@ QUERIES = {
     ),
     "l2_created": (lambda spark, d: lib.created(log(spark, d).where("action = 'save'")).where("created").select("item_key", "seq"), "SELECT item_key, min(seq) AS seq FROM fx_library_log WHERE action = 'save' GROUP BY item_key"),
     "l3_fold_log": (lambda spark, d: lib.fold_log(log(spark, d)).withColumn("tags", F.array_join("tags", ",")), f"WITH {_FOLD} SELECT * FROM items"),
+    "l3_merged_parts": (
+        lambda spark, d: lib.folded_items(lib.merged_parts(lib.log_parts(log(spark, d), F.floor(F.col("seq") / 300)), F.floor(F.col("segment") / 7))).drop("paper_id", "n_saves").withColumn("tags", F.array_join("tags", ",")),
+        f"WITH {_FOLD} SELECT * FROM items",
+    ),
     "l4_latest_states": (
         lambda spark, d: lib.latest_states(query(spark, d, "SELECT run_id % 500 AS run_id, updated_at, run_id AS seq, status, 'heavy' AS payload FROM fx_runs WHERE run_id % 500 <> run_id % 499"), ("payload",)).select("run_id", "updated_at"),
         "SELECT run_id % 500 AS run_id, max(updated_at) AS updated_at FROM fx_runs WHERE run_id % 500 <> run_id % 499 GROUP BY run_id % 500",
