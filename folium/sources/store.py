@@ -27,6 +27,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Steps:
     """The tables of a loop: each step is written like saved(), and the step before it, which nothing reads any more, goes."""
 
@@ -37,8 +43,7 @@ class Steps:
         path, last = f"{self.base}/{self.n}", f"{self.base}/{self.n - 1}"
         df.write.parquet(path)
         if self.n:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(last)
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            remove(self.spark, last)
         self.n += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
