@@ -1,7 +1,8 @@
 """Line dedup on levelled sorted runs of line hashes, with DataFrame operations only.
 
-A run is a managed table of (h1, h2, doc_id): the hash of each line key and the smallest document that holds it, bucketed
-and sorted by hash with one file a bucket, so that a merge join reads it in place, without a shuffle or a sort. Batches
+A run is a table of (h1, h2, doc_id): the hash of each line key and the smallest document that holds it, bucketed and
+sorted by hash with one file a bucket, so that a merge join reads it in place, without a shuffle or a sort. Its files are
+below the cluster's checkpoint folder; buckets are as many as the lines of all batches need at BUCKET_ROWS each. Batches
 of documents come in ascending ranges of doc_id. Each batch anti-joins its own smallest holders to all runs, adds what is
 left as a run of level 0, and marks every line whose (key, document) isn't among those holders. When a level has FANOUT
 runs and another batch follows, they are merged into one of the next. Runs are dropped at the end, failed or not.
@@ -13,16 +14,18 @@ rows without doc_id are returned unchanged and hold nothing back; other columns
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.sources.store import saved, scratch
+from folium.sources.store import remove, saved, scratch
 
 MIN_POINTS = 10
 BATCHES = 4
 FANOUT = 2
+BUCKET_ROWS = 20_000_000
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,36 +46,43 @@ def line_key(line):
 
 #: The session option by which scans of one sorted file a bucket report their order.
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: A union that reports its inputs' buckets makes Spark drop the repartition of a merge, which then has several files a bucket.
+_OPTIONS = {_ORDERED: "true", "spark.sql.unionOutputPartitioning": "false"}
 
 
 class LineRuns:
     """The levels of runs; add() takes the next batch of hashed lines and returns those to drop.
 
-    A context: on leaving it, the runs and what it set in the session are gone.
+    rows are the lines of all batches together, at most. A context: on leaving it, the runs and what it set in the
+    session are gone.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, []
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, rows: int = 0, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.fanout, self.levels, self.folders = spark, fanout, [], {}
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # Spark takes no more; buckets then grow
+        self.buckets = min(most, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / bucket_rows)))
 
     def __enter__(self) -> LineRuns:
-        self.before = self.spark.conf.get(_ORDERED, None)
-        self.spark.conf.set(_ORDERED, "true")
+        self.before = {name: self.spark.conf.get(name, None) for name in _OPTIONS}
+        for name, value in _OPTIONS.items():
+            self.spark.conf.set(name, value)
         return self
 
     def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(_ORDERED)
-        else:
-            self.spark.conf.set(_ORDERED, self.before)
+        for name, value in self.before.items():
+            if value is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, value)
         for level in self.levels:
             self._drop(level)
         self.levels = []
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
+        self.folders[name] = scratch(self.spark, name)
         try:
-            keys.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(name)
+            keys.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.folders[name]).saveAsTable(name)
         except Exception:
             self._drop([name])
             raise
@@ -81,6 +91,7 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.folders.pop(name))
 
     def compact(self, level: int = 0) -> None:
         """Merges the runs of a full level, whose keys are disjoint, into one of the next level, and so on."""
@@ -140,10 +151,11 @@ def repeated_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = F
     hashed_lines(documents, min_points).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     hashed = spark.read.schema("doc_id long, t long, pos int, h1 long, h2 long, batch int").parquet(path)
     out = []
-    with LineRuns(spark, fanout) as runs:
+    with LineRuns(spark, fanout, hashed.count()) as runs:
         for b in range(len(cuts) + 1):
             runs.compact()
             out.append(saved(runs.add(hashed.where(F.col("batch") == b).drop("batch")).select("doc_id", "t", "pos"), "dropped-lines"))
+    remove(spark, path)
     dropped = out[0]
     for more in out[1:]:
         dropped = dropped.unionByName(more)

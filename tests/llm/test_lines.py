@@ -1,5 +1,7 @@
 """Line dedup against SQL and a loop, with levels that fill and merge, and odd rows."""
 
+import pathlib
+
 import duckdb
 import pytest
 
@@ -55,3 +57,18 @@ def test_runs_are_read_in_order_and_dropped(spark):
         assert len(runs.runs()) == 1 and runs.holders(hashed).count() == 10
         raise RuntimeError
     assert spark.catalog.listTables() == tables and spark.conf.get(lines._ORDERED, None) == option
+
+
+def test_runs_are_below_the_checkpoint_folder_and_go(spark):
+    """Buckets follow the lines, runs lie in the shared folder, and files go with their tables."""
+    hashed = lines.hashed_lines(spark.createDataFrame([(i, f"a line of document {i}") for i in range(90)], "doc_id long, text string"))
+    assert lines.LineRuns(spark).buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with lines.LineRuns(spark, rows=90, bucket_rows=10) as runs:
+        assert runs.buckets == 9
+        for a in (0, 30, 60):
+            runs.add(hashed.where(f"doc_id >= {a} and doc_id < {a + 30}"))
+            runs.compact()
+        folders = list(runs.folders.values())
+        assert len(folders) == 2 and sum(r.count() for r in runs.runs()) == 90
+        assert all(f.startswith(spark.conf.get("spark.checkpoint.dir")) and len(list(pathlib.Path(f).glob("part-*"))) <= 9 for f in folders)
+    assert not any(pathlib.Path(f).exists() for f in folders)
