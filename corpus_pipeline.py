@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of documents; what a stage decides takes effect in its rows. n_chars follows the text where lines are dropped.
-Rows without doc_id pass every stage, since nothing can be said of them by id.
+run() keeps the last stage's table only. Rows without doc_id pass every stage, since nothing can be said of them by id.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from folium.llm.lines import dedup_lines
 from folium.llm.neardup import dedup
 from folium.llm.packing import pack
 from folium.llm.quality import learn, scored
-from folium.sources.store import saved
+from folium.sources.store import Steps
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    kept = Steps(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = kept.put(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
