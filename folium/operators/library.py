@@ -53,6 +53,7 @@ def log_parts(log: DataFrame, segment: Column | None = None) -> DataFrame:
     SEGMENT_ROWS numbers where none is given, so that an item with ever so many rows is many groups. After its last delete,
     if it has one (deleted), a segment sets what `whole` says on an item that is there, and makes of one that isn't what
     `fresh` says (null without a save). Summaries can be kept: merged_parts() puts them together and folded_items() reads them.
+    Rows without item_key are one item, which keeps no tags.
     """
     segment = F.floor(F.col("seq") / SEGMENT_ROWS) if segment is None else segment
     group, seq = ["item_key", "segment"], F.col("seq")
