@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,50 @@ def metadata_text(papers: DataFrame) -> Column:
     return casefold(F.concat_ws("\n", "title", "abstract", words, "venue", "paper_type"))
 
 
+#: The lists of an intent whose terms must be held, with the kind and severity of the gap that a term leaves.
+HELD = (("must", "must_include", 1.0), ("datasets", "dataset", 0.9), ("methods", "method", 0.8))
+
+
+def _tagged(field: str, kind: str, more: Callable[[Column], Column]) -> Column:
+    """The distinct terms of a list, each with its kind of gap and one thing more."""
+    return F.transform(F.array_distinct(_list(field)), lambda c: F.struct(F.lit(kind).alias("gap_type"), c.alias("constraint"), more(c)))
+
+
+def _terms(intents: DataFrame, fields: tuple = HELD) -> DataFrame:
+    """(run_id, gap_type, constraint, severity), a row for each distinct term of the lists."""
+    each = (_tagged(field, kind, lambda c: F.lit(severity).alias("severity")) for field, kind, severity in fields)
+    return intents.select("run_id", F.explode(F.concat(*each)).alias("x")).select("run_id", "x.*")
+
+
+def read_matches(papers: DataFrame, intents: DataFrame, fields: tuple = HELD) -> DataFrame:
+    """papers (of relevance_flags) with in_years and held: (gap_type, constraint) of their run's terms that a high paper's
+    metadata holds. Each text is folded and read once, whatever is counted from it."""
+    folded = (_tagged(field, kind, lambda c: casefold(F.trim(c)).alias("term")) for field, kind, _ in fields)
+    asked = intents.select("run_id", F.filter(F.concat(*folded), lambda x: x["term"] != "").alias("_terms"), F.struct("year_start", "year_end").alias("_years"))
+    # A lambda's variable is computed once; the text itself in the inner lambda would be folded for each term.
+    found = F.transform(F.array(metadata_text(papers)), lambda text: F.transform(F.filter("_terms", lambda x: F.contains(text, x["term"])), lambda x: F.struct(x["gap_type"].alias("gap_type"), x["constraint"].alias("constraint"))))[0]
+    in_years = F.coalesce(F.col("year").between(F.col("_years.year_start"), F.col("_years.year_end")), F.lit(False))
+    return papers.join(asked, "run_id").withColumns({"in_years": in_years, "held": F.when(F.col("high"), found)}).drop("_terms", "_years")
+
+
+def _paper_counts(read: DataFrame, keys: list[str]) -> DataFrame:
+    return read.groupBy(*keys).agg(F.count_if("high").alias("n_high"), F.count_if("partial").alias("n_partial"), F.count_if(F.col("high") & F.col("in_years")).alias("n_years"))
+
+
+def _held_counts(read: DataFrame, keys: list[str]) -> DataFrame:
+    return read.select(*keys, F.explode("held").alias("x")).groupBy(*keys, "x.gap_type", "x.constraint").agg(F.count("*").alias("n"))
+
+
 def match_counts(papers: DataFrame, intents: DataFrame, field: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(run_id, by, constraint, n): high papers whose metadata holds the term; terms without one have 0.
 
     papers come from relevance_flags; by names further columns, such as the round, that papers are counted for.
     """
-    terms = intents.select("run_id", F.explode(F.array_distinct(_list(field))).alias("constraint")).withColumn("_term", casefold(F.trim("constraint")))
-    high = papers.where("high").select("run_id", *by, metadata_text(papers).alias("_text"))
-    held = terms.join(high, "run_id").where((F.col("_term") != "") & F.contains(F.col("_text"), F.col("_term")))
-    n = held.groupBy("run_id", *by, "constraint").agg(F.count("*").alias("n"))
-    all_ = terms.select("run_id", "constraint").join(papers.select("run_id", *by).distinct(), "run_id") if by else terms.select("run_id", "constraint")
-    return all_.join(n, ["run_id", *by, "constraint"], "left").select("run_id", *by, "constraint", F.coalesce("n", F.lit(0)).alias("n"))
+    keys, fields = ["run_id", *by], tuple(f for f in HELD if f[0] == field)
+    terms = _terms(intents, fields).select("run_id", "constraint")
+    n = _held_counts(read_matches(papers, intents, fields), keys).drop("gap_type")
+    all_ = terms.join(papers.select(*keys).distinct(), "run_id") if by else terms
+    return all_.join(n, [*keys, "constraint"], "left").select(*keys, "constraint", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def coverage_gaps(papers: DataFrame, intents: DataFrame, sources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -52,20 +87,26 @@ def coverage_gaps(papers: DataFrame, intents: DataFrame, sources: DataFrame, by:
 
     papers come from relevance_flags; sources are (run_id, by, source, n, unavailable).
     """
+    keys, read = ["run_id", *by], read_matches(papers, intents)
+    return gaps_of_counts(_paper_counts(read, keys), _held_counts(read, keys), intents, sources, by)
+
+
+def gaps_of_counts(counts: DataFrame, held: DataFrame, intents: DataFrame, sources: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """C3 from counts (run_id, by, n_high, n_years), a row where there are papers, and held (run_id, by, gap_type, constraint),
+    the terms that some paper holds."""
     keys = ["run_id", *by]
     gap = lambda df, kind, severity, n="n": df.select(*keys, F.lit(kind).alias("gap_type"), "constraint", severity.cast("double").alias("severity"), F.col(n).alias("n"))
-    found = [gap(match_counts(papers, intents, field, by).where("n = 0"), kind, F.lit(severity)) for field, kind, severity in (("must", "must_include", 1.0), ("datasets", "dataset", 0.9), ("methods", "method", 0.8))]
-    all_ = papers.select(*keys).distinct().join(intents.select("run_id", "year_start", "year_end", "target_count"), "run_id")
-    in_years = F.coalesce(F.col("year").between(F.col("year_start"), F.col("year_end")), F.lit(False))
-    n = papers.where("high").join(intents.select("run_id", "year_start", "year_end"), "run_id").groupBy(*keys).agg(F.count_if(in_years).alias("n_years"), F.count("*").alias("n_high"))
-    counted = all_.join(n, keys, "left").na.fill(0, ["n_years", "n_high"])
+    terms = _terms(intents).join(counts.select(*keys), "run_id") if by else _terms(intents)
+    missing = terms.join(held.select(*keys, "gap_type", "constraint"), [*keys, "gap_type", "constraint"], "left_anti")
+    out = missing.select(*keys, "gap_type", "constraint", F.col("severity").cast("double").alias("severity"), F.lit(0).cast("long").alias("n"))
+    counted = counts.join(intents.select("run_id", "year_start", "year_end", "target_count"), "run_id")
     years = F.concat(F.col("year_start").cast("string"), F.lit("-"), F.col("year_end").cast("string"))
-    found.append(gap(counted.where("year_start is not null and n_years = 0").withColumn("constraint", years), "year_range", F.lit(0.85), "n_years"))
-    found.append(gap(sources.where("n = 0").withColumn("constraint", F.col("source")), "source", F.when(F.col("unavailable"), 0.7).otherwise(0.45)))
     short = (F.col("target_count") - F.col("n_high")) / F.col("target_count")
-    found.append(gap(counted.where("n_high < target_count").withColumn("constraint", F.lit("high_relevance")), "result_count", short, "n_high"))
-    out = found[0]
-    for more in found[1:]:
+    for more in (
+        gap(counted.where("year_start is not null and n_years = 0").withColumn("constraint", years), "year_range", F.lit(0.85), "n_years"),
+        gap(sources.where("n = 0").withColumn("constraint", F.col("source")), "source", F.when(F.col("unavailable"), 0.7).otherwise(0.45)),
+        gap(counted.where("n_high < target_count").withColumn("constraint", F.lit("high_relevance")), "result_count", short, "n_high"),
+    ):
         out = out.unionByName(more)
     return out.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("severity"), "gap_type", "constraint")))
 
@@ -83,10 +124,12 @@ def stop_reason() -> Column:
 
 def coverage_report(papers: DataFrame, gaps: DataFrame, rounds: DataFrame, by: tuple[str, ...] = ("round",)) -> DataFrame:
     """C4: rounds (run_id, by, and the columns of stop_reason) with counts, marginal gain, stop reason and what follows."""
-    keys = ["run_id", *by]
-    n = papers.groupBy(*keys).agg(F.count_if("high").alias("n_high"), F.count_if("partial").alias("n_partial"))
+    return _report(papers.groupBy("run_id", *by).agg(F.count_if("high").alias("n_high"), F.count_if("partial").alias("n_partial")), gaps, rounds, ["run_id", *by])
+
+
+def _report(counts: DataFrame, gaps: DataFrame, rounds: DataFrame, keys: list[str]) -> DataFrame:
     g = gaps.groupBy(*keys).agg(F.count("*").alias("n_gaps"), F.count_if(F.col("gap_type").isin("must_include", "dataset", "method", "year_range")).alias("n_constraint_gaps"))
-    rows = rounds.join(n, keys, "left").join(g, keys, "left").na.fill(0, ["n_high", "n_partial", "n_gaps", "n_constraint_gaps"])
+    rows = rounds.join(counts, keys, "left").join(g, keys, "left").na.fill(0, ["n_high", "n_partial", "n_gaps", "n_constraint_gaps"])
     rows = rows.withColumns({"marginal_gain": F.least(F.lit(1.0), F.col("n_new") / F.col("target_count")), "stop_reason": stop_reason()})
     return rows.withColumn("should_continue", F.col("stop_reason").isNull() & (F.col("n_gaps") > 0))
 
@@ -97,19 +140,22 @@ def replay_rounds(hits: DataFrame, intents: DataFrame, max_rounds: int = 3, mini
     hits are (run_id, round, seq, identity columns, status, relevance, ...); a paper is seen from its first round on, with
     the last values. A run executes rounds up to its first one with a stop reason.
     """
-    at = F.struct("round", "seq")
-    payload = [c for c in hits.columns if c not in ("run_id", "identity")]
-    seen = hits.groupBy("run_id", "identity").agg(F.min("round").alias("first_round"), F.max_by(F.struct(*payload), at).alias("last")).select("run_id", "first_round", *(F.col(f"last.{c}").alias(c) for c in payload if c != "round"))
-    flagged = relevance_flags(seen, intents)
+    # Texts are read where they lie: only flags and the terms held are shuffled, and what is counted by first round is summed.
+    read = read_matches(relevance_flags(hits, intents), intents).select("run_id", "identity", "round", "seq", F.struct("high", "partial", "in_years", "held").alias("x"))
+    last = read.groupBy("run_id", "identity").agg(F.min("round").alias("first_round"), F.max_by("x", F.struct("round", "seq")).alias("x"))
+    seen = saved(last.select("run_id", "first_round", "x.*"), "replayed-papers")
     rounds = intents.select("run_id", "target_count", F.explode(F.sequence(F.lit(1), F.lit(max_rounds))).alias("round"))
-    cumulative = flagged.join(rounds.select("run_id", "round"), "run_id").where("first_round <= round")
+    upto = lambda df: df.join(rounds.select("run_id", "round"), "run_id").where("first_round <= round")
+    by_first = _paper_counts(seen, ["run_id", "first_round"])
+    counts = upto(by_first).groupBy("run_id", "round").agg(*(F.sum(c).alias(c) for c in ("n_high", "n_partial", "n_years")))
+    held = upto(_held_counts(seen, ["run_id", "first_round"])).select("run_id", "round", "gap_type", "constraint").distinct()
     sources = hits.select("run_id", "source").distinct().join(rounds.select("run_id", "round"), "run_id").join(hits.groupBy("run_id", "round", "source").agg(F.count("*").alias("n")), ["run_id", "round", "source"], "left")
     sources = sources.select("run_id", "round", "source", F.coalesce("n", F.lit(0)).alias("n"), F.lit(False).alias("unavailable"))
-    gaps = coverage_gaps(cumulative, intents, sources, ("round",))
-    new = flagged.groupBy("run_id", F.col("first_round").alias("round")).agg(F.count_if("high").alias("n_new"))
+    gaps = gaps_of_counts(counts, held, intents, sources, ("round",))
+    new = by_first.select("run_id", F.col("first_round").alias("round"), F.col("n_high").alias("n_new"))
     state = rounds.join(new, ["run_id", "round"], "left").na.fill(0, ["n_new"]).withColumns({
         "budget_exhausted": F.lit(False), "max_rounds": F.lit(max_rounds), "has_query": F.lit(True), "n_sources": F.lit(0), "n_unavailable": F.lit(0), "minimum_new": F.lit(minimum_new)})
-    report = coverage_report(cumulative, gaps, state)
+    report = _report(counts, gaps, state, ["run_id", "round"])
     stop = F.min(F.when(F.col("stop_reason").isNotNull(), F.col("round"))).over(Window.partitionBy("run_id"))
     return report.withColumn("executed", F.col("round") <= stop).select("run_id", "round", "n_high", "n_partial", "n_gaps", "n_new", "marginal_gain", "stop_reason", "should_continue", "executed")
 

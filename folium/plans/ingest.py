@@ -38,8 +38,9 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def openalex(spark: SparkSession, d: str) -> DataFrame:
-    base = papers(spark, d)
-    # An index of the whole abstract by grouping its words, so that its cost is that of its length.
+    # An index of the whole abstract by grouping its words, so that its cost is that of its length; once papers lie by seq,
+    # neither the grouping nor the join moves a word.
+    base = papers(spark, d).repartition("seq")
     each = base.select("seq", F.posexplode(F.split(F.trim(F.regexp_replace("abstract", r"\s+", " ")), " ")).alias("i", "w"))
     held = each.groupBy("seq", "w").agg(F.sort_array(F.collect_list("i")).alias("at")).groupBy("seq").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", "at")))).alias("index"))
     rows, index = base.join(held, "seq", "left"), F.col("index")

@@ -76,18 +76,22 @@ def restore_abstract(index: Column) -> Column:
     return F.transform(F.array(F.array_sort(places)), lambda o: F.array_join(F.transform(first(o), lambda x: x["w"]), " "))[0]
 
 
+#: The fields of a work that are read; all but the index, in which the order of keys counts, keep whatever type they have.
+_WORKS = "results ARRAY<STRUCT<id: VARIANT, title: VARIANT, doi: VARIANT, ids: VARIANT, publication_year: VARIANT, cited_by_count: VARIANT, abstract_inverted_index: MAP<STRING, ARRAY<BIGINT>>, authorships: VARIANT, primary_location: VARIANT, referenced_works: VARIANT>>"
+
+
 def ingest_openalex(raw: DataFrame) -> DataFrame:
-    """Works under results; a DOI may stand under ids; only the first institution of an author is kept."""
-    # A variant sorts its keys, so the index, in which their order counts, is read beside it as a map.
-    index = F.from_json("payload", "results ARRAY<STRUCT<abstract_inverted_index: MAP<STRING, ARRAY<BIGINT>>>>")["results"]
-    both = raw.withColumns({"v": F.try_parse_json("payload"), "index": index}).withColumn("works", items(F.col("v"), "$.results"))
-    rows = _each(both, F.arrays_zip("works", "index"))
-    rows = rows.select(*(c for c in rows.columns if c != "x"), F.col("x.works").alias("x"), F.col("x.index.abstract_inverted_index").alias("words"))
+    """Works under results; a DOI may stand under ids; only the first institution of an author is kept.
+
+    A payload is parsed once, into the fields read: a variant of the whole would carry the words of all abstracts of the
+    page along with each work.
+    """
+    rows = _each(raw, F.from_json("payload", _WORKS)["results"])
     x = F.col("x")
-    authors = F.transform(items(x, "$.authorships"), lambda a: _author(text(a, "$.author.display_name"), text(a, "$.author.orcid"), text(a, "$.institutions[0].display_name"), text(a, "$.author.id")))
+    authors = F.transform(items(x["authorships"], "$"), lambda a: _author(text(a, "$.author.display_name"), text(a, "$.author.orcid"), text(a, "$.institutions[0].display_name"), text(a, "$.author.id")))
     return _papers(
-        rows, "openalex", paper_id=text(x, "$.id"), title=text(x, "$.title"), abstract=restore_abstract(F.col("words")), authors=_named(authors), year=whole(x, "$.publication_year"), venue=text(x, "$.primary_location.source.display_name"),
-        doi=F.coalesce(text(x, "$.doi"), text(x, "$.ids.doi")), arxiv_id=text(x, "$.ids.arxiv"), pmid=text(x, "$.ids.pmid"), citation_count=F.greatest(F.coalesce(whole(x, "$.cited_by_count"), F.lit(0)), F.lit(0)), references=texts(x, "$.referenced_works"), openalex_id=text(x, "$.id"),
+        rows, "openalex", paper_id=text(x["id"], "$"), title=text(x["title"], "$"), abstract=restore_abstract(x["abstract_inverted_index"]), authors=_named(authors), year=whole(x["publication_year"], "$"), venue=text(x["primary_location"], "$.source.display_name"),
+        doi=F.coalesce(text(x["doi"], "$"), text(x["ids"], "$.doi")), arxiv_id=text(x["ids"], "$.arxiv"), pmid=text(x["ids"], "$.pmid"), citation_count=F.greatest(F.coalesce(whole(x["cited_by_count"], "$"), F.lit(0)), F.lit(0)), references=texts(x["referenced_works"], "$"), openalex_id=text(x["id"], "$"),
     )
 
 
