@@ -16,7 +16,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {
     "fx_papers": r"""
 SELECT d.doc_id AS seq, concat('doc:', d.doc_id) AS paper_id,
-  concat('r', d.n_chars % 10) AS run_id, CAST(d.doc_id % 3 + 1 AS INT) AS round,
+  concat('r', d.n_chars % 10, '-', CAST(floor(d.doc_id / 1000.0) AS BIGINT)) AS run_id, CAST(d.doc_id % 3 + 1 AS INT) AS round,
   CASE d.doc_id % 5 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar'
     WHEN 2 THEN 'arxiv' WHEN 3 THEN 'dblp' ELSE 'pubmed' END AS source,
   split_part(d.text, chr(10), 1) AS title, d.text AS abstract, d.lang,
@@ -51,13 +51,13 @@ SELECT seq, paper_id, run_id, pos, keyword FROM (
 WHERE keyword <> ''
 """,
     "fx_intents": r"""
-SELECT concat('r', id) AS run_id, CAST(1990 + id AS INT) AS year_start, CAST(2015 + id AS INT) AS year_end,
+SELECT concat('r', id, '-', block) AS run_id, CAST(1990 + id AS INT) AS year_start, CAST(2015 + id AS INT) AS year_end,
   CASE id % 3 WHEN 0 THEN 'er' WHEN 1 THEN 'en' END AS must_term,
   CASE WHEN id % 4 = 0 THEN 'zz' END AS exclude_term,
   CASE WHEN id % 5 = 0 THEN 'src1' END AS venue_term,
   CASE id % 3 WHEN 0 THEN 'machine learning' WHEN 1 THEN 'public health' ELSE 'history' END AS domain,
   CAST(5 + id AS INT) AS target_count
-FROM range(10) AS t(id)
+FROM (SELECT DISTINCT n_chars % 10 AS id, CAST(floor(doc_id / 1000.0) AS BIGINT) AS block FROM documents) t
 """,
     "fx_assessments": r"""
 SELECT p.run_id, p.paper_id,

@@ -81,14 +81,14 @@ def pubmed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def discoveries(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "fx_discoveries").select((F.col("page_id") % 10).alias("run_id"), F.lit(1).alias("round"), F.col("page_id").alias("seq"), F.expr("CASE WHEN page_id % 7 = 0 THEN 'ftp://x' ELSE url END").alias("url"), "title", "snippet", F.expr("CASE WHEN page_id % 5 = 0 THEN -1.5 ELSE score END").alias("score"))
+    rows = view(spark, d, "fx_discoveries").select(F.floor(F.col("page_id") / 100).alias("run_id"), F.lit(1).alias("round"), F.col("page_id").alias("seq"), F.expr("CASE WHEN page_id % 7 = 0 THEN 'ftp://x' ELSE url END").alias("url"), "title", "snippet", F.expr("CASE WHEN page_id % 5 = 0 THEN -1.5 ELSE score END").alias("score"))
     return _responses(rows, _json(title=F.col("title"), url=F.col("url"), content=F.col("snippet"), score=F.col("score")), _list('{"results":[', "]}"))
 
 
 def assessments(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "fx_assessments").select("run_id", "paper_id", F.col("relevance").cast("double").alias("r"), "status", F.regexp_extract("paper_id", r"(\d+)$", 1).cast("int").alias("seq"))
     item = F.concat(F.lit('{"paper_id":"'), "paper_id", F.lit('","relevance_score":'), F.col("r").cast("string"), F.lit(',"constraint_status":"'), "status", F.lit('","evidence":["a'), F.expr("CASE WHEN seq % 3 = 0 THEN ' \"quoted\" ' ELSE ' ' END"), F.lit('b"],"recommendation_reason":null}'))
-    rows = rows.withColumns({"item": item, "batch": F.col("seq") % 20})
+    rows = rows.withColumns({"item": item, "batch": F.floor(F.col("seq") % 1000 / 100)})
     body = F.concat(F.lit('{"assessments":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "item"))), lambda x: x["item"]), ","), F.lit("]}"))
     grouped = rows.groupBy("run_id", "batch").agg(body.alias("body"))
     content = F.expr("CASE batch % 4 WHEN 0 THEN concat('```json\\n', body, '\\n```') WHEN 1 THEN substr(body, 1, 20) ELSE body END")
@@ -142,7 +142,7 @@ QUERIES = {
     ),
     "i8_discoveries": (
         lambda spark, d: p.ingest_discoveries(discoveries(spark, d)).select("run_id", "raw_rank", "title", "url", F.round("score", 4).alias("score")),
-        "WITH r AS (SELECT page_id % 10 AS run_id, CAST(row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS INT) AS raw_rank, page_id, trim(title) AS title, url, score FROM fx_discoveries) SELECT run_id, raw_rank, title, url, CASE WHEN page_id % 5 <> 0 THEN round(score, 4) END AS score FROM r WHERE page_id % 7 <> 0 AND title <> ''",
+        "WITH r AS (SELECT CAST(floor(page_id / 100.0) AS BIGINT) AS run_id, CAST(row_number() OVER (PARTITION BY floor(page_id / 100.0) ORDER BY page_id) AS INT) AS raw_rank, page_id, trim(title) AS title, url, score FROM fx_discoveries) SELECT run_id, raw_rank, title, url, CASE WHEN page_id % 5 <> 0 THEN round(score, 4) END AS score FROM r WHERE page_id % 7 <> 0 AND title <> ''",
     ),
     "i9_split_bad": (
         lambda spark, d: (lambda g, b: g.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("raw_rank").alias("ranks")).withColumn("kind", F.lit("good")).unionByName(b.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("raw_rank").alias("ranks")).withColumn("kind", F.lit("bad"))))(*p.split_bad(p.ingest_s2(s2(spark, d)))),
@@ -150,7 +150,7 @@ QUERIES = {
     ),
     "i10_assessments": (
         i10,
-        """WITH a AS (SELECT run_id, CAST(regexp_extract(paper_id, '(\\d+)$', 1) AS INT) % 20 AS batch, relevance FROM fx_assessments), g AS (SELECT run_id, count(*) FILTER (batch % 4 <> 1) AS n_good, count(DISTINCT CASE WHEN batch % 4 <> 1 THEN batch END) AS n_calls, count(DISTINCT CASE WHEN batch % 4 = 1 THEN batch END) AS n_bad FROM a GROUP BY run_id) SELECT * FROM g""",
+        """WITH a AS (SELECT run_id, CAST(regexp_extract(paper_id, '(\\d+)$', 1) AS INT) % 1000 // 100 AS batch, relevance FROM fx_assessments), g AS (SELECT run_id, count(*) FILTER (batch % 4 <> 1) AS n_good, count(DISTINCT CASE WHEN batch % 4 <> 1 THEN batch END) AS n_calls, count(DISTINCT CASE WHEN batch % 4 = 1 THEN batch END) AS n_bad FROM a GROUP BY run_id) SELECT * FROM g""",
     ),
     "i11_intents": (
         i11,

@@ -37,7 +37,7 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Page requests: some for each run, by the orders table.
-REQUESTS = """SELECT o_orderkey AS request_id, concat('r', o_orderkey % 10) AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'openalex' END AS source, CASE WHEN o_orderkey % 4 = 0 THEN 'satisfied' END AS status,
+REQUESTS = """SELECT o_orderkey AS request_id, concat('r', o_custkey % 10, '-', CAST(floor(o_orderkey / 50.0) AS BIGINT) % (SELECT 1 + CAST(floor(max(doc_id) / 1000.0) AS BIGINT) FROM documents)) AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'openalex' END AS source, CASE WHEN o_orderkey % 4 = 0 THEN 'satisfied' END AS status,
   CASE WHEN o_orderkey % 5 = 0 THEN 2000 END AS year_from, CASE WHEN o_orderkey % 7 = 0 THEN 2015 END AS year_to, CASE o_orderkey % 3 WHEN 0 THEN 'relevance' WHEN 1 THEN 'year_desc' ELSE 'citation_desc' END AS sort,
   CAST(1 + o_custkey % 9 AS INT) AS page, 5 AS page_size FROM orders WHERE o_orderkey % 50 = 0"""
 
@@ -106,6 +106,10 @@ _C6 = """WITH h AS (SELECT *, CASE WHEN trim(doi) <> '' THEN concat('doi:', lowe
   SELECT *, stop_reason IS NULL AND n_gaps > 0 AS should_continue, round <= min(CASE WHEN stop_reason IS NOT NULL THEN round END) OVER (PARTITION BY run_id) AS executed FROM e"""
 
 _TOKENS = "list_sort(list_distinct(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')))"
+#: Counts of runs; each rule is broken by some of them.
+FUNNEL = """SELECT run_id, count(*) AS normalized, count(*) - CASE WHEN run_id LIKE 'r3%' THEN 1 ELSE 0 END AS sources, count(DISTINCT coalesce(doi, paper_id)) AS deduplicated,
+  count(*) - count(DISTINCT coalesce(doi, paper_id)) + CASE WHEN run_id LIKE 'r4%' THEN 1 ELSE 0 END AS merged, count_if(year IS NULL) AS filtered, count(DISTINCT coalesce(doi, paper_id)) - count_if(year IS NULL) - CASE WHEN run_id LIKE 'r5%' THEN 1 ELSE 0 END AS kept, count_if(year IS NULL AND doi IS NOT NULL) AS reasons FROM fx_hits GROUP BY run_id"""
+
 #: User turns as a run's queries, with repeats.
 TURNS = "SELECT conv_id AS run_id, CAST(turn + 1 AS BIGINT) AS pos, CASE WHEN turn % 4 = 2 THEN 'the same question of all' ELSE text END AS query FROM conversations WHERE role = 'user'"
 _SIM = f"""t AS ({TURNS}), k AS (SELECT run_id, pos, query, {_TOKENS.format(x='query')} AS w FROM t),
@@ -152,12 +156,12 @@ QUERIES = {
         "SELECT seq, rule FROM (SELECT seq, unnest([CASE WHEN seq % 50 = 0 THEN 'year_range' END, CASE WHEN citation_count < 5 THEN 'citations_negative' END, CASE WHEN trim(title) = '' THEN 'title_blank' END]) AS rule FROM fx_hits) q WHERE rule IS NOT NULL",
     ),
     "q2_audit_funnel": (
-        lambda spark, d: p.audit_funnel(query(spark, d, "SELECT run_id, count(*) AS normalized, count(*) - CASE WHEN run_id = 'r3' THEN 1 ELSE 0 END AS sources, count(DISTINCT coalesce(doi, paper_id)) AS deduplicated, count(*) - count(DISTINCT coalesce(doi, paper_id)) AS merged, count_if(year IS NULL) AS filtered, count(DISTINCT coalesce(doi, paper_id)) - count_if(year IS NULL) AS kept, count_if(year IS NULL AND doi IS NOT NULL) AS reasons FROM fx_hits GROUP BY run_id")),
-        "SELECT run_id, run_id <> 'r3' AS sources_ok, true AS merged_ok, true AS kept_ok, count_if(year IS NULL AND doi IS NOT NULL) = count_if(year IS NULL) AS reasons_ok FROM fx_hits GROUP BY run_id",
+        lambda spark, d: p.audit_funnel(query(spark, d, FUNNEL)),
+        f"WITH n AS ({FUNNEL}) SELECT run_id, sources = normalized AS sources_ok, normalized - merged = deduplicated AS merged_ok, deduplicated - kept = filtered AS kept_ok, reasons = filtered AS reasons_ok FROM n",
     ),
     "r1_rank_semantic": (
-        lambda spark, d: r.rank_semantic(query(spark, d, "SELECT concat('r', vec_id % 10) AS run_id, paper_id, 1.0 / (60 + vec_id % 7) AS rrf_score FROM fx_vectors"), view(spark, d, "fx_vectors"), query(spark, d, "SELECT concat('r', vec_id) AS run_id, embedding FROM fx_vectors WHERE vec_id < 10")).select("run_id", "paper_id", "semantic_score", "rank"),
-        "WITH q AS (SELECT concat('r', vec_id) AS run_id, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors WHERE vec_id < 10), s AS (SELECT q.run_id, v.paper_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), q.e), 10) AS semantic_score, 1.0 / (60 + v.vec_id % 7) AS rrf FROM fx_vectors v JOIN q ON q.run_id = concat('r', v.vec_id % 10)), k AS (SELECT run_id, paper_id, semantic_score, row_number() OVER (PARTITION BY run_id ORDER BY semantic_score DESC, rrf DESC, paper_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 60",
+        lambda spark, d: r.rank_semantic(query(spark, d, "SELECT concat('r', vec_id % 10, '-', CAST(floor(vec_id / 1000.0) AS BIGINT)) AS run_id, paper_id, 1.0 / (60 + vec_id % 7) AS rrf_score FROM fx_vectors"), view(spark, d, "fx_vectors"), query(spark, d, "SELECT concat('r', vec_id % 10, '-', CAST(floor(vec_id / 10.0) AS BIGINT)) AS run_id, embedding FROM fx_vectors")).select("run_id", "paper_id", "semantic_score", "rank"),
+        "WITH q AS (SELECT concat('r', vec_id % 10, '-', CAST(floor(vec_id / 10.0) AS BIGINT)) AS run_id, CAST(embedding AS DOUBLE[]) AS e FROM fx_vectors), s AS (SELECT q.run_id, v.paper_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), q.e), 10) AS semantic_score, 1.0 / (60 + v.vec_id % 7) AS rrf FROM fx_vectors v JOIN q ON q.run_id = concat('r', v.vec_id % 10, '-', CAST(floor(v.vec_id / 1000.0) AS BIGINT))), k AS (SELECT run_id, paper_id, semantic_score, row_number() OVER (PARTITION BY run_id ORDER BY semantic_score DESC, rrf DESC, paper_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 60",
     ),
     "r2_rank_rrf": (
         lambda spark, d: r.rank_rrf(_positions(spark, d)).select("run_id", "paper_id", "rank", "ranking_note"),
@@ -256,7 +260,10 @@ QUERIES = {
     ),
     "c11_gate_proposals": (
         lambda spark, d: c.gate_proposals(_turns(spark, d).select("run_id", ((F.col("pos") + 1) / 2).cast("int").alias("pos"), "query", F.when(F.col("run_id") % 3 == 0, "de").otherwise("en").alias("language")), _turns(spark, d), _turns(spark, d).where("pos = 1 and run_id % 2 = 0").select("run_id", "query")),
-        None,
+        f"""WITH {_SIM}, v AS (SELECT * FROM k WHERE pos <= 4 AND run_id % 3 <> 0 AND length(trim(query)) BETWEEN 1 AND 300 AND len(w) > 0),
+        x AS (SELECT v.run_id, v.pos, EXISTS (SELECT 1 FROM k JOIN sim ON sim.run_id = k.run_id AND sim.a = v.pos AND sim.b = k.pos WHERE k.run_id = v.run_id AND k.pos = 1) AS near FROM v),
+        good AS (SELECT v.run_id, CAST((v.pos + 1) // 2 AS BIGINT) AS pos, query, 'model' AS origin FROM v JOIN x ON x.run_id = v.run_id AND x.pos = v.pos WHERE CASE WHEN v.run_id % 2 = 0 THEN v.pos > 1 AND NOT near ELSE v.pos = 1 OR NOT near OR NOT EXISTS (SELECT 1 FROM v u WHERE u.run_id = v.run_id AND u.pos = 1) END)
+        SELECT * FROM good UNION ALL SELECT t.run_id, t.pos, t.query, 'rules' FROM t WHERE NOT EXISTS (SELECT 1 FROM good WHERE good.run_id = t.run_id)""",
     ),
     "c12_pending_queue": (
         lambda spark, d: c.pending_queue(_turns(spark, d).where("pos <= 5"), _turns(spark, d).where("pos > 3").withColumn("query", F.replace("query", F.lit("e"), F.lit("E"))), _turns(spark, d).where("pos = 1").select("run_id", "query")),
