@@ -44,12 +44,12 @@ _FOUND = "(q.status IS NULL OR lb.reading_status = q.status) AND (q.year_from IS
 
 
 def _resolve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    requests = query(spark, d, "SELECT o_orderkey AS request_id, array(concat('doc:', o_custkey % 400), concat('doc:', o_orderkey % 600), concat('doc:', o_custkey % 300)) AS ids, CASE WHEN o_orderkey % 2 = 0 THEN 'all' ELSE 'results' END AS scope FROM orders")
+    requests = query(spark, d, "SELECT o_orderkey AS request_id, array(concat('doc:', o_custkey), concat('doc:', CAST(floor(o_orderkey / 16.0) AS BIGINT)), concat('doc:', o_custkey % 300)) AS ids, CASE WHEN o_orderkey % 2 = 0 THEN 'all' ELSE 'results' END AS scope FROM orders")
     stored = query(spark, d, "SELECT paper_id, title, run_id, seq, CAST(round AS BIGINT) AS updated_at FROM fx_results WHERE seq % 2 = 0")
     return requests, lookup.resolve_papers(requests, stored, library(spark, d))
 
 
-_RESOLVE = f"""WITH {_FOLD}, rq AS (SELECT o_orderkey AS request_id, ['doc:' || (o_custkey % 400), 'doc:' || (o_orderkey % 600), 'doc:' || (o_custkey % 300)] AS ids, o_orderkey % 2 = 0 AS alls FROM orders),
+_RESOLVE = f"""WITH {_FOLD}, rq AS (SELECT o_orderkey AS request_id, ['doc:' || o_custkey, 'doc:' || CAST(floor(o_orderkey / 16.0) AS BIGINT), 'doc:' || (o_custkey % 300)] AS ids, o_orderkey % 2 = 0 AS alls FROM orders),
   ex AS (SELECT request_id, alls, ids, CAST(i - 1 AS INT) AS position, ids[i] AS paper_id FROM rq, (SELECT unnest([1, 2, 3]) AS i) z),
   st AS (SELECT DISTINCT paper_id, title FROM fx_results WHERE seq % 2 = 0),
   rs AS (SELECT request_id, position, ex.paper_id, CASE WHEN st.paper_id IS NOT NULL THEN 'results' WHEN alls AND lb.paper_id IS NOT NULL THEN 'library' END AS origin, coalesce(st.title, lb.title) AS title FROM ex LEFT JOIN st ON st.paper_id = ex.paper_id LEFT JOIN lb ON lb.paper_id = ex.paper_id)"""
@@ -66,7 +66,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return query(spark, d, "SELECT vec_id, concat('ix', vec_id % 2) AS index_name, concat('doc:', vec_id % 300) AS paper_id, concat('h', vec_id % 300 % 7) AS text_hash, embedding, status FROM fx_vectors")
+    return query(spark, d, "SELECT vec_id, concat('ix', vec_id % 2) AS index_name, concat('doc:', CAST(floor(vec_id / 4.0) AS BIGINT)) AS paper_id, concat('h', CAST(floor(vec_id / 4.0) AS BIGINT) % 7) AS text_hash, embedding, status FROM fx_vectors")
 
 
 def i12_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -140,12 +140,12 @@ QUERIES = {
         SELECT u.run_id, u.source, coalesce(c.n, 0) AS recalled, coalesce(f.n, 0) AS final, row_number() OVER (PARTITION BY u.run_id ORDER BY s.a NULLS LAST, c.a NULLS LAST, f.a NULLS LAST, u.source) AS position FROM u LEFT JOIN f ON f.run_id = u.run_id AND f.source = u.source LEFT JOIN c ON c.run_id = u.run_id AND c.source = u.source LEFT JOIN s ON s.run_id = u.run_id AND s.source = u.source""",
     ),
     "a4_synthesis": (
-        lambda spark, d: reports.synthesis(ps.results(spark, d), query(spark, d, "SELECT run_id, CAST(NULL AS BIGINT) AS n_high, CASE WHEN run_id <> 'r1' THEN count(*) END AS n_partial, CASE WHEN run_id = 'r2' THEN array('a', 'b', 'c', 'd') ELSE array() END AS gaps, CASE WHEN run_id <> 'r3' THEN 'budget' END AS stop_reason FROM fx_hits WHERE run_id <> 'r4' GROUP BY run_id")).withColumns({"findings": F.array_join("findings", "|"), "suggestions": F.array_join("suggestions", "|")}),
-        """WITH c AS (SELECT run_id, CASE WHEN run_id <> 'r1' THEN count(*) END AS np FROM fx_hits WHERE run_id <> 'r4' GROUP BY run_id),
+        lambda spark, d: reports.synthesis(ps.results(spark, d), query(spark, d, "SELECT run_id, CAST(NULL AS BIGINT) AS n_high, CASE WHEN run_id NOT LIKE 'r1-%' THEN count(*) END AS n_partial, CASE WHEN run_id LIKE 'r2-%' THEN array('a', 'b', 'c', 'd') ELSE array() END AS gaps, CASE WHEN run_id NOT LIKE 'r3-%' THEN 'budget' END AS stop_reason FROM fx_hits WHERE run_id NOT LIKE 'r4-%' GROUP BY run_id")).withColumns({"findings": F.array_join("findings", "|"), "suggestions": F.array_join("suggestions", "|")}),
+        """WITH c AS (SELECT run_id, CASE WHEN run_id NOT LIKE 'r1-%' THEN count(*) END AS np FROM fx_hits WHERE run_id NOT LIKE 'r4-%' GROUP BY run_id),
         n AS (SELECT run_id, count(*) AS n_papers, count_if(coalesce(status = 'satisfied', false)) AS n_high, count_if(coalesce(status = 'uncertain', false)) AS u, min(year) AS first_year, max(year) AS last_year, count(DISTINCT source) AS n_sources FROM fx_results GROUP BY run_id),
         j AS (SELECT n.*, coalesce(np, u) AS n_partial, c.run_id IS NOT NULL AS has FROM n LEFT JOIN c ON c.run_id = n.run_id)
         SELECT run_id, n_papers, n_high, n_partial, first_year, last_year, n_sources, concat_ws('|', concat(n_papers, ' papers kept, ', n_high, ' satisfy the constraints'), CASE WHEN n_partial > 0 THEN concat(n_partial, ' papers uncertain') END, CASE WHEN first_year IS NOT NULL THEN concat('published ', first_year, ' to ', last_year) END, concat(n_sources, ' sources took part')) AS findings,
-          CASE WHEN run_id = 'r2' THEN 'search more for a|search more for b|search more for c' WHEN has AND run_id <> 'r3' THEN 'stopped: budget' ELSE '' END AS suggestions FROM j""",
+          CASE WHEN run_id LIKE 'r2-%' THEN 'search more for a|search more for b|search more for c' WHEN has AND run_id NOT LIKE 'r3-%' THEN 'stopped: budget' ELSE '' END AS suggestions FROM j""",
     ),
     "a5_keyword_routes": (
         lambda spark, d: reports.keyword_routes(_terms(spark, d))[0].withColumn("representatives", F.array_join("representatives", ",")),
@@ -214,7 +214,7 @@ QUERIES = {
     ),
     "v3_embedding_worklist": (
         lambda spark, d: vectors.embedding_worklist(query(spark, d, "SELECT paper_id, concat('h', seq % 5) AS text_hash FROM fx_papers"), _records(spark, d), "ix0"),
-        "WITH r AS (SELECT concat('doc:', vec_id % 300) AS paper_id, concat('h', vec_id % 300 % 7) AS text_hash, bool_or(status = 'active') AS a FROM fx_vectors WHERE vec_id % 2 = 0 AND status IN ('active', 'pending') GROUP BY ALL) SELECT p.paper_id, concat('h', p.seq % 5) AS text_hash, CASE WHEN a THEN 'reuse' WHEN a IS NOT NULL THEN 'wait' ELSE 'encode' END AS work FROM fx_papers p LEFT JOIN r ON r.paper_id = p.paper_id AND r.text_hash = concat('h', p.seq % 5)",
+        "WITH r AS (SELECT concat('doc:', CAST(floor(vec_id / 4.0) AS BIGINT)) AS paper_id, concat('h', CAST(floor(vec_id / 4.0) AS BIGINT) % 7) AS text_hash, bool_or(status = 'active') AS a FROM fx_vectors WHERE vec_id % 2 = 0 AND status IN ('active', 'pending') GROUP BY ALL) SELECT p.paper_id, concat('h', p.seq % 5) AS text_hash, CASE WHEN a THEN 'reuse' WHEN a IS NOT NULL THEN 'wait' ELSE 'encode' END AS work FROM fx_papers p LEFT JOIN r ON r.paper_id = p.paper_id AND r.text_hash = concat('h', p.seq % 5)",
     ),
     "v4_apply_transitions": (
         lambda spark, d: vectors.apply_transitions(query(spark, d, "SELECT concat('ix', user_id % 3) AS index_name, concat('p', user_id) AS paper_id, event_id % 4 AS vec_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'reserve' ELSE 'activate' END AS event FROM events")),
