@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from folium.functions import norm
 from folium.operators import fusion as f
 from folium.plans import sql as s
-from folium.plans.fixtures import query, view
+from folium.plans.fixtures import query, view, whole
 from folium.sources.store import saved
 
-_groups: dict[tuple[str, str], DataFrame] = {}
+_groups: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_hits with component; the narrow group table is settled once for a session and an input."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    hits = view(spark, sf_dir, "fx_hits")
+def groups(spark: SparkSession, sf_dir: str, name: str = "fx_hits") -> DataFrame:
+    """Hits with component; the narrow group table is settled once for a session, an input and a view."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    hits = view(spark, sf_dir, name)
     if at not in _groups:
         _groups[at] = saved(f.identity_groups(hits), "groups")
     return f.grouped(hits, _groups[at])
@@ -145,7 +145,7 @@ QUERIES = {
         f"""WITH RECURSIVE {_PROVENANCE}, cc(run_id, seq, label) AS (SELECT run_id, seq, seq FROM fx_hits UNION SELECT b.run_id, b.seq, cc.label FROM cc JOIN k a ON a.run_id = cc.run_id AND a.seq = cc.seq JOIN k b ON b.run_id = a.run_id AND b.key = a.key)
         SELECT run_id, seq, min(label) AS component FROM cc GROUP BY ALL""",
     ),
-    "f2_identity_groups": (lambda spark, d: f.identity_groups(view(spark, d, "fx_hits")), f"WITH RECURSIVE {s.GROUPS} SELECT run_id, seq, component FROM m"),
+    "f2_identity_groups": (lambda spark, d: f.identity_groups(view(spark, d, "fx_whole_hits")), whole(f"WITH RECURSIVE {s.GROUPS} SELECT run_id, seq, component FROM m")),
     "f3_canonical": (lambda spark, d: f.canonical(groups(spark, d)), f"WITH RECURSIVE {s.GROUPS} SELECT run_id, component, seq FROM g WHERE best = 1"),
     "f4_fuse_fields": (
         lambda spark, d: f.fuse_fields(groups(spark, d)).withColumn("abstract", F.sha2("abstract", 256)),

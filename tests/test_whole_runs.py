@@ -27,3 +27,7 @@ def rows(spark, far, name, *columns):
 
 def test_a_request_reads_its_whole_run(spark, far):
     assert rows(spark, far, "p4_filter_results", "request_id", "seq") == [(50, 12), (50, 2012)]
+
+
+def test_equal_records_are_one_group(spark, far):
+    assert rows(spark, far, "f2_identity_groups", "seq", "component") == [(7, 7), (12, 12), (2012, 12)]
