@@ -148,8 +148,8 @@ QUERIES = {
     "f2_identity_groups": (lambda spark, d: f.identity_groups(view(spark, d, "fx_whole_hits")), whole(f"WITH RECURSIVE {s.GROUPS} SELECT run_id, seq, component FROM m")),
     "f3_canonical": (lambda spark, d: f.canonical(groups(spark, d)), f"WITH RECURSIVE {s.GROUPS} SELECT run_id, component, seq FROM g WHERE best = 1"),
     "f4_fuse_fields": (
-        lambda spark, d: f.fuse_fields(groups(spark, d)).withColumn("abstract", F.sha2("abstract", 256)),
-        f"""WITH RECURSIVE {s.GROUPS}, r AS (
+        lambda spark, d: f.fuse_fields(groups(spark, d, "fx_whole_hits")).withColumn("abstract", F.sha2("abstract", 256)),
+        whole(f"""WITH RECURSIVE {s.GROUPS}, r AS (
           SELECT run_id, component, max(citation_count) AS citation_count, count(*) AS n_records, min(year) AS y, arg_max(trim(coalesce(abstract, '')), ROW(length(trim(coalesce(abstract, ''))), -seq)) AS a,
             arg_min(trim(venue), seq) FILTER (trim(venue) <> '') AS v, arg_min(trim(doi), seq) FILTER (trim(doi) <> '') AS d, arg_min(trim(arxiv_id), seq) FILTER (trim(arxiv_id) <> '') AS x, arg_min(trim(pmid), seq) FILTER (trim(pmid) <> '') AS p, bool_or(is_open_access) AS is_open_access, max(updated_at) AS updated_at,
             {', '.join(f"arg_min(trim({c}), seq) FILTER (trim({c}) <> '') AS f_{c}" for c in _MORE)},
@@ -157,7 +157,7 @@ QUERIES = {
           FROM g GROUP BY ALL)
         SELECT r.run_id, r.component, g.paper_id, g.title, sha256(r.a) AS abstract, coalesce(g.year, r.y) AS year, coalesce(nullif(trim(g.venue), ''), r.v) AS venue, coalesce(nullif(trim(g.doi), ''), r.d) AS doi,
           coalesce(nullif(trim(g.arxiv_id), ''), r.x) AS arxiv_id, coalesce(nullif(trim(g.pmid), ''), r.p) AS pmid, r.citation_count, r.paper_type, r.n_records, r.is_open_access, r.updated_at, {', '.join(f"coalesce(nullif(trim(g.{c}), ''), r.f_{c}) AS {c}" for c in _MORE)}
-        FROM r JOIN g ON g.run_id = r.run_id AND g.component = r.component AND g.best = 1""",
+        FROM r JOIN g ON g.run_id = r.run_id AND g.component = r.component AND g.best = 1"""),
     ),
     "f5_provenance": (
         lambda spark, d: f.provenance(groups(spark, d)).withColumn("subqueries", F.array_join("subqueries", ",")),

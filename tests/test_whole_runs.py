@@ -31,3 +31,8 @@ def test_a_request_reads_its_whole_run(spark, far):
 
 def test_equal_records_are_one_group(spark, far):
     assert rows(spark, far, "f2_identity_groups", "seq", "component") == [(7, 7), (12, 12), (2012, 12)]
+
+
+def test_fields_are_fused_over_a_whole_run(spark, far):
+    abstract = hashlib.sha256(TEXT.encode()).hexdigest()
+    assert rows(spark, far, "f4_fuse_fields", "component", "n_records", "year", "paper_type", "abstract")[1:] == [(12, 2, 2002, "article", abstract)]
