@@ -45,7 +45,7 @@ def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first author and, for every third record, a second one; ORCIDs and institutions for some."""
-    rows = groups(spark, sf_dir).select("run_id", "component", "seq", "source", "first_author")
+    rows = groups(spark, sf_dir, "fx_whole_hits").select("run_id", "component", "seq", "source", "first_author")
     one = rows.select("run_id", "component", "seq", F.lit(1).alias("pos"), F.col("first_author").alias("name"), F.expr("CASE WHEN seq % 4 = 0 THEN concat('0000-', seq % 7) END").alias("orcid"), F.expr("CASE WHEN seq % 3 = 0 THEN concat('Inst ', seq % 5) END").alias("institution"), "source", F.expr("concat(source, '-', seq % 11)").alias("source_author_id"))
     two = rows.where("seq % 3 = 0").select("run_id", "component", "seq", F.lit(2).alias("pos"), F.expr("concat('AUTHOR  ', seq % 13)").alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("institution"), "source", F.lit(None).cast("string").alias("source_author_id"))
     return one.unionByName(two)
@@ -166,14 +166,14 @@ QUERIES = {
     ),
     "f6_merge_authors": (
         f6,
-        f"""WITH RECURSIVE {s.GROUPS}, a AS (
+        whole(f"""WITH RECURSIVE {s.GROUPS}, a AS (
           SELECT run_id, component, seq, 1 AS pos, first_author AS name, CASE WHEN seq % 4 = 0 THEN concat('0000-', seq % 7) END AS orcid, CASE WHEN seq % 3 = 0 THEN concat('Inst ', seq % 5) END AS institution, source, concat(source, '-', seq % 11) AS sid FROM g UNION ALL
           SELECT run_id, component, seq, 2, concat('AUTHOR  ', seq % 13), NULL, NULL, source, NULL FROM g WHERE seq % 3 = 0),
         b AS (SELECT *, coalesce(lower(orcid), {s.strong('name')}) AS k, seq * 10 + pos AS o_ FROM a),
         c AS (SELECT run_id, component, k, arg_min(name, o_) AS name, arg_min(orcid, o_) FILTER (orcid IS NOT NULL) AS orcid, arg_min(institution, o_) FILTER (institution IS NOT NULL) AS institution, min(o_) AS o_ FROM b GROUP BY ALL),
         e AS (SELECT run_id, component, k, source, arg_max(sid, o_) AS sid FROM b WHERE sid IS NOT NULL GROUP BY ALL),
         h AS (SELECT run_id, component, k, string_agg(concat(source, '=', sid), ',' ORDER BY source) AS ids FROM e GROUP BY ALL)
-        SELECT c.run_id, c.component, row_number() OVER (PARTITION BY c.run_id, c.component ORDER BY c.o_) AS position, name, orcid, institution, coalesce(ids, '') AS ids FROM c LEFT JOIN h ON h.run_id = c.run_id AND h.component = c.component AND h.k = c.k""",
+        SELECT c.run_id, c.component, row_number() OVER (PARTITION BY c.run_id, c.component ORDER BY c.o_) AS position, name, orcid, institution, coalesce(ids, '') AS ids FROM c LEFT JOIN h ON h.run_id = c.run_id AND h.component = c.component AND h.k = c.k"""),
     ),
     "f7_merge_terms": (
         lambda spark, d: f.merge_terms(_keywords(spark, d)).withColumn("terms", F.array_join("terms", "|")),

@@ -36,3 +36,9 @@ def test_equal_records_are_one_group(spark, far):
 def test_fields_are_fused_over_a_whole_run(spark, far):
     abstract = hashlib.sha256(TEXT.encode()).hexdigest()
     assert rows(spark, far, "f4_fuse_fields", "component", "n_records", "year", "paper_type", "abstract")[1:] == [(12, 2, 2002, "article", abstract)]
+
+
+def test_authors_are_merged_over_a_whole_run(spark, far):
+    merged = [(1, "Author 20", "0000-5", "Inst 2", "arxiv=arxiv-1"), (2, "AUTHOR  12", None, None, ""), (3, "Author 20", "0000-3", None, "arxiv=arxiv-10")]
+    got = QUERIES["f6_merge_authors"](spark, far).where("component = 12").select("position", "name", "orcid", "institution", "ids").collect()
+    assert sorted(map(tuple, got)) == merged
