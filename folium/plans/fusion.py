@@ -23,8 +23,8 @@ def groups(spark: SparkSession, sf_dir: str, name: str = "fx_hits") -> DataFrame
     return f.grouped(hits, _groups[at])
 
 
-def families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.work_family(groups(spark, sf_dir))
+def families(spark: SparkSession, sf_dir: str, name: str = "fx_hits") -> DataFrame:
+    return f.work_family(groups(spark, sf_dir, name))
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,10 +181,10 @@ QUERIES = {
         o AS (SELECT run_id, component, n, arg_min(keyword, o_) AS x, min(o_) AS o_ FROM w WHERE n <> '' GROUP BY ALL) SELECT run_id, component, {_LIST} AS terms FROM o GROUP BY run_id, component""",
     ),
     "f8_work_family": (
-        families,
-        f"""WITH RECURSIVE {s.GROUPS}, i AS (SELECT DISTINCT g.run_id, g.component, k FROM g, LATERAL (SELECT unnest([concat('doi:', {s.doi('doi')}), concat('arxiv:', {s.arxiv('arxiv_id')}), concat('pmid:', {s.pmid('pmid')})]) AS k) WHERE k NOT IN ('doi:', 'arxiv:', 'pmid:')),
+        lambda spark, d: families(spark, d, "fx_whole_hits"),
+        whole(f"""WITH RECURSIVE {s.GROUPS}, i AS (SELECT DISTINCT g.run_id, g.component, k FROM g, LATERAL (SELECT unnest([concat('doi:', {s.doi('doi')}), concat('arxiv:', {s.arxiv('arxiv_id')}), concat('pmid:', {s.pmid('pmid')})]) AS k) WHERE k NOT IN ('doi:', 'arxiv:', 'pmid:')),
         j AS (SELECT run_id, component, string_agg(k, '|' ORDER BY k) AS ks FROM i GROUP BY ALL)
-        SELECT g.run_id, g.component, concat('work-', substr(sha256(coalesce(ks, concat('source:', source, ':', {s.strong('paper_id')}))), 1, 16)) AS work_family_id FROM g LEFT JOIN j ON j.run_id = g.run_id AND j.component = g.component WHERE g.best = 1""",
+        SELECT g.run_id, g.component, concat('work-', substr(sha256(coalesce(ks, concat('source:', source, ':', {s.strong('paper_id')}))), 1, 16)) AS work_family_id FROM g LEFT JOIN j ON j.run_id = g.run_id AND j.component = g.component WHERE g.best = 1"""),
     ),
     "f9_link_versions": (
         lambda spark, d: f.link_versions(query(spark, d, "SELECT run_id, seq AS component, concat(lang, ' ', coalesce(venue, 'none')) AS title, first_author, coalesce(year, 2000) AS year, paper_type, paper_id AS work_family_id FROM fx_papers")).select("run_id", "component", "version_family_id"),

@@ -42,3 +42,10 @@ def test_authors_are_merged_over_a_whole_run(spark, far):
     merged = [(1, "Author 20", "0000-5", "Inst 2", "arxiv=arxiv-1"), (2, "AUTHOR  12", None, None, ""), (3, "Author 20", "0000-3", None, "arxiv=arxiv-10")]
     got = QUERIES["f6_merge_authors"](spark, far).where("component = 12").select("position", "name", "orcid", "institution", "ids").collect()
     assert sorted(map(tuple, got)) == merged
+
+
+def test_a_work_family_spans_a_whole_run(spark, far):
+    doi = "doi:10.5555/" + hashlib.md5(TEXT.encode()).hexdigest()[:12]
+    family = "work-" + hashlib.sha256(f"arxiv:2401.00020|{doi}".encode()).hexdigest()[:16]
+    got = QUERIES["f8_work_family"](spark, far).where("run_id like 'r0%'").select("component", "work_family_id").collect()
+    assert sorted(map(tuple, got)) == [(12, family)]
