@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from folium.operators import ranking
 from folium.plans import registry
 
 QUERIES = registry.queries()
@@ -49,3 +50,15 @@ def test_a_work_family_spans_a_whole_run(spark, far):
     family = "work-" + hashlib.sha256(f"arxiv:2401.00020|{doi}".encode()).hexdigest()[:16]
     got = QUERIES["f8_work_family"](spark, far).where("run_id like 'r0%'").select("component", "work_family_id").collect()
     assert sorted(map(tuple, got)) == [(12, family)]
+
+
+def test_a_page_is_of_its_whole_run(spark, far):
+    assert rows(spark, far, "r7_page_results", "at", "paper_id", "total", "shown_page") == [(1, "doc:2012", 2, 1), (2, "doc:12", 2, 1)]
+
+
+def test_a_request_without_page_shows_the_last(spark):
+    papers = [("r", f"p{i:02}", 2000, i, "satisfied", 0.5, 0.5, 0.5, 0.5) for i in range(12)]
+    results = spark.createDataFrame(papers, "run_id string, paper_id string, year int, citation_count int, status string, relevance double, pair_score double, semantic_score double, rrf_score double")
+    requests = spark.createDataFrame([(1, "r", "citation_desc", None, 5), (2, "r", "citation_desc", 1, 5)], "request_id long, run_id string, sort string, page int, page_size int")
+    got = ranking.page_results(results, requests, "run_id").select("request_id", "at", "paper_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 11, "p01"), (1, 12, "p00"), *((2, i, f"p{12 - i:02}") for i in range(1, 6))]
