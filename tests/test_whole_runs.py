@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from folium.operators import ranking
+from folium.operators import graph
 from folium.plans import registry
 
 QUERIES = registry.queries()
@@ -62,3 +63,13 @@ def test_a_request_without_page_shows_the_last(spark):
     requests = spark.createDataFrame([(1, "r", "citation_desc", None, 5), (2, "r", "citation_desc", 1, 5)], "request_id long, run_id string, sort string, page int, page_size int")
     got = ranking.page_results(results, requests, "run_id").select("request_id", "at", "paper_id").collect()
     assert sorted(map(tuple, got)) == [(1, 11, "p01"), (1, 12, "p00"), *((2, i, f"p{12 - i:02}") for i in range(1, 6))]
+
+
+def test_chains_go_through_whole_runs(spark, far):
+    assert rows(spark, far, "g3_same_work_edges", "src", "dst") == [(2012, 12)]
+
+
+def test_chains_cross_empty_stretches(spark):
+    places = [(1, 5), (2, 9_999), (3, 10_000), (4, 45_000), (5, 45_001)]
+    nodes = spark.createDataFrame([("r", i, p, "f") for i, p in places] + [("r", 9, 7, ""), ("s", 1, 30_000, "f")], "run_id string, id long, position long, family string")
+    assert sorted(map(tuple, graph.same_work_edges(nodes).select("src", "dst").collect())) == [(2, 1), (3, 2), (4, 3), (5, 4)]
