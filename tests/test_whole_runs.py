@@ -4,8 +4,7 @@ import hashlib
 
 import pytest
 
-from folium.operators import ranking
-from folium.operators import graph
+from folium.operators import graph, ranking
 from folium.plans import registry
 
 QUERIES = registry.queries()
