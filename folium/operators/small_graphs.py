@@ -1,12 +1,12 @@
 """Strong components and needless edges of many small graphs at once, a graph in one task (for G7 and G8).
 
-Rows are dealt by run and sorted, so that a task meets whole graphs one after another. Only graphs within a bound of edges
-come here; graph.py has other ways for larger ones.
+Rows are grouped by run, so that a task meets whole graphs one after another. Only graphs within a bound of edges come here;
+graph.py has other ways for larger ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -72,42 +72,19 @@ def needless(n: int, src: np.ndarray, dst: np.ndarray) -> list[bool]:
 
 
 def each_graph(edges: DataFrame, work: Callable[[np.ndarray, np.ndarray], dict[str, list]], schema: str) -> DataFrame:
-    """work(src, dst) of every run's edges (run_id, src, dst), as rows of run_id and the columns it returns."""
+    """work(src, dst) of every run's edges (run_id, src, dst), as rows of run_id and the columns it returns.
+
+    Runs are grouped, which holds whatever the plan below becomes while it runs; rows merely dealt by run do not stay whole
+    where Spark finds them so dealt by a join and turns it into one that reads its shuffle where it lies.
+    """
     kind = edges.schema["run_id"].dataType.simpleString()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def graphs(last: bool) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(rest).combine_chunks()
-            rest.clear()
-            run = table["run_id"].combine_chunks().dictionary_encode().indices.to_numpy() if table.num_rows else np.zeros(0, int)
-            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), table.num_rows]
-            if not last:
-                rest.extend(table.slice(cuts[-2]).to_batches())  # the last run may go on
-                cuts = cuts[:-1]
-            src, dst = table["src"].to_numpy(), table["dst"].to_numpy()
-            out: dict[str, list] = {}
-            runs: list[int] = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    rows = work(src[a:b], dst[a:b])
-                    for name, values in rows.items():
-                        out.setdefault(name, []).extend(values)
-                    runs += [a] * len(next(iter(rows.values())))
-            if runs:
-                yield pa.record_batch([table["run_id"].take(pa.array(runs)).combine_chunks(), *map(pa.array, out.values())], ["run_id", *out])
-
-        for batch in batches:
-            if batch.num_rows:
-                rest.append(batch)
-                if sum(b.num_rows for b in rest) >= 50_000:
-                    yield from graphs(False)
-        if rest:
-            yield from graphs(True)
-
-    dealt = edges.select("run_id", "src", "dst").repartition("run_id").sortWithinPartitions("run_id")
-    return dealt.mapInArrow(whole, f"run_id {kind}, {schema}")
+    def whole(table: pa.Table) -> pa.Table:
+        rows = work(table["src"].to_numpy(), table["dst"].to_numpy())
+        run = table["run_id"].take(pa.array([0] * len(next(iter(rows.values()))), pa.int64()))
+        return pa.table([run, *(pa.array(values, pa.int64()) for values in rows.values())], ["run_id", *rows])
+
+    return edges.select("run_id", "src", "dst").groupBy("run_id").applyInArrow(whole, f"run_id {kind}, {schema}")
 
 
 def strong_of_run(src: np.ndarray, dst: np.ndarray) -> dict[str, list]:

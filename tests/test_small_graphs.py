@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from folium.operators import graph as g
-from folium.operators.small_graphs import needless, strong
+from folium.operators.small_graphs import each_graph, needless, strong, strong_of_run
 
 
 def reach(n, edges):
@@ -78,3 +78,11 @@ def test_colours_travel_a_long_cycle_in_few_rounds(spark, monkeypatch):
     out = {(r["run_id"], r["id"]): r["component"] for r in g.strong_components(nodes, edges, most=100).collect()}
     assert all(out["big", i] == 0 for i in range(n)) and [out["small", i] for i in range(3)] == [0, 0, 2]
     assert len(rounds) < 120
+
+
+def test_the_plan_keeps_runs_whole(spark):
+    """Dealt rows alone are not kept together where Spark changes a join below as it runs; grouped rows are."""
+    _, edges = frames(spark, {"r": (3, [(0, 1), (1, 0), (1, 2)])})
+    found = each_graph(edges, strong_of_run, "id long, root long")
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("r", 0, 0), ("r", 1, 0), ("r", 2, 2)]
