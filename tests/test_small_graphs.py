@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from folium.operators import graph as g
-from folium.operators.small_graphs import each_graph, needless, strong, strong_of_run
+from folium.operators.small_graphs import each_graph, needless, needless_of_run, strong, strong_of_run
 
 
 def reach(n, edges):
@@ -86,3 +86,8 @@ def test_the_plan_keeps_runs_whole(spark):
     found = each_graph(edges, strong_of_run, "id long, root long")
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("r", 0, 0), ("r", 1, 0), ("r", 2, 2)]
+
+
+def test_a_graph_without_needless_edges_gives_no_rows(spark):
+    _, edges = frames(spark, {"r": (3, [(0, 1), (1, 2)]), "s": (3, [(0, 1), (1, 2), (0, 2)])})
+    assert list(map(tuple, each_graph(edges, needless_of_run, "a long, b long").collect())) == [("s", 0, 2)]
