@@ -157,12 +157,16 @@ _PUBMED = """PubmedArticle ARRAY<STRUCT<MedlineCitation: STRUCT<PMID: STRING, Da
  PubmedData: STRUCT<ArticleIdList: STRUCT<ArticleId: ARRAY<STRUCT<_IdType: STRING, _VALUE: STRING>>>>>>"""
 
 
-def ingest_pubmed(raw: DataFrame) -> DataFrame:
-    """Articles of article sets; raw_rank is set later by rank_by_idlist."""
+def ingest_pubmed(raw: DataFrame, bare_labels: bool = False) -> DataFrame:
+    """Articles of article sets; raw_rank is set later by rank_by_idlist.
+
+    A section of the abstract without text leaves nothing, or its label with bare_labels.
+    """
     rows = _each(raw.withColumn("f", F.from_xml("payload", _PUBMED)), F.col("f.PubmedArticle"))
     m = F.col("x")["MedlineCitation"]
     a = m["Article"]
-    part = lambda p: F.when(_clean(p["_VALUE"]).isNotNull(), F.concat_ws(": ", _clean(p["_Label"]), _clean(p["_VALUE"])))
+    given = lambda p: _clean(p["_VALUE"]).isNotNull() | (_clean(p["_Label"]).isNotNull() & F.lit(bare_labels))
+    part = lambda p: F.when(given(p), F.concat_ws(": ", _clean(p["_Label"]), F.coalesce(_clean(p["_VALUE"]), F.lit(""))))
     abstract = F.array_join(F.array_compact(F.transform(a["Abstract"]["AbstractText"], part)), "\n")
     full = lambda p: F.nullif(F.concat_ws(" ", _clean(p["ForeName"]), _clean(p["LastName"])), F.lit(""))
     name = lambda p: _author(F.coalesce(_clean(p["CollectiveName"]), full(p), F.nullif(F.concat_ws(" ", _clean(p["Initials"]), _clean(p["LastName"])), F.lit(""))))
