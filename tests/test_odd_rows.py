@@ -36,6 +36,11 @@ def agree(spark, odd, name):
     return [dict(zip(columns, r, strict=True)) for r in got]
 
 
+def test_capitals_of_a_letter_without_one_are_evidence(spark, odd):
+    found = {r["paper_id"]: r["n"] for r in agree(spark, odd, "p6_validate_evidence")}
+    assert (found[8], found[12], found[7]) == (2, 2, 0)
+
+
 def test_a_blank_abstract_leaves_its_label(spark, odd):
     assert {r["pmid"] for r in agree(spark, odd, "i5_pubmed")} == {"7", "8", "9", "10", "11", "12", "57"}
 
