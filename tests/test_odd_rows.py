@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from folium.plans import registry
+from folium.plans.fixtures import doubles
 from tests.test_oracles import plain
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -47,3 +48,11 @@ def test_a_blank_abstract_leaves_its_label(spark, odd):
 
 def test_a_blank_title_is_none(spark, odd):
     assert {r["dblp_key"]: r["title"] for r in agree(spark, odd, "i4_dblp")}["k/9"] is None
+
+
+def test_scores_are_doubles_where_papers_are_ranked(spark, odd):
+    assert [r["paper_id"] for r in sorted(agree(spark, odd, "r4_rank_assessed"), key=lambda r: r["rank"]) if r["run_id"] == "r5-0"] == ["doc:7", "doc:57"]
+
+
+def test_numbers_in_strings_stay():
+    assert doubles("SELECT '10.5555/', x / 100.0, 'it''s 2.5' FROM t") == "SELECT '10.5555/', x / 100.0D, 'it''s 2.5' FROM t"
