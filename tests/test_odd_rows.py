@@ -54,5 +54,9 @@ def test_scores_are_doubles_where_papers_are_ranked(spark, odd):
     assert [r["paper_id"] for r in sorted(agree(spark, odd, "r4_rank_assessed"), key=lambda r: r["rank"]) if r["run_id"] == "r5-0"] == ["doc:7", "doc:57"]
 
 
+def test_scores_are_doubles_in_the_cascade(spark, odd):
+    assert [r["paper_id"] for r in sorted(agree(spark, odd, "r6_cascade"), key=lambda r: r["rank"]) if r["run_id"] == "r5-0"] == ["doc:7", "doc:57"]
+
+
 def test_numbers_in_strings_stay():
     assert doubles("SELECT '10.5555/', x / 100.0, 'it''s 2.5' FROM t") == "SELECT '10.5555/', x / 100.0D, 'it''s 2.5' FROM t"
