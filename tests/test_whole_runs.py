@@ -72,3 +72,11 @@ def test_chains_cross_empty_stretches(spark):
     places = [(1, 5), (2, 9_999), (3, 10_000), (4, 45_000), (5, 45_001)]
     nodes = spark.createDataFrame([("r", i, p, "f") for i, p in places] + [("r", 9, 7, ""), ("s", 1, 30_000, "f")], "run_id string, id long, position long, family string")
     assert sorted(map(tuple, graph.same_work_edges(nodes).select("src", "dst").collect())) == [(2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_every_request_is_of_one_run(spark, far, tmp_path):
+    """Order 100 of customer 13 asks for the run r0, as order 50 of customer 10 does."""
+    for name in ("documents", "labels"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{far}/{name}.parquet")
+    spark.createDataFrame([(50, 10), (100, 13)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(spark, str(tmp_path), "p4_filter_results", "request_id", "seq") == [(50, 12), (50, 2012), (100, 12)]
