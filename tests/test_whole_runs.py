@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from folium.operators import graph, ranking
+from folium.operators import filters, graph, ranking
 from folium.plans import registry
 
 QUERIES = registry.queries()
@@ -56,6 +56,13 @@ def test_a_page_is_of_its_whole_run(spark, far):
     assert rows(spark, far, "r7_page_results", "at", "paper_id", "total", "shown_page") == [(1, "doc:2012", 2, 1), (2, "doc:12", 2, 1)]
 
 
+def test_rows_of_a_request_lie_together(spark):
+    papers = spark.range(400).selectExpr("'r' as run_id", "concat('p', id) as paper_id", "'s' as source", "'satisfied' as status", "2000 as year")
+    requests = spark.range(5).selectExpr("id as request_id", "'r' as run_id", "cast(null as string) as source", "cast(null as string) as status", "1990 as year_from", "cast(null as int) as year_to")
+    at = [r[0] for r in filters.filter_results(papers.hint("merge"), requests.hint("merge")).select("request_id").collect()]
+    assert len(at) == 2000 and sum(a != b for a, b in zip(at, at[1:])) < 5 * filters.PARTS
+
+
 def test_a_request_without_page_shows_the_last(spark):
     papers = [("r", f"p{i:02}", 2000, i, "satisfied", 0.5, 0.5, 0.5, 0.5) for i in range(12)]
     results = spark.createDataFrame(papers, "run_id string, paper_id string, year int, citation_count int, status string, relevance double, pair_score double, semantic_score double, rrf_score double")
