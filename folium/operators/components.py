@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.sources.store import Steps, saved
@@ -54,33 +54,43 @@ def greedy_first(held: DataFrame, keys: list[str], name: str = "greedy") -> Data
     return held.select(*keys, "id").limit(0) if kept is None else kept
 
 
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """The decisions of one block of ids, in order: rows (id, hit, waits, near), near being undecided ids of the block."""
-    kept: dict[int, bool | None] = {}
+def _settle(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The decisions of some blocks of ids, in order: rows (keys, id, hit, waits, near), near being undecided ids of a row's block."""
+    kept: dict[tuple, bool | None] = {}
     frame = frame.sort_values("id")
-    for i, hit, waits, near in zip(frame["id"].tolist(), frame["hit"].tolist(), frame["waits"].tolist(), frame["near"].tolist(), strict=True):
-        before = [kept[x] for x in near]
-        kept[i] = False if hit or True in before else None if waits or None in before else True
-    return frame.drop(columns=["hit", "waits", "near", "block"]).assign(kept=pd.array(list(kept.values()), dtype="boolean"))
+    for i, hit, waits, near, *key in zip(*(frame[c].tolist() for c in ("id", "hit", "waits", "near", *keys)), strict=True):
+        before = [kept[x, *key] for x in near]
+        kept[i, *key] = False if hit or True in before else None if waits or None in before else True
+    decided = [kept[x] for x in zip(*(frame[c].tolist() for c in ("id", *keys)), strict=True)]
+    return frame[[*keys, "id"]].assign(kept=pd.array(decided, dtype="boolean"))
 
 
 def greedy_keep(rows: DataFrame, conflicts: DataFrame, keys: list[str], name: str = "greedy", block: int = BLOCK_IDS) -> DataFrame:
     """Rows (keys, id) with kept, taking ids in ascending order unless an earlier kept one conflicts (keys, a, b).
 
-    A round first lets decided rows drop their later neighbours. Then each block of `block` consecutive ids is gone through
-    in order, which settles every row whose undecided neighbours are all of its block and settled before it. So a chain
-    costs a round for each block that it crosses, and a task never holds more than a block of rows.
+    Rows without conflicts are kept at once. Of the others, a round first lets decided rows drop their later neighbours, and
+    keeps those without an undecided earlier one. Then each block of `block` consecutive ids that has conflicts inside is gone
+    through in order, which settles every row whose undecided neighbours are all of its block and settled before it. So a chain
+    costs a round for each block that it crosses, and a task takes small blocks together, about `block` rows at a time.
     """
     number = lambda c: F.floor(F.col(c) / block)
     distinct = conflicts.select(*keys, F.greatest("a", "b").alias("id"), F.least("a", "b").alias("early")).where("id <> early").distinct()
     back = saved(distinct.withColumn("near", number("id") == number("early")), name)
-    steps = Steps(rows.sparkSession, name)
-    state = steps.put(rows.select(*keys, "id", F.lit(None).cast("boolean").alias("kept")))
+    if back.isEmpty():
+        return rows.select(*keys, "id", F.lit(True).alias("kept"))
+    bound = saved(back.select(*keys, "id").unionByName(back.select(*keys, F.col("early").alias("id"))).distinct(), name)
+    free = rows.select(*keys, "id").join(bound, [*keys, "id"], "left_anti").withColumn("kept", F.lit(True))
+    steps, lefts = Steps(rows.sparkSession, name), Steps(rows.sparkSession, f"{name}-left")
+    state = steps.put(rows.select(*keys, "id").join(bound, [*keys, "id"], "left_semi").withColumn("kept", F.lit(None).cast("boolean")))
     while not state.where("kept is null").isEmpty():
         early = state.select(*keys, F.col("id").alias("early"), F.col("kept").alias("early_kept"))
         waits = F.col("early_kept").isNull()
         seen = back.join(early, [*keys, "early"]).groupBy(*keys, "id").agg(F.max(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.max(waits & ~F.col("near")).alias("waits"), F.collect_set(F.when(waits & F.col("near"), F.col("early"))).alias("near"))
         left = state.where("kept is null").join(seen, [*keys, "id"], "left").select(*keys, "id", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("waits", F.lit(False)).alias("waits"), F.coalesce("near", F.array().cast(seen.schema["near"].dataType)).alias("near"), number("id").alias("block"))
-        settled = left.groupBy(*keys, "block").applyInPandas(_settle, state.schema)
-        state = steps.put(state.where("kept is not null").unionByName(settled))
-    return state
+        left = lefts.put(left.withColumn("inside", F.max(F.size("near")).over(Window.partitionBy(*keys, "block")) > 0))
+        alone = left.where("not inside").select(*keys, "id", F.when(F.col("hit"), False).when(~F.col("waits"), True).alias("kept"))
+        inside = left.where("inside")
+        deal = F.pmod(F.xxhash64(*keys, "block"), F.lit(inside.count() // block + 1))
+        settled = inside.withColumn("deal", deal).groupBy("deal").applyInPandas(lambda frame: _settle(frame, keys), state.schema)
+        state = steps.put(state.where("kept is not null").unionByName(alone).unionByName(settled))
+    return free.unionByName(state)

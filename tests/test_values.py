@@ -304,3 +304,10 @@ def test_blocks_follow_the_sequential_rule(spark):
     rows = spark.createDataFrame([(r, i) for r in range(3) for i in range(n)], "run_id long, id long")
     got = greedy_keep(rows, spark.createDataFrame(pairs, "run_id long, a long, b long"), ["run_id"], block=16)
     assert {(r["run_id"], r["id"]) for r in got.where("kept").collect()} == want and got.count() == 3 * n
+
+
+def test_rows_without_conflicts_are_kept_at_once(spark):
+    """A row for each of many runs: no Python group for each."""
+    rows, none = spark.range(50).selectExpr("id as run_id", "id * 7 as id"), spark.createDataFrame([], "run_id long, a long, b long")
+    kept = greedy_keep(rows, none, ["run_id"])
+    assert "Pandas" not in kept._jdf.queryExecution().executedPlan().toString() and kept.where("kept").count() == 50
