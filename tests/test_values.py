@@ -1,6 +1,7 @@
 """Values worked out by hand."""
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from folium.functions import norm
@@ -311,3 +312,15 @@ def test_rows_without_conflicts_are_kept_at_once(spark):
     rows, none = spark.range(50).selectExpr("id as run_id", "id * 7 as id"), spark.createDataFrame([], "run_id long, a long, b long")
     kept = greedy_keep(rows, none, ["run_id"])
     assert "Pandas" not in kept._jdf.queryExecution().executedPlan().toString() and kept.where("kept").count() == 50
+
+
+def test_small_blocks_of_many_keys_are_settled_together(spark, monkeypatch):
+    """Chains of three in 400 runs, and a row apart in each: the deals are of about a block of rows."""
+    rows = spark.range(400 * 4).selectExpr("id % 400 as run_id", "floor(id / 400) as id")
+    chain = spark.range(400 * 2).selectExpr("id % 400 as run_id", "floor(id / 400) as a", "floor(id / 400) + 1 as b")
+    deals = []
+    original = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: deals.append(self._df.select("deal").distinct().count()) or original(self, f, schema))
+    got = greedy_keep(rows, chain, ["run_id"], block=100)
+    assert {(r["id"], r["kept"]) for r in got.collect()} == {(0, True), (1, False), (2, True), (3, True)} and got.count() == 1600
+    assert len(deals) == 1 and deals[0] <= 13
