@@ -50,3 +50,12 @@ def test_odd_rows(spark):
     got = ranking.term_search(queries, corpus.where("id is not null"), 3)
     assert rows_of(got) == {(1, 3, 1.0, 1)}
     assert ranking.term_search(queries, corpus.limit(0), 3).count() == 0 and ranking.term_search(queries.limit(0), corpus, 3).count() == 0
+
+
+def test_a_text_is_one_row_of_postings(spark, monkeypatch):
+    """Two-letter terms that stand in many words of a text: rows grow with texts, not with texts times terms."""
+    corpus = [(i, "the other weather there then") for i in range(200)]
+    kept, real = {}, ranking.saved
+    monkeypatch.setattr(ranking, "saved", lambda df, name: kept.setdefault(name, real(df, name)))
+    q, c = spark.createDataFrame([(1, "th he er the zz")], "query_id long, text string"), spark.createDataFrame(corpus, "id long, search_text string")
+    assert rows_of(ranking.term_search(q, c, 2)) == {(1, 0, 0.8, 1), (1, 1, 0.8, 2)} and kept["postings"].count() == 200
