@@ -1,4 +1,4 @@
-"""Strong components and needless edges of many small graphs at once, a graph in one task (for G7 and G8).
+"""Components and needless edges of many small graphs at once, a graph in one task (for G5 to G8).
 
 Rows are grouped by run, so that a task meets whole graphs one after another. Only graphs within a bound of edges come here;
 graph.py has other ways for larger ones.
@@ -96,6 +96,20 @@ def strong_of_run(src: np.ndarray, dst: np.ndarray) -> dict[str, list]:
     return {"id": ids.tolist(), "root": least[comp].tolist()}
 
 
+def weak_of_run(src: np.ndarray, dst: np.ndarray) -> dict[str, list]:
+    """(id, root) with the smallest id that edges, in either direction, lead to; labels jump, so long chains take few rounds."""
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b, label, before = at[: len(src)], at[len(src) :], np.arange(len(ids)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        label = label[label]
+    return {"id": ids.tolist(), "root": ids[label].tolist()}
+
+
 def needless_of_run(src: np.ndarray, dst: np.ndarray) -> dict[str, list]:
     """(a, b) of the edges that another way makes needless."""
     ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)

@@ -91,3 +91,15 @@ def test_the_plan_keeps_runs_whole(spark):
 def test_a_graph_without_needless_edges_gives_no_rows(spark):
     _, edges = frames(spark, {"r": (3, [(0, 1), (1, 2)]), "s": (3, [(0, 1), (1, 2), (0, 2)])})
     assert list(map(tuple, each_graph(edges, needless_of_run, "a long, b long").collect())) == [("s", 0, 2)]
+
+
+def test_weak_components_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    from folium.operators import components as c
+
+    rng = random.Random(5)
+    graphs = {f"r{i}": (n := rng.randint(2, 40), random_graph(rng, n, rng.randint(1, 40))) for i in range(12)} | {"chain": (300, [(i + 1, i) if i % 2 else (i, i + 1) for i in range(299)])}
+    nodes, edges = frames(spark, graphs)
+    of = lambda most: {tuple(r) for r in g.weak_components(nodes, edges, most).collect()}
+    by_rounds, rounds, real = of(0), [], c.Steps.put
+    monkeypatch.setattr(c.Steps, "put", lambda self, df: rounds.append(1) or real(self, df))
+    assert of(1000) == by_rounds and not rounds and ("chain", 299, 0) in by_rounds
