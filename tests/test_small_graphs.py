@@ -103,3 +103,12 @@ def test_weak_components_of_small_graphs_take_no_rounds(spark, monkeypatch):
     by_rounds, rounds, real = of(0), [], c.Steps.put
     monkeypatch.setattr(c.Steps, "put", lambda self, df: rounds.append(1) or real(self, df))
     assert of(1000) == by_rounds and not rounds and ("chain", 299, 0) in by_rounds
+
+
+def test_families_are_made_once(spark, monkeypatch):
+    kept, real = [], g.saved
+    monkeypatch.setattr(g, "saved", lambda df, name: kept.append(name) or real(df, name))
+    nodes = spark.createDataFrame([("r", i, f"t{i}", 2000 + i, "s", "f" if i < 2 else None, 0.5) for i in range(4)], "run_id string, id long, title string, year int, source string, family string, relevance double")
+    visual, moved = g.collapse_families(nodes, spark.createDataFrame([("r", 0, 2), ("r", 1, 2), ("r", 0, 1)], "run_id string, src long, dst long"))
+    assert {(r["visual_id"], tuple(r["members"])) for r in visual.collect()} == {("family:f", (0, 1)), ("paper:2", (2,)), ("paper:3", (3,))}
+    assert [tuple(r) for r in moved.collect()] == [("r", "family:f", "paper:2")] and kept == ["family-nodes"]
